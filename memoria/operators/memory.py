@@ -249,3 +249,75 @@ def agent_activity(memories: DataFrame, reflections: DataFrame, tasks: DataFrame
 def vector_count(vectors: DataFrame) -> DataFrame:
     """AG13: vectors per agent."""
     return vectors.groupBy("agent_id").agg(F.count(F.lit(1)).alias("vector_count"))
+
+
+# --- request builders (tools of the reference as batch operators) -------------------
+# fixed values: tool constants
+CURRENT_SESSION = "current_session"
+REFLECTION_IMPORTANCE = 0.8
+REFLECTION_TAGS = ("reflection", "self_improvement")
+INTERACTION_IMPORTANCE = 0.5
+USER_MESSAGE_TAGS = ("conversation", "user_message")
+AI_RESPONSE_TAGS = ("conversation", "ai_response")
+
+
+def _str_array(values) -> Column:
+    return F.array(*[F.lit(v) for v in values]).cast("array<string>")
+
+
+def reflection_requests_to_memories(req: DataFrame, as_of=None) -> DataFrame:
+    """PRJ12 (UD4): 'Reflection on {topic}' + optional insight / action lines."""
+    ins, act = F.col("insights"), F.col("action_items")
+    content = F.concat(
+        F.lit("Reflection on "), F.col("topic"),
+        F.when(F.size(ins) > 0, F.concat(F.lit("\nInsights: "), F.array_join(ins, ", "))).otherwise(F.lit("")),
+        F.when(F.size(act) > 0, F.concat(F.lit("\nActions: "), F.array_join(act, ", "))).otherwise(F.lit("")),
+    )
+    meta = F.create_map(F.lit("insights"), F.to_json(F.coalesce(ins, F.array().cast("array<string>"))),
+                        F.lit("action_items"), F.to_json(F.coalesce(act, F.array().cast("array<string>"))))
+    rows = req.select(
+        F.col("id"), F.lit(CURRENT_SESSION).alias("session_id"), F.lit("reflection").alias("memory_type"),
+        content.alias("content"), F.lit(REFLECTION_IMPORTANCE).alias("importance"),
+        F.lit(True).alias("is_persistent"), _str_array(REFLECTION_TAGS).alias("tags"), meta.alias("meta_data"))
+    return enrich(rows, as_of)
+
+
+def remember_fact(req: DataFrame, as_of=None) -> DataFrame:
+    """PRJ13 (UD2): type fact when persistent else temporary, session current_session."""
+    rows = req.select(
+        "id", F.lit(CURRENT_SESSION).alias("session_id"),
+        F.when(F.col("is_persistent"), F.lit("fact")).otherwise(F.lit("temporary")).alias("memory_type"),
+        "content", F.coalesce(F.col("importance"), F.lit(DEFAULT_IMPORTANCE)).alias("importance"),
+        F.coalesce(F.col("tags"), F.array().cast("array<string>")).alias("tags"), "is_persistent")
+    return enrich(rows, as_of)
+
+
+def save_interaction(pairs: DataFrame, as_of=None) -> DataFrame:
+    """PRJ15: one turn pair -> a 'Human: ' row and an 'Assistant: ' row."""
+    both = F.array(
+        F.struct(F.lit(0).alias("k"), F.concat(F.lit("Human: "), F.col("user_text")).alias("content"),
+                 _str_array(USER_MESSAGE_TAGS).alias("tags")),
+        F.struct(F.lit(1).alias("k"), F.concat(F.lit("Assistant: "), F.col("assistant_text")).alias("content"),
+                 _str_array(AI_RESPONSE_TAGS).alias("tags")),
+    )
+    rows = pairs.select("session_id", "pair_id", F.explode(both).alias("m")).select(
+        F.concat_ws("_", F.col("pair_id"), F.col("m.k").cast("string")).alias("id"),
+        "session_id", F.lit("conversation").alias("memory_type"), F.col("m.content").alias("content"),
+        F.lit(INTERACTION_IMPORTANCE).alias("importance"), F.lit(False).alias("is_persistent"),
+        F.col("m.tags").alias("tags"))
+    return enrich(rows, as_of)
+
+
+def memory_neighbors(memories: DataFrame, edges: DataFrame) -> DataFrame:
+    """JN5: related memories of each memory, outgoing and incoming, with edge data."""
+    m = memories.select("id", "memory_type")
+    e = edges.select("source_id", "target_id", "relationship_type", "strength")
+    valid = e.join(m.select(F.col("id").alias("source_id")), "source_id", "left_semi") \
+             .join(m.select(F.col("id").alias("target_id")), "target_id", "left_semi")
+    out_ = valid.select(F.col("source_id").alias("memory_id"), F.col("target_id").alias("neighbor_id"),
+                        F.lit("outgoing").alias("direction"), "relationship_type", "strength")
+    in_ = valid.select(F.col("target_id").alias("memory_id"), F.col("source_id").alias("neighbor_id"),
+                       F.lit("incoming").alias("direction"), "relationship_type", "strength")
+    both = out_.unionByName(in_)
+    return both.join(m.select(F.col("id").alias("neighbor_id"), F.col("memory_type").alias("neighbor_type")),
+                     "neighbor_id", "inner")

@@ -41,7 +41,11 @@ def render(key: str) -> str:
     if not names:
         return ORACLE[key].strip()
     ctes = ",\n".join(f"{n} AS (\n{INPUTS[n].strip()}\n)" for n in names)
-    return f"WITH {ctes}\n{ORACLE[key].strip()}"
+    body = ORACLE[key].strip()
+    if body[:5].upper() == "WITH ":
+        # the body's own CTEs continue the input CTE list
+        return f"WITH {ctes},\n{body[5:]}"
+    return f"WITH {ctes}\n{body}"
 
 
 def all_sql() -> dict[str, str]:
@@ -164,3 +168,149 @@ SELECT agent_id, memory_type, COUNT(*) AS count,
        MAX(last_accessed) AS last_accessed
 FROM memories GROUP BY agent_id, memory_type
 ORDER BY agent_id, count DESC""")
+
+_PERSIST = "('fact','knowledge','reflection','goal','learned_skill','user_preference')"
+
+
+def _expiry(mt: str, persist: str, now: str) -> str:
+    return (f"CASE WHEN {persist} THEN NULL WHEN {mt} = 'scratch' THEN {now} + INTERVAL 1 HOUR "
+            f"WHEN {mt} = 'conversation' THEN {now} + INTERVAL 7 DAY WHEN {mt} = 'plan' THEN {now} + INTERVAL 3 DAY "
+            f"ELSE {now} + INTERVAL 30 DAY END")
+
+
+def _summary(content: str) -> str:
+    return f"CASE WHEN length({content}) > 100 THEN substr({content}, 1, 97) || '...' ELSE {content} END"
+
+
+oracle("memory_enrich", ("memory_requests",), f"""
+SELECT id, session_id, 'default_agent' AS agent_id, memory_type, {_summary('content')} AS summary,
+       CAST(0.5 AS DOUBLE) AS importance, CAST(1.0 AS DOUBLE) AS confidence, CAST(0 AS INTEGER) AS access_count,
+       {AS_OF} AS created_at, memory_type IN {_PERSIST} AS is_persistent,
+       {_expiry('memory_type', 'memory_type IN ' + _PERSIST, AS_OF)} AS expires_at,
+       false AS is_summarized, CAST(0 AS INTEGER) AS n_tags, CAST(length(content) AS BIGINT) AS content_chars
+FROM memory_requests
+WHERE coalesce(session_id, '') <> '' AND coalesce(memory_type, '') <> '' AND coalesce(content, '') <> ''""")
+
+oracle("memory_validate", ("memory_requests",), """
+SELECT id, (coalesce(session_id, '') <> '' AND coalesce(memory_type, '') <> '' AND coalesce(content, '') <> '') AS is_valid
+FROM memory_requests""")
+
+_EXPIRED = f"(NOT is_persistent AND expires_at IS NOT NULL AND expires_at < {AS_OF})"
+_LOW_VALUE = (f"(NOT is_persistent AND access_count = 0 AND created_at < {AS_OF} - INTERVAL 1 DAY "
+              f"AND importance * confidence < CAST(0.3 AS DOUBLE))")
+
+oracle("expired_memories", ("memories",), f"""
+SELECT id, agent_id, memory_type, expires_at FROM memories WHERE {_EXPIRED}""")
+
+oracle("low_value_memories", ("memories",), f"""
+SELECT id, agent_id, importance, confidence FROM memories WHERE {_LOW_VALUE}""")
+
+oracle("cleanup_expired", ("memories",), f"""
+SELECT agent_id,
+       COUNT(*) FILTER (WHERE expires_at IS NOT NULL AND expires_at < {AS_OF} AND is_persistent = false) AS deleted_count,
+       COUNT(*) FILTER (WHERE NOT coalesce(expires_at IS NOT NULL AND expires_at < {AS_OF} AND is_persistent = false, false)) AS remaining_count
+FROM memories GROUP BY agent_id""")
+
+oracle("memory_statistics", ("memories",), """
+SELECT agent_id, COUNT(*) AS total_memories,
+       COUNT(*) FILTER (WHERE is_persistent) AS persistent_count,
+       COUNT(*) FILTER (WHERE NOT is_persistent) AS temporary_count,
+       ROUND(coalesce(AVG(importance), 0), 6) AS avg_importance,
+       ROUND(coalesce(AVG(confidence), 0), 6) AS avg_confidence,
+       CAST(coalesce(SUM(access_count), 0) AS BIGINT) AS total_accesses
+FROM memories GROUP BY agent_id""")
+
+oracle("memory_lifecycle", ("memories",), f"""
+SELECT agent_id, CAST(created_at AS DATE) AS date, COUNT(*) AS created,
+       COUNT(*) FILTER (WHERE is_persistent) AS persistent_created,
+       COUNT(*) FILTER (WHERE expires_at < {AS_OF}) AS expired,
+       COUNT(*) FILTER (WHERE is_summarized) AS summarized
+FROM memories GROUP BY agent_id, CAST(created_at AS DATE) ORDER BY agent_id, date DESC""")
+
+oracle("agent_activity", ("memories", "reflections", "tasks"), """
+SELECT a.agent_id, COUNT(DISTINCT a.session_id) AS unique_sessions, COUNT(a.id) AS total_memories,
+       COUNT(r.id) AS total_reflections, COUNT(t.id) AS total_tasks, MAX(a.created_at) AS last_activity
+FROM memories a LEFT JOIN reflections r ON a.agent_id = r.agent_id
+LEFT JOIN tasks t ON a.agent_id = t.agent_id
+GROUP BY a.agent_id""")
+
+oracle("forget_count", ("memories",), f"""
+SELECT agent_id, COUNT(*) FILTER (WHERE coalesce({_EXPIRED} OR {_LOW_VALUE}, false)) AS forgotten
+FROM memories GROUP BY agent_id""")
+
+oracle("vector_count", ("memory_vectors",), """
+SELECT agent_id, COUNT(*) AS vector_count FROM memory_vectors GROUP BY agent_id""")
+
+oracle("scoped_candidates", ("memories",), """
+SELECT id, session_id, memory_type FROM memories
+WHERE agent_id = 'agent_1' AND memory_type IN ('conversation', 'fact')""")
+
+oracle("delete_memory", ("memories", "deleted_ids"), """
+SELECT m.id, m.agent_id FROM memories m
+WHERE NOT EXISTS (SELECT 1 FROM deleted_ids x WHERE x.id = m.id AND x.agent_id = m.agent_id)""")
+
+oracle("cascade_delete", ("memories", "deleted_ids", "relationships"), """
+WITH gone AS (SELECT m.id FROM memories m JOIN deleted_ids x ON x.id = m.id AND x.agent_id = m.agent_id)
+SELECT id, source_id, target_id FROM relationships
+WHERE source_id NOT IN (SELECT id FROM gone) AND target_id NOT IN (SELECT id FROM gone)""")
+
+oracle("memory_neighbors", ("memories", "relationships"), """
+WITH valid AS (
+  SELECT r.* FROM relationships r
+  WHERE r.source_id IN (SELECT id FROM memories) AND r.target_id IN (SELECT id FROM memories)),
+both_dirs AS (
+  SELECT source_id AS memory_id, target_id AS neighbor_id, 'outgoing' AS direction, relationship_type, strength FROM valid
+  UNION ALL
+  SELECT target_id, source_id, 'incoming', relationship_type, strength FROM valid)
+SELECT b.neighbor_id, b.memory_id, b.direction, b.relationship_type, b.strength, m.memory_type AS neighbor_type
+FROM both_dirs b JOIN memories m ON m.id = b.neighbor_id""")
+
+oracle("mark_summarized", ("memories", "deleted_ids"), """
+SELECT id, CASE WHEN id IN (SELECT id FROM deleted_ids) THEN true ELSE is_summarized END AS is_summarized
+FROM memories""")
+
+oracle("access_update", ("memories", "relationships"), f"""
+WITH n AS (SELECT target_id AS id, COUNT(*) AS n FROM relationships GROUP BY target_id)
+SELECT m.id, CAST(m.access_count + coalesce(n.n, 0) AS INTEGER) AS access_count,
+       CASE WHEN n.n IS NOT NULL THEN {AS_OF} ELSE m.last_accessed END AS last_accessed
+FROM memories m LEFT JOIN n ON n.id = m.id""")
+
+oracle("reflection_content", ("reflection_requests",), f"""
+WITH c AS (
+  SELECT id, 'Reflection on ' || topic
+         || CASE WHEN len(insights) > 0 THEN chr(10) || 'Insights: ' || array_to_string(insights, ', ') ELSE '' END
+         || CASE WHEN len(action_items) > 0 THEN chr(10) || 'Actions: ' || array_to_string(action_items, ', ') ELSE '' END
+         AS content
+  FROM reflection_requests)
+SELECT id, 'current_session' AS session_id, 'reflection' AS memory_type, content, {_summary('content')} AS summary,
+       CAST(0.8 AS DOUBLE) AS importance, true AS is_persistent, CAST(NULL AS TIMESTAMP) AS expires_at,
+       CAST(2 AS INTEGER) AS n_tags
+FROM c WHERE coalesce(content, '') <> ''""")
+
+oracle("remember_fact", ("memory_requests",), f"""
+WITH r AS (SELECT id, content, CAST(id AS BIGINT) % 2 = 0 AS is_persistent FROM memory_requests),
+t AS (SELECT *, CASE WHEN is_persistent THEN 'fact' ELSE 'temporary' END AS memory_type FROM r)
+SELECT id, 'current_session' AS session_id, memory_type, {_summary('content')} AS summary,
+       CAST(0.5 AS DOUBLE) AS importance, is_persistent,
+       {_expiry('memory_type', 'is_persistent', AS_OF)} AS expires_at
+FROM t WHERE coalesce(content, '') <> ''""")
+
+oracle("save_interaction", ("turn_pairs",), f"""
+WITH p AS (SELECT 'conv_' || CAST(conv_id AS VARCHAR) AS session_id,
+                  CAST(conv_id AS VARCHAR) || '_' || CAST(turn AS VARCHAR) AS pair_id, user_text, assistant_text
+           FROM turn_pairs),
+r AS (SELECT pair_id || '_0' AS id, session_id, 'Human: ' || user_text AS content, 'conversation,user_message' AS tags FROM p
+      UNION ALL
+      SELECT pair_id || '_1', session_id, 'Assistant: ' || assistant_text, 'conversation,ai_response' FROM p)
+SELECT id, session_id, 'conversation' AS memory_type, content, {_summary('content')} AS summary,
+       CAST(0.5 AS DOUBLE) AS importance, false AS is_persistent, {AS_OF} + INTERVAL 7 DAY AS expires_at, tags
+FROM r WHERE coalesce(content, '') <> '' AND session_id <> ''""")
+
+oracle("forgetting_policy", ("memories", "relationships", "memory_vectors"), f"""
+WITH gone AS (SELECT id FROM memories WHERE coalesce({_EXPIRED} OR {_LOW_VALUE}, false))
+SELECT 'memories' AS table_name, id FROM memories WHERE id NOT IN (SELECT id FROM gone)
+UNION ALL
+SELECT 'relationships', id FROM relationships
+WHERE source_id NOT IN (SELECT id FROM gone) AND target_id NOT IN (SELECT id FROM gone)
+UNION ALL
+SELECT 'vectors', id FROM memory_vectors WHERE id NOT IN (SELECT id FROM gone)""")
