@@ -314,3 +314,37 @@ SELECT 'relationships', id FROM relationships
 WHERE source_id NOT IN (SELECT id FROM gone) AND target_id NOT IN (SELECT id FROM gone)
 UNION ALL
 SELECT 'vectors', id FROM memory_vectors WHERE id NOT IN (SELECT id FROM gone)""")
+
+_KNN = """
+scored AS (
+  SELECT q.query_id, v.id, list_cosine_similarity(q.vector, v.vector) AS similarity
+  FROM query_vectors q JOIN memory_vectors v ON v.agent_id = q.agent_id),
+top2k AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rn
+                 FROM scored) WHERE rn <= {k})"""
+
+_SEARCH = "WITH " + _KNN.format(k=10).strip() + """,
+hits AS (
+  SELECT t.query_id, t.id, t.similarity, m.content, m.memory_type, m.importance, m.confidence,
+         m.access_count + 1 AS access_count, t.similarity * m.importance * m.confidence AS combined_score
+  FROM top2k t JOIN memories m ON m.id = t.id WHERE t.similarity >= 0.3),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY combined_score DESC, similarity DESC, id) AS rank
+  FROM hits),
+res AS (SELECT * FROM ranked WHERE rank <= 5)
+"""
+
+oracle("semantic_search", ("memories", "memory_vectors", "query_vectors"), _SEARCH + """
+SELECT query_id, rank, id, ROUND(similarity, 6) AS similarity, ROUND(combined_score, 6) AS combined_score,
+       memory_type, importance, confidence, CAST(access_count AS INTEGER) AS access_count
+FROM res""")
+
+oracle("recall_format", ("memories", "memory_vectors", "query_vectors"), _SEARCH + """
+SELECT query_id,
+       string_agg(printf('[%s] %s... (Score: %.3f, Importance: %.2f)', upper(memory_type), substr(content, 1, 150),
+                         similarity, importance), chr(10) || chr(10) ORDER BY rank) AS text,
+       CAST(COUNT(*) AS INTEGER) AS n_hits
+FROM res GROUP BY query_id""")
+
+oracle("cosine_similarity", ("memory_vectors", "query_vectors"), "WITH " + _KNN.format(k=10).strip() + """
+SELECT query_id, id, ROUND(similarity, 6) AS similarity FROM top2k""")

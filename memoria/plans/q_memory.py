@@ -164,3 +164,37 @@ def q_forgetting_policy(spark, sf_dir):
     return m.select(F.lit("memories").alias("table_name"), "id") \
         .unionByName(e.select(F.lit("relationships").alias("table_name"), "id")) \
         .unionByName(v.select(F.lit("vectors").alias("table_name"), "id"))
+
+
+# fixed parameters of the recall tool
+RECALL_LIMIT, RECALL_MIN_SCORE = 5, 0.3
+
+
+def _search(spark, sf_dir):
+    from ..operators.search import semantic_search
+    t = _t(spark, sf_dir)
+    return semantic_search(d.memories(t), d.memory_vectors(t), d.query_vectors(t),
+                           limit=RECALL_LIMIT, min_score=RECALL_MIN_SCORE)
+
+
+@query("semantic_search")
+def q_semantic_search(spark, sf_dir):
+    r = _search(spark, sf_dir)
+    return r.select("query_id", "rank", "id", _r6(F.col("similarity")).alias("similarity"),
+                    _r6(F.col("combined_score")).alias("combined_score"), "memory_type", "importance",
+                    "confidence", "access_count")
+
+
+@query("recall_format")
+def q_recall_format(spark, sf_dir):
+    from ..operators.search import recall_format
+    return recall_format(_search(spark, sf_dir))
+
+
+@query("cosine_similarity")
+def q_cosine(spark, sf_dir):
+    """SC22 through the kNN operator: nearest 10 vectors of every query, in scope."""
+    from ..operators.search import knn
+    t = _t(spark, sf_dir)
+    r = knn(d.memory_vectors(t), d.query_vectors(t), 10)
+    return r.select("query_id", "id", _r6(F.col("similarity")).alias("similarity"))
