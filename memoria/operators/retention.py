@@ -73,3 +73,42 @@ def forgetting_policy(memories: DataFrame, edges: DataFrame, vectors: DataFrame,
     kept_e = kept_e.join(gone, kept_e["target_id"] == gone["_gone"], "left_anti")
     kept_v = vectors.join(gone, vectors["id"] == gone["_gone"], "left_anti")
     return kept_m, kept_e, kept_v
+
+
+def forget_ranking(experiences: DataFrame, max_memories: int = 1000, as_of=None,
+                   thread: str = "thread_id") -> DataFrame:
+    """SRT1 + WN3: per thread, the rows the quota forgets.
+
+    quota = max(0, rows_of_thread - max_memories); CRITICAL rows count toward
+    the total but are never ranked; the highest forget scores go first, ties
+    in input order (``seq``). Ranks are exact and skew-safe
+    (:func:`memoria.operators.ranking.group_row_number`).
+    """
+    from .ranking import group_row_number
+    totals = experiences.groupBy(thread).agg(F.count(F.lit(1)).alias("_total"))
+    cand = experiences.where(F.col("importance") != CRITICAL).withColumn("forget_score", forget_score(as_of))
+    ranked = group_row_number(cand, [thread], [F.desc("forget_score"), F.asc("seq")], out="forget_rank")
+    quota = F.greatest(F.lit(0), F.col("_total") - F.lit(max_memories))
+    return ranked.join(totals, thread, "inner").where(F.col("forget_rank") <= quota) \
+        .withColumn("quota", quota).drop("_total")
+
+
+def forget_top_n(experiences: DataFrame, n: int, as_of=None) -> DataFrame:
+    """SRT1 with one global quota ``n`` over all rows (top-n of a global sort)."""
+    cand = experiences.where(F.col("importance") != CRITICAL).withColumn("forget_score", forget_score(as_of))
+    return cand.orderBy(F.desc("forget_score"), F.asc("seq")).limit(n)
+
+
+def search_filter(experiences: DataFrame, memory_type: str | None = None,
+                  min_importance: int | None = None, as_of=None) -> DataFrame:
+    """FLT6 + JN7 of the experience store: post-search filters, then access +1.
+
+    Missing importance counts as LOW; the comparison is inclusive.
+    """
+    out = experiences
+    if memory_type:
+        out = out.where(F.col("memory_type") == memory_type)
+    if min_importance:
+        out = out.where(F.coalesce(F.col("importance"), F.lit(LOW)) >= min_importance)
+    return out.withColumn("access_count", F.col("access_count") + 1) \
+              .withColumn("last_accessed", as_of_lit(as_of))

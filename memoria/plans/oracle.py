@@ -348,3 +348,156 @@ FROM res GROUP BY query_id""")
 
 oracle("cosine_similarity", ("memory_vectors", "query_vectors"), "WITH " + _KNN.format(k=10).strip() + """
 SELECT query_id, id, ROUND(similarity, 6) AS similarity FROM top2k""")
+
+# ------------------------------------------------------------ experience store
+def _days(later: str, earlier: str) -> str:
+    return f"CAST(floor((epoch_us({later}) - epoch_us({earlier})) / 86400000000) AS BIGINT)"
+
+
+_input("ex_scored", f"""
+SELECT e.*, {_days(AS_OF, 'created_at')} AS age_days, {_days(AS_OF, 'last_accessed')} AS recency_days
+FROM experiences e""", ("experiences",))
+
+_input("ex_score", """
+SELECT s.*,
+       CAST(age_days AS DOUBLE) * CAST(0.1 AS DOUBLE) + CAST(recency_days AS DOUBLE) * CAST(0.2 AS DOUBLE)
+       + CAST(CASE importance WHEN 1 THEN 0 WHEN 2 THEN -10 WHEN 3 THEN -25 WHEN 4 THEN -1000 ELSE 0 END AS DOUBLE)
+       - CAST(access_count * 2 AS DOUBLE)
+       + CAST(CASE memory_type WHEN 'error' THEN 5 WHEN 'preference' THEN -10 ELSE 0 END AS DOUBLE) AS forget_score
+FROM ex_scored s""", ("ex_scored",))
+
+_input("ex_forgotten", """
+SELECT * FROM (
+  SELECT s.*, row_number() OVER (PARTITION BY thread_id ORDER BY forget_score DESC, seq) AS forget_rank,
+         greatest(0, t.total - 50) AS quota
+  FROM ex_score s JOIN (SELECT thread_id, COUNT(*) AS total FROM experiences GROUP BY thread_id) t USING (thread_id)
+  WHERE importance <> 4) x
+WHERE forget_rank <= quota""", ("ex_score",))
+
+_input("ex_remaining", """
+SELECT s.* FROM ex_scored s
+WHERE NOT EXISTS (SELECT 1 FROM ex_forgotten f WHERE f.thread_id = s.thread_id AND f.seq = s.seq)""",
+       ("ex_scored", "ex_forgotten"))
+
+_input("ex_gate", """
+SELECT thread_id, COUNT(*) FILTER (WHERE age_days > 14) AS old_count,
+       COUNT(*) FILTER (WHERE age_days > 14 AND importance <> 4) AS summarizable_count,
+       COUNT(*) FILTER (WHERE age_days > 14) > 10 AS should_summarize,
+       COUNT(*) FILTER (WHERE age_days > 14) > 10
+         AND COUNT(*) FILTER (WHERE age_days > 14 AND importance <> 4) > 5 AS will_summarize
+FROM ex_remaining GROUP BY thread_id""", ("ex_remaining",))
+
+_input("ex_summarizable", """
+SELECT r.* FROM ex_remaining r JOIN ex_gate g USING (thread_id)
+WHERE g.will_summarize AND r.age_days > 14 AND r.importance <> 4""", ("ex_remaining", "ex_gate"))
+
+_input("ex_summary", """
+SELECT thread_id,
+       string_agg(part, chr(10) ORDER BY group_order) AS summary_content,
+       SUM(cnt) AS original_memory_count,
+       string_agg(memory_type, ',' ORDER BY group_order) AS memory_types_included
+FROM (
+  SELECT g.thread_id, g.memory_type, g.cnt, g.group_order,
+         chr(10) || upper(substr(g.memory_type, 1, 1)) || substr(g.memory_type, 2) || ' Memories ('
+         || CAST(g.cnt AS VARCHAR) || '):'
+         || CASE g.memory_type
+              WHEN 'preference' THEN chr(10) || 'Key preferences: ' ||
+                   (SELECT string_agg(observation, ', ' ORDER BY seq) FROM (
+                      SELECT observation, seq FROM ex_summarizable s
+                      WHERE s.thread_id = g.thread_id AND s.memory_type = 'preference' ORDER BY seq LIMIT 5))
+              WHEN 'interaction' THEN chr(10) || 'Recent interactions focused on: ' ||
+                   (SELECT string_agg(action, ', ' ORDER BY created_at DESC, seq) FROM (
+                      SELECT action, created_at, seq FROM ex_summarizable s
+                      WHERE s.thread_id = g.thread_id AND s.memory_type = 'interaction'
+                      ORDER BY created_at DESC, seq LIMIT 3))
+              WHEN 'skill' THEN chr(10) || 'Demonstrated skills: ' ||
+                   (SELECT string_agg(observation, ', ' ORDER BY seq) FROM ex_summarizable s
+                    WHERE s.thread_id = g.thread_id AND s.memory_type = 'skill')
+              ELSE '' END AS part
+  FROM (SELECT thread_id, memory_type, COUNT(*) AS cnt,
+               row_number() OVER (PARTITION BY thread_id ORDER BY MIN(seq)) AS group_order
+        FROM ex_summarizable GROUP BY thread_id, memory_type) g) p
+GROUP BY thread_id""", ("ex_summarizable",))
+
+oracle("forget_predicate", ("ex_scored",), """
+SELECT thread_id, seq, age_days, recency_days,
+       CASE WHEN importance = 4 THEN false
+            WHEN age_days > CASE importance WHEN 1 THEN 7 WHEN 2 THEN 30 WHEN 3 THEN 90 WHEN 4 THEN 365 ELSE 30 END THEN true
+            WHEN recency_days > 30 AND access_count < 3 THEN true
+            WHEN memory_type = 'error' AND age_days > 7 THEN true
+            ELSE false END AS should_forget
+FROM ex_scored""")
+
+oracle("forget_score", ("ex_score",), """
+SELECT thread_id, seq, ROUND(forget_score, 6) AS forget_score FROM ex_score""")
+
+oracle("forget_ranking", ("ex_forgotten",), """
+SELECT thread_id, seq, forget_rank, ROUND(forget_score, 6) AS forget_score, quota FROM ex_forgotten""")
+
+oracle("old_memories", ("ex_scored",), """
+SELECT thread_id, seq, age_days FROM ex_scored WHERE age_days > 14 AND importance <> 4""")
+
+oracle("memory_search_filter", ("experiences",), f"""
+SELECT thread_id, seq, importance, CAST(access_count + 1 AS INTEGER) AS access_count, {AS_OF} AS last_accessed
+FROM experiences WHERE memory_type = 'skill' AND coalesce(importance, 1) >= 3""")
+
+oracle("memory_groups", ("experiences",), """
+SELECT thread_id, memory_type, COUNT(*) AS count, MIN(seq) AS first_seq,
+       row_number() OVER (PARTITION BY thread_id ORDER BY MIN(seq)) AS group_order
+FROM experiences GROUP BY thread_id, memory_type""")
+
+oracle("summary_gate", ("ex_gate",), "SELECT * FROM ex_gate")
+
+oracle("recent_interactions", ("experiences",), """
+SELECT thread_id, pos, action FROM (
+  SELECT thread_id, action, row_number() OVER (PARTITION BY thread_id ORDER BY created_at DESC, seq) AS pos
+  FROM experiences WHERE memory_type = 'interaction') WHERE pos <= 3""")
+
+oracle("key_preferences", ("experiences",), """
+SELECT thread_id, pos, observation FROM (
+  SELECT thread_id, observation, row_number() OVER (PARTITION BY thread_id ORDER BY seq) AS pos
+  FROM experiences WHERE memory_type = 'preference') WHERE pos <= 5""")
+
+oracle("memory_summary_text", ("ex_summary",), """
+SELECT thread_id, summary_content, CAST(original_memory_count AS BIGINT) AS original_memory_count,
+       memory_types_included FROM ex_summary""")
+
+oracle("maintenance", ("ex_remaining", "ex_summarizable", "ex_summary"), """
+SELECT thread_id, seq, memory_type, importance, observation, CAST(NULL AS VARCHAR) AS summary_content
+FROM ex_remaining r
+WHERE NOT EXISTS (SELECT 1 FROM ex_summarizable s WHERE s.thread_id = r.thread_id AND s.seq = r.seq)
+UNION ALL
+SELECT thread_id, CAST(NULL AS BIGINT), 'fact', 3, 'Summary of ' || CAST(original_memory_count AS VARCHAR) || ' memories',
+       summary_content
+FROM ex_summary""")
+
+_input("conv_candidates", f"""
+SELECT * FROM (
+  SELECT agent_id, session_id, COUNT(*) AS message_count, MIN(created_at) AS first_created,
+         row_number() OVER (PARTITION BY agent_id ORDER BY MIN(created_at), session_id) AS session_rank
+  FROM memories
+  WHERE memory_type = 'conversation' AND NOT is_summarized AND created_at < {AS_OF} - INTERVAL 3 DAY
+  GROUP BY agent_id, session_id HAVING COUNT(*) >= 10) WHERE session_rank <= 5""", ("memories",))
+
+_input("conv_first50", f"""
+SELECT * FROM (
+  SELECT m.agent_id, m.session_id, m.id, m.content,
+         row_number() OVER (PARTITION BY m.agent_id, m.session_id ORDER BY m.created_at, m.seq) AS pos
+  FROM memories m JOIN conv_candidates c USING (agent_id, session_id)
+  WHERE m.memory_type = 'conversation' AND NOT m.is_summarized AND m.created_at < {AS_OF} - INTERVAL 3 DAY)
+WHERE pos <= 50""", ("memories", "conv_candidates"))
+
+oracle("summarize_candidates", ("conv_candidates", "conv_first50"), """
+SELECT c.agent_id, c.session_id, c.message_count, c.first_created,
+       string_agg(f.id, ',' ORDER BY f.pos) AS memory_ids, CAST(COUNT(*) AS INTEGER) AS n_contents
+FROM conv_candidates c JOIN conv_first50 f USING (agent_id, session_id)
+GROUP BY c.agent_id, c.session_id, c.message_count, c.first_created""")
+
+oracle("summarize_conversations", ("memories", "conv_candidates", "conv_first50"), """
+SELECT c.agent_id, c.session_id, 'summary' AS kind, c.message_count AS n,
+       CAST(length(string_agg(f.content, chr(10) ORDER BY f.pos)) AS BIGINT) AS chars
+FROM conv_candidates c JOIN conv_first50 f USING (agent_id, session_id)
+GROUP BY c.agent_id, c.session_id, c.message_count
+UNION ALL
+SELECT agent_id, NULL, 'summarized', COUNT(*) FILTER (WHERE is_summarized OR id IN (SELECT id FROM conv_first50)), NULL
+FROM memories GROUP BY agent_id""")
