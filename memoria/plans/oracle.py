@@ -501,3 +501,34 @@ GROUP BY c.agent_id, c.session_id, c.message_count
 UNION ALL
 SELECT agent_id, NULL, 'summarized', COUNT(*) FILTER (WHERE is_summarized OR id IN (SELECT id FROM conv_first50)), NULL
 FROM memories GROUP BY agent_id""")
+
+# ------------------------------------------------------------ conversations
+_input("conv_joined", """
+SELECT conv_id, COUNT(*) AS message_count, CAST(SUM(length(text)) AS BIGINT) AS conversation_length,
+       string_agg(lower(text), ' ' ORDER BY turn) AS content_lower, arg_min(text, turn) AS first_text
+FROM classified_conversations GROUP BY conv_id""", ("classified_conversations",))
+
+_input("conv_class", """
+SELECT conv_id,
+       CASE WHEN content_lower LIKE '%remember%' OR content_lower LIKE '%important%' OR content_lower LIKE '%preference%'
+                 OR content_lower LIKE '%like%' OR content_lower LIKE '%dislike%' THEN 'preference'
+            WHEN content_lower LIKE '%error%' OR content_lower LIKE '%mistake%' OR content_lower LIKE '%wrong%'
+                 OR content_lower LIKE '%failed%' THEN 'error'
+            WHEN content_lower LIKE '%learn%' OR content_lower LIKE '%skill%' OR content_lower LIKE '%how to%'
+                 OR content_lower LIKE '%tutorial%' THEN 'skill'
+            ELSE 'interaction' END AS memory_type
+FROM conv_joined""", ("conv_joined",))
+
+oracle("conversation_classify", ("conv_class",), """
+SELECT conv_id, memory_type,
+       CAST(CASE memory_type WHEN 'preference' THEN 3 WHEN 'skill' THEN 3 ELSE 2 END AS INTEGER) AS importance
+FROM conv_class""")
+
+oracle("conversation_stats", ("conv_joined",), """
+SELECT conv_id, message_count, conversation_length, content_lower FROM conv_joined""")
+
+oracle("store_conversation", ("conv_joined", "conv_class"), """
+SELECT j.conv_id AS thread_id, 'Processed conversation about ' || substr(j.first_text, 1, 100) AS observation,
+       c.memory_type, CAST(CASE c.memory_type WHEN 'preference' THEN 3 WHEN 'skill' THEN 3 ELSE 2 END AS INTEGER) AS importance,
+       j.message_count, j.conversation_length, 'success' AS status
+FROM conv_joined j JOIN conv_class c USING (conv_id)""")
