@@ -532,3 +532,50 @@ SELECT j.conv_id AS thread_id, 'Processed conversation about ' || substr(j.first
        c.memory_type, CAST(CASE c.memory_type WHEN 'preference' THEN 3 WHEN 'skill' THEN 3 ELSE 2 END AS INTEGER) AS importance,
        j.message_count, j.conversation_length, 'success' AS status
 FROM conv_joined j JOIN conv_class c USING (conv_id)""")
+
+# ------------------------------------------------------------ documents
+_input("analysis_results", """
+SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE '2024-02-29-preview' END AS apiVersion,
+       (['prebuilt-layout', 'prebuilt-read', 'prebuilt-invoice'])[CAST(doc_id % 3 AS INTEGER) + 1] AS model_id,
+       text AS content, CAST(ceil(n_chars / 3000) AS INTEGER) AS n_pages, CAST(doc_id % 12 AS INTEGER) AS month,
+       lang, source, n_chars, CAST(doc_id % 100 AS DOUBLE) / 100 AS confidence
+FROM documents""")
+
+oracle("doc_preview", ("analysis_results",), """
+SELECT doc_id, replace(substr(content, 1, 400), chr(10), ' ') || CASE WHEN length(content) > 400 THEN '...' ELSE '' END AS preview
+FROM analysis_results""")
+
+oracle("doc_summary", ("analysis_results",), """
+SELECT doc_id, coalesce(apiVersion, 'unknown') AS api_version, greatest(n_pages, 0) AS n_pages, model_id
+FROM analysis_results""")
+
+oracle("doc_cost", ("analysis_results",), """
+WITH p AS (SELECT month, model_id, COUNT(*) AS docs, CAST(SUM(greatest(n_pages, 0)) AS BIGINT) AS pages
+           FROM analysis_results GROUP BY month, model_id)
+SELECT month, model_id, docs, pages,
+       ROUND(CASE model_id
+         WHEN 'prebuilt-read' THEN CAST(least(pages, 1000000) AS DOUBLE) * CAST(0.0015 AS DOUBLE)
+                                   + CAST(greatest(pages - 1000000, 0) AS DOUBLE) * CAST(0.0006 AS DOUBLE)
+         WHEN 'prebuilt-layout' THEN CAST(pages AS DOUBLE) * CAST(0.010 AS DOUBLE)
+         WHEN 'prebuilt-invoice' THEN CAST(pages AS DOUBLE) * CAST(0.010 AS DOUBLE) END, 6) AS cost
+FROM p""")
+
+oracle("doc_reprocess_cache", ("analysis_results",), """
+SELECT doc_id, sha256(coalesce(text, '')) AS content_hash FROM documents
+WHERE sha256(coalesce(text, '')) NOT IN (SELECT sha256(coalesce(content, '')) FROM analysis_results WHERE doc_id % 4 = 0)""")
+
+oracle("invoice_fields", ("analysis_results",), """
+SELECT doc_id, 'lang' AS field_name, lang AS content, confidence FROM analysis_results WHERE model_id = 'prebuilt-invoice'
+UNION ALL
+SELECT doc_id, 'source', source, confidence FROM analysis_results WHERE model_id = 'prebuilt-invoice'
+UNION ALL
+SELECT doc_id, 'n_chars', CAST(n_chars AS VARCHAR), confidence FROM analysis_results WHERE model_id = 'prebuilt-invoice'""")
+
+oracle("jsonb_compat", ("analysis_results",), """
+SELECT doc_id,
+       CAST(to_json(CASE WHEN n_pages > 0 THEN list_transform(range(1, n_pages + 1), lambda x: {'pageNumber': CAST(x AS INTEGER)})
+                         ELSE [] END) AS VARCHAR) AS pages,
+       CAST(to_json([{'fields': MAP {'lang': {'content': lang, 'confidence': confidence},
+                                     'source': {'content': source, 'confidence': confidence},
+                                     'n_chars': {'content': CAST(n_chars AS VARCHAR), 'confidence': confidence}}}]) AS VARCHAR) AS documents
+FROM analysis_results""")

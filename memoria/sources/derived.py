@@ -198,3 +198,32 @@ def reflection_requests(t: Tables) -> DataFrame:
         F.slice(insights, 1, (did % 4).cast("int")).alias("insights"),
         F.slice(actions, 1, (did % 3).cast("int")).alias("action_items"),
     )
+
+
+# ------------------------------------------------------------ documents
+DOC_MODELS = ("prebuilt-layout", "prebuilt-read", "prebuilt-invoice")
+API_VERSION = "2024-02-29-preview"
+CHARS_PER_PAGE = 3000
+
+
+def analysis_results(t: Tables) -> DataFrame:
+    d = t.documents
+    did = F.col("doc_id")
+    n_pages = F.ceil(F.col("n_chars") / F.lit(CHARS_PER_PAGE)).cast("int")
+    pages = F.when(n_pages > 0, F.transform(F.sequence(F.lit(1), n_pages), lambda x: F.struct(x.alias("pageNumber")))) \
+        .otherwise(F.array().cast("array<struct<pageNumber:int>>"))
+    conf = (did % 100).cast("double") / F.lit(100.0)
+
+    def field(v):
+        return F.struct(v.cast("string").alias("content"), conf.alias("confidence"))
+    fields = F.create_map(F.lit("lang"), field(F.col("lang")), F.lit("source"), field(F.col("source")),
+                          F.lit("n_chars"), field(F.col("n_chars")))
+    return d.select(
+        did.alias("doc_id"),
+        F.when(did % 5 == 0, F.lit(None).cast("string")).otherwise(F.lit(API_VERSION)).alias("apiVersion"),
+        F.element_at(F.array(*[F.lit(m) for m in DOC_MODELS]), (did % 3 + 1).cast("int")).alias("model_id"),
+        F.col("text").alias("content"),
+        pages.alias("pages"),
+        F.array(F.struct(fields.alias("fields"))).alias("documents"),
+        (did % 12).cast("int").alias("month"),
+    )
