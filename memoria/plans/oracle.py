@@ -42,6 +42,8 @@ def render(key: str) -> str:
         return ORACLE[key].strip()
     ctes = ",\n".join(f"{n} AS (\n{INPUTS[n].strip()}\n)" for n in names)
     body = ORACLE[key].strip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body[:5].upper() == "WITH ":
         # the body's own CTEs continue the input CTE list
         return f"WITH {ctes},\n{body[5:]}"
@@ -579,3 +581,271 @@ SELECT doc_id,
                                      'source': {'content': source, 'confidence': confidence},
                                      'n_chars': {'content': CAST(n_chars AS VARCHAR), 'confidence': confidence}}}]) AS VARCHAR) AS documents
 FROM analysis_results""")
+
+# ------------------------------------------------------------ endpoint migration
+_input("endpoints", """
+SELECT c_custkey AS seq, c_name AS name,
+       ([NULL, '', 'None', 'null', ' ', '{"x":1}'])[CAST(c_custkey % 6 AS INTEGER) + 1] AS ai_gateway,
+       '{"catalog_name":"main","schema_name":"' || lower(c_mktsegment) || '","table_name_prefix":'
+         || CASE WHEN c_custkey % 11 = 0 THEN 'null' ELSE '"t' || CAST(c_custkey AS VARCHAR) || '"' END
+         || CASE c_custkey % 4 WHEN 0 THEN ',"enabled":false' WHEN 1 THEN ',"enabled":null' ELSE '' END || '}'
+         AS auto_capture_config,
+       CASE WHEN c_custkey % 9 = 0 THEN '[]' ELSE
+         '[{"entity_name":"model_' || CAST(c_custkey AS VARCHAR) || '","entity_version":"' || CAST(c_nationkey AS VARCHAR)
+         || '","environment_vars":{"SEGMENT":"' || lower(c_mktsegment)
+         || '","DEBUG":null},"workload_size":"Small","scale_to_zero_enabled":true}]' END AS served_entities,
+       CASE WHEN c_custkey % 2 = 0 THEN c_name END AS description,
+       CASE WHEN c_custkey % 3 = 0 THEN true END AS route_optimized,
+       '[{"key":"segment","value":"' || lower(c_mktsegment) || '"}]' AS tags,
+       c_custkey % 13 <> 0 AS exists_in_workspace, c_custkey % 7 <> 0 AS table_exists,
+       CASE WHEN c_custkey % 17 = 0 THEN 400 ELSE 200 END AS create_status
+FROM customer""")
+
+_input("requested_endpoints", """
+SELECT c_custkey * 2 AS request_seq, c_name AS endpoint_name FROM customer
+UNION ALL
+SELECT c_custkey * 2 + 1, 'ghost_' || CAST(c_custkey AS VARCHAR) FROM customer WHERE c_custkey % 10 = 0""")
+
+_input("ep_rules", """
+SELECT e.*,
+       (ai_gateway IS NULL OR trim(ai_gateway) IN ('', 'None', 'null')) AS gateway_blank,
+       (auto_capture_config IS NULL OR trim(auto_capture_config) IN ('', 'None', 'null')) AS capture_blank,
+       json_extract_string(auto_capture_config, '$.catalog_name') AS cat,
+       json_extract_string(auto_capture_config, '$.schema_name') AS sch,
+       json_extract_string(auto_capture_config, '$.table_name_prefix') AS pre
+FROM endpoints e""", ("endpoints",))
+
+_input("ep_steps_wide", """
+SELECT r.request_seq, r.endpoint_name, e.seq IS NOT NULL AS config_found, e.seq,
+       e.gateway_blank AND e.exists_in_workspace AS del_ok,
+       CASE WHEN NOT e.gateway_blank THEN 'Skipped: AI Gateway already configured'
+            WHEN NOT e.exists_in_workspace THEN 'Endpoint not found' ELSE 'Endpoint deleted successfully' END AS del_msg,
+       CASE WHEN e.capture_blank OR coalesce(e.cat, '') = '' OR coalesce(e.sch, '') = '' OR coalesce(e.pre, '') = ''
+            THEN NULL ELSE e.cat || '.' || e.sch || '.' || e.pre || '_payload' END AS table_name,
+       NOT (e.capture_blank OR coalesce(e.cat, '') = '' OR coalesce(e.sch, '') = '' OR coalesce(e.pre, '') = '')
+         AND e.table_exists AS ren_ok,
+       CASE WHEN e.capture_blank THEN 'No inference table configuration found'
+            WHEN coalesce(e.cat, '') = '' OR coalesce(e.sch, '') = '' OR coalesce(e.pre, '') = ''
+              THEN 'Incomplete inference table configuration'
+            WHEN NOT e.table_exists THEN 'Table does not exist' ELSE 'Table renamed successfully' END AS ren_msg,
+       json_array_length(e.served_entities) > 0 AND e.create_status = 200 AS cr_ok,
+       CASE WHEN json_array_length(e.served_entities) = 0 THEN 'No served entities found'
+            WHEN e.create_status = 200 THEN 'Endpoint created successfully' ELSE 'HTTP 400: Bad request' END AS cr_msg
+FROM requested_endpoints r LEFT JOIN ep_rules e ON e.name = r.endpoint_name""", ("requested_endpoints", "ep_rules"))
+
+_input("ep_flat", """
+SELECT request_seq, endpoint_name,
+       CASE WHEN config_found THEN del_ok ELSE false END AS delete_success,
+       CASE WHEN config_found THEN del_msg ELSE 'Not processed' END AS delete_message,
+       CASE WHEN config_found AND del_ok THEN ren_ok ELSE false END AS rename_success,
+       CASE WHEN config_found AND del_ok THEN ren_msg ELSE 'Not processed' END AS rename_message,
+       CASE WHEN config_found AND del_ok THEN cr_ok ELSE false END AS create_success,
+       CASE WHEN config_found AND del_ok THEN cr_msg ELSE 'Not processed' END AS create_message,
+       CASE WHEN config_found AND del_ok AND cr_ok THEN 'SUCCESS' ELSE 'FAILED' END AS overall_status,
+       '01-02-2024 11:00' AS date, 'dev' AS env
+FROM ep_steps_wide""", ("ep_steps_wide",))
+
+oracle("blank_config", ("ep_rules",), """
+SELECT seq, name, gateway_blank, capture_blank FROM ep_rules""")
+
+oracle("endpoint_lookup", ("ep_steps_wide",), """
+SELECT request_seq, endpoint_name, config_found, seq FROM ep_steps_wide""")
+
+oracle("inference_table_name", ("ep_rules",), """
+SELECT seq,
+       CASE WHEN capture_blank OR coalesce(cat, '') = '' OR coalesce(sch, '') = '' OR coalesce(pre, '') = '' THEN NULL
+            ELSE cat || '.' || sch || '.' || pre || '_payload' END AS old_table,
+       CASE WHEN capture_blank OR coalesce(cat, '') = '' OR coalesce(sch, '') = '' OR coalesce(pre, '') = '' THEN NULL
+            ELSE cat || '.' || sch || '.' || pre || '_payload_legacy' END AS new_table,
+       CASE WHEN capture_blank THEN 'No inference table configuration found'
+            WHEN coalesce(cat, '') = '' OR coalesce(sch, '') = '' OR coalesce(pre, '') = ''
+              THEN 'Incomplete inference table configuration' END AS message
+FROM ep_rules""")
+
+oracle("endpoint_payload", ("ep_rules",), """
+WITH p AS (
+  SELECT seq, description, route_optimized, tags, served_entities,
+         json_extract(served_entities, '$[0].environment_vars') AS ev,
+         to_json({'name': name,
+                  'config': {'served_entities': [{
+                      'entity_name': json_extract_string(served_entities, '$[0].entity_name'),
+                      'entity_version': json_extract_string(served_entities, '$[0].entity_version'),
+                      'environment_vars': [ {'key': k, 'value': json_extract_string(json_extract(served_entities, '$[0].environment_vars'), '$."' || k || '"')}
+                                            for k in json_keys(json_extract(served_entities, '$[0].environment_vars'))
+                                            if json_extract_string(json_extract(served_entities, '$[0].environment_vars'), '$."' || k || '"') IS NOT NULL ],
+                      'min_provisioned_throughput': CAST(json_extract_string(served_entities, '$[0].min_provisioned_throughput') AS BIGINT),
+                      'max_provisioned_throughput': CAST(json_extract_string(served_entities, '$[0].max_provisioned_throughput') AS BIGINT),
+                      'scale_to_zero_enabled': CAST(json_extract_string(served_entities, '$[0].scale_to_zero_enabled') AS BOOLEAN),
+                      'workload_size': json_extract_string(served_entities, '$[0].workload_size'),
+                      'workload_type': json_extract_string(served_entities, '$[0].workload_type')}]},
+                  'ai_gateway': {'inference_table_config': {
+                      'catalog_name': cat, 'schema_name': sch, 'table_name_prefix': pre,
+                      'enabled': CASE WHEN json_extract(auto_capture_config, '$.enabled') IS NULL THEN true
+                                      ELSE CAST(json_extract_string(auto_capture_config, '$.enabled') AS BOOLEAN) END}}})::VARCHAR AS core
+  FROM ep_rules)
+SELECT seq,
+       CASE WHEN json_array_length(served_entities) = 0 THEN 'No served entities found' END AS reject_reason,
+       CASE WHEN json_array_length(served_entities) > 0 THEN
+         substr(core, 1, length(core) - 1)
+         || CASE WHEN trim(description) <> '' THEN ',"description":' || to_json(description)::VARCHAR ELSE '' END
+         || CASE WHEN route_optimized IS NOT NULL THEN ',"route_optimized":' || CAST(route_optimized AS VARCHAR) ELSE '' END
+         || CASE WHEN json_array_length(tags) > 0 THEN ',"tags":' || tags ELSE '' END
+         || '}' END AS payload
+FROM p""")
+
+oracle("migration_steps", ("ep_steps_wide",), """
+SELECT request_seq, endpoint_name, 1 AS step_no, 'delete' AS step, del_ok AS success, del_msg AS message,
+       CAST(NULL AS VARCHAR) AS table_name
+FROM ep_steps_wide WHERE config_found
+UNION ALL
+SELECT request_seq, endpoint_name, 2, 'rename', ren_ok, ren_msg, table_name FROM ep_steps_wide WHERE config_found AND del_ok
+UNION ALL
+SELECT request_seq, endpoint_name, 3, 'create', cr_ok, cr_msg, NULL FROM ep_steps_wide WHERE config_found AND del_ok""")
+
+oracle("migration_status", ("ep_flat",), "SELECT request_seq, endpoint_name, overall_status FROM ep_flat")
+oracle("migration_flatten", ("ep_flat",), "SELECT * FROM ep_flat")
+
+oracle("migration_report", ("ep_flat",), """
+SELECT COUNT(*) AS total_endpoints, COUNT(*) FILTER (WHERE overall_status = 'SUCCESS') AS successful_migrations,
+       COUNT(*) - COUNT(*) FILTER (WHERE overall_status = 'SUCCESS') AS failed_migrations
+FROM ep_flat""")
+
+oracle("migration_run", ("ep_flat",), """
+SELECT COUNT(*) AS total_endpoints, COUNT(*) FILTER (WHERE overall_status = 'SUCCESS') AS successful_migrations,
+       COUNT(*) - COUNT(*) FILTER (WHERE overall_status = 'SUCCESS') AS failed_migrations,
+       'dev' AS env, MAX(date) AS date
+FROM ep_flat""")
+
+# ------------------------------------------------------------ table migration
+_input("migration_configs", """
+SELECT s_suppkey AS config_id,
+       CASE WHEN s_suppkey % 5 = 1 THEN NULL ELSE 'main.legacy.ot_' || CAST(s_suppkey AS VARCHAR) END AS legacy_online_table,
+       CASE WHEN s_suppkey % 5 = 4 THEN '' ELSE 'store_' || CAST(s_suppkey AS VARCHAR) END AS online_store_name,
+       CASE WHEN s_suppkey % 5 = 2 THEN 'main.t_' || CAST(s_suppkey AS VARCHAR)
+            ELSE 'main.features.t_' || CAST(s_suppkey AS VARCHAR) END AS target_table,
+       CASE WHEN s_suppkey % 5 = 3 THEN 'CU_3' WHEN s_suppkey % 2 = 0 THEN NULL ELSE 'CU_4' END AS capacity
+FROM supplier""")
+
+oracle("migration_config_check", ("migration_configs",), """
+SELECT config_id, capacity, error, error IS NULL AS is_valid FROM (
+  SELECT config_id, coalesce(capacity, 'CU_2') AS capacity,
+         CASE WHEN coalesce(legacy_online_table, '') = '' THEN 'Missing required configuration field: legacy_online_table'
+              WHEN coalesce(online_store_name, '') = '' THEN 'Missing required configuration field: online_store_name'
+              WHEN coalesce(target_table, '') = '' THEN 'Missing required configuration field: target_table'
+              WHEN len(string_split(legacy_online_table, '.')) <> 3 THEN 'legacy_online_table must be in format: catalog.schema.table'
+              WHEN len(string_split(target_table, '.')) <> 3 THEN 'target_table must be in format: catalog.schema.table'
+              WHEN coalesce(capacity, 'CU_2') NOT IN ('CU_1', 'CU_2', 'CU_4', 'CU_8')
+                THEN 'Invalid capacity: ' || coalesce(capacity, 'CU_2') || '. Must be one of: [''CU_1'', ''CU_2'', ''CU_4'', ''CU_8'']'
+         END AS error
+  FROM migration_configs)""")
+
+_input("catalog_dependencies", """
+SELECT 'endpoint' AS kind, s_suppkey AS id, CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE s_name END AS name,
+       CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE 'READY' END AS state FROM supplier
+UNION ALL
+SELECT 'job', p_partkey, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_name END,
+       CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE 'ACTIVE' END FROM part""")
+
+_input("dep_inventory", """
+SELECT kind, id, name, coalesce(state, 'unknown') AS state FROM catalog_dependencies
+WHERE name IS NOT NULL AND name <> ''""", ("catalog_dependencies",))
+
+oracle("dependency_inventory", ("dep_inventory",), "SELECT * FROM dep_inventory")
+oracle("dependency_summary", ("dep_inventory",), "SELECT kind, COUNT(*) AS count FROM dep_inventory GROUP BY kind")
+oracle("dependency_report", ("dep_inventory",), """
+SELECT kind, id, name, greatest((SELECT COUNT(*) FROM dep_inventory WHERE kind = 'job') - 10, 0) AS more
+FROM dep_inventory WHERE kind = 'job' ORDER BY id LIMIT 10""")
+
+_input("orders_old", "SELECT * FROM orders WHERE o_orderkey % 19 <> 0")
+_input("orders_new", """
+SELECT * REPLACE (CASE WHEN o_orderkey % 13 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice)
+FROM orders WHERE o_orderkey % 17 <> 0""")
+_input("orders_merged", """
+SELECT * FROM orders_old WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders_new)
+UNION ALL SELECT * FROM orders_new""", ("orders_old", "orders_new"))
+
+oracle("row_count", ("orders_old", "orders_new"), """
+SELECT 'orders_old' AS table_name, COUNT(*) AS row_count, 6 AS column_count FROM orders_old
+UNION ALL SELECT 'orders_new', COUNT(*), 6 FROM orders_new""")
+
+oracle("row_drift", ("orders_old", "orders_new"), """
+SELECT (SELECT COUNT(*) FROM orders_old) AS rows_before, (SELECT COUNT(*) FROM orders_new) AS rows_after,
+       (SELECT COUNT(*) FROM orders_old) <> (SELECT COUNT(*) FROM orders_new) AS changed""")
+
+_ORDER_VALS = "o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority"
+oracle("change_feed", ("orders_old", "orders_new"), f"""
+SELECT o_orderkey, {_ORDER_VALS}, 'insert' AS _change_type FROM orders_new
+WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders_old)
+UNION ALL
+SELECT o_orderkey, {_ORDER_VALS}, 'delete' FROM orders_old WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders_new)
+UNION ALL
+SELECT o.o_orderkey, o.o_custkey, o.o_orderstatus, o.o_totalprice, o.o_orderdate, o.o_orderpriority, 'update_preimage'
+FROM orders_old o JOIN orders_new n ON o.o_orderkey = n.o_orderkey
+WHERE ROW(o.o_custkey, o.o_orderstatus, o.o_totalprice, o.o_orderdate, o.o_orderpriority)
+      IS DISTINCT FROM ROW(n.o_custkey, n.o_orderstatus, n.o_totalprice, n.o_orderdate, n.o_orderpriority)
+UNION ALL
+SELECT n.o_orderkey, n.o_custkey, n.o_orderstatus, n.o_totalprice, n.o_orderdate, n.o_orderpriority, 'update_postimage'
+FROM orders_old o JOIN orders_new n ON o.o_orderkey = n.o_orderkey
+WHERE ROW(o.o_custkey, o.o_orderstatus, o.o_totalprice, o.o_orderdate, o.o_orderpriority)
+      IS DISTINCT FROM ROW(n.o_custkey, n.o_orderstatus, n.o_totalprice, n.o_orderdate, n.o_orderpriority)""")
+
+oracle("publish_merge", ("orders_merged",), "SELECT * FROM orders_merged")
+
+oracle("legacy_vs_new", ("orders_old", "orders_new"), """
+SELECT coalesce(o.o_orderkey, n.o_orderkey) AS o_orderkey,
+       CASE WHEN n.o_orderkey IS NULL THEN 'missing' WHEN o.o_orderkey IS NULL THEN 'extra' ELSE 'changed' END AS status
+FROM orders_old o FULL OUTER JOIN orders_new n ON o.o_orderkey = n.o_orderkey
+WHERE n.o_orderkey IS NULL OR o.o_orderkey IS NULL
+   OR ROW(o.o_custkey, o.o_orderstatus, o.o_totalprice, o.o_orderdate, o.o_orderpriority)
+      IS DISTINCT FROM ROW(n.o_custkey, n.o_orderstatus, n.o_totalprice, n.o_orderdate, n.o_orderpriority)""")
+
+
+def _order_checksum(tbl: str) -> str:
+    canon = ("concat_ws('|', coalesce(CAST(o_orderkey AS VARCHAR), '\\N'), coalesce(CAST(o_custkey AS VARCHAR), '\\N'), "
+             "coalesce(o_orderstatus, '\\N'), coalesce(CAST(CAST(round(o_totalprice * 1e6) AS BIGINT) AS VARCHAR), '\\N'), "
+             "coalesce(strftime(o_orderdate, '%Y-%m-%d %H:%M:%S.%f'), '\\N'), coalesce(o_orderpriority, '\\N'))")
+    return (f"SELECT COUNT(*) AS row_count, CAST(SUM(CAST(('0x' || substr(md5({canon}), 1, 15)) AS BIGINT)) AS VARCHAR) "
+            f"AS checksum FROM {tbl}")
+
+
+oracle("table_checksum", ("orders_old", "orders_new"), f"""
+SELECT 'orders_old' AS table_name, * FROM ({_order_checksum('orders_old')})
+UNION ALL SELECT 'orders_new', * FROM ({_order_checksum('orders_new')})""")
+
+oracle("primary_key_check", (), """
+WITH l AS (SELECT l_orderkey, l_linenumber, COUNT(*) AS n FROM lineitem
+           WHERE l_orderkey IS NOT NULL AND l_linenumber IS NOT NULL GROUP BY 1, 2 HAVING COUNT(*) > 1),
+o AS (SELECT o_orderkey, COUNT(*) AS n FROM orders WHERE o_orderkey IS NOT NULL GROUP BY 1 HAVING COUNT(*) > 1)
+SELECT 'lineitem' AS table_name,
+       (SELECT COUNT(*) FROM lineitem WHERE l_orderkey IS NULL OR l_linenumber IS NULL) AS null_keys,
+       (SELECT COUNT(*) FROM l) AS duplicate_keys, (SELECT CAST(coalesce(SUM(n), 0) AS BIGINT) FROM l) AS duplicate_rows,
+       (SELECT COUNT(*) FROM lineitem WHERE l_orderkey IS NULL OR l_linenumber IS NULL) = 0 AND (SELECT COUNT(*) FROM l) = 0 AS is_valid
+UNION ALL
+SELECT 'orders', (SELECT COUNT(*) FROM orders WHERE o_orderkey IS NULL), (SELECT COUNT(*) FROM o),
+       (SELECT CAST(coalesce(SUM(n), 0) AS BIGINT) FROM o),
+       (SELECT COUNT(*) FROM orders WHERE o_orderkey IS NULL) = 0 AND (SELECT COUNT(*) FROM o) = 0""")
+
+oracle("table_migration_check", ("orders_old", "orders_merged"), f"""
+SELECT 'orders_old' AS table_name, (SELECT COUNT(*) FROM orders_old) AS source_rows, 6 AS source_columns,
+       (SELECT COUNT(*) FROM orders_merged) AS target_rows,
+       (SELECT COUNT(*) FROM orders_old) <> (SELECT COUNT(*) FROM orders_merged) AS row_count_changed,
+       (SELECT checksum FROM ({_order_checksum('orders_merged')})) AS target_checksum""")
+
+_input("dependency_edges", """
+SELECT p_partkey AS node, CASE WHEN p_partkey > 0 THEN CAST(floor(p_partkey / 2) AS BIGINT) END AS upstream FROM part""")
+
+oracle("migration_order", ("dependency_edges",), """
+WITH RECURSIVE nodes AS (
+  SELECT node AS n FROM dependency_edges UNION SELECT upstream FROM dependency_edges WHERE upstream IS NOT NULL),
+lv(n, level) AS (
+  SELECT n, 0 FROM nodes
+  UNION ALL
+  SELECT e.node, lv.level + 1 FROM dependency_edges e JOIN lv ON e.upstream = lv.n)
+SELECT n AS node, MAX(level) AS level FROM lv GROUP BY n""")
+
+oracle("memory_changes", ("memories", "memory_change_batch"), """
+SELECT id, importance, memory_type FROM memories WHERE id NOT IN (SELECT id FROM memory_change_batch)
+UNION ALL
+SELECT id, importance, memory_type FROM memory_change_batch WHERE action = 'update' AND id IN (SELECT id FROM memories)
+UNION ALL
+SELECT id, importance, memory_type FROM memory_change_batch WHERE action = 'create' AND id NOT IN (SELECT id FROM memories)""")

@@ -227,3 +227,86 @@ def analysis_results(t: Tables) -> DataFrame:
         F.array(F.struct(fields.alias("fields"))).alias("documents"),
         (did % 12).cast("int").alias("month"),
     )
+
+
+# ------------------------------------------------------------ endpoint migration
+GATEWAY_VALUES = (None, "", "None", "null", " ", '{"x":1}')
+
+
+def endpoints(t: Tables) -> DataFrame:
+    """Endpoint list as landed from the API (nested parts as JSON text) + workspace facts."""
+    c = t.customer
+    k = F.col("c_custkey")
+    seg = F.lower(F.col("c_mktsegment"))
+    prefix = F.when(k % 11 == 0, F.lit("null")).otherwise(F.concat(F.lit('"t'), k.cast("string"), F.lit('"')))
+    enabled = F.when(k % 4 == 0, F.lit(',"enabled":false')).when(k % 4 == 1, F.lit(',"enabled":null')).otherwise(F.lit(""))
+    acc = F.concat(F.lit('{"catalog_name":"main","schema_name":"'), seg, F.lit('","table_name_prefix":'), prefix,
+                   enabled, F.lit("}"))
+    ents = F.when(k % 9 == 0, F.lit("[]")).otherwise(F.concat(
+        F.lit('[{"entity_name":"model_'), k.cast("string"), F.lit('","entity_version":"'),
+        F.col("c_nationkey").cast("string"), F.lit('","environment_vars":{"SEGMENT":"'), seg,
+        F.lit('","DEBUG":null},"workload_size":"Small","scale_to_zero_enabled":true}]')))
+    gw = F.element_at(F.array(*[F.lit(v).cast("string") for v in GATEWAY_VALUES]), (k % 6 + 1).cast("int"))
+    return c.select(
+        k.alias("seq"), F.col("c_name").alias("name"), gw.alias("ai_gateway"),
+        acc.alias("auto_capture_config"), ents.alias("served_entities"),
+        F.when(k % 2 == 0, F.col("c_name")).alias("description"),
+        F.when(k % 3 == 0, F.lit(True)).alias("route_optimized"),
+        F.concat(F.lit('[{"key":"segment","value":"'), seg, F.lit('"}]')).alias("tags"),
+        (k % 13 != 0).alias("exists_in_workspace"), (k % 7 != 0).alias("table_exists"),
+        F.when(k % 17 == 0, F.lit(400)).otherwise(F.lit(200)).alias("create_status"),
+        F.when(k % 17 == 0, F.lit("Bad request")).alias("create_error"),
+    )
+
+
+def requested_endpoints(t: Tables) -> DataFrame:
+    """All endpoint names, plus a name that is not in the list for every tenth customer."""
+    c = t.customer
+    real = c.select((F.col("c_custkey") * 2).alias("request_seq"), F.col("c_name").alias("endpoint_name"))
+    ghost = c.where(F.col("c_custkey") % 10 == 0).select(
+        (F.col("c_custkey") * 2 + 1).alias("request_seq"),
+        F.concat(F.lit("ghost_"), F.col("c_custkey").cast("string")).alias("endpoint_name"))
+    return real.unionByName(ghost)
+
+
+def migration_configs(t: Tables) -> DataFrame:
+    """One configuration per supplier, broken in one field by s_suppkey % 5."""
+    s = t.supplier
+    k = F.col("s_suppkey")
+    b = k % 5
+    ks = k.cast("string")
+    return s.select(
+        k.alias("config_id"),
+        F.when(b == 1, F.lit(None).cast("string")).otherwise(F.concat(F.lit("main.legacy.ot_"), ks)).alias("legacy_online_table"),
+        F.when(b == 4, F.lit("")).otherwise(F.concat(F.lit("store_"), ks)).alias("online_store_name"),
+        F.when(b == 2, F.concat(F.lit("main.t_"), ks)).otherwise(F.concat(F.lit("main.features.t_"), ks)).alias("target_table"),
+        F.when(b == 3, F.lit("CU_3")).when(k % 2 == 0, F.lit(None).cast("string")).otherwise(F.lit("CU_4")).alias("capacity"),
+        (k % 2 == 0).alias("streaming"),
+        F.lit(15).alias("timeout_minutes"),
+    )
+
+
+def catalog_dependencies(t: Tables) -> DataFrame:
+    e = t.supplier.select(F.lit("endpoint").alias("kind"), F.col("s_suppkey").alias("id"),
+                          F.when(F.col("s_suppkey") % 7 == 0, F.lit(None).cast("string")).otherwise(F.col("s_name")).alias("name"),
+                          F.when(F.col("s_suppkey") % 3 == 0, F.lit(None).cast("string")).otherwise(F.lit("READY")).alias("state"))
+    j = t.part.select(F.lit("job").alias("kind"), F.col("p_partkey").alias("id"),
+                      F.when(F.col("p_partkey") % 7 == 0, F.lit(None).cast("string")).otherwise(F.col("p_name")).alias("name"),
+                      F.when(F.col("p_partkey") % 3 == 0, F.lit(None).cast("string")).otherwise(F.lit("ACTIVE")).alias("state"))
+    return e.unionByName(j)
+
+
+def orders_old(t: Tables) -> DataFrame:
+    return t.orders.where(F.col("o_orderkey") % 19 != 0)
+
+
+def orders_new(t: Tables) -> DataFrame:
+    o = t.orders.where(F.col("o_orderkey") % 17 != 0)
+    return o.withColumn("o_totalprice", F.when(F.col("o_orderkey") % 13 == 0, F.col("o_totalprice") + 1)
+                        .otherwise(F.col("o_totalprice")))
+
+
+def dependency_edges(t: Tables) -> DataFrame:
+    """A tree: every part depends on part p_partkey / 2 (integer division)."""
+    k = F.col("p_partkey")
+    return t.part.select(k.alias("node"), F.when(k > 0, F.floor(k / 2)).cast("long").alias("upstream"))
