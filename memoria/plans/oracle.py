@@ -849,3 +849,129 @@ UNION ALL
 SELECT id, importance, memory_type FROM memory_change_batch WHERE action = 'update' AND id IN (SELECT id FROM memories)
 UNION ALL
 SELECT id, importance, memory_type FROM memory_change_batch WHERE action = 'create' AND id NOT IN (SELECT id FROM memories)""")
+
+# ------------------------------------------------------------ checkpoints and store
+_input("checkpoints_in", """
+SELECT 'thread_' || CAST(conv_id AS VARCHAR) AS thread_id, '' AS checkpoint_ns,
+       lpad(CAST(turn AS VARCHAR), 6, '0') AS checkpoint_id,
+       CASE WHEN turn > 0 THEN lpad(CAST(turn - 1 AS VARCHAR), 6, '0') END AS parent_checkpoint_id,
+       CASE WHEN role = 'user' THEN 'input' ELSE 'loop' END AS source, turn - 1 AS step,
+       TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(conv_id AS BIGINT)) + to_seconds(CAST(turn * (conv_id % 5 + 7) AS BIGINT)) AS ts
+FROM conversations""")
+
+_input("checkpoint_writes", """
+SELECT 'thread_' || CAST(conv_id AS VARCHAR) AS thread_id, '' AS checkpoint_ns,
+       lpad(CAST(turn AS VARCHAR), 6, '0') AS checkpoint_id,
+       'task_' || CAST(conv_id AS VARCHAR) || '_' || CAST(turn AS VARCHAR) AS task_id, CAST(idx AS INTEGER) AS idx,
+       (['messages', 'branch:to:agent', '__start__'])[CAST(idx AS INTEGER) + 1] AS channel,
+       lpad(CAST(turn AS VARCHAR), 8, '0') || '.' || CAST(idx AS VARCHAR) AS version
+FROM (SELECT conv_id, turn, unnest(range(0, CAST(turn % 3 AS BIGINT) + 1)) AS idx FROM conversations)""")
+
+oracle("checkpoint_parent", ("checkpoints_in",), """
+SELECT c.thread_id, c.checkpoint_ns, c.checkpoint_id, c.parent_checkpoint_id, c.step, p.step AS parent_step, c.source,
+       ROUND((epoch_us(c.ts) - epoch_us(p.ts)) / 1000000.0, 6) AS gap_seconds
+FROM checkpoints_in c LEFT JOIN checkpoints_in p
+  ON p.thread_id = c.thread_id AND p.checkpoint_ns = c.checkpoint_ns AND p.checkpoint_id = c.parent_checkpoint_id""")
+
+oracle("step_gap", ("checkpoints_in",), """
+SELECT thread_id, step, ROUND((epoch_us(ts) - epoch_us(prev_ts)) / 1000000.0, 6) AS gap_seconds FROM (
+  SELECT thread_id, step, ts, lag(ts) OVER (PARTITION BY thread_id, checkpoint_ns ORDER BY step) AS prev_ts
+  FROM checkpoints_in) WHERE prev_ts IS NOT NULL""")
+
+oracle("latest_checkpoint", ("checkpoints_in",), """
+SELECT thread_id, checkpoint_ns, checkpoint_id, step, ts FROM (
+  SELECT *, row_number() OVER (PARTITION BY thread_id, checkpoint_ns ORDER BY checkpoint_id DESC) AS rn
+  FROM checkpoints_in) WHERE rn = 1""")
+
+oracle("checkpoint_writes_join", ("checkpoints_in", "checkpoint_writes"), """
+SELECT c.thread_id, c.checkpoint_ns, c.checkpoint_id, c.step, c.source, w.task_id, w.idx, w.channel
+FROM checkpoints_in c JOIN checkpoint_writes w
+  ON w.thread_id = c.thread_id AND w.checkpoint_ns = c.checkpoint_ns AND w.checkpoint_id = c.checkpoint_id""")
+
+oracle("thread_activity", ("checkpoints_in",), """
+SELECT thread_id, COUNT(*) AS checkpoints, MIN(step) AS min_step, MAX(step) AS max_step, MIN(ts) AS first_ts,
+       MAX(ts) AS last_ts, COUNT(*) FILTER (WHERE source = 'input') AS input_steps,
+       COUNT(*) FILTER (WHERE source = 'loop') AS loop_steps,
+       ROUND((epoch_us(MAX(ts)) - epoch_us(MIN(ts))) / 1000000.0, 6) AS duration_seconds
+FROM checkpoints_in GROUP BY thread_id""")
+
+oracle("channel_activity", ("checkpoint_writes",), """
+SELECT thread_id, channel, COUNT(*) AS writes, COUNT(DISTINCT version) AS blobs, MAX(version) AS latest_version
+FROM checkpoint_writes GROUP BY thread_id, channel""")
+
+_input("store_entries", """
+SELECT CASE WHEN event_id % 3 = 0 THEN 'profiles.' ELSE 'episodes.' END || CAST(user_id AS VARCHAR) AS prefix,
+       CAST(event_id AS VARCHAR) AS key, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_type AS kind,
+       ts AS created_at, CASE WHEN event_id % 4 = 0 THEN NULL ELSE CAST((event_id % 1440) * 60 AS INTEGER) END AS ttl_minutes
+FROM events""")
+
+oracle("store_prefix_scan", ("store_entries",), """
+SELECT prefix, COUNT(*) AS entries FROM store_entries WHERE starts_with(prefix, 'episodes.') GROUP BY prefix""")
+
+oracle("store_ttl", ("store_entries",), f"""
+SELECT prefix, key, expires_at FROM (
+  SELECT prefix, key, CASE WHEN ttl_minutes IS NOT NULL THEN created_at + to_minutes(CAST(ttl_minutes AS BIGINT)) END AS expires_at
+  FROM store_entries) WHERE expires_at IS NULL OR expires_at > {AS_OF}""")
+
+oracle("store_values", ("store_entries",), """
+SELECT prefix, key, k, kind, true AS note_is_null FROM store_entries""")
+
+# ------------------------------------------------------------ observability
+_input("agent_messages", """
+SELECT event_id AS message_id, event_id AS orchestration_id,
+       'agent_' || CAST(user_id % 7 AS VARCHAR) AS sender_agent_id,
+       'agent_' || CAST((user_id + event_id) % 7 AS VARCHAR) AS receiver_agent_id,
+       event_type AS message_type, ts AS sent_at,
+       CASE WHEN event_id % 3 <> 0 THEN event_id % 500 END AS latency_ms,
+       CASE WHEN event_id % 50 <> 0 THEN ts + to_milliseconds(CAST(event_id % 500 AS BIGINT)) END AS delivered_at,
+       CAST(length(props) AS BIGINT) AS payload_bytes
+FROM events""")
+
+oracle("message_latency", ("agent_messages",), """
+SELECT sender_agent_id, receiver_agent_id, message_type, COUNT(*) AS messages,
+       ROUND(AVG(coalesce(CAST(latency_ms AS DOUBLE), (epoch_us(delivered_at) - epoch_us(sent_at)) / 1000.0)), 6) AS avg_latency_ms,
+       ROUND(MAX(coalesce(CAST(latency_ms AS DOUBLE), (epoch_us(delivered_at) - epoch_us(sent_at)) / 1000.0)), 6) AS max_latency_ms,
+       CAST(SUM(payload_bytes) AS BIGINT) AS total_bytes, COUNT(*) FILTER (WHERE delivered_at IS NULL) AS undelivered
+FROM agent_messages GROUP BY 1, 2, 3""")
+
+_input("agent_metrics", """
+SELECT 'agent_' || CAST(l_suppkey AS VARCHAR) AS agent_id, l_orderkey AS orchestration_id,
+       l_discount * 1000 AS cpu_ms, CAST(l_quantity AS BIGINT) AS tokens_in, CAST(l_linenumber * 10 AS BIGINT) AS tokens_out,
+       CAST(l_extendedprice / 1000 AS DECIMAL(18, 6)) AS cost_usd, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS error_count
+FROM lineitem""")
+
+oracle("orchestration_cost", ("agent_metrics",), """
+SELECT agent_id, ROUND(SUM(cpu_ms), 6) AS cpu_ms, CAST(SUM(tokens_in) AS BIGINT) AS tokens_in,
+       CAST(SUM(tokens_out) AS BIGINT) AS tokens_out, ROUND(CAST(SUM(cost_usd) AS DOUBLE), 6) AS cost_usd,
+       CAST(SUM(error_count) AS BIGINT) AS errors
+FROM agent_metrics GROUP BY agent_id""")
+
+oracle("memory_access_audit", (), """
+SELECT CASE event_type WHEN 'click' THEN 'read' WHEN 'view' THEN 'read' WHEN 'purchase' THEN 'write'
+                       WHEN 'signup' THEN 'create' WHEN 'error' THEN 'delete' END AS access_type,
+       COUNT(*) AS accesses, CAST(SUM(event_id % 50) AS BIGINT) AS lock_wait_ms, ROUND(AVG(value), 6) AS avg_duration_ms,
+       COUNT(*) FILTER (WHERE event_id % 9 = 0) AS conflicts
+FROM events GROUP BY 1""")
+
+oracle("coordination_events", (), """
+SELECT CASE event_type WHEN 'click' THEN 'consensus' WHEN 'view' THEN 'handoff' WHEN 'purchase' THEN 'vote'
+                       WHEN 'signup' THEN 'election' WHEN 'error' THEN 'conflict' END AS event_type,
+       COUNT(*) AS events, ROUND(AVG(CASE WHEN event_id % 4 <> 0 THEN 1.0 ELSE 0.0 END), 6) AS success_rate,
+       ROUND(AVG(value), 6) AS avg_latency_ms, MAX(CAST(event_id % 100 AS DOUBLE) / 100) AS max_anomaly_score
+FROM events GROUP BY 1""")
+
+oracle("orchestration_join", ("agent_metrics", "agent_messages"), """
+WITH n AS (SELECT l_orderkey AS orchestration_id, COUNT(*) AS nodes FROM lineitem GROUP BY 1),
+m AS (SELECT orchestration_id, CAST(SUM(tokens_in) AS BIGINT) AS tokens_in, SUM(cost_usd) AS cost_usd FROM agent_metrics GROUP BY 1),
+g AS (SELECT orchestration_id, COUNT(*) AS messages FROM agent_messages GROUP BY 1)
+SELECT o.o_orderkey AS orchestration_id, o.o_orderstatus AS status, o.o_orderpriority AS workflow_id,
+       coalesce(n.nodes, 0) AS nodes, coalesce(m.tokens_in, 0) AS tokens_in, ROUND(CAST(m.cost_usd AS DOUBLE), 6) AS cost_usd,
+       coalesce(g.messages, 0) AS messages
+FROM orders o LEFT JOIN n ON n.orchestration_id = o.o_orderkey LEFT JOIN m ON m.orchestration_id = o.o_orderkey
+LEFT JOIN g ON g.orchestration_id = o.o_orderkey""")
+
+oracle("trace_stitch", (), """
+SELECT 'c' || CAST(o.o_orderkey AS VARCHAR) AS correlation_id, 't' || CAST(o.o_orderkey AS VARCHAR) AS root_trace_id,
+       COUNT(*) AS spans, ROUND(SUM(l.l_quantity), 6) AS quantity
+FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey AND l.l_linenumber BETWEEN 1 AND 3
+GROUP BY 1, 2""")

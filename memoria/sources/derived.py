@@ -310,3 +310,145 @@ def dependency_edges(t: Tables) -> DataFrame:
     """A tree: every part depends on part p_partkey / 2 (integer division)."""
     k = F.col("p_partkey")
     return t.part.select(k.alias("node"), F.when(k > 0, F.floor(k / 2)).cast("long").alias("upstream"))
+
+
+# ------------------------------------------------------------ agent checkpoints
+CHANNELS = ("messages", "branch:to:agent", "__start__")
+
+
+def checkpoints_in(t: Tables) -> DataFrame:
+    """One checkpoint per conversation turn; metadata and body as Python-style literal text."""
+    c = t.conversations
+    conv, turn = F.col("conv_id"), F.col("turn")
+    ts = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") \
+        + F.make_dt_interval(F.lit(0), conv.cast("int"), F.lit(0), (turn * (conv % 5 + 7)).cast("int"))
+    cid = F.lpad(turn.cast("string"), 6, "0")
+    source = F.when(F.col("role") == "user", F.lit("input")).otherwise(F.lit("loop"))
+    iso = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    return c.select(
+        F.concat(F.lit("thread_"), conv.cast("string")).alias("thread_id"),
+        F.lit("").alias("checkpoint_ns"),
+        cid.alias("checkpoint_id"),
+        F.when(turn > 0, F.lpad((turn - 1).cast("string"), 6, "0")).alias("parent_checkpoint_id"),
+        F.concat(F.lit("{'v': 4, 'id': '"), cid, F.lit("', 'ts': '"), iso, F.lit("'}")).alias("checkpoint"),
+        F.concat(F.lit("{'source': '"), source, F.lit("', 'step': "), (turn - 1).cast("string"),
+                 F.lit(", 'writes': None, 'parents': {}}")).alias("metadata"),
+        ts.alias("ts"),
+    )
+
+
+def checkpoint_writes(t: Tables) -> DataFrame:
+    """Pending writes: turn % 3 + 1 writes per checkpoint, channels in a fixed cycle."""
+    c = t.conversations
+    conv, turn = F.col("conv_id"), F.col("turn")
+    w = c.select(conv, turn, F.explode(F.sequence(F.lit(0), (turn % 3).cast("int"))).alias("idx"))
+    return w.select(
+        F.concat(F.lit("thread_"), conv.cast("string")).alias("thread_id"), F.lit("").alias("checkpoint_ns"),
+        F.lpad(turn.cast("string"), 6, "0").alias("checkpoint_id"),
+        F.concat(F.lit("task_"), conv.cast("string"), F.lit("_"), turn.cast("string")).alias("task_id"),
+        F.col("idx").cast("int").alias("idx"),
+        F.element_at(F.array(*[F.lit(x) for x in CHANNELS]), F.col("idx").cast("int") + 1).alias("channel"),
+        F.lit("msgpack").alias("type"), F.lit("").alias("task_path"),
+        F.concat(F.lpad(turn.cast("string"), 8, "0"), F.lit("."), F.col("idx").cast("string")).alias("version"),
+    )
+
+
+def store_entries(t: Tables) -> DataFrame:
+    """Key/value store rows: two namespaces, Python-style values, optional TTL."""
+    e = t.events
+    eid = F.col("event_id")
+    prefix = F.when(eid % 3 == 0, F.concat(F.lit("profiles."), F.col("user_id").cast("string"))) \
+        .otherwise(F.concat(F.lit("episodes."), F.col("user_id").cast("string")))
+    value = F.concat(F.lit("{'content': {'k': "), F.get_json_object("props", "$.k"), F.lit(", 'note': None, 'kind': '"),
+                     F.col("event_type"), F.lit("'}}"))
+    ttl = F.when(eid % 4 == 0, F.lit(None).cast("int")).otherwise(((eid % 1440) * 60).cast("int"))
+    return e.select(prefix.alias("prefix"), eid.cast("string").alias("key"), value.alias("value"),
+                    F.col("ts").alias("created_at"), F.col("ts").alias("updated_at"), ttl.alias("ttl_minutes"))
+
+
+# ------------------------------------------------------------ observability
+ACCESS_TYPES = {"click": "read", "view": "read", "purchase": "write", "signup": "create", "error": "delete"}
+COORDINATION_TYPES = {"click": "consensus", "view": "handoff", "purchase": "vote", "signup": "election",
+                      "error": "conflict"}
+
+
+def agent_messages(t: Tables) -> DataFrame:
+    e = t.events
+    eid = F.col("event_id")
+    lat = (eid % 500).cast("long")
+    return e.select(
+        eid.alias("message_id"), eid.alias("orchestration_id"),
+        F.concat(F.lit("agent_"), (F.col("user_id") % 7).cast("string")).alias("sender_agent_id"),
+        F.concat(F.lit("agent_"), ((F.col("user_id") + eid) % 7).cast("string")).alias("receiver_agent_id"),
+        F.col("event_type").alias("message_type"), F.col("ts").alias("sent_at"),
+        F.when(eid % 3 != 0, lat).alias("latency_ms"),
+        F.when(eid % 50 != 0, F.col("ts") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), lat / F.lit(1000.0)))
+        .alias("delivered_at"),
+        F.length("props").cast("long").alias("payload_bytes"),
+        F.concat(F.lit("t"), eid.cast("string")).alias("trace_id"),
+    )
+
+
+def agent_metrics(t: Tables) -> DataFrame:
+    li = t.lineitem
+    return li.select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("metric_id"),
+        F.concat(F.lit("agent_"), F.col("l_suppkey").cast("string")).alias("agent_id"),
+        F.col("l_orderkey").alias("orchestration_id"),
+        (F.col("l_discount") * 1000).alias("cpu_ms"),
+        F.col("l_quantity").cast("long").alias("tokens_in"),
+        (F.col("l_linenumber") * 10).cast("long").alias("tokens_out"),
+        (F.col("l_extendedprice") / 1000).cast("decimal(18,6)").alias("cost_usd"),
+        F.when(F.col("l_returnflag") == "R", F.lit(1)).otherwise(F.lit(0)).alias("error_count"),
+    )
+
+
+def access_log(t: Tables) -> DataFrame:
+    e = t.events
+    eid = F.col("event_id")
+    return e.select(
+        eid.alias("access_id"), F.concat(F.lit("pool_"), (F.col("user_id") % 3).cast("string")).alias("pool_id"),
+        _map_values(F.col("event_type"), ACCESS_TYPES).alias("access_type"),
+        (eid % 50).cast("long").alias("lock_wait_ms"), F.col("value").alias("duration_ms"),
+        (eid % 9 == 0).alias("conflict_detected"), F.col("ts").alias("accessed_at"))
+
+
+def coordination(t: Tables) -> DataFrame:
+    e = t.events
+    eid = F.col("event_id")
+    return e.select(
+        eid.alias("event_id"), _map_values(F.col("event_type"), COORDINATION_TYPES).alias("event_type"),
+        (eid % 4 != 0).alias("success"), F.col("value").alias("latency_ms"),
+        ((eid % 100).cast("double") / F.lit(100.0)).alias("anomaly_score"), F.col("ts").alias("occurred_at"))
+
+
+def orchestrations(t: Tables) -> DataFrame:
+    o = t.orders
+    return o.select(F.col("o_orderkey").alias("orchestration_id"), F.col("o_orderstatus").alias("status"),
+                    F.col("o_orderpriority").alias("workflow_id"), F.col("o_orderdate").alias("started_at"))
+
+
+def trace_map(t: Tables) -> DataFrame:
+    o = t.orders
+    k = F.col("o_orderkey").cast("string")
+    kids = F.concat(F.lit('["t'), k, F.lit('_1","t'), k, F.lit('_2","t'), k, F.lit('_3"]'))
+    return o.select(F.concat(F.lit("c"), k).alias("correlation_id"), F.concat(F.lit("t"), k).alias("root_trace_id"),
+                    kids.alias("child_trace_ids"))
+
+
+def spans(t: Tables) -> DataFrame:
+    li = t.lineitem
+    return li.select(F.concat(F.lit("t"), F.col("l_orderkey").cast("string"), F.lit("_"),
+                              F.col("l_linenumber").cast("string")).alias("trace_id"),
+                     F.col("l_quantity").alias("quantity"), F.col("l_shipdate").alias("span_ts"))
+
+
+def pit_labels(t: Tables) -> DataFrame:
+    e = t.events.where(F.col("event_type") == "purchase")
+    return e.select(F.col("event_id").alias("label_id"), "user_id", F.col("ts").alias("label_ts"))
+
+
+def pit_features(t: Tables) -> DataFrame:
+    e = t.events.where(F.col("event_type") == "view")
+    return e.select("user_id", F.col("ts").alias("feature_ts"), F.col("value").alias("feature_value"),
+                    F.col("event_id").alias("feature_id"))
