@@ -975,3 +975,11 @@ SELECT 'c' || CAST(o.o_orderkey AS VARCHAR) AS correlation_id, 't' || CAST(o.o_o
        COUNT(*) AS spans, ROUND(SUM(l.l_quantity), 6) AS quantity
 FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey AND l.l_linenumber BETWEEN 1 AND 3
 GROUP BY 1, 2""")
+
+oracle("point_in_time", (), """
+WITH l AS (SELECT event_id AS label_id, user_id, ts AS label_ts FROM events WHERE event_type = 'purchase'),
+f AS (SELECT user_id, ts AS feature_ts, value AS feature_value, event_id AS feature_id FROM events WHERE event_type = 'view')
+SELECT label_id, user_id, label_ts, feature_ts, feature_value, feature_id FROM (
+  SELECT l.*, f.feature_ts, f.feature_value, f.feature_id,
+         row_number() OVER (PARTITION BY l.label_id ORDER BY f.feature_ts DESC NULLS LAST, f.feature_id DESC NULLS LAST) AS rn
+  FROM l LEFT JOIN f ON f.user_id = l.user_id AND f.feature_ts <= l.label_ts) WHERE rn = 1""")

@@ -103,3 +103,10 @@ def q_trace(spark, sf_dir):
     r = tr.trace_stitch(d.trace_map(t), d.spans(t))
     return r.groupBy("correlation_id", "root_trace_id").agg(F.count(F.lit(1)).alias("spans"),
                                                            F.round(F.sum("quantity"), 6).alias("quantity"))
+
+
+@query("point_in_time")
+def q_pit(spark, sf_dir):
+    from ..operators.asof import asof_join
+    t = _t(spark, sf_dir)
+    return asof_join(d.pit_labels(t), d.pit_features(t), "user_id", "label_ts", "feature_ts", tiebreak="feature_id")
