@@ -23,5 +23,5 @@ def query(key: str):
 
 def load_all() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     # importing the modules registers their queries
-    from . import q_conversations, q_documents, q_memory, q_migration, q_retention, q_tracing  # noqa: F401
+    from . import q_conversations, q_documents, q_memory, q_migration, q_retention, q_streaming, q_tracing  # noqa: F401
     return dict(QUERIES)

@@ -983,3 +983,18 @@ SELECT label_id, user_id, label_ts, feature_ts, feature_value, feature_id FROM (
   SELECT l.*, f.feature_ts, f.feature_value, f.feature_id,
          row_number() OVER (PARTITION BY l.label_id ORDER BY f.feature_ts DESC NULLS LAST, f.feature_id DESC NULLS LAST) AS rn
   FROM l LEFT JOIN f ON f.user_id = l.user_id AND f.feature_ts <= l.label_ts) WHERE rn = 1""")
+
+# ------------------------------------------------------------ streaming (stream result = batch result)
+oracle("stream_messages", ("classified_conversations",), """
+SELECT conv_id, COUNT(*) AS message_count, CAST(SUM(length(text)) AS BIGINT) AS conversation_length
+FROM classified_conversations GROUP BY conv_id""")
+
+oracle("sync_triggered", ("orders_merged",), "SELECT * FROM orders_merged")
+oracle("sync_continuous", ("orders_merged",), "SELECT * FROM orders_merged")
+oracle("sync_snapshot", ("orders_merged",), "SELECT * FROM orders_merged")
+
+oracle("maintenance_gate", ("experiences",), f"""
+SELECT thread_id, COUNT(*) AS memory_count,
+       ROUND((epoch_us({AS_OF}) - epoch_us(MAX(created_at))) / 1000000.0, 6) AS seconds_since,
+       (epoch_us({AS_OF}) - epoch_us(MAX(created_at))) / 1000000.0 > 3600 OR COUNT(*) > 45 AS run_maintenance
+FROM experiences GROUP BY thread_id""")
