@@ -124,13 +124,47 @@ def _summary_fn(keys, feat_cols, schema_fields):
 
 
 def asof_join(labels: DataFrame, features: DataFrame, key, label_ts: str, feature_ts: str,
-              tiebreak: str | None = None, num_partitions: int | None = None) -> DataFrame:
+              tiebreak: str | None = None, num_partitions: int | None = None,
+              max_window_rows: int | None = None) -> DataFrame:
     """JN12: every label row with the latest feature row of the same key at or before its time.
 
     ``features`` columns other than the key come back on each label (null when
-    no feature precedes the label). Runs one checkpoint and one small action
-    (the per-partition summary).
+    no feature precedes the label). When the biggest key (labels + features)
+    is at most ``max_window_rows`` rows (default: the ranking threshold) a
+    per-key window carries the value; otherwise the range layout runs, with
+    one checkpoint and one small action (the per-partition summary).
     """
+    from .ranking import MAX_WINDOW_GROUP_ROWS, largest_group
+    if max_window_rows is None:
+        max_window_rows = MAX_WINDOW_GROUP_ROWS
+    keys_ = [key] if isinstance(key, str) else list(key)
+    if max_window_rows > 0:
+        sizes = labels.select(*keys_).unionByName(features.select(*keys_))
+        if largest_group(sizes, keys_) <= max_window_rows:
+            return _asof_window(labels, features, keys_, label_ts, feature_ts, tiebreak)
+    return _asof_range(labels, features, key, label_ts, feature_ts, tiebreak, num_partitions)
+
+
+def _asof_window(labels, features, keys, label_ts, feature_ts, tiebreak):
+    """Union + last non-null feature over a per-key window (groups of bounded size)."""
+    from pyspark.sql import Window
+    feat_cols = [c for c in features.columns if c not in keys]
+    lab_cols = [c for c in labels.columns if c not in keys]
+    tb = F.col(tiebreak).cast("long") if tiebreak else F.lit(0).cast("long")
+    f = features.select(*keys, F.col(feature_ts).cast("timestamp_ntz").alias("_ts"), F.lit(0).alias("_kind"),
+                        tb.alias("_tb"), F.struct(*feat_cols).alias("_f"),
+                        *[F.lit(None).cast(labels.schema[c].dataType).alias(c) for c in lab_cols])
+    l_ = labels.select(*keys, F.col(label_ts).cast("timestamp_ntz").alias("_ts"), F.lit(1).alias("_kind"),
+                       F.lit(0).cast("long").alias("_tb"),
+                       F.lit(None).cast(f.schema["_f"].dataType).alias("_f"), *lab_cols)
+    w = Window.partitionBy(*keys).orderBy(F.col("_ts").asc_nulls_first(), "_kind", "_tb") \
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    u = f.unionByName(l_).withColumn("_last", F.last("_f", ignorenulls=True).over(w))
+    return u.where(F.col("_kind") == 1).select(*keys, *lab_cols, *[F.col(f"_last.{c}").alias(c) for c in feat_cols])
+
+
+def _asof_range(labels: DataFrame, features: DataFrame, key, label_ts: str, feature_ts: str,
+                tiebreak: str | None = None, num_partitions: int | None = None) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_type
 
     from ..session import ensure_checkpoint_dir

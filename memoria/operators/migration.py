@@ -63,9 +63,9 @@ def capture_map(c: Column) -> Column:
     return F.from_json(c, T.MapType(T.StringType(), T.StringType()))
 
 
-def inference_table_name(acc: Column) -> Column:
-    """PRJ10: struct(old_table, new_table, message)."""
-    m = capture_map(acc)
+def inference_table_name(acc: Column, parsed: Column | None = None) -> Column:
+    """PRJ10: struct(old_table, new_table, message). ``parsed``: the map of ``acc`` if already parsed."""
+    m = capture_map(acc) if parsed is None else parsed
     parts = [F.element_at(m, k) for k in ("catalog_name", "schema_name", "table_name_prefix")]
     complete = F.lit(True)
     for p in parts:
@@ -97,10 +97,10 @@ def key_value_list(m: Column) -> Column:
                        lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
 
 
-def payload_reject_reason(cfg: DataFrame) -> Column:
+def payload_reject_reason(cfg: DataFrame, ents: Column | None = None, acc: Column | None = None) -> Column:
     """PRJ9: first failing precondition of the create request (null when ok)."""
-    ents = served_entities(F.col("served_entities"))
-    acc = capture_map(F.col("auto_capture_config"))
+    ents = served_entities(F.col("served_entities")) if ents is None else ents
+    acc = capture_map(F.col("auto_capture_config")) if acc is None else acc
     return (F.when(F.col("name").isNull() | (F.col("name") == ""), F.lit(MSG_NO_NAME))
             .when(ents.isNull() | (F.size(ents) <= 0), F.lit(MSG_NO_ENTITIES))
             .when(acc.isNull() | (F.size(acc) == 0), F.lit(MSG_NO_CAPTURE)))
@@ -157,28 +157,39 @@ def migration_steps(looked_up: DataFrame) -> DataFrame:
 
     Order and stops as in the reference: no config -> no steps; delete refused
     (gateway set) or failed -> stop; rename failure does not stop creation.
+    The JSON columns are parsed once per row in their own projection.
     """
+    p = looked_up.where("config_found").select(
+        "request_seq", "endpoint_name", "name", "ai_gateway", "auto_capture_config", "exists_in_workspace",
+        "table_exists", "create_status", "create_error",
+        capture_map(F.col("auto_capture_config")).alias("_acc"),
+        served_entities(F.col("served_entities")).alias("_ents"))
     gw_set = ~is_blank(F.col("ai_gateway"))
-    del_ok = ~gw_set & F.col("exists_in_workspace")
-    del_msg = F.when(gw_set, F.lit(MSG_GATEWAY_SKIP)).when(~F.col("exists_in_workspace"), F.lit(MSG_NOT_FOUND)) \
-        .otherwise(F.lit(MSG_DELETED))
-    tbl = inference_table_name(F.col("auto_capture_config"))
-    ren_ok = tbl["message"].isNull() & F.col("table_exists")
-    ren_msg = F.coalesce(tbl["message"], F.when(~F.col("table_exists"), F.lit(MSG_TABLE_MISSING)).otherwise(F.lit(MSG_RENAMED)))
-    reject = payload_reject_reason(looked_up)
-    cr_ok = reject.isNull() & (F.col("create_status") == 200)
-    cr_msg = F.coalesce(reject, F.when(F.col("create_status") == 200, F.lit(MSG_CREATED))
+    tbl = inference_table_name(F.col("auto_capture_config"), F.col("_acc"))
+    reject = payload_reject_reason(p, F.col("_ents"), F.col("_acc"))
+    r = p.select(
+        "request_seq", "endpoint_name",
+        (~gw_set & F.col("exists_in_workspace")).alias("del_ok"),
+        F.when(gw_set, F.lit(MSG_GATEWAY_SKIP)).when(~F.col("exists_in_workspace"), F.lit(MSG_NOT_FOUND))
+        .otherwise(F.lit(MSG_DELETED)).alias("del_msg"),
+        tbl.alias("_tbl"), "table_exists", reject.alias("_reject"), "create_status", "create_error")
+    ren_ok = F.col("_tbl.message").isNull() & F.col("table_exists")
+    ren_msg = F.coalesce(F.col("_tbl.message"),
+                         F.when(~F.col("table_exists"), F.lit(MSG_TABLE_MISSING)).otherwise(F.lit(MSG_RENAMED)))
+    cr_ok = F.col("_reject").isNull() & (F.col("create_status") == 200)
+    cr_msg = F.coalesce(F.col("_reject"), F.when(F.col("create_status") == 200, F.lit(MSG_CREATED))
                         .otherwise(F.concat(F.lit("HTTP "), F.col("create_status").cast("string"),
                                             F.lit(": "), F.coalesce(F.col("create_error"), F.lit("")))))
+
     def step(no, name, ok, msg, table):
         return F.struct(F.lit(no).alias("step_no"), F.lit(name).alias("step"), ok.alias("success"),
                         msg.alias("message"), table.cast("string").alias("table_name"))
     none = F.lit(None).cast("string")
-    steps = F.array(step(1, "delete", del_ok, del_msg, none), step(2, "rename", ren_ok, ren_msg, tbl["old_table"]),
+    steps = F.array(step(1, "delete", F.col("del_ok"), F.col("del_msg"), none),
+                    step(2, "rename", ren_ok, ren_msg, F.col("_tbl.old_table")),
                     step(3, "create", cr_ok, cr_msg, none))
-    ran = F.filter(steps, lambda s: (s["step"] == "delete") | del_ok)
-    return looked_up.where("config_found").select("request_seq", "endpoint_name", F.explode(ran).alias("s")) \
-        .select("request_seq", "endpoint_name", "s.*")
+    out = r.select("request_seq", "endpoint_name", "del_ok", F.explode(steps).alias("s"))
+    return out.where((F.col("s.step") == "delete") | F.col("del_ok")).select("request_seq", "endpoint_name", "s.*")
 
 
 def migration_status(requested: DataFrame, steps: DataFrame) -> DataFrame:

@@ -75,15 +75,34 @@ def _same(t1, t2):
     return all((x == y) or (x is None and y is None) for x, y in zip(t1, t2))
 
 
+# Largest key group a plain per-key window may hold in one task.
+MAX_WINDOW_GROUP_ROWS = 2_000_000
+
+
+def largest_group(df: DataFrame, keys) -> int:
+    """Rows of the biggest key group (one partial aggregation job, a scalar to the driver)."""
+    r = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
+    return int(r or 0)
+
+
 def group_row_number(df: DataFrame, keys, order, out: str = "rank",
-                     num_partitions: int | None = None) -> DataFrame:
+                     num_partitions: int | None = None,
+                     max_window_rows: int | None = None) -> DataFrame:
     """Exact 1-based row_number within ``keys`` by ``order``, skew-safe.
 
-    Runs one checkpoint (eager) into ``spark.checkpoint.dir``.
+    When the biggest group is at most ``max_window_rows`` (checked with one
+    aggregation) the plain per-key window is used; otherwise the range layout
+    below runs, with one checkpoint (eager) into ``spark.checkpoint.dir``.
+    ``max_window_rows=0`` forces the range layout.
     """
     from ..session import ensure_checkpoint_dir
     keys = list(keys)
     spark = df.sparkSession
+    if max_window_rows is None:
+        max_window_rows = MAX_WINDOW_GROUP_ROWS
+    if max_window_rows > 0 and largest_group(df, keys) <= max_window_rows:
+        w = Window.partitionBy(*keys).orderBy(*_order_cols(order))
+        return df.withColumn(out, F.row_number().over(w))
     ensure_checkpoint_dir(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = [F.col(k).asc_nulls_first() for k in keys] + _order_cols(order)

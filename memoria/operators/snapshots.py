@@ -148,18 +148,44 @@ def row_drift(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def migration_order(edges: DataFrame, node: str = "node", upstream: str = "upstream",
-                    max_rounds: int | None = 10_000) -> DataFrame:
-    """CMP12: level of each node = longest path from a root (upstream first).
-
-    Iterative relaxation level(n) = 1 + max(level(upstream)); one join and one
-    aggregation per round, lineage cut with a reliable checkpoint each round,
-    and a scalar convergence test (a cycle raises after ``max_rounds``).
+                    max_rounds: int = 10_000) -> DataFrame:
+    """CMP12: level of each node = longest path from a root (upstreams first).
+
+    Forest (every node has at most one upstream, checked with one aggregation):
+    pointer jumping -- each round doubles the hop length, so depth d needs
+    about log2(d) rounds. General DAG: relaxation level(n) = 1 + max(level(u)),
+    one round per level. Every round is one join + aggregation, checkpointed
+    to the shared folder to cut lineage, with a scalar convergence test; a
+    cycle raises after ``max_rounds``.
     """
     ensure_checkpoint_dir(edges.sparkSession)
     e = edges.select(F.col(node).alias("n"), F.col(upstream).alias("u"))
-    nodes = e.select("n").union(e.where(F.col("u").isNotNull()).select(F.col("u").alias("n"))).distinct()
+    links = e.where(F.col("u").isNotNull()).distinct()
+    nodes = e.select("n").union(links.select(F.col("u").alias("n"))).distinct()
+    fan_in = links.groupBy("n").agg(F.count(F.lit(1)).alias("_k")).agg(F.max("_k")).first()[0] or 0
+    if fan_in <= 1:
+        return _levels_by_pointer_jumping(nodes, links, node, max_rounds)
+    return _levels_by_relaxation(nodes, links, node, max_rounds)
+
+
+def _levels_by_pointer_jumping(nodes: DataFrame, links: DataFrame, node: str, max_rounds: int) -> DataFrame:
+    # (n, anc, dist): anc is the node ``dist`` hops up; null once the root is reached
+    cur = nodes.join(links, "n", "left").select("n", F.col("u").alias("anc"),
+                                                F.when(F.col("u").isNotNull(), 1).otherwise(0).alias("dist")).checkpoint()
+    rounds = 0
+    while cur.where(F.col("anc").isNotNull()).limit(1).count():
+        rounds += 1
+        if rounds > max_rounds:
+            raise ValueError("dependency graph has a cycle or is deeper than max_rounds")
+        up = cur.select(F.col("n").alias("anc"), F.col("anc").alias("anc2"), F.col("dist").alias("dist2"))
+        cur = cur.join(up, "anc", "left").select(
+            "n", F.col("anc2").alias("anc"), (F.col("dist") + F.coalesce(F.col("dist2"), F.lit(0))).alias("dist")
+        ).checkpoint()
+    return cur.select(F.col("n").alias(node), F.col("dist").alias("level"))
+
+
+def _levels_by_relaxation(nodes: DataFrame, links: DataFrame, node: str, max_rounds: int) -> DataFrame:
     lv = nodes.withColumn("level", F.lit(0)).checkpoint()
-    links = e.where(F.col("u").isNotNull())
     rounds = 0
     while True:
         step = links.join(lv.withColumnRenamed("n", "u"), "u").groupBy("n").agg((F.max("level") + 1).alias("cand"))
@@ -170,6 +196,6 @@ def migration_order(edges: DataFrame, node: str = "node", upstream: str = "upstr
         rounds += 1
         if not changed:
             break
-        if max_rounds is not None and rounds >= max_rounds:
+        if rounds >= max_rounds:
             raise ValueError("dependency graph has a cycle or is deeper than max_rounds")
     return lv.select(F.col("n").alias(node), "level")

@@ -39,9 +39,10 @@ def result_rows(spark: SparkSession, rows, schema: T.StructType) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-def read_analysis_results(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """SRC7: analysis JSON documents (one per file, multi-line)."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def read_analysis_results(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True) -> DataFrame:
+    """SRC7: analysis JSON documents: one indented document per file (as the service
+    results are saved), or JSON lines with ``multi_line=False``."""
+    return spark.read.schema(schema).option("multiLine", multi_line).json(path)
 
 
 def describe_table(spark: SparkSession, name: str) -> DataFrame:

@@ -54,7 +54,9 @@ def rename_to_legacy(spark: SparkSession, name: str) -> tuple[str, bool, str]:
         return ".".join("`" + p.replace("`", "``") + "`" for p in n.split("."))
     if not spark.catalog.tableExists(name):
         return name, False, "Table does not exist"
-    spark.sql(f"ALTER TABLE {quote(name)} RENAME TO {quote(name + '_legacy')}")
+    # the new name stays in the catalog of the old one: give it without the catalog part
+    target = ".".join((name + "_legacy").split(".")[-2:])
+    spark.sql(f"ALTER TABLE {quote(name)} RENAME TO {quote(target)}")
     return name, True, "Table renamed successfully"
 
 

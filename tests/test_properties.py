@@ -2,6 +2,7 @@
 import datetime as dt
 import os
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -70,21 +71,33 @@ def _hot(df):
     return df.withColumn("user_id", F.when(F.col("user_id") % 3 == 0, F.lit(0)).otherwise(F.col("user_id")))
 
 
-def test_group_row_number_matches_window_on_hot_key(spark):
+@pytest.mark.parametrize("limit", [0, None])
+def test_group_row_number_matches_window_on_hot_key(spark, limit):
     e = _hot(spark.read.parquet(f"{SF}/events.parquet"))
-    r = group_row_number(e, ["user_id"], [F.desc("value"), F.asc("event_id")], num_partitions=5)
+    r = group_row_number(e, ["user_id"], [F.desc("value"), F.asc("event_id")], num_partitions=5, max_window_rows=limit)
     w = Window.partitionBy("user_id").orderBy(F.desc("value"), F.asc("event_id"))
     ref = e.withColumn("rank", F.row_number().over(w))
     assert _same(r.select("event_id", "rank"), ref.select("event_id", "rank"))
 
 
-def test_asof_matches_brute_force_on_hot_key(spark):
+@pytest.mark.parametrize("limit", [0, None])
+def test_asof_matches_brute_force_on_hot_key(spark, limit):
     t = Tables(spark, SF)
     lab, fe = _hot(d.pit_labels(t)), _hot(d.pit_features(t))
-    r = asof_join(lab, fe, "user_id", "label_ts", "feature_ts", tiebreak="feature_id", num_partitions=5)
+    r = asof_join(lab, fe, "user_id", "label_ts", "feature_ts", tiebreak="feature_id", num_partitions=5,
+                  max_window_rows=limit)
     j = lab.join(fe, "user_id").where(F.col("feature_ts") <= F.col("label_ts"))
     w = Window.partitionBy("label_id").orderBy(F.desc("feature_ts"), F.desc("feature_id"))
     best = j.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("label_id", "feature_ts", "feature_value", "feature_id")
     bf = lab.join(best, "label_id", "left")
     cols = ["label_id", "user_id", "label_ts", "feature_ts", "feature_value", "feature_id"]
     assert _same(r.select(cols), bf.select(cols))
+
+
+def test_levels_forest_and_dag_agree(spark):
+    from memoria.operators.snapshots import _levels_by_pointer_jumping, _levels_by_relaxation
+    edges = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 3), (5, 1), (6, 5), (7, 4)], "node long, upstream long")
+    got = dict(snap.migration_order(edges).collect())
+    assert got == {1: 0, 2: 1, 3: 2, 4: 3, 5: 1, 6: 2, 7: 4}
+    dag = edges.union(spark.createDataFrame([(6, 4)], "node long, upstream long"))
+    assert dict(snap.migration_order(dag).collect())[6] == 4

@@ -26,13 +26,19 @@ def test_analysis_results_json_round_trip(spark, tmp_out):
     r = d.analysis_results(Tables(spark, SF))
     path = os.path.join(tmp_out, "results")
     sinks.save_results_json(r, path)
-    back = landed.read_analysis_results(spark, path, RESULT_SCHEMA)
+    back = landed.read_analysis_results(spark, path, RESULT_SCHEMA, multi_line=False)
     assert back.count() == r.count()
     assert back.where(F.size("pages") > 0).count() == r.where(F.size("pages") > 0).count()
     # non-ASCII text is kept as UTF-8
     raw = "".join(open(os.path.join(path, f), encoding="utf-8").read() for f in os.listdir(path) if f.endswith(".json"))
     first = json.loads(raw.splitlines()[0])
     assert "content" in first
+    # one indented document per file, as the service results are saved
+    one = os.path.join(path + "_doc")
+    os.makedirs(one)
+    with open(os.path.join(one, "result.json"), "w", encoding="utf-8") as fh:
+        json.dump(first, fh, indent=2, ensure_ascii=False)
+    assert landed.read_analysis_results(spark, one, RESULT_SCHEMA).count() == 1
 
 
 def test_save_text_uses_empty_for_missing(spark, tmp_out):
