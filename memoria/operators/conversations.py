@@ -79,12 +79,14 @@ def classify(messages: DataFrame, conv: str = "conv_id", order: str = "turn", te
 def conversation_stats(messages: DataFrame, conv: str = "conv_id", order: str = "turn",
                        text: str = "text", with_text: bool = True) -> DataFrame:
     """AG11: message count, total characters and (optionally) the lowered text joined by a space."""
-    aggs = [F.count(F.lit(1)).alias("message_count"),
-            F.sum(F.length(text)).cast("bigint").alias("conversation_length")]
-    if with_text:
-        aggs.append(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, F.lower(F.col(text)).alias("t")))),
-                                             lambda x: x["t"]), " ").alias("content_lower"))
-    return messages.groupBy(conv).agg(*aggs)
+    stats = messages.groupBy(conv).agg(F.count(F.lit(1)).alias("message_count"),
+                                       F.sum(F.length(text)).cast("bigint").alias("conversation_length"))
+    if not with_text:
+        return stats
+    from .summaries import TEXT_BLOCK_ROWS, ordered_join
+    low = messages.select(conv, order, F.lower(F.col(text)).alias("_t"))
+    joined = ordered_join(low, [conv], order, "_t", " ", block=TEXT_BLOCK_ROWS)
+    return stats.join(joined.withColumnRenamed("text", "content_lower"), conv, "inner")
 
 
 def store_conversation(messages: DataFrame, as_of=None, conv: str = "conv_id", order: str = "turn",

@@ -106,11 +106,22 @@ def payload_reject_reason(cfg: DataFrame, ents: Column | None = None, acc: Colum
             .when(acc.isNull() | (F.size(acc) == 0), F.lit(MSG_NO_CAPTURE)))
 
 
-def endpoint_payload(cfg: DataFrame) -> Column:
+def endpoint_payloads(cfg: DataFrame, keep=("seq",)) -> DataFrame:
+    """PRJ8 + PRJ9 per endpoint row: reject reason, and the JSON create request when
+    not rejected. The JSON columns are parsed once, in their own projection."""
+    p = cfg.select(*keep, "name", "description", "route_optimized", "tags",
+                   capture_map(F.col("auto_capture_config")).alias("_acc"),
+                   served_entities(F.col("served_entities")).alias("_ents"))
+    reason = payload_reject_reason(p, F.col("_ents"), F.col("_acc"))
+    body = endpoint_payload(p, F.col("_ents"), F.col("_acc"))
+    return p.select(*keep, reason.alias("reject_reason"), F.when(reason.isNull(), body).alias("payload"))
+
+
+def endpoint_payload(cfg: DataFrame, ents: Column | None = None, acc: Column | None = None) -> Column:
     """PRJ8: JSON create request. Null fields of the core request are kept;
     description / route_optimized / tags appear only when set."""
-    ent = F.get(served_entities(F.col("served_entities")), 0)
-    acc = capture_map(F.col("auto_capture_config"))
+    ent = F.get(served_entities(F.col("served_entities")) if ents is None else ents, 0)
+    acc = capture_map(F.col("auto_capture_config")) if acc is None else acc
     enabled = F.when(F.map_contains_key(acc, "enabled"), F.element_at(acc, "enabled").cast("boolean")) \
         .otherwise(F.lit(True))
     core = F.struct(

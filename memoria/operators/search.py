@@ -3,9 +3,11 @@
 Design (no pair rows are ever materialised):
 * the query table is split into chunks whose size is bounded in bytes; each
   chunk is shipped once as a broadcast variable (proven size bound);
-* every task multiplies its batch of memory vectors with the chunk's queries of
-  the same scope (agent) in numpy and emits only its local top-k per query
-  (ties at the k-th value are all kept, so the merge is exact);
+* every task multiplies its memory vectors with the chunk's queries of the
+  same scope (agent) in numpy, tile by tile (bounded memory), keeps a running
+  top-k per query by (similarity desc, id asc) and emits it once at the end
+  of its partition -- at most k rows per query per task, and the merge is
+  exact because the order is total;
 * the global top-k per query is a ``row_number`` window, which Spark plans with
   a partial ``WindowGroupLimit`` before the shuffle, so a query with many
   candidates never moves more than k rows per partition.
@@ -48,9 +50,33 @@ def _list_matrix(arr: pa.Array) -> np.ndarray:
     return out
 
 
+# elements of one similarity tile (queries x vectors) held at once in a task
+TILE_ELEMENTS = 16 << 20
+
+
+def _topk_rows(S: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Column indices of the top ``k`` of every row of ``S`` by (value desc, id asc).
+
+    ``ids`` has the shape of ``S``. Vectorised ``argpartition``; only rows with
+    a tie at the k-th value are resolved one by one, so the order is total and
+    merging per-task results stays exact.
+    """
+    m = S.shape[1]
+    kk = min(k, m)
+    part = np.argpartition(-S, kk - 1, axis=1)[:, :kk]
+    vals = np.take_along_axis(S, part, 1)
+    kth = vals.min(axis=1)
+    tied = np.nonzero(np.isfinite(kth) & ((S == kth[:, None]).sum(1) > (vals == kth[:, None]).sum(1)))[0]
+    for r in tied:
+        cand = np.nonzero(S[r] >= kth[r])[0]
+        part[r] = sorted(cand, key=lambda j: (-S[r, j], ids[r, j]))[:kk]
+    return part
+
+
 def _local_topk_fn(bc, k: int, scope: str):
     def run(batches):
         chunk = bc.value  # scope value -> (query ids, unit query matrix)
+        best = {}  # scope value -> (sims (q, k), ids (q, k)) running top-k of this task
         for b in batches:
             if b.num_rows == 0:
                 continue
@@ -64,24 +90,38 @@ def _local_topk_fn(bc, k: int, scope: str):
             if len(ids) == 0:
                 continue
             V = _unit_rows(_list_matrix(vec))
-            out_q, out_id, out_s = [], [], []
-            for sv in np.unique(scopes):
-                if sv not in chunk:
+            for sv in set(scopes.tolist()):
+                if sv is None or sv not in chunk:
                     continue
                 qids, Q = chunk[sv]
                 idx = np.nonzero(scopes == sv)[0]
-                S = Q @ V[idx].T  # (queries, vectors)
-                S = np.where(np.isnan(S), -np.inf, S)
-                kk = min(k, S.shape[1])
-                kth = np.partition(S, S.shape[1] - kk, axis=1)[:, S.shape[1] - kk]
-                qi, vi = np.nonzero((S >= kth[:, None]) & np.isfinite(S))
-                out_q.append(qids[qi]); out_id.append(ids[idx[vi]]); out_s.append(S[qi, vi])
-            if out_q:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(out_q), pa.int64()),
-                     pa.array(np.concatenate(out_id).astype(object), pa.string()),
-                     pa.array(np.concatenate(out_s), pa.float64())],
-                    names=["query_id", "id", "similarity"])
+                Vs, Is = V[idx], ids[idx]
+                if sv not in best:
+                    best[sv] = (np.full((len(qids), k), -np.inf), np.full((len(qids), k), None, dtype=object))
+                bs, bi = best[sv]
+                step = max(1, TILE_ELEMENTS // max(len(idx), 1))
+                for q0 in range(0, len(qids), step):
+                    q1 = min(q0 + step, len(qids))
+                    S = Q[q0:q1] @ Vs.T
+                    S = np.where(np.isnan(S), -np.inf, S)
+                    top = _topk_rows(S, np.broadcast_to(Is, S.shape), k)
+                    cs = np.concatenate([bs[q0:q1], np.take_along_axis(S, top, 1)], axis=1)
+                    ci = np.concatenate([bi[q0:q1], Is[top]], axis=1)
+                    ci_key = np.where(ci == None, "\U0010FFFF", ci)  # noqa: E711 - empty slots sort last
+                    keep_idx = _topk_rows(cs, ci_key, k)
+                    bs[q0:q1] = np.take_along_axis(cs, keep_idx, 1)
+                    bi[q0:q1] = np.take_along_axis(ci, keep_idx, 1)
+        out_q, out_id, out_s = [], [], []
+        for sv, (bs, bi) in best.items():
+            qids = chunk[sv][0]
+            r, c = np.nonzero(np.isfinite(bs))
+            out_q.append(qids[r]); out_id.append(bi[r, c]); out_s.append(bs[r, c])
+        if out_q:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(out_q), pa.int64()),
+                 pa.array(np.concatenate(out_id).astype(object), pa.string()),
+                 pa.array(np.concatenate(out_s), pa.float64())],
+                names=["query_id", "id", "similarity"])
     return run
 
 
@@ -110,7 +150,7 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, scope: str = "agent_id")
         qids = tbl.column("query_id").to_numpy()
         scopes = tbl.column(scope).to_numpy(zero_copy_only=False)
         Q = _unit_rows(_list_matrix(tbl.column("vector")))
-        chunk = {sv: (qids[scopes == sv], Q[scopes == sv]) for sv in np.unique(scopes)}
+        chunk = {sv: (qids[scopes == sv], Q[scopes == sv]) for sv in set(scopes.tolist()) if sv is not None}
         bc = spark.sparkContext.broadcast(chunk)
         parts.append(v.mapInArrow(_local_topk_fn(bc, k, scope), _CAND_SCHEMA))
     cands = parts[0]

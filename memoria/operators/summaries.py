@@ -106,11 +106,32 @@ def memory_groups(rows: DataFrame, thread: str = "thread_id") -> DataFrame:
     return g.withColumn("group_order", F.row_number().over(Window.partitionBy(thread).orderBy("first_seq")))
 
 
-def _ordered_join(rows: DataFrame, keys, order_col: str, value_col: str, sep: str = ", ") -> DataFrame:
-    """Ordered string aggregation per key (text of the group in ``order_col`` order)."""
-    return rows.groupBy(*keys).agg(
+# rows of one partial text in the two-level ordered string aggregation
+TEXT_BLOCK_ROWS = 1 << 16
+
+
+def ordered_join(rows: DataFrame, keys, order_col: str, value_col: str, sep: str = ", ",
+                 block: int | None = None) -> DataFrame:
+    """Text of each key group in ``order_col`` order, joined by ``sep``.
+
+    With ``block`` (an integer ``order_col``) the text is built in two levels:
+    partial texts per (key, order_col div block) -- a hot key is spread over
+    many tasks -- then the partials are joined in block order. Only the final
+    string (the result itself) is held per key.
+    """
+    keys = list(keys)
+    if block is None:
+        return rows.groupBy(*keys).agg(
+            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order_col, value_col))),
+                                     lambda x: x[value_col]), sep).alias("text"))
+    part = rows.groupBy(*keys, F.floor(F.col(order_col) / F.lit(block)).alias("_blk")).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order_col, value_col))),
-                                 lambda x: x[value_col]), sep).alias("text"))
+                                 lambda x: x[value_col]), sep).alias("_part"))
+    return part.groupBy(*keys).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_blk", "_part"))),
+                                 lambda x: x["_part"]), sep).alias("text"))
+
+
 
 
 def summary_text(summarizable: DataFrame, thread: str = "thread_id") -> DataFrame:
@@ -123,16 +144,16 @@ def summary_text(summarizable: DataFrame, thread: str = "thread_id") -> DataFram
     groups = memory_groups(summarizable, thread)
     pref = top_k(summarizable.where(F.col("memory_type") == "preference"), [thread], [F.asc("seq")],
                  PREFERENCE_ITEMS, "pos")
-    pref_line = _ordered_join(pref, [thread], "pos", "observation") \
+    pref_line = ordered_join(pref, [thread], "pos", "observation") \
         .select(thread, F.lit("preference").alias("memory_type"),
                 F.concat(F.lit("Key preferences: "), "text").alias("line"))
     inter = top_k(summarizable.where(F.col("memory_type") == "interaction"), [thread],
                   [F.desc("created_at"), F.asc("seq")], INTERACTION_ITEMS, "pos")
-    inter_line = _ordered_join(inter, [thread], "pos", "action") \
+    inter_line = ordered_join(inter, [thread], "pos", "action") \
         .select(thread, F.lit("interaction").alias("memory_type"),
                 F.concat(F.lit("Recent interactions focused on: "), "text").alias("line"))
     skill = summarizable.where(F.col("memory_type") == "skill")
-    skill_line = _ordered_join(skill, [thread], "seq", "observation") \
+    skill_line = ordered_join(skill, [thread], "seq", "observation", block=TEXT_BLOCK_ROWS) \
         .select(thread, F.lit("skill").alias("memory_type"),
                 F.concat(F.lit("Demonstrated skills: "), "text").alias("line"))
     lines = pref_line.unionByName(inter_line).unionByName(skill_line)

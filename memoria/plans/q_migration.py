@@ -34,18 +34,15 @@ def q_lookup(spark, sf_dir):
 
 @query("inference_table_name")
 def q_table_name(spark, sf_dir):
-    e = d.endpoints(_t(spark, sf_dir))
-    n = mig.inference_table_name(F.col("auto_capture_config"))
-    return e.select("seq", n["old_table"].alias("old_table"), n["new_table"].alias("new_table"),
-                    n["message"].alias("message"))
+    e = d.endpoints(_t(spark, sf_dir)).select(
+        "seq", "auto_capture_config", mig.capture_map(F.col("auto_capture_config")).alias("_acc"))
+    n = e.select("seq", mig.inference_table_name(F.col("auto_capture_config"), F.col("_acc")).alias("n"))
+    return n.select("seq", "n.old_table", "n.new_table", "n.message")
 
 
 @query("endpoint_payload")
 def q_payload(spark, sf_dir):
-    e = d.endpoints(_t(spark, sf_dir))
-    reason = mig.payload_reject_reason(e)
-    return e.select("seq", reason.alias("reject_reason"),
-                    F.when(reason.isNull(), mig.endpoint_payload(e)).alias("payload"))
+    return mig.endpoint_payloads(d.endpoints(_t(spark, sf_dir)))
 
 
 @query("migration_steps")

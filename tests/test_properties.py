@@ -101,3 +101,25 @@ def test_levels_forest_and_dag_agree(spark):
     assert got == {1: 0, 2: 1, 3: 2, 4: 3, 5: 1, 6: 2, 7: 4}
     dag = edges.union(spark.createDataFrame([(6, 4)], "node long, upstream long"))
     assert dict(snap.migration_order(dag).collect())[6] == 4
+
+
+def test_knn_exact_with_ties_and_small_batches(spark):
+    import numpy as np
+
+    from memoria.operators.search import knn
+    vec_rows = [(f"v{i:03d}", "a" if i % 2 else "b", [float(i % 4), 1.0]) for i in range(60)]
+    q_rows = [(1, "a", [1.0, 1.0]), (2, "b", [0.0, 1.0]), (3, "a", [3.0, 1.0]), (4, "c", [1.0, 0.0])]
+    vectors = spark.createDataFrame(vec_rows, "id string, agent_id string, vector array<double>").repartition(3)
+    queries = spark.createDataFrame(q_rows, "query_id long, agent_id string, vector array<double>")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = sorted((r["query_id"], r["id"], round(r["similarity"], 9)) for r in knn(vectors, queries, 3).collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    want = []
+    for qid, agent, qv in q_rows:
+        q = np.array(qv) / np.linalg.norm(qv)
+        cand = [(-round(float(q @ (np.array(v) / np.linalg.norm(v))), 9), i) for i, a, v in vec_rows if a == agent]
+        want += [(qid, i, -s) for s, i in sorted(cand)[:3]]
+    assert got == sorted(want)

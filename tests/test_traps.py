@@ -147,3 +147,26 @@ def test_partial_summaries_mark_first_50(spark):
     s, marked = summ.summarize_conversations(m, AS_OF)
     assert s.first()["message_count"] == 60
     assert marked.where("is_summarized").count() == 50
+
+
+def test_json_helpers(spark):
+    from pyspark.sql import types as T
+
+    from memoria.functions.jsonfn import parse_or_default, parse_python_literal
+    df = spark.createDataFrame([("{'a': 1, 'b': None, 'c': 'None here'}",), ("not json",), (None,)], "v string")
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.StringType()),
+                           T.StructField("c", T.StringType())])
+    rows = df.select(parse_python_literal(F.col("v"), schema).alias("p")).collect()
+    assert (rows[0]["p"]["a"], rows[0]["p"]["b"], rows[0]["p"]["c"]) == (1, None, "None here")
+    d = df.select(parse_or_default(F.col("v"), "map<string,string>", F.create_map().cast("map<string,string>")).alias("m"))
+    assert [len(r["m"]) if r["m"] is not None else None for r in d.collect()][1:] == [0, 0]
+
+
+def test_name_list_and_missing_keys(spark):
+    df = spark.createDataFrame([('["a", "b"]',), ("[]",), ("{",)], "value string")
+    out = mig.parse_name_list(df).collect()
+    assert out[0]["_names"] == ["a", "b"] and out[0]["error"] is None
+    assert out[1]["error"] == "Endpoint list is empty" and out[2]["error"] == "Invalid JSON format"
+    cfg = spark.createDataFrame([("https://x", None), ("", "y")], "workspace_url string, token string")
+    got = [r["missing_keys"] for r in mig.missing_keys(cfg, ["workspace_url", "token"]).collect()]
+    assert got == [["token"], ["workspace_url"]]
