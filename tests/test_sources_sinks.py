@@ -61,3 +61,17 @@ def test_catalog_describe_properties_rename(spark):
     name, renamed, _ = sinks.rename_to_legacy(spark, "spark_catalog.mig.orders_src")
     assert renamed and landed.table_exists(spark, "mig.orders_src_legacy")
     assert sinks.rename_to_legacy(spark, "spark_catalog.mig.nope")[1] is False
+
+
+def test_memory_store_prunes_partitions_and_pushes_filters(spark, tmp_out):
+    from memoria.functions.timefn import as_of_lit
+    from memoria.sources.store import read_memory_store, write_memory_store
+    m = d.memories(Tables(spark, SF)).drop("meta_data")
+    path = os.path.join(tmp_out, "store")
+    write_memory_store(m, path)
+    q = read_memory_store(spark, path, "agent_1").where(F.col("expires_at") < as_of_lit()).select("id", "expires_at")
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(agent_id" in plan and "agent_1" in plan
+    assert "PushedFilters: [IsNotNull(expires_at), LessThan(expires_at" in plan
+    assert "ReadSchema: struct<id:string,expires_at:timestamp_ntz>" in plan
+    assert q.count() == m.where((F.col("agent_id") == "agent_1") & (F.col("expires_at") < as_of_lit())).count()
