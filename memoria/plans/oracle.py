@@ -998,3 +998,13 @@ SELECT thread_id, COUNT(*) AS memory_count,
        ROUND((epoch_us({AS_OF}) - epoch_us(MAX(created_at))) / 1000000.0, 6) AS seconds_since,
        (epoch_us({AS_OF}) - epoch_us(MAX(created_at))) / 1000000.0 > 3600 OR COUNT(*) > 45 AS run_maintenance
 FROM experiences GROUP BY thread_id""")
+
+# stream TTL: alive once the watermark (latest event time, millisecond precision) has passed
+oracle("store_ttl_stream", ("store_entries",), """
+WITH e AS (
+  SELECT prefix, key,
+         CASE WHEN ttl_minutes IS NOT NULL THEN
+           make_timestamp((epoch_us(created_at) // 1000) * 1000 + CAST(ttl_minutes AS BIGINT) * 60000000) END AS expires_at
+  FROM store_entries),
+wm AS (SELECT make_timestamp((epoch_us(MAX(ts)) // 1000) * 1000) AS w FROM events)
+SELECT prefix, key, expires_at FROM e, wm WHERE expires_at IS NULL OR expires_at > wm.w""")

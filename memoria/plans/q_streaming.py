@@ -61,3 +61,15 @@ def q_gate(spark, sf_dir):
                                        F.max("created_at").alias("last_maintenance"))
     g = jobs.maintenance_gate(state, MAX_MEMORIES)
     return g.select("thread_id", "memory_count", F.round("seconds_since", 6).alias("seconds_since"), "run_maintenance")
+
+
+@query("store_ttl_stream")
+def q_store_ttl_stream(spark, sf_dir):
+    from ..streaming.ttl import live_entries, store_ttl_stream
+    entries = d.store_entries(Tables(spark, sf_dir)).select("prefix", "key", "value", "created_at", "ttl_minutes")
+    run = jobs.run_folder(spark, "store_ttl")
+    landing = jobs.land(entries, os.path.join(run, "landing"))
+    out = os.path.join(run, "out")
+    store_ttl_stream(spark, landing, out, os.path.join(run, "checkpoint"), entries.schema)
+    live = live_entries(spark, out)
+    return live.select("prefix", "key", F.col("expires_at").cast("timestamp_ntz").alias("expires_at"))
