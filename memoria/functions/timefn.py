@@ -48,3 +48,13 @@ def plus_days(ts: Column, days: Column | int) -> Column:
 def plus_hours(ts: Column, hours: Column | int) -> Column:
     hours = hours if isinstance(hours, Column) else F.lit(hours)
     return ts + F.make_dt_interval(F.lit(0), hours.cast("int"))
+
+
+def time_id(ts: Column, prefix: str = "") -> Column:
+    """SC6: an id from a time, ``yyyyMMdd_HHmmss`` (e.g. ``summary_20240201_000000``)."""
+    return F.concat(F.lit(prefix), F.date_format(ts, "yyyyMMdd_HHmmss"))
+
+
+def iso_text(ts: Column) -> Column:
+    """SC3: ISO-8601 text of a timestamp (microseconds)."""
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")

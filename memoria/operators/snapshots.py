@@ -137,7 +137,8 @@ def primary_key_check(df: DataFrame, key) -> DataFrame:
 def row_count(df: DataFrame, name: str) -> DataFrame:
     """AG8 (+ SRC4): rows and columns of a table."""
     return df.agg(F.count(F.lit(1)).alias("row_count")).select(
-        F.lit(name).alias("table_name"), "row_count", F.lit(len(df.columns)).alias("column_count"))
+        F.lit(name).alias("table_name"), "row_count", F.format_number("row_count", 0).alias("row_count_text"),
+        F.lit(len(df.columns)).alias("column_count"))
 
 
 def row_drift(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -765,8 +765,9 @@ SELECT * FROM orders_old WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders_
 UNION ALL SELECT * FROM orders_new""", ("orders_old", "orders_new"))
 
 oracle("row_count", ("orders_old", "orders_new"), """
-SELECT 'orders_old' AS table_name, COUNT(*) AS row_count, 6 AS column_count FROM orders_old
-UNION ALL SELECT 'orders_new', COUNT(*), 6 FROM orders_new""")
+SELECT table_name, row_count, format('{:,}', row_count) AS row_count_text, column_count FROM (
+  SELECT 'orders_old' AS table_name, COUNT(*) AS row_count, 6 AS column_count FROM orders_old
+  UNION ALL SELECT 'orders_new', COUNT(*), 6 FROM orders_new)""")
 
 oracle("row_drift", ("orders_old", "orders_new"), """
 SELECT (SELECT COUNT(*) FROM orders_old) AS rows_before, (SELECT COUNT(*) FROM orders_new) AS rows_after,

@@ -153,7 +153,7 @@ def q_table_check(spark, sf_dir):
     t = _t(spark, sf_dir)
     src, new = d.orders_old(t), d.orders_new(t)
     target = snap.publish_merge(src, new, ORDER_KEY)
-    rc = snap.row_count(src, "orders_old")
+    rc = snap.row_count(src, "orders_old").drop("row_count_text")
     drift = snap.row_drift(src, target)
     ck = snap.table_checksum(target)
     return rc.select("table_name", F.col("row_count").alias("source_rows"), F.col("column_count").alias("source_columns"),

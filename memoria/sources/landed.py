@@ -61,3 +61,9 @@ def table_properties(spark: SparkSession, name: str) -> DataFrame:
 def table_exists(spark: SparkSession, name: str) -> bool:
     """SRC6."""
     return spark.catalog.tableExists(name)
+
+
+def schema_preview(described: DataFrame, shown: int = 5) -> DataFrame:
+    """SRT8: the first ``shown`` columns by ordinal and how many more there are."""
+    more = described.agg(F.count(F.lit(1))).scalar()
+    return described.where(F.col("ordinal") <= shown).withColumn("more", F.greatest(more - F.lit(shown), F.lit(0)))

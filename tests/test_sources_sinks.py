@@ -75,3 +75,23 @@ def test_memory_store_prunes_partitions_and_pushes_filters(spark, tmp_out):
     assert "PushedFilters: [IsNotNull(expires_at), LessThan(expires_at" in plan
     assert "ReadSchema: struct<id:string,expires_at:timestamp_ntz>" in plan
     assert q.count() == m.where((F.col("agent_id") == "agent_1") & (F.col("expires_at") < as_of_lit())).count()
+
+
+def test_append_memories_and_schema_preview(spark, tmp_out):
+    import datetime as dt
+
+    from memoria.functions.timefn import iso_text, time_id
+    from memoria.operators.migration import provider_warning
+    req = spark.createDataFrame([("r1", "s", "fact", "hello"), ("r2", "", "fact", "dropped")],
+                                "id string, session_id string, memory_type string, content string")
+    path = os.path.join(tmp_out, "memories")
+    rows = sinks.append_memories(req, path, as_of=dt.datetime(2024, 2, 1))
+    assert rows.count() == 1 and spark.read.parquet(path).count() == 1
+    spark.read.parquet(f"{SF}/orders.parquet").write.mode("overwrite").saveAsTable("orders_preview")
+    prev = landed.schema_preview(landed.describe_table(spark, "orders_preview")).collect()
+    assert len(prev) == 5 and prev[0]["more"] == 1
+    df = spark.createDataFrame([({"provider": "PARQUET"},), ({"provider": "Delta"},), ({},)], "p map<string,string>")
+    assert [r[0] is not None for r in df.select(provider_warning(F.col("p"))).collect()] == [True, False, False]
+    ts = spark.createDataFrame([(dt.datetime(2024, 2, 1, 13, 5, 9),)], "t timestamp_ntz")
+    r = ts.select(time_id(F.col("t"), "summary_"), iso_text(F.col("t"))).first()
+    assert tuple(r) == ("summary_20240201_130509", "2024-02-01T13:05:09.000000")
