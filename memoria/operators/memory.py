@@ -309,15 +309,19 @@ def save_interaction(pairs: DataFrame, as_of=None) -> DataFrame:
 
 
 def memory_neighbors(memories: DataFrame, edges: DataFrame) -> DataFrame:
-    """JN5: related memories of each memory, outgoing and incoming, with edge data."""
+    """JN5: related memories of each memory, outgoing and incoming, with edge data.
+
+    Edges whose ends both exist are joined with the type of each end once;
+    one explode emits both directions (no union re-reading the inputs).
+    """
     m = memories.select("id", "memory_type")
     e = edges.select("source_id", "target_id", "relationship_type", "strength")
-    valid = e.join(m.select(F.col("id").alias("source_id")), "source_id", "left_semi") \
-             .join(m.select(F.col("id").alias("target_id")), "target_id", "left_semi")
-    out_ = valid.select(F.col("source_id").alias("memory_id"), F.col("target_id").alias("neighbor_id"),
-                        F.lit("outgoing").alias("direction"), "relationship_type", "strength")
-    in_ = valid.select(F.col("target_id").alias("memory_id"), F.col("source_id").alias("neighbor_id"),
-                       F.lit("incoming").alias("direction"), "relationship_type", "strength")
-    both = out_.unionByName(in_)
-    return both.join(m.select(F.col("id").alias("neighbor_id"), F.col("memory_type").alias("neighbor_type")),
-                     "neighbor_id", "inner")
+    j = e.join(m.select(F.col("id").alias("source_id"), F.col("memory_type").alias("_st")), "source_id", "inner") \
+         .join(m.select(F.col("id").alias("target_id"), F.col("memory_type").alias("_tt")), "target_id", "inner")
+    dirs = F.array(
+        F.struct(F.col("source_id").alias("memory_id"), F.col("target_id").alias("neighbor_id"),
+                 F.lit("outgoing").alias("direction"), F.col("_tt").alias("neighbor_type")),
+        F.struct(F.col("target_id").alias("memory_id"), F.col("source_id").alias("neighbor_id"),
+                 F.lit("incoming").alias("direction"), F.col("_st").alias("neighbor_type")))
+    x = j.select("relationship_type", "strength", F.explode(dirs).alias("d"))
+    return x.select("d.memory_id", "d.neighbor_id", "d.direction", "relationship_type", "strength", "d.neighbor_type")

@@ -64,10 +64,13 @@ def forget_score(as_of=None) -> Column:
 def forgetting_policy(memories: DataFrame, edges: DataFrame, vectors: DataFrame, as_of=None):
     """CMP2: remove expired (FLT3) and low-value (FLT4) memories from all three tables.
 
-    The forgotten id set is one plan fragment; the three anti joins reuse its
-    exchange, so all tables see the same set for a given ``as_of``.
+    The forgotten id set is computed once and written with a reliable
+    checkpoint (eager), so all three tables see the same set and the memory
+    table is not rescanned per anti join.
     """
-    gone = memories.where(forget_flag(as_of)).select(F.col("id").alias("_gone"))
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(memories.sparkSession)
+    gone = memories.where(forget_flag(as_of)).select(F.col("id").alias("_gone")).checkpoint()
     kept_m = memories.join(gone, memories["id"] == gone["_gone"], "left_anti")
     kept_e = edges.join(gone, edges["source_id"] == gone["_gone"], "left_anti")
     kept_e = kept_e.join(gone, kept_e["target_id"] == gone["_gone"], "left_anti")

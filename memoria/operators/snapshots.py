@@ -123,15 +123,27 @@ def table_checksum(df: DataFrame, cols=None) -> DataFrame:
 
 
 def primary_key_check(df: DataFrame, key) -> DataFrame:
-    """AG23: null keys, duplicated key values, rows in duplicated keys, verdict."""
+    """AG23: null keys, duplicated key values, rows in duplicated keys, verdict.
+
+    One grouping by the key (partial aggregation) and one tiny aggregate over
+    the groups: the table is scanned once.
+    """
     keys = _keys(key)
     any_null = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-    nulls = df.agg(F.count_if(any_null).alias("null_keys"))
-    dup = df.where(~any_null).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1) \
-        .agg(F.count(F.lit(1)).alias("duplicate_keys"), F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("duplicate_rows"))
-    return nulls.select("null_keys", dup.select("duplicate_keys").scalar().alias("duplicate_keys"),
-                        dup.select("duplicate_rows").scalar().alias("duplicate_rows")) \
-        .withColumn("is_valid", (F.col("null_keys") == 0) & (F.col("duplicate_keys") == 0))
+    g = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).withColumn("_null", any_null)
+    dup = ~F.col("_null") & (F.col("_n") > 1)
+    out = g.agg(F.coalesce(F.sum(F.when(F.col("_null"), F.col("_n"))), F.lit(0)).cast("long").alias("null_keys"),
+                F.count_if(dup).alias("duplicate_keys"),
+                F.coalesce(F.sum(F.when(dup, F.col("_n"))), F.lit(0)).cast("long").alias("duplicate_rows"))
+    return out.withColumn("is_valid", (F.col("null_keys") == 0) & (F.col("duplicate_keys") == 0))
+
+
+def table_stats(tables: dict, cols=None) -> DataFrame:
+    """Row count and checksum of several tables in one aggregation (one row per name)."""
+    parts = [df.select(F.lit(name).alias("table_name"), canonical_text(df, cols).alias("_t")) for name, df in tables.items()]
+    u = reduce(lambda a, b: a.unionByName(b), parts)
+    h = F.conv(F.substring(F.md5(F.col("_t")), 1, 15), 16, 10).cast("decimal(38,0)")
+    return u.groupBy("table_name").agg(F.count(F.lit(1)).alias("row_count"), F.sum(h).cast("string").alias("checksum"))
 
 
 def row_count(df: DataFrame, name: str) -> DataFrame:

@@ -66,7 +66,10 @@ def summarize_conversations(memories: DataFrame, as_of=None):
     Returns (summary_rows, updated_memories). The summary text is the dialogue
     of the first 50 messages (model call not built).
     """
-    cand = summarize_candidates(memories, as_of)
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(memories.sparkSession)
+    # used for the summary rows and the marks: written once (eager), bounded per session
+    cand = summarize_candidates(memories, as_of).checkpoint()
     now = as_of_lit(as_of)
     summaries = cand.select(
         F.sha2(F.concat_ws("|", F.lit("summary"), "agent_id", "session_id", now.cast("string")), 256).alias("id"),
@@ -85,10 +88,20 @@ def summarize_conversations(memories: DataFrame, as_of=None):
 # ------------------------------------------------------------ experience store
 def maintenance_plan(experiences: DataFrame, max_memories: int = 1000, as_of=None,
                      threshold_days: int = EXPERIENCE_SUMMARY_DAYS) -> dict:
-    """CMP4 building blocks per thread: forgotten rows, remaining rows, gate, summarizable rows."""
+    """CMP4 building blocks per thread: forgotten rows, remaining rows, gate, summarizable rows.
+
+    The remaining rows and the summarizable rows feed several branches (gate,
+    per-type texts, the next snapshot); each is written once with a reliable
+    checkpoint to the shared folder, so the store is scanned and ranked once
+    instead of once per branch (eager: two jobs).
+    """
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(experiences.sparkSession)
     forgotten = forget_ranking(experiences, max_memories, as_of)
-    remaining = experiences.join(forgotten.select("thread_id", "seq"), ["thread_id", "seq"], "left_anti")
-    age = age_days(as_of)
+    gone = forgotten.select("thread_id", "seq", F.lit(True).alias("_gone"))
+    remaining = experiences.join(gone, ["thread_id", "seq"], "left").where(F.col("_gone").isNull()) \
+        .drop("_gone").withColumn("age_days", age_days(as_of)).checkpoint()
+    age = F.col("age_days")
     gate = remaining.groupBy("thread_id").agg(
         F.count_if(age > threshold_days).alias("old_count"),
         F.count_if((age > threshold_days) & (F.col("importance") != CRITICAL)).alias("summarizable_count"))
@@ -96,8 +109,9 @@ def maintenance_plan(experiences: DataFrame, max_memories: int = 1000, as_of=Non
                .withColumn("will_summarize", F.col("should_summarize")
                            & (F.col("summarizable_count") > EXPERIENCE_GATE_SUMMARIZABLE))
     summarizable = remaining.where((age > threshold_days) & (F.col("importance") != CRITICAL)) \
-        .join(gate.where("will_summarize").select("thread_id"), "thread_id", "left_semi")
-    return {"forgotten": forgotten, "remaining": remaining, "gate": gate, "summarizable": summarizable}
+        .join(gate.where("will_summarize").select("thread_id"), "thread_id", "left_semi").checkpoint()
+    return {"forgotten": forgotten, "remaining": remaining.drop("age_days"), "gate": gate,
+            "summarizable": summarizable.drop("age_days")}
 
 
 def memory_groups(rows: DataFrame, thread: str = "thread_id") -> DataFrame:

@@ -149,17 +149,18 @@ def q_pk(spark, sf_dir):
 
 @query("table_migration_check")
 def q_table_check(spark, sf_dir):
-    """CMP11: source profile, publish, drift and checksum of the published target."""
+    """CMP11: source profile, publish, drift and checksum of the published target
+    (both tables profiled in one aggregation)."""
     t = _t(spark, sf_dir)
     src, new = d.orders_old(t), d.orders_new(t)
     target = snap.publish_merge(src, new, ORDER_KEY)
-    rc = snap.row_count(src, "orders_old").drop("row_count_text")
-    drift = snap.row_drift(src, target)
-    ck = snap.table_checksum(target)
-    return rc.select("table_name", F.col("row_count").alias("source_rows"), F.col("column_count").alias("source_columns"),
-                     drift.select("rows_after").scalar().alias("target_rows"),
-                     drift.select("changed").scalar().alias("row_count_changed"),
-                     ck.select("checksum").scalar().alias("target_checksum"))
+    st = snap.table_stats({"source": src, "target": target})
+    one = st.agg(*[F.max(F.when(F.col("table_name") == n, F.col(c))).alias(f"{n}_{c}")
+                   for n in ("source", "target") for c in ("row_count", "checksum")])
+    return one.select(F.lit("orders_old").alias("table_name"), F.col("source_row_count").alias("source_rows"),
+                      F.lit(len(src.columns)).alias("source_columns"), F.col("target_row_count").alias("target_rows"),
+                      (F.col("source_row_count") != F.col("target_row_count")).alias("row_count_changed"),
+                      F.col("target_checksum").alias("target_checksum"))
 
 
 @query("migration_order")
