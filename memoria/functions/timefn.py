@@ -22,8 +22,10 @@ def as_of_lit(as_of: dt.datetime | str | None = None) -> Column:
     return F.lit(as_of.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz")
 
 
-def _micros(c: Column) -> Column:
-    return F.unix_micros(c.cast("timestamp"))
+def micros_between(later: Column, earlier: Column) -> Column:
+    """Exact elapsed microseconds. ``timestamp_ntz`` arithmetic has no time zone,
+    so the result does not depend on the session time zone (no DST shifts)."""
+    return F.timestamp_diff("MICROSECOND", earlier, later)
 
 
 def days_between(later: Column, earlier: Column) -> Column:
@@ -32,12 +34,25 @@ def days_between(later: Column, earlier: Column) -> Column:
     Equals Python's ``(later - earlier).days``: negative gaps floor towards
     minus infinity, 23 hours across midnight is 0.
     """
-    return F.floor((_micros(later) - _micros(earlier)) / F.lit(86_400_000_000)).cast("bigint")
+    return F.floor(micros_between(later, earlier) / F.lit(86_400_000_000)).cast("bigint")
 
 
 def seconds_between(later: Column, earlier: Column) -> Column:
     """Total elapsed seconds as a double (days included)."""
-    return (_micros(later) - _micros(earlier)).cast("double") / F.lit(1_000_000.0)
+    return micros_between(later, earlier).cast("double") / F.lit(1_000_000.0)
+
+
+EPOCH_NTZ = "1970-01-01 00:00:00"
+
+
+def epoch_millis(ts: Column) -> Column:
+    """Milliseconds since 1970-01-01 of a ``timestamp_ntz`` (time-zone free)."""
+    return F.timestamp_diff("MILLISECOND", F.lit(EPOCH_NTZ).cast("timestamp_ntz"), ts)
+
+
+def from_epoch_millis(ms: Column) -> Column:
+    """``timestamp_ntz`` from milliseconds since 1970-01-01 (time-zone free)."""
+    return F.timestamp_add("MILLISECOND", ms, F.lit(EPOCH_NTZ).cast("timestamp_ntz"))
 
 
 def plus_days(ts: Column, days: Column | int) -> Column:

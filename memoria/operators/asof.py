@@ -28,65 +28,54 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _key_change(cols) -> np.ndarray:
-    n = len(cols[0])
-    change = np.zeros(n, dtype=bool)
-    for v in cols:
-        a = np.asarray(v, dtype=object)
-        if n > 1:
-            change[1:] |= np.array([not (x == y or (x is None and y is None)) for x, y in zip(a[1:], a[:-1])])
-    return change
+def _resolve_fn(keys, feat_cols, out_names):
+    import pyarrow.compute as pc
 
+    from .ranking import _first_last, key_changes
 
-def _resolve_fn(keys, feat_cols, out_names):
     def run(batches):
         carry_key, carry_vals, carry_has = None, None, False
         for b in batches:
             n = b.num_rows
             if n == 0:
                 continue
-            kcols = [b.column(k).to_pylist() for k in keys]
+            kcols = [b.column(k).to_pandas() for k in keys]
             kind = b.column("_kind").to_numpy(zero_copy_only=False)
-            change = _key_change(kcols)
-            first_key = tuple(c[0] for c in kcols)
-            continues = carry_key is not None and all(x == y or (x is None and y is None)
-                                                      for x, y in zip(first_key, carry_key))
-            change[0] = True
+            change = key_changes(kcols)
+            continues = carry_key is not None and _first_last(kcols, 0) == carry_key
             idx = np.arange(n)
             seg_start = np.maximum.accumulate(np.where(change, idx, 0))
             feat_idx = np.maximum.accumulate(np.where(kind == 0, idx, -1))
             found = feat_idx >= seg_start
             first_seg = seg_start == 0
-            use_carry = first_seg & ~found & continues & carry_has
+            use_carry = first_seg & ~found & bool(continues and carry_has)
             is_open = first_seg & ~found & (not (continues and carry_has))
-            src = np.where(found, feat_idx, 0)
-            lab = kind == 1
-            cols = {}
-            for c in feat_cols:
-                vals = b.column(c).to_pylist()
-                ci = feat_cols.index(c)
-                cols[c] = [vals[src[i]] if found[i] else (carry_vals[ci] if use_carry[i] else None)
-                           for i in range(n)]
+            # source row of every value: own feature row, the carried value (index n), or none
+            src = np.where(found, feat_idx, np.where(use_carry, n, -1))
+            lab = np.nonzero(kind == 1)[0]
             # state for the next batch: last key and its last feature
-            last_key = tuple(c[n - 1] for c in kcols)
-            last_seg_start = seg_start[n - 1]
-            if feat_idx[n - 1] >= last_seg_start:
-                carry_vals = [cols_all[feat_idx[n - 1]] for cols_all in (b.column(c).to_pylist() for c in feat_cols)]
+            last_key = _first_last(kcols, n - 1)
+            if feat_idx[n - 1] >= seg_start[n - 1]:
+                carry_vals = [b.column(c)[int(feat_idx[n - 1])].as_py() for c in feat_cols]
                 carry_has = True
-            elif not (last_seg_start == 0 and continues):
+            elif not (seg_start[n - 1] == 0 and continues):
                 carry_has = False
             carry_key = last_key
-            sel = np.nonzero(lab)[0]
-            if len(sel) == 0:
+            if len(lab) == 0:
                 continue
+            take = pa.array(src[lab], mask=src[lab] < 0, type=pa.int64())
             arrays = []
             for name in out_names:
                 if name in feat_cols:
-                    arrays.append(pa.array([cols[name][i] for i in sel], type=b.schema.field(name).type))
+                    col = b.column(name)
+                    col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+                    cv = carry_vals[feat_cols.index(name)] if (carry_vals is not None and use_carry.any()) else None
+                    ext = pa.concat_arrays([col, pa.array([cv], type=col.type)])
+                    arrays.append(pc.take(ext, take))
                 elif name == "_open":
-                    arrays.append(pa.array(is_open[sel]))
+                    arrays.append(pa.array(is_open[lab]))
                 else:
-                    arrays.append(b.column(name).take(pa.array(sel)))
+                    arrays.append(b.column(name).take(pa.array(lab)))
             yield pa.RecordBatch.from_arrays(arrays, names=out_names)
     return run
 
@@ -100,15 +89,14 @@ def _summary_fn(keys, feat_cols, schema_fields):
             if n == 0:
                 continue
             pid = b.column("_pid")[0].as_py()
-            kcols = [b.column(k).to_pylist() for k in keys]
             kind = b.column("_kind").to_numpy(zero_copy_only=False)
             if first_key is None:
-                first_key = tuple(c[0] for c in kcols)
-            last_key = tuple(c[n - 1] for c in kcols)
+                first_key = tuple(b.column(k)[0].as_py() for k in keys)
+            last_key = tuple(b.column(k)[n - 1].as_py() for k in keys)
             fi = np.nonzero(kind == 0)[0]
             if len(fi):
-                j = fi[-1]
-                last_feat_key = tuple(c[j] for c in kcols)
+                j = int(fi[-1])
+                last_feat_key = tuple(b.column(k)[j].as_py() for k in keys)
                 last_feat = [b.column(c)[j].as_py() for c in feat_cols]
         if pid is None:
             return

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.textfn import contains_any
@@ -38,8 +38,11 @@ def _spanning_flags(msgs: DataFrame, conv: str, order: str) -> DataFrame:
     multi = [(cls, w) for cls, _, words in KEYWORD_CLASSES for w in words if " " in w]
     if not multi:
         return None
-    nxt = F.lead("_low").over(Window.partitionBy(conv).orderBy(order))
-    pairs = msgs.withColumn("_next", nxt).where(F.col("_next").isNotNull())
+    # neighbours by exact position (skew-safe ranks), then an equi-join on (conv, pos + 1)
+    from .ranking import group_row_number
+    pos = group_row_number(msgs.select(conv, order, "_low"), [conv], [F.asc(order)], out="_pos")
+    nxt = pos.select(conv, (F.col("_pos") - 1).alias("_pos"), F.col("_low").alias("_next"))
+    pairs = pos.join(nxt, [conv, "_pos"], "inner")
     exprs = []
     for cls, w in multi:
         conds = []

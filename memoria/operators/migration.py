@@ -224,8 +224,8 @@ def migration_status(requested: DataFrame, steps: DataFrame) -> DataFrame:
 
 def with_report_columns(flat: DataFrame, env: str, as_of=None) -> DataFrame:
     """PRJ6: report date in Sydney time and the environment name."""
-    ts = as_of_lit(as_of).cast("timestamp")
-    return flat.withColumn("date", F.date_format(F.from_utc_timestamp(ts, REPORT_TIMEZONE), REPORT_DATE_FORMAT)) \
+    local = F.convert_timezone(F.lit("UTC"), F.lit(REPORT_TIMEZONE), as_of_lit(as_of))  # ntz in, ntz out
+    return flat.withColumn("date", F.date_format(local, REPORT_DATE_FORMAT)) \
                .withColumn("env", F.lit(env))
 
 

@@ -18,6 +18,7 @@ small top-k cuts Spark's ``WindowGroupLimit`` already prunes map-side (use
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,6 +35,26 @@ def top_k(df: DataFrame, keys, order, k: int, out: str = "rn") -> DataFrame:
     return df.withColumn(out, F.row_number().over(w)).where(F.col(out) <= k)
 
 
+def key_changes(cols) -> np.ndarray:
+    """Vectorised: True where a row's key differs from the previous row's (row 0: True).
+
+    ``cols`` are pandas Series; nulls equal nulls.
+    """
+    n = len(cols[0])
+    change = np.zeros(n, dtype=bool)
+    change[0] = True
+    for s in cols:
+        v = s.to_numpy()
+        nul = pd.isna(s).to_numpy()
+        ne = np.asarray(v[1:] != v[:-1], dtype=bool)
+        change[1:] |= (ne & ~(nul[1:] & nul[:-1])) | (nul[1:] ^ nul[:-1])
+    return change
+
+
+def _first_last(cols, i):
+    return tuple(None if pd.isna(s.iloc[i]) else s.iloc[i] for s in cols)
+
+
 def _local_positions(keys: list[str]):
     def run(batches):
         last, run_len = None, 0
@@ -42,39 +63,20 @@ def _local_positions(keys: list[str]):
             if n == 0:
                 continue
             kcols = [b.column(k).to_pandas() for k in keys]
-            # True where a row starts a new key run
-            change = np.zeros(n, dtype=bool)
-            for s in kcols:
-                v = s.to_numpy(dtype=object)
-                change[1:] |= ~_eq(v[1:], v[:-1])
-            first = tuple(s.iloc[0] for s in kcols)
-            change[0] = last is None or not _same(first, last)
-            starts = np.flatnonzero(change)
+            change = key_changes(kcols)
+            continues = last is not None and _first_last(kcols, 0) == last
             idx = np.arange(n, dtype=np.int64)
             seg_start = np.maximum.accumulate(np.where(change, idx, 0))
             pos = idx - seg_start + 1
-            if not change[0]:
-                # continue the open run of the previous batch
-                first_end = starts[0] if len(starts) else n
-                pos[:first_end] += run_len
-            last = tuple(s.iloc[n - 1] for s in kcols)
+            if continues:
+                # the first run continues the open run of the previous batch
+                pos[seg_start == 0] += run_len
+            last = _first_last(kcols, n - 1)
             run_len = int(pos[-1])
             yield b.append_column("_lpos", pa.array(pos, pa.int64()))
     return run
 
 
-def _eq(a, b):
-    out = np.empty(len(a), dtype=bool)
-    for i in range(len(a)):
-        x, y = a[i], b[i]
-        out[i] = (x == y) or (x is None and y is None) or (x != x and y != y)
-    return out
-
-
-def _same(t1, t2):
-    return all((x == y) or (x is None and y is None) for x, y in zip(t1, t2))
-
-
 # Largest key group a plain per-key window may hold in one task.
 MAX_WINDOW_GROUP_ROWS = 2_000_000
 

@@ -97,9 +97,17 @@ def forget_ranking(experiences: DataFrame, max_memories: int = 1000, as_of=None,
 
 
 def forget_top_n(experiences: DataFrame, n: int, as_of=None) -> DataFrame:
-    """SRT1 with one global quota ``n`` over all rows (top-n of a global sort)."""
-    cand = experiences.where(F.col("importance") != CRITICAL).withColumn("forget_score", forget_score(as_of))
-    return cand.orderBy(F.desc("forget_score"), F.asc("seq")).limit(n)
+    """SRT1 with one global quota ``n``: the n most forgettable rows overall.
+
+    The quota can be large, so no single-task ``limit``: a global exact rank
+    from the range layout (every row in one group, spread over all partitions).
+    """
+    from .ranking import group_row_number
+    cand = experiences.where(F.col("importance") != CRITICAL).withColumn("forget_score", forget_score(as_of)) \
+        .withColumn("_all", F.lit(0))
+    ranked = group_row_number(cand, ["_all"], [F.desc("forget_score"), F.asc("seq")], out="forget_rank",
+                              max_window_rows=0)
+    return ranked.where(F.col("forget_rank") <= n).drop("_all")
 
 
 def search_filter(experiences: DataFrame, memory_type: str | None = None,

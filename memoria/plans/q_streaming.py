@@ -72,4 +72,4 @@ def q_store_ttl_stream(spark, sf_dir):
     out = os.path.join(run, "out")
     store_ttl_stream(spark, landing, out, os.path.join(run, "checkpoint"), entries.schema)
     live = live_entries(spark, out)
-    return live.select("prefix", "key", F.col("expires_at").cast("timestamp_ntz").alias("expires_at"))
+    return live.select("prefix", "key", "expires_at")

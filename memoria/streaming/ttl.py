@@ -16,7 +16,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
-OUTPUT_SCHEMA = "prefix string, key string, value string, expires_at timestamp, status string"
+from ..functions.timefn import epoch_millis, from_epoch_millis
+
+OUTPUT_SCHEMA = "prefix string, key string, value string, expires_ms long, status string"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -30,27 +32,25 @@ class EntryTTL(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         last = None
         for pdf in rows:
-            cand = pdf.sort_values("created_at").iloc[-1]
-            if last is None or cand["created_at"] >= last["created_at"]:
+            cand = pdf.sort_values("created_ms").iloc[-1]
+            if last is None or cand["created_ms"] >= last["created_ms"]:
                 last = cand
         exp_ms = None
         if pd.notna(last["ttl_minutes"]):
-            exp_ms = int(last["created_at"].value // 1_000_000) + int(last["ttl_minutes"]) * 60_000
+            exp_ms = int(last["created_ms"]) + int(last["ttl_minutes"]) * 60_000
         for t in self.handle.listTimers():
             self.handle.deleteTimer(t)
         self.entry.update((last["value"], exp_ms))
         if exp_ms is not None:
             self.handle.registerTimer(exp_ms)
         yield pd.DataFrame([{"prefix": key[0], "key": key[1], "value": last["value"],
-                             "expires_at": pd.Timestamp(exp_ms, unit="ms") if exp_ms is not None else pd.NaT,
-                             "status": "upsert"}])
+                             "expires_ms": exp_ms, "status": "upsert"}]).astype({"expires_ms": "Int64"})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         st = self.entry.get()
         self.entry.clear()
         yield pd.DataFrame([{"prefix": key[0], "key": key[1], "value": None,
-                             "expires_at": pd.Timestamp(st[1], unit="ms") if st and st[1] is not None else pd.NaT,
-                             "status": "expired"}])
+                             "expires_ms": st[1] if st else None, "status": "expired"}]).astype({"expires_ms": "Int64"})
 
     def close(self) -> None:
         pass
@@ -61,8 +61,11 @@ def store_ttl_stream(spark: SparkSession, landing: str, out: str, checkpoint: st
     """Run the TTL stream over everything landed (availableNow); the sink appends
     each epoch's rows with the epoch number."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    # event time as epoch milliseconds (time-zone free); the watermark column is its instant
     src = spark.readStream.schema(schema).parquet(landing) \
-        .withColumn("created_at", F.col("created_at").cast("timestamp")).withWatermark("created_at", delay)
+        .withColumn("created_ms", epoch_millis(F.col("created_at"))) \
+        .withColumn("event_time", F.timestamp_millis(F.col("created_ms"))) \
+        .drop("created_at").withWatermark("event_time", delay)
     rows = src.groupBy("prefix", "key").transformWithStateInPandas(EntryTTL(), OUTPUT_SCHEMA, "Update", "EventTime")
 
     def sink(batch: DataFrame, epoch: int):
@@ -75,8 +78,9 @@ def store_ttl_stream(spark: SparkSession, landing: str, out: str, checkpoint: st
 
 
 def live_entries(spark: SparkSession, out: str) -> DataFrame:
-    """Last row per key across epochs, without the expired ones."""
+    """Last row per key across epochs, without the expired ones (``expires_at`` as timestamp_ntz)."""
     rows = spark.read.option("basePath", out).parquet(os.path.join(out, "epoch=*"))
     w = Window.partitionBy("prefix", "key").orderBy(F.desc("epoch"), F.desc(F.col("status") == "expired"))
     last = rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1")
-    return last.where(F.col("status") != "expired").drop("_rn")
+    return last.where(F.col("status") != "expired").drop("_rn") \
+        .withColumn("expires_at", from_epoch_millis(F.col("expires_ms")))

@@ -123,3 +123,13 @@ def test_knn_exact_with_ties_and_small_batches(spark):
         cand = [(-round(float(q @ (np.array(v) / np.linalg.norm(v))), 9), i) for i, a, v in vec_rows if a == agent]
         want += [(qid, i, -s) for s, i in sorted(cand)[:3]]
     assert got == sorted(want)
+
+
+def test_forget_top_n_global_quota(spark):
+    from memoria.operators import retention as ret
+    e = d.experiences(Tables(spark, SF))
+    got = ret.forget_top_n(e, 37, AS_OF)
+    w = Window.orderBy(F.desc("forget_score"), F.asc("seq"))
+    ref = e.where(F.col("importance") != 4).withColumn("forget_score", ret.forget_score(AS_OF)) \
+        .withColumn("forget_rank", F.row_number().over(w)).where("forget_rank <= 37")
+    assert _same(got.select("seq", "forget_rank"), ref.select("seq", "forget_rank"))

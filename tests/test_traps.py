@@ -170,3 +170,16 @@ def test_name_list_and_missing_keys(spark):
     cfg = spark.createDataFrame([("https://x", None), ("", "y")], "workspace_url string, token string")
     got = [r["missing_keys"] for r in mig.missing_keys(cfg, ["workspace_url", "token"]).collect()]
     assert got == [["token"], ["workspace_url"]]
+
+
+def test_results_do_not_depend_on_session_time_zone(spark):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        df = spark.createDataFrame([(dt.datetime(2024, 3, 9, 12, 0), dt.datetime(2024, 3, 10, 12, 0))],
+                                   "a timestamp_ntz, b timestamp_ntz")
+        assert df.select(days_between(F.col("b"), F.col("a"))).first()[0] == 1
+        flat = spark.createDataFrame([(1, "e", "SUCCESS")], "request_seq long, endpoint_name string, overall_status string")
+        assert mig.with_report_columns(flat, "dev", AS_OF).first()["date"] == "01-02-2024 11:00"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
