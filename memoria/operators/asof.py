@@ -53,6 +53,7 @@ def _resolve_fn(keys, feat_cols, out_names):
             # source row of every value: own feature row, the carried value (index n), or none
             src = np.where(found, feat_idx, np.where(use_carry, n, -1))
             lab = np.nonzero(kind == 1)[0]
+            incoming = carry_vals  # value carried into this batch (before this batch updates it)
             # state for the next batch: last key and its last feature
             last_key = _first_last(kcols, n - 1)
             if feat_idx[n - 1] >= seg_start[n - 1]:
@@ -69,7 +70,7 @@ def _resolve_fn(keys, feat_cols, out_names):
                 if name in feat_cols:
                     col = b.column(name)
                     col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
-                    cv = carry_vals[feat_cols.index(name)] if (carry_vals is not None and use_carry.any()) else None
+                    cv = incoming[feat_cols.index(name)] if (incoming is not None and use_carry.any()) else None
                     ext = pa.concat_arrays([col, pa.array([cv], type=col.type)])
                     arrays.append(pc.take(ext, take))
                 elif name == "_open":

@@ -71,8 +71,16 @@ def _hot(df):
     return df.withColumn("user_id", F.when(F.col("user_id") % 3 == 0, F.lit(0)).otherwise(F.col("user_id")))
 
 
+@pytest.fixture(params=["10000", "7"], ids=["batch10000", "batch7"])
+def arrow_batch(spark, request):
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", request.param)
+    yield request.param
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
 @pytest.mark.parametrize("limit", [0, None])
-def test_group_row_number_matches_window_on_hot_key(spark, limit):
+def test_group_row_number_matches_window_on_hot_key(spark, limit, arrow_batch):
     e = _hot(spark.read.parquet(f"{SF}/events.parquet"))
     r = group_row_number(e, ["user_id"], [F.desc("value"), F.asc("event_id")], num_partitions=5, max_window_rows=limit)
     w = Window.partitionBy("user_id").orderBy(F.desc("value"), F.asc("event_id"))
@@ -81,7 +89,7 @@ def test_group_row_number_matches_window_on_hot_key(spark, limit):
 
 
 @pytest.mark.parametrize("limit", [0, None])
-def test_asof_matches_brute_force_on_hot_key(spark, limit):
+def test_asof_matches_brute_force_on_hot_key(spark, limit, arrow_batch):
     t = Tables(spark, SF)
     lab, fe = _hot(d.pit_labels(t)), _hot(d.pit_features(t))
     r = asof_join(lab, fe, "user_id", "label_ts", "feature_ts", tiebreak="feature_id", num_partitions=5,
