@@ -119,3 +119,49 @@ def maintenance_gate(state: DataFrame, max_memories: int, as_of=None) -> DataFra
     since = seconds_between(as_of_lit(as_of), F.col("last_maintenance"))
     return state.withColumn("seconds_since", since).withColumn(
         "run_maintenance", (F.col("seconds_since") > GATE_SECONDS) | (F.col("memory_count") > F.lit(GATE_FILL * max_memories)))
+
+
+def maintenance_stream(spark: SparkSession, landing: str, out: str, checkpoint: str, schema,
+                       max_memories: int, trigger: dict | None = None, as_of_col: str = "created_at") -> None:
+    """ST6 as a stream: every micro-batch appends new experiences to the store and
+    runs maintenance (CMP4) for the threads whose gate opens.
+
+    The store and the per-thread last-maintenance times are versioned folders
+    (``store/epoch=N``, ``gate/epoch=N``): micro-batch ``e`` reads version
+    ``e`` and writes ``e + 1``, so a retried epoch rewrites the same version.
+    ``as_of`` of a batch is the latest ``created_at`` seen so far. In
+    production the trigger is ``processingTime="1 hour"``.
+    """
+    from ..operators.summaries import maintenance
+
+    cols = [f.name for f in schema.fields]
+
+    def step(batch: DataFrame, epoch: int):
+        cur_path = os.path.join(out, "store", f"epoch={epoch:012d}")
+        last_path = os.path.join(out, "gate", f"epoch={epoch:012d}")
+        cur = spark.read.parquet(cur_path) if _exists(spark, cur_path) else spark.createDataFrame([], schema)
+        store = cur.unionByName(batch.select(*cols))
+        as_of = store.agg(F.max(as_of_col)).first()[0]  # one scalar
+        last = spark.read.parquet(last_path) if _exists(spark, last_path) else \
+            spark.createDataFrame([], "thread_id long, last_maintenance timestamp_ntz")
+        state = store.groupBy("thread_id").agg(F.count(F.lit(1)).alias("memory_count"),
+                                               F.min(as_of_col).alias("_first")) \
+            .join(last, "thread_id", "left") \
+            .withColumn("last_maintenance", F.coalesce("last_maintenance", "_first")).drop("_first")
+        gate = maintenance_gate(state, max_memories, as_of).select("thread_id", "run_maintenance").checkpoint()
+        due = store.join(gate.where("run_maintenance").select("thread_id"), "thread_id", "left_semi")
+        rest = store.join(gate.where("run_maintenance").select("thread_id"), "thread_id", "left_anti")
+        done = maintenance(due, max_memories, as_of).select(*cols)
+        rest.unionByName(done).write.mode("overwrite").parquet(
+            os.path.join(out, "store", f"epoch={epoch + 1:012d}"))
+        ran = gate.where("run_maintenance").select("thread_id", as_of_lit(as_of).alias("last_maintenance"))
+        last.join(ran.select("thread_id"), "thread_id", "left_anti").unionByName(ran).write.mode("overwrite") \
+            .parquet(os.path.join(out, "gate", f"epoch={epoch + 1:012d}"))
+
+    q = (spark.readStream.schema(schema).parquet(landing).writeStream.foreachBatch(step)
+         .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start())
+    if (trigger or {"availableNow": True}).get("availableNow"):
+        q.awaitTermination()
+    else:
+        q.processAllAvailable()
+        q.stop()

@@ -111,10 +111,14 @@ def test_levels_forest_and_dag_agree(spark):
     assert dict(snap.migration_order(dag).collect())[6] == 4
 
 
-def test_knn_exact_with_ties_and_small_batches(spark):
+@pytest.mark.parametrize("chunk_bytes", [None, 40])
+def test_knn_exact_with_ties_and_small_batches(spark, monkeypatch, chunk_bytes):
     import numpy as np
 
+    from memoria.operators import search
     from memoria.operators.search import knn
+    if chunk_bytes:  # force several query chunks (several broadcasts, one union)
+        monkeypatch.setattr(search, "QUERY_CHUNK_BYTES", chunk_bytes)
     vec_rows = [(f"v{i:03d}", "a" if i % 2 else "b", [float(i % 4), 1.0]) for i in range(60)]
     q_rows = [(1, "a", [1.0, 1.0]), (2, "b", [0.0, 1.0]), (3, "a", [3.0, 1.0]), (4, "c", [1.0, 0.0])]
     vectors = spark.createDataFrame(vec_rows, "id string, agent_id string, vector array<double>").repartition(3)
@@ -141,3 +145,18 @@ def test_forget_top_n_global_quota(spark):
     ref = e.where(F.col("importance") != 4).withColumn("forget_score", ret.forget_score(AS_OF)) \
         .withColumn("forget_rank", F.row_number().over(w)).where("forget_rank <= 37")
     assert _same(got.select("seq", "forget_rank"), ref.select("seq", "forget_rank"))
+
+
+def test_maintenance_stream_matches_batch_on_one_epoch(spark, tmp_out):
+    from memoria.operators.summaries import maintenance
+    from memoria.streaming import jobs
+    e = d.experiences(Tables(spark, SF)).select("thread_id", "seq", "observation", "reasoning", "action", "importance",
+                                                "memory_type", "created_at", "last_accessed", "access_count")
+    landing = jobs.land(e, os.path.join(tmp_out, "landing"), files=1)
+    out = os.path.join(tmp_out, "out")
+    jobs.maintenance_stream(spark, landing, out, os.path.join(tmp_out, "ck"), e.schema, max_memories=5)
+    got = spark.read.parquet(os.path.join(out, "store", "epoch=000000000001"))
+    as_of = e.agg(F.max("created_at")).first()[0]
+    want = maintenance(e, 5, as_of).select(*e.columns)  # every thread is over 0.9 * 5 rows: all gated
+    assert _same(got.select("thread_id", "seq", "memory_type", "observation"),
+                 want.select("thread_id", "seq", "memory_type", "observation"))
