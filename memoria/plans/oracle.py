@@ -122,11 +122,11 @@ FROM events a JOIN events b ON b.event_id = a.event_id + 7""")
 
 _input("reflections", """
 SELECT 'rf_' || CAST(event_id AS VARCHAR) AS id, 'agent_' || CAST(user_id % 5 AS VARCHAR) AS agent_id, ts AS created_at
-FROM events WHERE event_type = 'signup' AND event_id % 25 = 0""")
+FROM events WHERE event_type = 'signup'""")
 
 _input("tasks", """
 SELECT 'tk_' || CAST(event_id AS VARCHAR) AS id, 'agent_' || CAST(user_id % 5 AS VARCHAR) AS agent_id, ts AS created_at
-FROM events WHERE event_type = 'error' AND event_id % 25 = 0""")
+FROM events WHERE event_type = 'error'""")
 
 _input("experiences", """
 SELECT user_id AS thread_id, event_id AS seq,
@@ -229,12 +229,20 @@ SELECT agent_id, CAST(created_at AS DATE) AS date, COUNT(*) AS created,
        COUNT(*) FILTER (WHERE is_summarized) AS summarized
 FROM memories GROUP BY agent_id, CAST(created_at AS DATE) ORDER BY agent_id, date DESC""")
 
+# The view's two one-to-many LEFT JOINs on whole tables would build billions of
+# rows; the counts they produce are M*max(1,R)*max(1,T), M*R*max(1,T) and
+# M*max(1,R)*T (a literal-join check on a small fixture is in tests/test_traps.py).
 oracle("agent_activity", ("memories", "reflections", "tasks"), """
-SELECT a.agent_id, COUNT(DISTINCT a.session_id) AS unique_sessions, COUNT(a.id) AS total_memories,
-       COUNT(r.id) AS total_reflections, COUNT(t.id) AS total_tasks, MAX(a.created_at) AS last_activity
-FROM memories a LEFT JOIN reflections r ON a.agent_id = r.agent_id
-LEFT JOIN tasks t ON a.agent_id = t.agent_id
-GROUP BY a.agent_id""")
+WITH m AS (SELECT agent_id, COUNT(DISTINCT session_id) AS unique_sessions, COUNT(id) AS m,
+                  MAX(created_at) AS last_activity FROM memories GROUP BY agent_id),
+r AS (SELECT agent_id, COUNT(id) AS r, COUNT(*) AS rr FROM reflections GROUP BY agent_id),
+t AS (SELECT agent_id, COUNT(id) AS t, COUNT(*) AS tr FROM tasks GROUP BY agent_id)
+SELECT m.agent_id, m.unique_sessions,
+       m.m * greatest(coalesce(r.rr, 0), 1) * greatest(coalesce(t.tr, 0), 1) AS total_memories,
+       m.m * coalesce(r.r, 0) * greatest(coalesce(t.tr, 0), 1) AS total_reflections,
+       m.m * greatest(coalesce(r.rr, 0), 1) * coalesce(t.t, 0) AS total_tasks,
+       m.last_activity
+FROM m LEFT JOIN r USING (agent_id) LEFT JOIN t USING (agent_id)""")
 
 oracle("forget_count", ("memories",), f"""
 SELECT agent_id, COUNT(*) FILTER (WHERE coalesce({_EXPIRED} OR {_LOW_VALUE}, false)) AS forgotten

@@ -160,3 +160,15 @@ def test_maintenance_stream_matches_batch_on_one_epoch(spark, tmp_out):
     want = maintenance(e, 5, as_of).select(*e.columns)  # every thread is over 0.9 * 5 rows: all gated
     assert _same(got.select("thread_id", "seq", "memory_type", "observation"),
                  want.select("thread_id", "seq", "memory_type", "observation"))
+
+
+def test_agent_activity_equals_literal_fan_out_join(spark):
+    t = Tables(spark, SF)
+    m, r, k = d.memories(t), d.reflections(t), d.tasks(t)
+    lit = m.alias("a").join(r.alias("r"), F.col("a.agent_id") == F.col("r.agent_id"), "left") \
+        .join(k.alias("t"), F.col("a.agent_id") == F.col("t.agent_id"), "left") \
+        .groupBy(F.col("a.agent_id").alias("agent_id")).agg(
+            F.countDistinct("a.session_id").alias("unique_sessions"), F.count("a.id").alias("total_memories"),
+            F.count("r.id").alias("total_reflections"), F.count("t.id").alias("total_tasks"),
+            F.max("a.created_at").alias("last_activity"))
+    assert _same(mem.agent_activity(m, r, k), lit)
