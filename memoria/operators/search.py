@@ -73,9 +73,23 @@ def _topk_rows(S: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return part
 
 
+def _filter_mask(qsess, qtypes, vsess, vtypes) -> np.ndarray | None:
+    """(queries x vectors) mask of the optional per-query filters (FLT7), or None."""
+    mask = None
+    if qsess is not None:
+        any_s = np.array([x is None for x in qsess])
+        mask = (qsess[:, None] == vsess[None, :]) | any_s[:, None]
+    if qtypes is not None:
+        names, codes = np.unique(np.asarray([str(x) for x in vtypes]), return_inverse=True)
+        allowed = np.array([[ts is None or n in ts for n in names] for ts in qtypes], dtype=bool).reshape(len(qtypes), len(names))
+        tmask = allowed[:, codes]
+        mask = tmask if mask is None else mask & tmask
+    return mask
+
+
 def _local_topk_fn(bc, k: int, scope: str):
     def run(batches):
-        chunk = bc.value  # scope value -> (query ids, unit query matrix)
+        chunk = bc.value  # scope value -> (query ids, unit query matrix, sessions | None, type sets | None)
         best = {}  # scope value -> (sims (q, k), ids (q, k)) running top-k of this task
         for b in batches:
             if b.num_rows == 0:
@@ -84,16 +98,21 @@ def _local_topk_fn(bc, k: int, scope: str):
             keep = np.asarray(vec.is_valid())
             scopes = b.column(scope).to_numpy(zero_copy_only=False)
             ids = b.column("id").to_numpy(zero_copy_only=False)
+            names = b.schema.names
+            vsess = b.column("session_id").to_numpy(zero_copy_only=False) if "session_id" in names else None
+            vtypes = b.column("memory_type").to_numpy(zero_copy_only=False) if "memory_type" in names else None
             if not keep.all():
                 sel = np.nonzero(keep)[0]
                 vec, scopes, ids = vec.take(pa.array(sel)), scopes[sel], ids[sel]
+                vsess = vsess[sel] if vsess is not None else None
+                vtypes = vtypes[sel] if vtypes is not None else None
             if len(ids) == 0:
                 continue
             V = _unit_rows(_list_matrix(vec))
             for sv in set(scopes.tolist()):
                 if sv is None or sv not in chunk:
                     continue
-                qids, Q = chunk[sv]
+                qids, Q, qsess, qtypes = chunk[sv]
                 idx = np.nonzero(scopes == sv)[0]
                 Vs, Is = V[idx], ids[idx]
                 if sv not in best:
@@ -104,6 +123,11 @@ def _local_topk_fn(bc, k: int, scope: str):
                     q1 = min(q0 + step, len(qids))
                     S = Q[q0:q1] @ Vs.T
                     S = np.where(np.isnan(S), -np.inf, S)
+                    mask = _filter_mask(None if qsess is None else qsess[q0:q1],
+                                        None if qtypes is None else qtypes[q0:q1],
+                                        None if vsess is None else vsess[idx], None if vtypes is None else vtypes[idx])
+                    if mask is not None:
+                        S = np.where(mask, S, -np.inf)
                     top = _topk_rows(S, np.broadcast_to(Is, S.shape), k)
                     cs = np.concatenate([bs[q0:q1], np.take_along_axis(S, top, 1)], axis=1)
                     ci = np.concatenate([bi[q0:q1], Is[top]], axis=1)
@@ -128,19 +152,25 @@ def _local_topk_fn(bc, k: int, scope: str):
 def knn(vectors: DataFrame, queries: DataFrame, k: int, scope: str = "agent_id") -> DataFrame:
     """Exact top-``k`` vectors by cosine similarity per query, within ``scope``.
 
-    vectors: (id string, ``scope``, vector array<double>)
-    queries: (query_id long, ``scope``, vector array<double>)
+    vectors: (id string, ``scope``, vector array<double>[, session_id, memory_type])
+    queries: (query_id long, ``scope``, vector array<double>[, session_id, memory_types])
+    Optional query filters (FLT7, applied before ranking): ``session_id``
+    (null: any) and ``memory_types`` (null or empty: any).
     Returns (query_id, id, similarity), at most k rows per query (ties at the
     boundary broken by id). Runs one small action per query chunk to ship it.
     """
     spark = vectors.sparkSession
-    q = queries.select("query_id", scope, F.col("vector").cast("array<double>").alias("vector"))
+    f_sess = "session_id" in queries.columns
+    f_types = "memory_types" in queries.columns
+    extra_q = ([F.col("session_id")] if f_sess else []) + ([F.col("memory_types")] if f_types else [])
+    q = queries.select("query_id", scope, F.col("vector").cast("array<double>").alias("vector"), *extra_q)
     stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("dim")).first()
     n, dim = int(stats["n"] or 0), int(stats["dim"] or 0)
     if n == 0:
         return spark.createDataFrame([], _CAND_SCHEMA)
     n_chunks = max(1, math.ceil(n * max(dim, 1) * 8 / QUERY_CHUNK_BYTES))
-    v = vectors.select("id", scope, F.col("vector").cast("array<double>").alias("vector"))
+    extra_v = (["session_id"] if f_sess else []) + (["memory_type"] if f_types else [])
+    v = vectors.select("id", scope, F.col("vector").cast("array<double>").alias("vector"), *extra_v)
     parts = []
     for c in range(n_chunks):
         qc = q if n_chunks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(n_chunks)) == c)
@@ -150,7 +180,18 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, scope: str = "agent_id")
         qids = tbl.column("query_id").to_numpy()
         scopes = tbl.column(scope).to_numpy(zero_copy_only=False)
         Q = _unit_rows(_list_matrix(tbl.column("vector")))
-        chunk = {sv: (qids[scopes == sv], Q[scopes == sv]) for sv in set(scopes.tolist()) if sv is not None}
+        qsess = tbl.column("session_id").to_numpy(zero_copy_only=False) if f_sess else None
+        qtypes = None
+        if f_types:
+            qtypes = np.empty(tbl.num_rows, dtype=object)
+            for i, ts in enumerate(tbl.column("memory_types").to_pylist()):
+                qtypes[i] = set(ts) if ts else None
+        chunk = {}
+        for sv in set(scopes.tolist()):
+            if sv is None:
+                continue
+            sel = scopes == sv
+            chunk[sv] = (qids[sel], Q[sel], None if qsess is None else qsess[sel], None if qtypes is None else qtypes[sel])
         bc = spark.sparkContext.broadcast(chunk)
         parts.append(v.mapInArrow(_local_topk_fn(bc, k, scope), _CAND_SCHEMA))
     cands = parts[0]

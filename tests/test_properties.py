@@ -172,3 +172,22 @@ def test_agent_activity_equals_literal_fan_out_join(spark):
             F.count("r.id").alias("total_reflections"), F.count("t.id").alias("total_tasks"),
             F.max("a.created_at").alias("last_activity"))
     assert _same(mem.agent_activity(m, r, k), lit)
+
+
+def test_knn_query_filters_before_ranking(spark):
+    from memoria.operators.search import knn
+    vec_rows = [(f"v{i}", "a", "s1" if i % 2 else "s2", ["fact", "plan", "scratch"][i % 3], [1.0, i / 10.0])
+                for i in range(12)]
+    vectors = spark.createDataFrame(vec_rows, "id string, agent_id string, session_id string, memory_type string, "
+                                              "vector array<double>")
+    q = spark.createDataFrame([(1, "a", [1.0, 0.0], "s1", ["fact"]), (2, "a", [1.0, 0.0], None, None),
+                               (3, "a", [1.0, 0.0], "s2", [])],
+                              "query_id long, agent_id string, vector array<double>, session_id string, "
+                              "memory_types array<string>")
+    got = {}
+    for r in knn(vectors, q, 2).collect():
+        got.setdefault(r["query_id"], set()).add(r["id"])
+    # q1: session s1 (odd i) and type fact (i % 3 == 0) -> i in {3, 9}; nearest to [1, 0] = smallest i
+    assert got[1] == {"v3", "v9"}
+    assert got[2] == {"v0", "v1"}
+    assert got[3] == {"v0", "v2"}
