@@ -38,8 +38,10 @@ class EntryTTL(StatefulProcessor):
         exp_ms = None
         if pd.notna(last["ttl_minutes"]):
             exp_ms = int(last["created_ms"]) + int(last["ttl_minutes"]) * 60_000
-        for t in self.handle.listTimers():
-            self.handle.deleteTimer(t)
+        if self.entry.exists():  # a newer value replaces the old one and its timer
+            old = self.entry.get()
+            if old is not None and old[1] is not None:
+                self.handle.deleteTimer(int(old[1]))
         self.entry.update((last["value"], exp_ms))
         if exp_ms is not None:
             self.handle.registerTimer(exp_ms)
