@@ -4,7 +4,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import conversations as conv
-from ..operators import memory as mem
 from ..sources import derived as d
 from ..sources.tables import Tables
 from .catalog import query

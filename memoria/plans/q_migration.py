@@ -3,7 +3,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import memory as mem
 from ..operators import migration as mig
 from ..operators import snapshots as snap
 from ..sources import derived as d

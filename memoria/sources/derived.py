@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from ..functions.timefn import as_of_lit, plus_days
 from ..operators.memory import expiry_rule, persistence_rule
