@@ -22,8 +22,9 @@ def q_stream_messages(spark, sf_dir):
     events = c.select("conv_id", F.array(F.struct("turn", "role", "text")).alias("messages"))
     run = jobs.run_folder(spark, "stream_messages")
     landing = jobs.land(events, os.path.join(run, "landing"))
-    jobs.stream_messages(spark, landing, os.path.join(run, "out"), os.path.join(run, "checkpoint"), events.schema)
-    return jobs.latest_snapshot(spark, os.path.join(run, "out"))
+    out = os.path.join(run, "out")
+    jobs.stream_messages(spark, landing, out, os.path.join(run, "checkpoint"), events.schema)
+    return jobs.read_latest(spark, out, "conv_id", "conv_id long, message_count long, conversation_length long")
 
 
 def _sync(spark, sf_dir, trigger):
@@ -33,7 +34,7 @@ def _sync(spark, sf_dir, trigger):
     landing = jobs.land(changes, os.path.join(run, "landing"), files=1)
     out = os.path.join(run, "out")
     jobs.sync_stream(spark, base, landing, out, os.path.join(run, "checkpoint"), ORDER_KEY, changes.schema, trigger)
-    return jobs.latest_snapshot(spark, out)
+    return jobs.published(spark, out, ORDER_KEY, base.schema)
 
 
 @query("sync_triggered")

@@ -1,12 +1,18 @@
 """Structured Streaming jobs.
 
 * ST1 message roll-up: landed agent events -> messages -> running count and
-  length per conversation (stateful aggregation, state in the checkpoint).
+  length per conversation (stateful aggregation in update mode, state in the
+  checkpoint).
 * ST2/ST3 sync: landed change files -> keyed upsert into the published table,
-  continuous (processing-time trigger) or triggered (availableNow). Each
-  micro-batch writes the next snapshot version to its own folder; a retried
-  epoch rewrites the same folder, so the sink is idempotent.
-* ST4 snapshot: full rebuild into a new folder (batch).
+  continuous (processing-time trigger) or triggered (availableNow).
+* ST4 snapshot: full rebuild (compaction) into a new folder (batch).
+
+Keyed sinks are append-only change logs: each micro-batch writes only its
+own rows to ``changes/epoch=N`` (a retried epoch rewrites the same folder, so
+the sink is idempotent), and the published view is the newest row per key
+over base + changes, resolved on read with a partial aggregation
+(``max_by`` on the epoch). Write cost per micro-batch is O(batch), not
+O(table); ST4 folds the log into a new base.
 * ST6 maintenance gate: per-thread gate evaluated on each micro-batch.
 
 All state and output paths live under the shared ``spark.checkpoint.dir``.
@@ -44,15 +50,49 @@ def message_rollup(events: DataFrame) -> DataFrame:
                                        F.sum(F.length("text")).cast("long").alias("conversation_length"))
 
 
+def append_changes(batch: DataFrame, out: str, epoch: int) -> None:
+    """Write one micro-batch to the change log (idempotent per epoch)."""
+    batch.withColumn("_epoch", F.lit(epoch).cast("long")).write.mode("overwrite") \
+        .parquet(os.path.join(out, "changes", f"epoch={epoch:012d}"))
+
+
+def read_latest(spark: SparkSession, out: str, key, schema, base: str | None = None) -> DataFrame:
+    """Newest row per key over an optional base folder and the change log.
+
+    ``max_by(row, epoch)`` is a partial aggregate: a key updated in every
+    epoch is reduced map-side, no per-key window.
+    """
+    from pyspark.sql.types import StructType
+    if not isinstance(schema, StructType):
+        schema = StructType.fromDDL(schema)
+    keys = [key] if isinstance(key, str) else list(key)
+    cols = [f.name for f in schema.fields]
+    parts = []
+    if base is not None:
+        parts.append(spark.read.schema(schema).parquet(base).withColumn("_epoch", F.lit(-1).cast("long")))
+    changes = os.path.join(out, "changes")
+    if _exists(spark, changes):
+        parts.append(spark.read.parquet(changes).select(*cols, "_epoch"))
+    if not parts:
+        return spark.createDataFrame([], schema)
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    vals = [c for c in cols if c not in keys]
+    latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*vals), F.col("_epoch")).alias("_r"))
+    return latest.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in vals]).select(*cols)
+
+
 def stream_messages(spark: SparkSession, landing: str, out: str, checkpoint: str, schema) -> None:
-    """ST1: run the roll-up over everything landed (availableNow); the sink keeps the
-    complete result table as one parquet snapshot per epoch (``out/epoch=N``)."""
+    """ST1: run the roll-up over everything landed (availableNow). Update mode:
+    each micro-batch emits only the conversations it changed, appended to the
+    change log; ``read_latest(out, "conv_id", ...)`` is the current table."""
     src = spark.readStream.schema(schema).parquet(landing)
 
     def sink(batch: DataFrame, epoch: int):
-        batch.write.mode("overwrite").parquet(os.path.join(out, f"epoch={epoch:012d}"))
+        append_changes(batch, out, epoch)
 
-    q = (message_rollup(src).writeStream.outputMode("complete").foreachBatch(sink)
+    q = (message_rollup(src).writeStream.outputMode("update").foreachBatch(sink)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
 
@@ -76,23 +116,24 @@ def latest_snapshot(spark: SparkSession, out: str) -> DataFrame:
 
 # ------------------------------------------------------------ ST2 / ST3 / ST4
 def sync_stream(spark: SparkSession, base: DataFrame, landing: str, out: str, checkpoint: str, key,
-                schema, trigger: dict) -> None:
+                schema, trigger: dict, max_files_per_trigger: int | None = None) -> None:
     """ST2 (processingTime) / ST3 (availableNow): upsert every micro-batch into the table.
 
-    Version 0 is ``base``; micro-batch ``e`` reads version ``e`` and writes
-    version ``e + 1`` (never the path being read). Re-running an epoch after a
-    failure rewrites the same version folder.
+    The base is written once to ``out/base``; every micro-batch is appended to
+    the change log. ``published(spark, out, key, schema)`` reads the table:
+    the newest row per key, a source row winning over the base (SET4).
     """
-    v0 = os.path.join(out, "epoch=000000000000")
-    if not _exists(spark, v0):
-        base.write.mode("overwrite").parquet(v0)
+    base_path = os.path.join(out, "base")
+    if not _exists(spark, base_path):
+        base.write.mode("overwrite").parquet(base_path)
 
     def upsert(batch: DataFrame, epoch: int):
-        cur = spark.read.parquet(os.path.join(out, f"epoch={epoch:012d}"))
-        nxt = publish_merge(cur, batch, key)
-        nxt.write.mode("overwrite").parquet(os.path.join(out, f"epoch={epoch + 1:012d}"))
+        append_changes(batch, out, epoch)
 
-    src = spark.readStream.schema(schema).parquet(landing)
+    reader = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    src = reader.parquet(landing)
     q = (src.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
          .trigger(**trigger).start())
     if trigger.get("availableNow"):
@@ -102,6 +143,11 @@ def sync_stream(spark: SparkSession, base: DataFrame, landing: str, out: str, ch
         q.stop()
 
 
+def published(spark: SparkSession, out: str, key, schema) -> DataFrame:
+    """The table a sync stream publishes: base plus change log, newest row per key."""
+    return read_latest(spark, out, key, schema, base=os.path.join(out, "base"))
+
+
 def sync_snapshot(spark: SparkSession, base: DataFrame, changes: DataFrame, key, out: str) -> DataFrame:
     """ST4: full rebuild written to a new folder, then read back."""
     publish_merge(base, changes, key).write.mode("error").parquet(out)

@@ -12,7 +12,7 @@ from __future__ import annotations
 import os
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
@@ -82,7 +82,8 @@ def store_ttl_stream(spark: SparkSession, landing: str, out: str, checkpoint: st
 def live_entries(spark: SparkSession, out: str) -> DataFrame:
     """Last row per key across epochs, without the expired ones (``expires_at`` as timestamp_ntz)."""
     rows = spark.read.option("basePath", out).parquet(os.path.join(out, "epoch=*"))
-    w = Window.partitionBy("prefix", "key").orderBy(F.desc("epoch"), F.desc(F.col("status") == "expired"))
-    last = rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1")
-    return last.where(F.col("status") != "expired").drop("_rn") \
+    # newest row per key (an expiration wins within its epoch); partial aggregate, no window
+    order = F.struct(F.col("epoch"), (F.col("status") == "expired").alias("_x"))
+    last = rows.groupBy("prefix", "key").agg(F.max_by(F.struct("value", "expires_ms", "status"), order).alias("_r"))
+    return last.select("prefix", "key", "_r.*").where(F.col("status") != "expired") \
         .withColumn("expires_at", from_epoch_millis(F.col("expires_ms")))

@@ -191,3 +191,21 @@ def test_knn_query_filters_before_ranking(spark):
     assert got[1] == {"v3", "v9"}
     assert got[2] == {"v0", "v1"}
     assert got[3] == {"v0", "v2"}
+
+
+def test_sync_stream_later_epochs_win(spark, tmp_out):
+    import time
+
+    from memoria.streaming import jobs
+    schema = "k long, v string"
+    base = spark.createDataFrame([(1, "a"), (3, "z")], schema)
+    landing = os.path.join(tmp_out, "landing")
+    spark.createDataFrame([(1, "b")], schema).coalesce(1).write.parquet(os.path.join(landing, "f1"))
+    time.sleep(1.1)  # the file source orders files by modification time
+    spark.createDataFrame([(1, "c"), (2, "x")], schema).coalesce(1).write.parquet(os.path.join(landing, "f2"))
+    out = os.path.join(tmp_out, "out")
+    jobs.sync_stream(spark, base, landing + "/*", out, os.path.join(tmp_out, "ck"), "k", base.schema,
+                     {"availableNow": True}, max_files_per_trigger=1)
+    got = sorted(tuple(r) for r in jobs.published(spark, out, "k", base.schema).collect())
+    assert got == [(1, "c"), (2, "x"), (3, "z")]
+    assert spark.read.parquet(os.path.join(out, "changes")).select("_epoch").distinct().count() == 2
