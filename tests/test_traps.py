@@ -183,3 +183,27 @@ def test_results_do_not_depend_on_session_time_zone(spark):
         assert mig.with_report_columns(flat, "dev", AS_OF).first()["date"] == "01-02-2024 11:00"
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_thread_activity_golden_counts(spark):
+    # SURVEY §5: one thread with 5 checkpoints (steps -1..3) and one with 22
+    # (steps -1..20, 6 user inputs, 16 loop steps); ids sort in time order.
+    from memoria.operators.tracing import latest_checkpoint, thread_activity
+    rows, t0 = [], dt.datetime(2025, 7, 23, 13, 0, 0)
+    inputs_b = {-1, 2, 6, 10, 14, 18}
+    for thread, steps, inputs in (("t_a", range(-1, 4), {-1}), ("t_b", range(-1, 21), inputs_b)):
+        prev = None
+        for i, step in enumerate(steps):
+            cid = f"{thread}-{i:04d}"
+            src = "input" if step in inputs else "loop"
+            meta = "{'source': '%s', 'step': %d, 'writes': None, 'parents': {}}" % (src, step)
+            rows.append((thread, "", cid, prev, meta, t0 + dt.timedelta(seconds=4 * i)))
+            prev = cid
+    cps = spark.createDataFrame(rows, "thread_id string, checkpoint_ns string, checkpoint_id string, "
+                                      "parent_checkpoint_id string, metadata string, ts timestamp_ntz")
+    got = {r["thread_id"]: r for r in thread_activity(cps).collect()}
+    assert (got["t_a"]["checkpoints"], got["t_a"]["min_step"], got["t_a"]["max_step"]) == (5, -1, 3)
+    assert (got["t_b"]["checkpoints"], got["t_b"]["min_step"], got["t_b"]["max_step"]) == (22, -1, 20)
+    assert (got["t_b"]["input_steps"], got["t_b"]["loop_steps"]) == (6, 16)
+    latest = {r["thread_id"]: r["step"] for r in latest_checkpoint(cps).collect()}
+    assert latest == {"t_a": 3, "t_b": 20}
