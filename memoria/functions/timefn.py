@@ -73,3 +73,9 @@ def time_id(ts: Column, prefix: str = "") -> Column:
 def iso_text(ts: Column) -> Column:
     """SC3: ISO-8601 text of a timestamp (microseconds)."""
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+
+
+def to_utc(ts: Column, source_tz: str) -> Column:
+    """Trap T3: a naive local clock reading (``timestamp_ntz`` in ``source_tz``) as UTC
+    ``timestamp_ntz``; apply on ingest so both stores share one clock."""
+    return F.convert_timezone(F.lit(source_tz), F.lit("UTC"), ts.cast("timestamp_ntz"))

@@ -207,3 +207,12 @@ def test_thread_activity_golden_counts(spark):
     assert (got["t_b"]["input_steps"], got["t_b"]["loop_steps"]) == (6, 16)
     latest = {r["thread_id"]: r["step"] for r in latest_checkpoint(cps).collect()}
     assert latest == {"t_a": 3, "t_b": 20}
+
+
+def test_local_clock_normalised_to_utc(spark):
+    # T3: a local +05:30 reading and the UTC reading of the same instant become equal
+    from memoria.functions.timefn import to_utc
+    df = spark.createDataFrame([(dt.datetime(2025, 7, 23, 19, 9, 21), dt.datetime(2025, 7, 23, 13, 39, 21))],
+                               "local_ts timestamp_ntz, utc_ts timestamp_ntz")
+    r = df.select((to_utc(F.col("local_ts"), "Asia/Kolkata") == F.col("utc_ts")).alias("same")).first()
+    assert r["same"]
