@@ -74,9 +74,11 @@ def store_ttl_stream(spark: SparkSession, landing: str, out: str, checkpoint: st
         batch.withColumn("epoch", F.lit(epoch).cast("long")).write.mode("overwrite") \
             .parquet(os.path.join(out, f"epoch={epoch:012d}"))
 
-    q = rows.writeStream.foreachBatch(sink).outputMode("update") \
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
+    from .jobs import state_partitions
+    with state_partitions(spark):
+        q = rows.writeStream.foreachBatch(sink).outputMode("update") \
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        q.awaitTermination()
 
 
 def live_entries(spark: SparkSession, out: str) -> DataFrame:
