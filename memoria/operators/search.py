@@ -115,6 +115,8 @@ def _local_topk_fn(bc, k: int, scope: str):
                 qids, Q, qsess, qtypes = chunk[sv]
                 idx = np.nonzero(scopes == sv)[0]
                 Vs, Is = V[idx], ids[idx]
+                if Vs.shape[1] != Q.shape[1]:
+                    raise ValueError(f"vector dimension {Vs.shape[1]} differs from query dimension {Q.shape[1]}")
                 if sv not in best:
                     best[sv] = (np.full((len(qids), k), -np.inf), np.full((len(qids), k), None, dtype=object))
                 bs, bi = best[sv]
