@@ -109,15 +109,17 @@ def payload_reject_reason(cfg: DataFrame, ents: Column | None = None, acc: Colum
 def endpoint_payloads(cfg: DataFrame, keep=("seq",)) -> DataFrame:
     """PRJ8 + PRJ9 per endpoint row: reject reason, and the JSON create request when
     not rejected. The JSON columns are parsed once, in their own projection."""
-    p = cfg.select(*keep, "name", "description", "route_optimized", "tags",
+    p = cfg.select(*keep, "name", "description", "route_optimized",
+                   F.from_json(F.col("tags"), TAG_T).alias("_tags"),
                    capture_map(F.col("auto_capture_config")).alias("_acc"),
                    served_entities(F.col("served_entities")).alias("_ents"))
     reason = payload_reject_reason(p, F.col("_ents"), F.col("_acc"))
-    body = endpoint_payload(p, F.col("_ents"), F.col("_acc"))
+    body = endpoint_payload(p, F.col("_ents"), F.col("_acc"), F.col("_tags"))
     return p.select(*keep, reason.alias("reject_reason"), F.when(reason.isNull(), body).alias("payload"))
 
 
-def endpoint_payload(cfg: DataFrame, ents: Column | None = None, acc: Column | None = None) -> Column:
+def endpoint_payload(cfg: DataFrame, ents: Column | None = None, acc: Column | None = None,
+                     tags: Column | None = None) -> Column:
     """PRJ8: JSON create request. Null fields of the core request are kept;
     description / route_optimized / tags appear only when set."""
     ent = F.get(served_entities(F.col("served_entities")) if ents is None else ents, 0)
@@ -140,7 +142,7 @@ def endpoint_payload(cfg: DataFrame, ents: Column | None = None, acc: Column | N
             F.element_at(acc, "table_name_prefix").alias("table_name_prefix"),
             enabled.alias("enabled"),
         ).alias("inference_table_config")).alias("ai_gateway"))
-    tags = F.from_json(F.col("tags"), TAG_T)
+    tags = F.from_json(F.col("tags"), TAG_T) if tags is None else tags
     optional = F.struct(
         F.when(F.trim(F.col("description")) != "", F.col("description")).alias("description"),
         F.col("route_optimized").alias("route_optimized"),
