@@ -87,20 +87,23 @@ def summarize_conversations(memories: DataFrame, as_of=None):
 
 # ------------------------------------------------------------ experience store
 def maintenance_plan(experiences: DataFrame, max_memories: int = 1000, as_of=None,
-                     threshold_days: int = EXPERIENCE_SUMMARY_DAYS) -> dict:
+                     threshold_days: int = EXPERIENCE_SUMMARY_DAYS, materialize: bool = True) -> dict:
     """CMP4 building blocks per thread: forgotten rows, remaining rows, gate, summarizable rows.
 
     The remaining rows and the summarizable rows feed several branches (gate,
     per-type texts, the next snapshot); each is written once with a reliable
     checkpoint to the shared folder, so the store is scanned and ranked once
-    instead of once per branch (eager: two jobs).
+    instead of once per branch (eager: two jobs). ``materialize=False`` skips
+    the checkpoints for callers that use one branch only (the gate).
     """
     from ..session import ensure_checkpoint_dir
     ensure_checkpoint_dir(experiences.sparkSession)
     forgotten = forget_ranking(experiences, max_memories, as_of)
     gone = forgotten.select("thread_id", "seq", F.lit(True).alias("_gone"))
     remaining = experiences.join(gone, ["thread_id", "seq"], "left").where(F.col("_gone").isNull()) \
-        .drop("_gone").withColumn("age_days", age_days(as_of)).checkpoint()
+        .drop("_gone").withColumn("age_days", age_days(as_of))
+    if materialize:
+        remaining = remaining.checkpoint()
     age = F.col("age_days")
     gate = remaining.groupBy("thread_id").agg(
         F.count_if(age > threshold_days).alias("old_count"),
@@ -109,7 +112,9 @@ def maintenance_plan(experiences: DataFrame, max_memories: int = 1000, as_of=Non
                .withColumn("will_summarize", F.col("should_summarize")
                            & (F.col("summarizable_count") > EXPERIENCE_GATE_SUMMARIZABLE))
     summarizable = remaining.where((age > threshold_days) & (F.col("importance") != CRITICAL)) \
-        .join(gate.where("will_summarize").select("thread_id"), "thread_id", "left_semi").checkpoint()
+        .join(gate.where("will_summarize").select("thread_id"), "thread_id", "left_semi")
+    if materialize:
+        summarizable = summarizable.checkpoint()
     return {"forgotten": forgotten, "remaining": remaining.drop("age_days"), "gate": gate,
             "summarizable": summarizable.drop("age_days")}
 

@@ -56,7 +56,7 @@ def q_groups(spark, sf_dir):
 
 @query("summary_gate")
 def q_gate(spark, sf_dir):
-    return summ.maintenance_plan(_ex(spark, sf_dir), MAX_MEMORIES)["gate"]
+    return summ.maintenance_plan(_ex(spark, sf_dir), MAX_MEMORIES, materialize=False)["gate"]
 
 
 @query("recent_interactions")
