@@ -209,3 +209,15 @@ def test_sync_stream_later_epochs_win(spark, tmp_out):
     got = sorted(tuple(r) for r in jobs.published(spark, out, "k", base.schema).collect())
     assert got == [(1, "c"), (2, "x"), (3, "z")]
     assert spark.read.parquet(os.path.join(out, "changes")).select("_epoch").distinct().count() == 2
+
+
+def test_restore_without_vectors_then_search(spark, tmp_out):
+    from memoria.operators.search import knn
+    v = spark.createDataFrame([("a", "ag", [1.0, 0.0]), ("b", "ag", None), ("c", "ag", [0.0, 1.0])],
+                              "id string, agent_id string, vector array<double>")
+    path = os.path.join(tmp_out, "bk")
+    sinks.backup_vectors(v, path, AS_OF)
+    back = sinks.restore_vectors(spark, path, os.path.join(tmp_out, "store"))
+    assert back.where("vector is null").count() == 1
+    q = spark.createDataFrame([(1, "ag", [1.0, 0.1])], "query_id long, agent_id string, vector array<double>")
+    assert [r["id"] for r in knn(back, q, 3).orderBy(F.desc("similarity")).collect()] == ["a", "c"]
