@@ -216,3 +216,16 @@ def test_local_clock_normalised_to_utc(spark):
                                "local_ts timestamp_ntz, utc_ts timestamp_ntz")
     r = df.select((to_utc(F.col("local_ts"), "Asia/Kolkata") == F.col("utc_ts")).alias("same")).first()
     assert r["same"]
+
+
+def test_days_between_matches_python_on_random_pairs(spark):
+    # T1 on many pairs: Spark's 24-hour floor equals Python's timedelta.days
+    import random
+    rnd = random.Random(7)
+    base = dt.datetime(2024, 1, 1)
+    pairs = [(base + dt.timedelta(seconds=rnd.randint(-10**8, 10**8), microseconds=rnd.randint(0, 999999)),
+              base + dt.timedelta(seconds=rnd.randint(-10**8, 10**8), microseconds=rnd.randint(0, 999999)))
+             for _ in range(500)]
+    df = spark.createDataFrame(pairs, "a timestamp_ntz, b timestamp_ntz")
+    got = [r[0] for r in df.select(days_between(F.col("b"), F.col("a"))).collect()]
+    assert got == [(b - a).days for a, b in pairs]
