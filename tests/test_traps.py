@@ -229,3 +229,28 @@ def test_days_between_matches_python_on_random_pairs(spark):
     df = spark.createDataFrame(pairs, "a timestamp_ntz, b timestamp_ntz")
     got = [r[0] for r in df.select(days_between(F.col("b"), F.col("a"))).collect()]
     assert got == [(b - a).days for a, b in pairs]
+
+
+def test_forget_score_and_rule_match_python_on_random_rows(spark):
+    import random
+    rnd = random.Random(11)
+    types = ["preference", "fact", "interaction", "skill", "error"]
+    rows = []
+    for i in range(400):
+        created = AS_OF - dt.timedelta(seconds=rnd.randint(0, 200 * 86400))
+        last = min(created + dt.timedelta(seconds=rnd.randint(0, 90 * 86400)), AS_OF)
+        rows.append((1, i, rnd.randint(1, 4), rnd.choice(types), created, last, rnd.randint(1, 6)))
+    got = {r["seq"]: (r["s"], r["f"]) for r in _exp(spark, rows).select(
+        "seq", ret.forget_score(AS_OF).alias("s"), ret.should_forget(AS_OF).alias("f")).collect()}
+    penalty = {1: 0, 2: -10, 3: -25, 4: -1000}
+    limit = {1: 7, 2: 30, 3: 90, 4: 365}
+    for _, i, imp, mt, created, last, acc in rows:
+        age, rec = (AS_OF - created).days, (AS_OF - last).days
+        score = 0.0
+        score += age * 0.1
+        score += rec * 0.2
+        score += penalty[imp]
+        score -= acc * 2
+        score += 5 if mt == "error" else (-10 if mt == "preference" else 0)
+        forget = (imp != 4) and (age > limit[imp] or (rec > 30 and acc < 3) or (mt == "error" and age > 7))
+        assert got[i] == (score, forget), (i, got[i], score, forget)
