@@ -102,11 +102,15 @@ def read_latest(spark: SparkSession, out: str, key, schema, base: str | None = N
     return latest.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in vals]).select(*cols)
 
 
-def stream_messages(spark: SparkSession, landing: str, out: str, checkpoint: str, schema) -> None:
+def stream_messages(spark: SparkSession, landing: str, out: str, checkpoint: str, schema,
+                    max_files_per_trigger: int | None = None) -> None:
     """ST1: run the roll-up over everything landed (availableNow). Update mode:
     each micro-batch emits only the conversations it changed, appended to the
     change log; ``read_latest(out, "conv_id", ...)`` is the current table."""
-    src = spark.readStream.schema(schema).parquet(landing)
+    reader = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    src = reader.parquet(landing)
 
     def sink(batch: DataFrame, epoch: int):
         append_changes(batch, out, epoch)

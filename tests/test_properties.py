@@ -221,3 +221,17 @@ def test_restore_without_vectors_then_search(spark, tmp_out):
     assert back.where("vector is null").count() == 1
     q = spark.createDataFrame([(1, "ag", [1.0, 0.1])], "query_id long, agent_id string, vector array<double>")
     assert [r["id"] for r in knn(back, q, 3).orderBy(F.desc("similarity")).collect()] == ["a", "c"]
+
+
+def test_message_stream_over_several_epochs_equals_batch(spark, tmp_out):
+    from memoria.operators.conversations import conversation_stats
+    from memoria.streaming import jobs
+    c = d.classified_conversations(Tables(spark, SF))
+    events = c.select("conv_id", F.array(F.struct("turn", "role", "text")).alias("messages"))
+    landing = jobs.land(events, os.path.join(tmp_out, "landing"), files=3)
+    out = os.path.join(tmp_out, "out")
+    jobs.stream_messages(spark, landing, out, os.path.join(tmp_out, "ck"), events.schema, max_files_per_trigger=1)
+    got = jobs.read_latest(spark, out, "conv_id", "conv_id long, message_count long, conversation_length long")
+    want = conversation_stats(c, with_text=False)
+    assert spark.read.parquet(os.path.join(out, "changes")).select("_epoch").distinct().count() == 3
+    assert _same(got, want.select("conv_id", "message_count", "conversation_length"))
