@@ -89,7 +89,9 @@ def find_licences(docs: DataFrame, templates=TEMPLATES, min_containment: float =
     t = t.withColumn("_w", _tokens(F.col("_t"))).withColumn("_h", _shingles("_w"))
     t = t.withColumn("_at", F.filter(F.transform("_h", lambda h, i: F.when(h.isin(known), i)),
                                      lambda i: i.isNotNull()))
-    t = materialize(t.where(F.size("_at") > 0).select("doc_id", "_h", "_at"), "notices")
+    # no filter here: pushed below the projections it would evaluate them once per element
+    t = materialize(t.select("doc_id", F.when(F.size("_at") > 0, F.col("_h")).alias("_h"), "_at"), "notices")
+    t = t.where("_h is not null")
     # every window that holds one of those places, for every class
     numbers = F.flatten(F.array(*[
         F.array_distinct(F.flatten(F.transform("_at", lambda i, s=s: F.transform(

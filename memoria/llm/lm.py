@@ -112,10 +112,10 @@ class Lattice:
             piece, score = sp.id_to_piece(i), sp.get_score(i)
             if sp.is_byte(i):
                 self.byte[int(piece[3:5], 16)] = i
-            elif not (sp.is_control(i) or sp.is_unknown(i) or score < -1e8):
+            elif not (sp.is_control(i) or sp.is_unknown(i)):
                 hashes.append(self._hash(piece))
                 ids.append(i)
-                rank[i] = 1.0 - score
+                rank[i] = min(1.0 - score, float(self.n))
         order = np.argsort(np.array(hashes, dtype=np.uint64))
         self.hashes = np.array(hashes, dtype=np.uint64)[order]
         self.ids = np.array(ids, dtype=np.int64)[order]

@@ -97,7 +97,7 @@ def solve(histogram: DataFrame, goal: DataFrame) -> DataFrame:
         state = materialize(s.select("source", "target", "unit", "full", tilt.alias("tilt"),
                                      F.col("_low").alias("low"), F.col("_high").alias("high"),
                                      F.col("_done").alias("done")), "dual")
-        if state.where("not full and not done").limit(1).count() == 0:
+        if not state.agg(F.max(~F.col("full") & ~F.col("done"))).first()[0]:
             break
     return state.select("source", F.when(~F.col("full"), F.col("tilt")).alias("tilt"), "unit")
 
@@ -120,8 +120,9 @@ def entropy_mix(docs: DataFrame, share: float = SHARE) -> DataFrame:
     return mix_rows(rows, share)
 
 
-def mix_rows(rows: DataFrame, share: float = SHARE) -> DataFrame:
-    """:func:`entropy_mix` of a materialised table (doc_id, source, size)."""
+def mix_rows(rows: DataFrame, share: float = SHARE, more: list[str] = []) -> DataFrame:
+    """:func:`entropy_mix` of a materialised table (doc_id, source, size); columns ``more`` go along."""
+    tie = ["doc_id", "size", *more]
     hist = materialize(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "histogram")
     sizes = hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     goal = materialize(targets(sizes, share), "targets")
@@ -137,7 +138,7 @@ def mix_rows(rows: DataFrame, share: float = SHARE) -> DataFrame:
     # one more copy in this order: first those whose uniform number is furthest below the fraction
     d = d.withColumn("_v", F.round(_uniform("doc_id", "size") - (F.col("rate") - F.col("_sure")), 12))
     d = d.withColumn("_more", F.when(F.col("_open"), F.col("size")).otherwise(F.lit(0)))
-    d = running_sum(d.drop("tilt", "unit"), ["source"], ["_v", "doc_id", "size"], "_more", "_cum", "mix")
+    d = running_sum(d.drop("tilt", "unit"), ["source"], ["_v", *tie], "_more", "_cum", "mix")
     d = materialize(d, "mix")
     sure = d.groupBy("source").agg((F.first("target") - F.sum(F.col("_sure") * F.col("size"))).alias("_need"))
     sure = materialize(sure.select(F.col("source").alias("_s"), "_need"), "need")
@@ -150,10 +151,30 @@ def mix_rows(rows: DataFrame, share: float = SHARE) -> DataFrame:
     spare = d.where("_open and not _in and size > 0").join(rest, F.col("source").eqNullSafe(F.col("_s")))
     off = F.abs(F.col("size") - F.col("_rest"))
     best = spare.where(off < F.abs(F.col("_rest"))).groupBy("_s").agg(
-        F.min(F.struct(off.alias("off"), "_v", "doc_id", "size", "_cum")).alias("_b"))
-    best = materialize(best.select("_s", F.struct("_b._v", "_b.doc_id", "_b.size", "_b._cum").alias("_b")), "best")
+        F.min(F.struct(off.alias("off"), "_v", *tie, "_cum")).alias("_b"))
+    best = materialize(best.select("_s", F.struct(*[f"_b.{c}" for c in ("_v", *tie, "_cum")]).alias("_b")), "best")
     d = d.join(best, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
-    chosen = F.struct("_v", "doc_id", "size", "_cum").eqNullSafe(F.col("_b"))
+    chosen = F.struct("_v", *tie, "_cum").eqNullSafe(F.col("_b"))
     copies = F.col("_sure") + F.when(F.col("_in") | chosen, 1).otherwise(0)
     return d.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"),
-                    "source", "rate", copies.cast("int").alias("copies"))
+                    "source", "rate", copies.cast("int").alias("copies"), *more)
+
+
+def repeat_rows(docs: DataFrame, share: float = SHARE) -> DataFrame:
+    """``docs`` with every row as often as the mix takes it, all columns unchanged.
+
+    Rows that repeat id, source and text are taken, in sum, as often as the mix
+    takes them. Documents without words add nothing to any target and go.
+    """
+    t = text_or_empty("text")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+                         F.col("doc_id").cast("long").alias("doc_id"), "source", n_words(t).alias("size"),
+                         F.xxhash64(t).alias("_t"), F.xxhash64("doc_id", "source", t).alias("_k"))
+    rows = materialize(packed.select("doc_id", "source", "size", "_t", "_k"), "sizes")
+    times = mix_rows(rows, share, ["_t", "_k"]).where("size > 0 and copies > 0").groupBy("_t", "_k").agg(
+        F.sum("copies").alias("_times"))
+    times = materialize(times, "copies")
+    # the row itself, once for all that repeat it
+    once = packed.groupBy("_t", "_k").agg(F.first("_row").alias("_row"))
+    return once.join(times, ["_t", "_k"]).select(
+        "_row", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_row.*")

@@ -33,6 +33,8 @@ MIN_DUP_LINES = 3
 # a host is judged strictly if its shrunk failure rate exceeds both
 HOST_RATE = 0.3
 HOST_LIFT = 2.0
+# documents of average kind that the prior counts for at least and at most
+MIN_CONCENTRATION = 10.0
 MAX_CONCENTRATION = 1e6
 
 
@@ -95,7 +97,7 @@ def host_rates(measured: DataFrame) -> DataFrame:
     mean = F.col("_k") / F.col("_n")
     spread = F.col("_k2") / F.col("_n") - mean * mean
     conc = F.when(spread > 1e-12, F.least(F.lit(MAX_CONCENTRATION),
-                                          F.greatest(F.lit(1.0), mean * (1 - mean) / spread - 1))
+                                          F.greatest(F.lit(MIN_CONCENTRATION), mean * (1 - mean) / spread - 1))
                   ).otherwise(F.lit(MAX_CONCENTRATION))
     prior = prior.select("rule", mean.alias("prior_rate"), conc.alias("concentration"))
     rate = F.round((F.col("k") + F.col("prior_rate") * F.col("concentration"))
