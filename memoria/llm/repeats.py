@@ -11,8 +11,12 @@ groups left after the last digit are exactly the repeated windows.
   gram that occurs once ends the order of its whole run.
 * Digit 2 is the text of the run: equal runs repeat each other window by
   window, so all but the earliest are settled at once.
-* Digit 3 is the window itself, for the runs whose gram occurs in different
-  surroundings, the edges of repeated passages.
+* Digits 3 and 4 do the same for the parts of a run whose windows lie within
+  eight bytes of each other, for runs whose gram occurs in different
+  surroundings: first the bytes that all windows of the part share, then its
+  whole text.
+* The last digit is the window itself, for the parts at the very edge of a
+  repeated passage.
 
 Digits are compared by 64-bit hashes of the bytes, the last by 128 bits. Equal
 texts are recognised before and take part once, by their smallest id.
@@ -32,6 +36,7 @@ from .rolling import Substrings, buffers, mix
 
 WINDOW = 100
 GRAM = 32
+PART = 8
 
 _U = np.uint64
 _LOW = _U(0xFFFFFFFF)
@@ -40,13 +45,13 @@ EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 
 def runs(raws: list[bytes], window: int = WINDOW, gram: int = GRAM):
-    """Runs of window starts that share a gram: (text number, start, starts, gram hash, run hash)."""
+    """Runs of window starts that share a gram: (text number, start, starts, gram hash, run hash, place of the gram)."""
     data = np.frombuffer(b"".join(raws), dtype=np.uint8)
     lens = np.fromiter(map(len, raws), np.int64, len(raws))
     first = np.cumsum(lens) - lens
     none = np.zeros(0, dtype=np.int64)
     if len(data) < window:
-        return none, none, none, none, none
+        return none, none, none, none, none, none
     sub = Substrings(data)
     at = np.arange(len(data) - gram + 1)
     h = sub.hash(at, at + gram)
@@ -75,7 +80,7 @@ def runs(raws: list[bytes], window: int = WINDOW, gram: int = GRAM):
     run = sub.hash(start, start + n + window - 1)
     # the place of the gram in the run is part of the run
     run = mix(run ^ (anchor[cut] - start).astype(np.uint64))
-    return doc[cut], start - first[doc[cut]], n, h[anchor[cut]], run
+    return doc[cut], start - first[doc[cut]], n, h[anchor[cut]], run, anchor[cut] - start
 
 
 def _emit_runs(window: int, gram: int):
@@ -89,16 +94,50 @@ def _emit_runs(window: int, gram: int):
             # equal texts of a buffer give equal runs: once is enough
             once = dict(held)
             keys = list(once)
-            doc, start, n, g, r = runs(list(once.values()), window, gram)
+            doc, start, n, g, r, shift = runs(list(once.values()), window, gram)
             text, size = (np.array([k[i] for k in keys], dtype=np.int64)[doc] for i in (0, 1))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(g.astype(np.int64)), pa.array(r.astype(np.int64)), pa.array(text),
-                 pa.array(size.astype(np.int32)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))],
-                ["gram", "run", "text_hash", "n_bytes", "start", "n"])
+                 pa.array(size.astype(np.int32)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int16)),
+                 pa.array(shift.astype(np.int16))],
+                ["gram", "run", "text_hash", "n_bytes", "start", "n", "shift"])
     return run
 
 
-RUN_SCHEMA = "gram long, run long, text_hash long, n_bytes int, start int, n int"
+RUN_SCHEMA = "gram long, run long, text_hash long, n_bytes int, start int, n short, shift short"
+
+
+def _emit_parts(window: int):
+    """Runs (start, n, shift) to their parts: windows whose distance to the gram falls into one class of PART."""
+    def run(batches):
+        for b in batches:
+            out = [[], [], [], [], []]
+            for i in range(b.num_rows):
+                raw = np.frombuffer(b.column("text")[i].as_py().encode(), dtype=np.uint8)
+                spans = b.column("spans")[i].values
+                start, n, shift = (spans.field(j).to_numpy().astype(np.int64) for j in range(3))
+                anchor = start + shift
+                low, high = (shift - n + 1) // PART, shift // PART
+                times = high - low + 1
+                c = np.repeat(low - (np.cumsum(times) - times), times) + np.arange(times.sum())
+                anchor, s0, e0 = (np.repeat(x, times) for x in (anchor, start, start + n - 1))
+                first = np.maximum(s0, anchor - PART * c - (PART - 1))
+                last = np.minimum(e0, anchor - PART * c)
+                sub = Substrings(raw, 2)
+                core = sub.hash(anchor - PART * c, anchor - PART * c + window - (PART - 1))
+                core = mix(core ^ c.astype(np.uint64))
+                whole = mix(sub.hash(first, last + window) ^ (anchor - first).astype(np.uint64))
+                for col, v in zip(out, (core, whole, np.full(len(c), i), first, last - first + 1)):
+                    col.append(v)
+            if not b.num_rows:
+                continue
+            core, whole, row, first, n = (np.concatenate(x) for x in out)
+            row = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(core.astype(np.int64)), pa.array(whole.astype(np.int64)), b.column("id").take(row),
+                 b.column("text_hash").take(row), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int16))],
+                ["gram", "run", "id", "text_hash", "start", "n"])
+    return run
 
 
 def _emit_windows(window: int):
@@ -176,6 +215,31 @@ def _keyed(docs: DataFrame) -> DataFrame:
                        F.xxhash64(t).alias("text_hash"), F.octet_length(t).cast("int").alias("n_bytes"))
 
 
+def _settle(records: DataFrame, window: int, more: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Spans of records that repeat an earlier equal one, and the earliest ones whose group holds different ones.
+
+    ``records`` has gram (the digit so far), run (the whole record), id, text_hash, start, n.
+    """
+    place = F.struct("id", "text_hash", "start")
+    first = [F.first(c).alias(c) for c in ("n", *more)]
+    groups = materialize(records.groupBy("gram", "run").agg(F.min(place).alias("p"), F.max(place).alias("q"), *first),
+                         "groups")
+    shared = groups.where("p != q").select("gram", "run", "p")
+    again = records.join(shared, ["gram", "run"]).where(place != F.col("p"))
+    settled = materialize(again.select("id", "text_hash", "start",
+                                       (F.col("start") + F.col("n") + (window - 1)).alias("end")), "settled")
+    mixed = groups.groupBy("gram").agg(F.min("run").alias("_a"), F.max("run").alias("_b")).where("_a != _b")
+    edge = groups.join(mixed.select("gram"), "gram").select("p.id", "p.text_hash", "p.start", "n", *more)
+    return settled, edge
+
+
+def _with_text(edge: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(id, text_hash, text, spans): the open records of every text beside it."""
+    per = materialize(edge.groupBy("id", "text_hash").agg(F.collect_list(F.struct(*columns)).alias("spans")), "edges")
+    return per.join(rows.select("id", "text_hash", "text"), ["id", "text_hash"]).select(
+        "id", "text_hash", "text", "spans")
+
+
 def removed_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(id, text_hash, copy, spans): what to remove of every document that repeats anything.
 
@@ -194,32 +258,30 @@ def removed_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Da
         F.min("text_hash").alias("t0"), F.max("text_hash").alias("t1"), F.min("start").alias("s0"),
         F.max("start").alias("s1")).where("t0 != t1 or s0 != s1").select("gram")
     twice = materialize(twice, "grams")
-    cand = materialize(records.join(twice, "gram").dropDuplicates(["gram", "text_hash", "n_bytes", "start"]),
-                       "suffixes")
+    # dealt anew by the whole record: a frequent gram does not stay in one task
+    one = ["gram", "text_hash", "n_bytes", "start"]
+    cand = records.join(twice, "gram").repartition(*one).dropDuplicates(one)
+    cand = materialize(cand.join(firsts, ["text_hash", "n_bytes"]).drop("n_bytes"), "suffixes")
     discard(records)
     discard(twice)
-    cand = cand.join(firsts, ["text_hash", "n_bytes"])
-
-    # digit 2: the earliest of equal runs stands for them
-    place = F.struct("id", "text_hash", "start")
-    groups = materialize(cand.groupBy("gram", "run").agg(F.min(place).alias("p"), F.max(place).alias("q"),
-                                                         F.first("n").alias("n")), "groups")
-    shared = groups.where("p != q").select("gram", "run", "p")
-    again = cand.join(shared, ["gram", "run"]).where(place != F.col("p"))
-    spans = again.select("id", "text_hash", "start", (F.col("start") + F.col("n") + (window - 1)).alias("end"))
 
-    # digit 3: windows of the earliest runs whose gram stands in different surroundings
-    mixed = groups.groupBy("gram").agg(F.min("run").alias("_a"), F.max("run").alias("_b")).where("_a != _b")
-    edge = groups.join(mixed.select("gram"), "gram").select("p.id", "p.text_hash", "p.start", "n")
-    edge = materialize(edge.groupBy("id", "text_hash").agg(F.collect_list(F.struct("start", "n")).alias("spans")),
-                       "edges")
-    found = edge.join(rows.select("id", "text_hash", "text").where(F.col("text") != ""), ["id", "text_hash"])
-    suffix = materialize(found.select("id", "text_hash", "text", "spans").mapInArrow(
+    # digit 2, and the runs that it leaves open
+    settled, edge = _settle(cand, window, ["shift"])
+    parts = materialize(_with_text(edge, rows, ["start", "n", "shift"]).mapInArrow(
+        _emit_parts(window), "gram long, run long, id long, text_hash long, start int, n short"), "parts")
+    # digits 3 and 4: parts whose common bytes occur once are dropped, equal parts settled
+    once = parts.groupBy("gram").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("gram")
+    parts = materialize(parts.join(once, "gram"), "open")
+    settled2, edge = _settle(parts, window, [])
+    # the last digit
+    suffix = materialize(_with_text(edge, rows, ["start", "n"]).mapInArrow(
         _emit_windows(window), "h1 long, h2 long, id long, text_hash long, start int"), "windows")
+    place = F.struct("id", "text_hash", "start")
     lead = suffix.groupBy("h1", "h2").agg(F.min(place).alias("p"), F.max(place).alias("q")).where("p != q").select(
         "h1", "h2", "p")
     late = suffix.join(lead, ["h1", "h2"]).where(place != F.col("p"))
-    spans = spans.unionByName(late.select("id", "text_hash", "start", (F.col("start") + window).alias("end")))
+    late = late.select("id", "text_hash", "start", (F.col("start") + window).alias("end"))
+    spans = settled.unionByName(settled2).unionByName(late)
     spans = spans.groupBy("id", "text_hash").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
     copies = known.join(firsts.select("text_hash", "n_bytes", F.col("id").alias("_first")),
