@@ -56,9 +56,11 @@ def _shingles(t: str) -> Column:
 
 def _bands(h: str) -> Column:
     """Array of (band, value): the minimum of each of the hash functions."""
-    return F.array(*[F.struct(F.lit(k).alias("band"),
-                              F.array_min(F.transform(h, lambda x, k=k: F.xxhash64(x, F.lit(k)))).alias("value"))
-                     for k in range(BANDS)])
+    def band(k: int) -> Column:
+        return F.struct(F.lit(k).alias("band"),
+                        F.array_min(F.transform(h, lambda x: F.xxhash64(x, F.lit(k)))).alias("value"))
+
+    return F.array(*[band(k) for k in range(BANDS)])
 
 
 def template_table(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
@@ -93,10 +95,12 @@ def find_licences(docs: DataFrame, templates=TEMPLATES, min_containment: float =
     t = materialize(t.select("doc_id", F.when(F.size("_at") > 0, F.col("_h")).alias("_h"), "_at"), "notices")
     t = t.where("_h is not null")
     # every window that holds one of those places, for every class
-    numbers = F.flatten(F.array(*[
-        F.array_distinct(F.flatten(F.transform("_at", lambda i, s=s: F.transform(
-            F.sequence(F.greatest(F.floor(i / s) - 1, F.lit(0)), F.floor(i / s)),
-            lambda w, s=s: F.struct(F.lit(s).alias("size"), w.alias("window")))))) for s in sizes]))
+    def windows(s: int) -> Column:
+        return F.array_distinct(F.flatten(F.transform("_at", lambda i: F.transform(
+            F.sequence(F.greatest(F.floor(i / F.lit(s)) - 1, F.lit(0)), F.floor(i / F.lit(s))),
+            lambda w: F.struct(F.lit(s).alias("size"), w.alias("window"))))))
+
+    numbers = F.flatten(F.array(*[windows(s) for s in sizes]))
     w = t.select("doc_id", "_h", F.explode(numbers).alias("_n")).select(
         "doc_id", "_n.size", "_n.window",
         F.expr("slice(_h, cast(_n.window * _n.size + 1 as int), 2 * _n.size)").alias("wh"))
