@@ -29,7 +29,9 @@ from .common import materialize, running_sum
 from .urlfilter import host_of, path_of
 
 BLOCK_PAGES = 256
+# a pair is two copies if it shares more than this of the marked paragraphs, or of all lines where none is marked
 COPY_SHARE = 0.5
+COPY_SHARE_UNMARKED = 0.9
 
 DROPPED, LOOSE, BODY = 0, 1, 2
 
@@ -256,7 +258,7 @@ def _pair_block(table: pa.Table) -> pa.Table:
             for j in sorted(sides, key=lambda j: -_prefix(path[i], path[j])):
                 at = common_lines(lines[i], lines[j])
                 body = int(flags[i].sum())
-                copy = (flags[i][at].sum() > COPY_SHARE * body) if body else len(at) > COPY_SHARE * len(lines[i])
+                copy = (flags[i][at].sum() > COPY_SHARE * body) if body else len(at) > COPY_SHARE_UNMARKED * len(lines[i])
                 if not copy:
                     found = at
                     break
