@@ -39,14 +39,16 @@ class WordEncoder:
 
     The tokenizer drops white space and never merges across it, so the ids of a
     text are those of its chunks in order. A chunk of letters followed by ASCII
-    punctuation is split there, where the tokenizer splits too; letter runs are
-    encoded many at a time, each ending at an end-of-word id.
+    punctuation is split there, where the tokenizer splits too, into two parts;
+    any other chunk is one part. Letter runs are encoded many at a time, each
+    ending at an end-of-word id.
     """
 
-    MAX_CHUNKS = 400_000
-    SPACES = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
+    MAX_CHUNKS = 1_200_000
+    SPACES = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
     ASCII_SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
     PUNCT = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+    GROUP = 256
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -58,94 +60,93 @@ class WordEncoder:
         self.reset()
 
     def reset(self):
-        self.place: dict[str, int] = {}
+        # chunks and their one or two parts; part 0 is empty
+        self.chunks: dict[str, int] = {}
+        self.left = np.zeros(1 << 16, dtype=np.int32)
+        self.right = np.zeros(1 << 16, dtype=np.int32)
+        self.parts: dict[str, int] = {"": 0}
         self.first = np.zeros(1 << 16, dtype=np.int64)
         self.count = np.zeros(1 << 16, dtype=np.int64)
         self.ids = np.zeros(1 << 18, dtype=np.uint32)
         self.n_ids = 0
-        self.cores: dict[str, np.ndarray] = {}
 
     def _simple(self, core: str) -> bool:
         # letters below U+0180 without the dotted capital I, whose lower case is two characters
-        return core.isalpha() and (core.isascii() or (max(core) < "ƀ" and "İ" not in core))
+        return core.isalpha() and (core.isascii() or (max(core) < "\u0180" and "\u0130" not in core))
+
+    @staticmethod
+    def _room(a: np.ndarray, n: int) -> np.ndarray:
+        while n > len(a):
+            a = np.concatenate([a, np.zeros_like(a)])
+        return a
+
+    def _store(self, names: list[str], counts: np.ndarray, flat: np.ndarray):
+        at = len(self.parts)
+        self.first, self.count = self._room(self.first, at + len(names)), self._room(self.count, at + len(names))
+        self.ids = self._room(self.ids, self.n_ids + len(flat))
+        self.ids[self.n_ids:self.n_ids + len(flat)] = flat
+        self.first[at:at + len(names)] = self.n_ids + np.cumsum(counts) - counts
+        self.count[at:at + len(names)] = counts
+        self.n_ids += len(flat)
+        self.parts.update(zip(names, range(at, at + len(names))))
 
-    def _encode_cores(self, cores: list[str]):
-        size = 256
-        texts = [" ".join(cores[i:i + size]) for i in range(0, len(cores), size)]
-        for k, e in enumerate(self.tok.encode_batch_fast(texts, add_special_tokens=False)):
-            group = cores[k * size:(k + 1) * size]
-            ids = np.array(e.ids, dtype=np.uint32)
-            ends = np.flatnonzero(self.word_end[ids]) + 1
-            if len(ends) == len(group):
-                for c, part in zip(group, np.split(ids, ends[:-1])):
-                    self.cores[c] = part
-            else:
-                for c in group:
-                    self.cores[c] = np.array(self.tok.encode(c, add_special_tokens=False).ids, dtype=np.uint32)
+    def _store_whole(self, names: list[str]):
+        if names:
+            ids = [e.ids for e in self.tok.encode_batch_fast(names, add_special_tokens=False)]
+            self._store(names, np.fromiter(map(len, ids), np.int64, len(ids)),
+                        np.array([x for i in ids for x in i], dtype=np.uint32))
 
     def _learn(self, chunks: list[str]):
-        split, new, whole = [], {}, []
+        split, cores, whole = [], {}, {}
         for c in chunks:
             core = c.rstrip(self.PUNCT)
             if core and self._simple(core):
                 tail = c[len(core):]
                 core = core.lower()
                 split.append((core, tail))
-                for part in (core, tail):
-                    if part and part not in self.cores:
-                        new[part] = None
+                if core not in self.parts:
+                    cores[core] = None
+                if tail not in self.parts:
+                    whole[tail] = None
             else:
-                split.append(None)
-                whole.append(c)
-        self._encode_cores([p for p in new if p.isalpha()])
-        rest = [p for p in new if not p.isalpha()] + whole
-        other = dict(zip(rest, (np.array(e.ids, dtype=np.uint32) for e in
-                                self.tok.encode_batch_fast(rest, add_special_tokens=False)))) if rest else {}
-        for p in new:
-            if not p.isalpha():
-                self.cores[p] = other[p]
-        none = np.zeros(0, dtype=np.uint32)
-        parts = []
-        for c, s in zip(chunks, split):
-            if s is None:
-                parts.append(other[c])
+                split.append((c, ""))
+                if c not in self.parts:
+                    whole[c] = None
+        names = list(cores)
+        groups = [names[i:i + self.GROUP] for i in range(0, len(names), self.GROUP)]
+        texts = [" ".join(g) for g in groups]
+        for g, e in zip(groups, self.tok.encode_batch_fast(texts, add_special_tokens=False) if texts else []):
+            ids = np.array(e.ids, dtype=np.uint32)
+            ends = np.flatnonzero(self.word_end[ids]) + 1
+            if len(ends) == len(g):
+                self._store(g, np.diff(ends, prepend=0), ids)
             else:
-                core, tail = s
-                a = self.cores[core]
-                parts.append(np.concatenate([a, self.cores[tail]]) if tail else a)
-        n0 = len(self.place)
-        need = n0 + len(chunks)
-        while need > len(self.first):
-            self.first = np.concatenate([self.first, np.zeros_like(self.first)])
-            self.count = np.concatenate([self.count, np.zeros_like(self.count)])
-        lens = np.fromiter(map(len, parts), np.int64, len(parts))
-        flat = np.concatenate(parts) if parts else none
-        while self.n_ids + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.n_ids:self.n_ids + len(flat)] = flat
-        self.first[n0:need] = self.n_ids + np.cumsum(lens) - lens
-        self.count[n0:need] = lens
-        self.n_ids += len(flat)
-        for i, c in enumerate(chunks):
-            self.place[c] = n0 + i
+                self._store_whole(g)
+        self._store_whole(list(whole))
+        at = len(self.chunks)
+        self.left, self.right = self._room(self.left, at + len(chunks)), self._room(self.right, at + len(chunks))
+        part = self.parts
+        self.left[at:at + len(chunks)] = [part[a] for a, _ in split]
+        self.right[at:at + len(chunks)] = [part[b] for _, b in split]
+        self.chunks.update(zip(chunks, range(at, at + len(chunks))))
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of one text as unsigned 32-bit integers."""
         chunks = text.split() if not self.SPACES.search(text) else self.ASCII_SPLIT.findall(text)
         if not chunks:
             return np.zeros(0, dtype=np.uint32)
-        if len(self.place) > self.MAX_CHUNKS:
+        if len(self.chunks) > self.MAX_CHUNKS:
             self.reset()
-        get = self.place.get
-        at = [get(c, -1) for c in chunks]
-        if -1 in at:
-            self._learn(list(dict.fromkeys(c for c, i in zip(chunks, at) if i < 0)))
-            get = self.place.__getitem__
-            at = [get(c) for c in chunks]
+        at = list(map(self.chunks.get, chunks))
+        if None in at:
+            self._learn(list(dict.fromkeys(c for c, i in zip(chunks, at) if i is None)))
+            at = list(map(self.chunks.__getitem__, chunks))
         at = np.array(at, dtype=np.int64)
-        lens = self.count[at]
+        part = np.stack([self.left[at], self.right[at]], axis=1).ravel()
+        part = part[part > 0]
+        lens = self.count[part]
         ends = np.cumsum(lens)
-        index = np.arange(ends[-1]) + np.repeat(self.first[at] - (ends - lens), lens)
+        index = np.arange(ends[-1]) + np.repeat(self.first[part] - (ends - lens), lens)
         return self.ids[index]
 
 
