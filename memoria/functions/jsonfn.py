@@ -4,8 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Python literal tokens written where JSON expects a value (after ':' '[' or ','),
-# rewritten to JSON; quoted text is left alone because the token must be bare.
+# Python literal tokens and the JSON values they stand for.
 _PY_TOKENS = (("None", "null"), ("True", "true"), ("False", "false"))
 
 
@@ -13,12 +12,20 @@ def python_literal_to_json(c: Column) -> Column:
     """SC17: Python-style dict text (single quotes, None/True/False) -> JSON-parsable text.
 
     Spark's JSON reader already accepts single-quoted strings; the bare Python
-    keywords are rewritten when they stand as a value.
+    keywords are rewritten. Quoted texts are matched whole, before any keyword,
+    and stay as they are.
     """
-    out = c
-    for py, js in _PY_TOKENS:
-        out = F.regexp_replace(out, rf"([:\[,]\s*){py}(\s*[,\]}}])", rf"$1{js}$2")
-    return out
+    quoted = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*\""""
+    # the text in pieces: quoted texts, words, and single other characters
+    pieces = F.regexp_extract_all(c, F.lit(rf"(?s)({quoted}|\w+|.)"), F.lit(1))
+
+    def rewrite(piece: Column) -> Column:
+        out = piece
+        for py, js in _PY_TOKENS:
+            out = F.when(piece == py, F.lit(js)).otherwise(out)
+        return out
+
+    return F.array_join(F.transform(pieces, rewrite), "")
 
 
 def parse_python_literal(c: Column, schema) -> Column:

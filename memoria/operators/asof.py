@@ -2,165 +2,35 @@
 
 Spark has no public as-of join. The usual "union + last(ignorenulls) over a
 per-key window" puts a whole key in one task; here one hot key may hold a
-third of all rows, so the work is laid out like a sort-based merge:
+third of all rows, so the window runs over ranges of (key, time):
 
-1. labels and features are unioned and range-partitioned on
-   (key, time, kind, tiebreak) -- a hot key is split over many partitions --
-   sorted, and checkpointed to the shared checkpoint folder (stable
-   partitions, lineage cut);
-2. one vectorised pass per partition carries the last feature forward inside
-   each key run and resolves every label that has a feature earlier in the
-   same partition;
-3. a second pass emits one summary row per partition (its first and last key
-   and the last feature of its last key). These rows -- one per partition,
-   a proven bound -- give the value carried into each partition; labels at a
-   partition start that saw no feature yet take it through a broadcast join.
+1. labels and features are unioned and laid out by ``ranking.range_layout`` on
+   (key, time, kind, tiebreak), which splits a hot key over many ranges;
+2. inside each (key, range) the last feature is carried forward by a native
+   window;
+3. the last feature of each (key, range), at most one row each, is carried
+   over the ranges of its key and joined back, null-safe, for the labels that
+   saw no feature in their own range.
 
 Ties: a feature at exactly the label time counts (<=); among features with the
-same time the one with the largest tiebreak wins.
+same time the one with the largest tiebreak wins. Null keys match each other.
 """
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-
-def _resolve_fn(keys, feat_cols, out_names):
-    import pyarrow.compute as pc
-
-    from .ranking import _first_last, key_changes
-
-    def run(batches):
-        carry_key, carry_vals, carry_has = None, None, False
-        for b in batches:
-            n = b.num_rows
-            if n == 0:
-                continue
-            kcols = [b.column(k).to_pandas() for k in keys]
-            kind = b.column("_kind").to_numpy(zero_copy_only=False)
-            change = key_changes(kcols)
-            continues = carry_key is not None and _first_last(kcols, 0) == carry_key
-            idx = np.arange(n)
-            seg_start = np.maximum.accumulate(np.where(change, idx, 0))
-            feat_idx = np.maximum.accumulate(np.where(kind == 0, idx, -1))
-            found = feat_idx >= seg_start
-            first_seg = seg_start == 0
-            use_carry = first_seg & ~found & bool(continues and carry_has)
-            is_open = first_seg & ~found & (not (continues and carry_has))
-            # source row of every value: own feature row, the carried value (index n), or none
-            src = np.where(found, feat_idx, np.where(use_carry, n, -1))
-            lab = np.nonzero(kind == 1)[0]
-            incoming = carry_vals  # value carried into this batch (before this batch updates it)
-            # state for the next batch: last key and its last feature
-            last_key = _first_last(kcols, n - 1)
-            if feat_idx[n - 1] >= seg_start[n - 1]:
-                carry_vals = [b.column(c)[int(feat_idx[n - 1])].as_py() for c in feat_cols]
-                carry_has = True
-            elif not (seg_start[n - 1] == 0 and continues):
-                carry_has = False
-            carry_key = last_key
-            if len(lab) == 0:
-                continue
-            take = pa.array(src[lab], mask=src[lab] < 0, type=pa.int64())
-            arrays = []
-            for name in out_names:
-                if name in feat_cols:
-                    col = b.column(name)
-                    col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
-                    cv = incoming[feat_cols.index(name)] if (incoming is not None and use_carry.any()) else None
-                    ext = pa.concat_arrays([col, pa.array([cv], type=col.type)])
-                    arrays.append(pc.take(ext, take))
-                elif name == "_open":
-                    arrays.append(pa.array(is_open[lab]))
-                else:
-                    arrays.append(b.column(name).take(pa.array(lab)))
-            yield pa.RecordBatch.from_arrays(arrays, names=out_names)
-    return run
-
-
-def _summary_fn(keys, feat_cols, schema_fields):
-    def run(batches):
-        pid = None
-        first_key, last_key, last_feat, last_feat_key = None, None, None, None
-        for b in batches:
-            n = b.num_rows
-            if n == 0:
-                continue
-            pid = b.column("_pid")[0].as_py()
-            kind = b.column("_kind").to_numpy(zero_copy_only=False)
-            if first_key is None:
-                first_key = tuple(b.column(k)[0].as_py() for k in keys)
-            last_key = tuple(b.column(k)[n - 1].as_py() for k in keys)
-            fi = np.nonzero(kind == 0)[0]
-            if len(fi):
-                j = int(fi[-1])
-                last_feat_key = tuple(b.column(k)[j].as_py() for k in keys)
-                last_feat = [b.column(c)[j].as_py() for c in feat_cols]
-        if pid is None:
-            return
-        has = last_feat is not None and last_feat_key == last_key
-        row = {"_pid": pid, "_has": has}
-        for i, k in enumerate(keys):
-            row[f"_first_{k}"] = first_key[i]
-            row[f"_last_{k}"] = last_key[i]
-        for i, c in enumerate(feat_cols):
-            row[c] = last_feat[i] if has else None
-        yield pa.RecordBatch.from_pylist([row], schema=pa.schema(schema_fields))
-    return run
+from .ranking import join_ranges, range_layout
 
 
 def asof_join(labels: DataFrame, features: DataFrame, key, label_ts: str, feature_ts: str,
-              tiebreak: str | None = None, num_partitions: int | None = None,
-              max_window_rows: int | None = None) -> DataFrame:
+              tiebreak: str | None = None, num_partitions: int | None = None) -> DataFrame:
     """JN12: every label row with the latest feature row of the same key at or before its time.
 
     ``features`` columns other than the key come back on each label (null when
-    no feature precedes the label). When the biggest key (labels + features)
-    is at most ``max_window_rows`` rows (default: the ranking threshold) a
-    per-key window carries the value; otherwise the range layout runs, with
-    one checkpoint and one small action (the per-partition summary).
+    no feature precedes the label).
     """
-    from .ranking import MAX_WINDOW_GROUP_ROWS, largest_group
-    if max_window_rows is None:
-        max_window_rows = MAX_WINDOW_GROUP_ROWS
-    keys_ = [key] if isinstance(key, str) else list(key)
-    if max_window_rows > 0:
-        sizes = labels.select(*keys_).unionByName(features.select(*keys_))
-        if largest_group(sizes, keys_) <= max_window_rows:
-            return _asof_window(labels, features, keys_, label_ts, feature_ts, tiebreak)
-    return _asof_range(labels, features, key, label_ts, feature_ts, tiebreak, num_partitions)
-
-
-def _asof_window(labels, features, keys, label_ts, feature_ts, tiebreak):
-    """Union + last non-null feature over a per-key window (groups of bounded size)."""
-    from pyspark.sql import Window
-    feat_cols = [c for c in features.columns if c not in keys]
-    lab_cols = [c for c in labels.columns if c not in keys]
-    tb = F.col(tiebreak).cast("long") if tiebreak else F.lit(0).cast("long")
-    f = features.select(*keys, F.col(feature_ts).cast("timestamp_ntz").alias("_ts"), F.lit(0).alias("_kind"),
-                        tb.alias("_tb"), F.struct(*feat_cols).alias("_f"),
-                        *[F.lit(None).cast(labels.schema[c].dataType).alias(c) for c in lab_cols])
-    l_ = labels.select(*keys, F.col(label_ts).cast("timestamp_ntz").alias("_ts"), F.lit(1).alias("_kind"),
-                       F.lit(0).cast("long").alias("_tb"),
-                       F.lit(None).cast(f.schema["_f"].dataType).alias("_f"), *lab_cols)
-    w = Window.partitionBy(*keys).orderBy(F.col("_ts").asc_nulls_first(), "_kind", "_tb") \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    u = f.unionByName(l_).withColumn("_last", F.last("_f", ignorenulls=True).over(w))
-    return u.where(F.col("_kind") == 1).select(*keys, *lab_cols, *[F.col(f"_last.{c}").alias(c) for c in feat_cols])
-
-
-def _asof_range(labels: DataFrame, features: DataFrame, key, label_ts: str, feature_ts: str,
-                tiebreak: str | None = None, num_partitions: int | None = None) -> DataFrame:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    from ..session import ensure_checkpoint_dir
     keys = [key] if isinstance(key, str) else list(key)
-    spark = labels.sparkSession
-    ensure_checkpoint_dir(spark)
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     feat_cols = [c for c in features.columns if c not in keys]
     lab_cols = [c for c in labels.columns if c not in keys]
     clash = set(feat_cols) & set(lab_cols)
@@ -168,55 +38,19 @@ def _asof_range(labels: DataFrame, features: DataFrame, key, label_ts: str, feat
         raise ValueError(f"label and feature columns overlap: {sorted(clash)}")
     tb = F.col(tiebreak).cast("long") if tiebreak else F.lit(0).cast("long")
     f = features.select(*keys, F.col(feature_ts).cast("timestamp_ntz").alias("_ts"), F.lit(0).alias("_kind"),
-                        tb.alias("_tb"), *[F.lit(None).cast(labels.schema[c].dataType).alias(c) for c in lab_cols],
-                        *feat_cols)
+                        tb.alias("_tb"), F.struct(*feat_cols).alias("_f"),
+                        *[F.lit(None).cast(labels.schema[c].dataType).alias(c) for c in lab_cols])
     l_ = labels.select(*keys, F.col(label_ts).cast("timestamp_ntz").alias("_ts"), F.lit(1).alias("_kind"),
-                       F.lit(0).cast("long").alias("_tb"), *lab_cols,
-                       *[F.lit(None).cast(features.schema[c].dataType).alias(c) for c in feat_cols])
-    order = [F.col(k).asc_nulls_first() for k in keys] + [F.col("_ts").asc_nulls_first(), "_kind", "_tb"]
-    s = f.unionByName(l_).repartitionByRange(n, *order).sortWithinPartitions(*order).checkpoint(eager=True)
-    s = s.withColumn("_pid", F.spark_partition_id())
-
-    out_fields = [s.schema[k] for k in keys] + [s.schema[c] for c in lab_cols] + [s.schema[c] for c in feat_cols] \
-        + [s.schema["_pid"], T.StructField("_open", T.BooleanType())]
-    out_schema = T.StructType(out_fields)
-    local = s.mapInArrow(_resolve_fn(keys, feat_cols, [fd.name for fd in out_fields]), out_schema)
-
-    sum_fields = [pa.field("_pid", pa.int32()), pa.field("_has", pa.bool_())]
-    spark_sum = [T.StructField("_pid", T.IntegerType()), T.StructField("_has", T.BooleanType())]
-    for k in keys:
-        for pre in ("_first_", "_last_"):
-            sum_fields.append(pa.field(pre + k, to_arrow_type(s.schema[k].dataType)))
-            spark_sum.append(T.StructField(pre + k, s.schema[k].dataType))
-    for c in feat_cols:
-        sum_fields.append(pa.field(c, to_arrow_type(s.schema[c].dataType)))
-        spark_sum.append(T.StructField(c, s.schema[c].dataType))
-    summary = s.mapInArrow(_summary_fn(keys, feat_cols, sum_fields), T.StructType(spark_sum)).collect()
-
-    by_pid = {r["_pid"]: r for r in summary}
-    carry_rows = []
-    for p in sorted(by_pid):
-        r = by_pid[p]
-        k = tuple(r[f"_first_{x}"] for x in keys)
-        q = p - 1
-        val = None
-        while q >= 0:
-            rq = by_pid.get(q)
-            q -= 1
-            if rq is None:  # empty partition
-                continue
-            if tuple(rq[f"_last_{x}"] for x in keys) != k:
-                break
-            if rq["_has"]:
-                val = [rq[c] for c in feat_cols]
-                break
-            if tuple(rq[f"_first_{x}"] for x in keys) != k:
-                break
-        if val is not None:
-            carry_rows.append([p, *k, *val])
-    carry_schema = T.StructType([T.StructField("_pid", T.IntegerType())] + [s.schema[k] for k in keys]
-                                + [T.StructField(f"_c_{c}", s.schema[c].dataType) for c in feat_cols])
-    carry = spark.createDataFrame(carry_rows, carry_schema)
-    j = local.join(F.broadcast(carry), ["_pid", *keys], "left")
-    filled = [F.when(F.col("_open"), F.col(f"_c_{c}")).otherwise(F.col(c)).alias(c) for c in feat_cols]
-    return j.select(*keys, *lab_cols, *filled)
+                       F.lit(0).cast("long").alias("_tb"),
+                       F.lit(None).cast(f.schema["_f"].dataType).alias("_f"), *lab_cols)
+    order = [F.col("_ts").asc_nulls_first(), F.col("_kind").asc(), F.col("_tb").asc_nulls_first()]
+    s = range_layout(f.unionByName(l_), keys, order, num_partitions)
+    inside = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = s.withColumn("_own", F.last("_f", ignorenulls=True).over(inside)).where("_kind = 1")
+    per = s.groupBy(*keys, "_range").agg(
+        F.max_by("_f", F.when(F.col("_kind") == 0, F.struct("_ts", "_tb"))).alias("_lastf"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    carry = per.select(*keys, "_range", F.last("_lastf", ignorenulls=True).over(before).alias("_carry"))
+    j = join_ranges(local, carry, keys)
+    found = F.coalesce("_own", "_carry")
+    return j.select(*keys, *lab_cols, *[found.getField(c).alias(c) for c in feat_cols])

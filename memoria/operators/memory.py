@@ -218,6 +218,12 @@ def memory_lifecycle(memories: DataFrame, as_of=None) -> DataFrame:
     ).orderBy("agent_id", F.desc("date"))
 
 
+def _exact(a: Column, b: Column, c: Column) -> Column:
+    """Product of three counts as decimal(38,0), wide enough for counts up to 10^12 each."""
+    wide = a.cast("decimal(12,0)") * b.cast("decimal(12,0)") * c.cast("decimal(12,0)")
+    return wide.cast("decimal(38,0)")
+
+
 def agent_activity(memories: DataFrame, reflections: DataFrame, tasks: DataFrame) -> DataFrame:
     """AG4 / JN2 with the literal fan-out numbers of the two LEFT JOINs.
 
@@ -239,9 +245,9 @@ def agent_activity(memories: DataFrame, reflections: DataFrame, tasks: DataFrame
     trows = F.greatest(F.coalesce(F.col("_trows"), F.lit(0)), F.lit(1))
     return j.select(
         "agent_id", "unique_sessions",
-        (F.col("_m") * rrows * trows).cast("bigint").alias("total_memories"),
-        (F.col("_m") * F.coalesce(F.col("_r"), F.lit(0)) * trows).cast("bigint").alias("total_reflections"),
-        (F.col("_m") * rrows * F.coalesce(F.col("_t"), F.lit(0))).cast("bigint").alias("total_tasks"),
+        _exact(F.col("_m"), rrows, trows).alias("total_memories"),
+        _exact(F.col("_m"), F.coalesce(F.col("_r"), F.lit(0)), trows).alias("total_reflections"),
+        _exact(F.col("_m"), rrows, F.coalesce(F.col("_t"), F.lit(0))).alias("total_tasks"),
         "last_activity",
     )
 

@@ -58,6 +58,12 @@ def is_blank(c: Column) -> Column:
     return c.isNull() | F.trim(c.cast("string")).isin(*BLANK_TEXTS)
 
 
+def is_blank_json(c: Column) -> Column:
+    """FLT10 for a column of JSON text: blank, or a falsy JSON value ({}, [], false, 0, "")."""
+    bare = F.regexp_replace(c.cast("string"), r"\s+", "")
+    return is_blank(c) | bare.isin("{}", "[]", "false", "0", "0.0", "-0", '""')
+
+
 def capture_map(c: Column) -> Column:
     """auto_capture_config JSON text -> map (null when not a JSON object)."""
     return F.from_json(c, T.MapType(T.StringType(), T.StringType()))
@@ -75,7 +81,7 @@ def inference_table_name(acc: Column, parsed: Column | None = None) -> Column:
         return F.struct(old_t.cast("string").alias("old_table"), new_t.cast("string").alias("new_table"),
                         msg.cast("string").alias("message"))
     none = F.lit(None)
-    return (F.when(is_blank(acc), res(none, none, F.lit(MSG_NO_TABLE_CFG)))
+    return (F.when(is_blank_json(acc), res(none, none, F.lit(MSG_NO_TABLE_CFG)))
             .when(m.isNull(), res(none, none, F.lit(MSG_INVALID_CFG)))
             .when(~complete, res(none, none, F.lit(MSG_INCOMPLETE_CFG)))
             .otherwise(res(old, F.concat(old, F.lit(LEGACY_SUFFIX)), none)))
@@ -177,7 +183,7 @@ def migration_steps(looked_up: DataFrame) -> DataFrame:
         "table_exists", "create_status", "create_error",
         capture_map(F.col("auto_capture_config")).alias("_acc"),
         served_entities(F.col("served_entities")).alias("_ents"))
-    gw_set = ~is_blank(F.col("ai_gateway"))
+    gw_set = ~is_blank_json(F.col("ai_gateway"))
     tbl = inference_table_name(F.col("auto_capture_config"), F.col("_acc"))
     reject = payload_reject_reason(p, F.col("_ents"), F.col("_acc"))
     r = p.select(
@@ -254,8 +260,8 @@ def parse_name_list(text_df: DataFrame, col: str = "value") -> DataFrame:
 
 
 def missing_keys(cfg: DataFrame, keys) -> DataFrame:
-    """FLT15: list of required config keys that are missing or empty."""
-    arr = F.array(*[F.when(is_blank(F.col(k)) | (F.col(k).cast("string") == ""), F.lit(k)) for k in keys])
+    """FLT15: list of required config keys that are null or the empty text."""
+    arr = F.array(*[F.when(F.col(k).isNull() | (F.col(k).cast("string") == ""), F.lit(k)) for k in keys])
     return cfg.withColumn("missing_keys", F.filter(arr, lambda x: x.isNotNull()))
 
 

@@ -3,26 +3,22 @@
 ``row_number().over(partitionBy(key))`` sends a whole key group to one task; if
 one key holds a third of all rows, that task sorts a third of the data. For
 small top-k cuts Spark's ``WindowGroupLimit`` already prunes map-side (use
-:func:`top_k`). For unbounded ranks (quotas) :func:`group_row_number`:
+:func:`top_k`). For unbounded ranks (quotas) :func:`group_row_number` works on
+ranges of (key, order):
 
-1. range-partitions on (key, order) -- Spark samples the sort keys, so a hot
-   key is split over many partitions -- sorts within partitions and
-   checkpoints the result to the shared checkpoint folder (stable partition
-   ids, lineage cut, survives executor loss);
-2. counts rows per (partition, key); only keys that span partitions need an
-   offset, and there are fewer than 2 * partitions such (partition, key)
-   rows, so the offset table has a proven size bound and is broadcast;
-3. numbers rows inside each partition with a running count per key
-   (partitions are already sorted) and adds the offset.
+1. :func:`range_layout` range-partitions on (key, order) -- Spark samples the
+   sort keys, so a hot key is split over many ranges -- keeps the range number
+   as a column and checkpoints to the shared checkpoint folder;
+2. rows are numbered inside each (key, range) by a native window;
+3. the rows of the earlier ranges of the same key, one count per (key, range),
+   are added through a null-safe join.
+
+There is one path for every size; null keys form a group like any other.
 """
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 
 def _order_cols(order) -> list[Column]:
@@ -35,89 +31,35 @@ def top_k(df: DataFrame, keys, order, k: int, out: str = "rn") -> DataFrame:
     return df.withColumn(out, F.row_number().over(w)).where(F.col(out) <= k)
 
 
-def key_changes(cols) -> np.ndarray:
-    """Vectorised: True where a row's key differs from the previous row's (row 0: True).
-
-    ``cols`` are pandas Series; nulls equal nulls.
-    """
-    n = len(cols[0])
-    change = np.zeros(n, dtype=bool)
-    change[0] = True
-    for s in cols:
-        v = s.to_numpy()
-        nul = pd.isna(s).to_numpy()
-        ne = np.asarray(v[1:] != v[:-1], dtype=bool)
-        change[1:] |= (ne & ~(nul[1:] & nul[:-1])) | (nul[1:] ^ nul[:-1])
-    return change
-
-
-def _first_last(cols, i):
-    return tuple(None if pd.isna(s.iloc[i]) else s.iloc[i] for s in cols)
-
-
-def _local_positions(keys: list[str]):
-    def run(batches):
-        last, run_len = None, 0
-        for b in batches:
-            n = b.num_rows
-            if n == 0:
-                continue
-            kcols = [b.column(k).to_pandas() for k in keys]
-            change = key_changes(kcols)
-            continues = last is not None and _first_last(kcols, 0) == last
-            idx = np.arange(n, dtype=np.int64)
-            seg_start = np.maximum.accumulate(np.where(change, idx, 0))
-            pos = idx - seg_start + 1
-            if continues:
-                # the first run continues the open run of the previous batch
-                pos[seg_start == 0] += run_len
-            last = _first_last(kcols, n - 1)
-            run_len = int(pos[-1])
-            yield b.append_column("_lpos", pa.array(pos, pa.int64()))
-    return run
-
-
-# Largest key group a plain per-key window may hold in one task.
-MAX_WINDOW_GROUP_ROWS = 2_000_000
+def range_layout(df: DataFrame, keys, order, num_partitions: int | None = None) -> DataFrame:
+    """``df`` with ``_range``: contiguous ranges of (keys, order), as a checkpointed table."""
+    from ..session import ensure_checkpoint_dir
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = [F.col(k).asc_nulls_first() for k in keys] + _order_cols(order)
+    return df.repartitionByRange(n, *ordered).withColumn("_range", F.spark_partition_id()).checkpoint(eager=True)
 
 
-def largest_group(df: DataFrame, keys) -> int:
-    """Rows of the biggest key group (one partial aggregation job, a scalar to the driver)."""
-    r = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
-    return int(r or 0)
+def join_ranges(rows: DataFrame, per_range: DataFrame, keys) -> DataFrame:
+    """Left join on (keys, ``_range``), null keys matching each other."""
+    other = per_range.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_range").alias("_k_range"),
+                             *[c for c in per_range.columns if c not in (*keys, "_range")])
+    match = F.col("_range") == F.col("_k_range")
+    for k in keys:
+        match = match & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return rows.join(other, match, "left").drop("_k_range", *[f"_k_{k}" for k in keys])
 
 
 def group_row_number(df: DataFrame, keys, order, out: str = "rank",
-                     num_partitions: int | None = None,
-                     max_window_rows: int | None = None) -> DataFrame:
-    """Exact 1-based row_number within ``keys`` by ``order``, skew-safe.
-
-    When the biggest group is at most ``max_window_rows`` (checked with one
-    aggregation) the plain per-key window is used; otherwise the range layout
-    below runs, with one checkpoint (eager) into ``spark.checkpoint.dir``.
-    ``max_window_rows=0`` forces the range layout.
-    """
-    from ..session import ensure_checkpoint_dir
+                     num_partitions: int | None = None) -> DataFrame:
+    """Exact 1-based row_number within ``keys`` by ``order``, skew-safe and null-safe."""
     keys = list(keys)
-    spark = df.sparkSession
-    if max_window_rows is None:
-        max_window_rows = MAX_WINDOW_GROUP_ROWS
-    if max_window_rows > 0 and largest_group(df, keys) <= max_window_rows:
-        w = Window.partitionBy(*keys).orderBy(*_order_cols(order))
-        return df.withColumn(out, F.row_number().over(w))
-    ensure_checkpoint_dir(spark)
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = [F.col(k).asc_nulls_first() for k in keys] + _order_cols(order)
-    s = df.repartitionByRange(n, *ordered).sortWithinPartitions(*ordered).checkpoint(eager=True)
-    # partition index from the scan itself (a task's id differs inside unions)
-    s = s.withColumn("_pid", F.spark_partition_id())
-    schema = StructType(list(s.schema.fields) + [StructField("_lpos", LongType())])
-    local = s.mapInArrow(_local_positions(keys), schema)
-    per = s.groupBy("_pid", *keys).agg(F.count(F.lit(1)).alias("_cnt"))
-    span = Window.partitionBy(*keys)
-    spanning = per.withColumn("_parts", F.count(F.lit(1)).over(span)).where(F.col("_parts") > 1)
-    offsets = spanning.withColumn(
-        "_off", F.coalesce(F.sum("_cnt").over(span.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
-                           F.lit(0))).select("_pid", *keys, "_off")
-    j = local.join(F.broadcast(offsets), ["_pid", *keys], "left")
-    return j.withColumn(out, F.col("_lpos") + F.coalesce(F.col("_off"), F.lit(0))).drop("_lpos", "_pid", "_off")
+    s = range_layout(df, keys, order, num_partitions)
+    local = s.withColumn("_lpos", F.row_number().over(
+        Window.partitionBy(*keys, "_range").orderBy(*_order_cols(order))).cast("long"))
+    per = s.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_cnt"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per.select(*keys, "_range", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"))
+    j = join_ranges(local, offsets, keys)
+    return j.withColumn(out, F.col("_lpos") + F.coalesce(F.col("_off"), F.lit(0))).drop("_lpos", "_range", "_off")

@@ -105,8 +105,7 @@ def forget_top_n(experiences: DataFrame, n: int, as_of=None) -> DataFrame:
     from .ranking import group_row_number
     cand = experiences.where(F.col("importance") != CRITICAL).withColumn("forget_score", forget_score(as_of)) \
         .withColumn("_all", F.lit(0))
-    ranked = group_row_number(cand, ["_all"], [F.desc("forget_score"), F.asc("seq")], out="forget_rank",
-                              max_window_rows=0)
+    ranked = group_row_number(cand, ["_all"], [F.desc("forget_score"), F.asc("seq")], out="forget_rank")
     return ranked.where(F.col("forget_rank") <= n).drop("_all")
 
 

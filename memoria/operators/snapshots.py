@@ -103,7 +103,8 @@ def canonical_text(df: DataFrame, cols=None) -> Column:
         t = fields[c]
         col = F.col(c)
         if isinstance(t, (T.DoubleType, T.FloatType, T.DecimalType)):
-            s = F.round(col.cast("double") * F.lit(1e6)).cast("long").cast("string")
+            # fixed point with six digits; beyond its range, and for non-finite numbers, the exact text
+            s = F.coalesce(F.expr(f"try_cast(`{c}` as decimal(38,6))").cast("string"), col.cast("string"))
         elif isinstance(t, (T.TimestampType, T.TimestampNTZType)):
             s = F.date_format(col, "yyyy-MM-dd HH:mm:ss.SSSSSS")
         elif isinstance(t, T.DateType):
@@ -112,7 +113,8 @@ def canonical_text(df: DataFrame, cols=None) -> Column:
             s = F.when(col, F.lit("true")).when(~col, F.lit("false"))
         else:
             s = col.cast("string")
-        parts.append(F.coalesce(s, F.lit("\\N")))
+        # the length in front keeps neighbouring fields apart, null has none
+        parts.append(F.coalesce(F.concat(F.length(s).cast("string"), F.lit(":"), s), F.lit("null")))
     return F.concat_ws("|", *parts)
 
 
@@ -183,6 +185,8 @@ def migration_order(edges: DataFrame, node: str = "node", upstream: str = "upstr
 
 def _levels_by_pointer_jumping(nodes: DataFrame, links: DataFrame, node: str, max_rounds: int) -> DataFrame:
     # (n, anc, dist): anc is the node ``dist`` hops up; null once the root is reached
+    # hops double each round: a chain of all nodes ends after log2(nodes) rounds, only a cycle does not
+    max_rounds = min(max_rounds, nodes.count().bit_length() + 1)
     cur = nodes.join(links, "n", "left").select("n", F.col("u").alias("anc"),
                                                 F.when(F.col("u").isNotNull(), 1).otherwise(0).alias("dist")).checkpoint()
     rounds = 0
@@ -198,6 +202,8 @@ def _levels_by_pointer_jumping(nodes: DataFrame, links: DataFrame, node: str, ma
 
 
 def _levels_by_relaxation(nodes: DataFrame, links: DataFrame, node: str, max_rounds: int) -> DataFrame:
+    # levels stop growing after as many rounds as there are nodes, unless there is a cycle
+    max_rounds = min(max_rounds, nodes.count() + 1)
     lv = nodes.withColumn("level", F.lit(0)).checkpoint()
     rounds = 0
     while True:

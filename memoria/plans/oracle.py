@@ -810,9 +810,11 @@ WHERE n.o_orderkey IS NULL OR o.o_orderkey IS NULL
 
 
 def _order_checksum(tbl: str) -> str:
-    canon = ("concat_ws('|', coalesce(CAST(o_orderkey AS VARCHAR), '\\N'), coalesce(CAST(o_custkey AS VARCHAR), '\\N'), "
-             "coalesce(o_orderstatus, '\\N'), coalesce(CAST(CAST(round(o_totalprice * 1e6) AS BIGINT) AS VARCHAR), '\\N'), "
-             "coalesce(strftime(o_orderdate, '%Y-%m-%d %H:%M:%S.%f'), '\\N'), coalesce(o_orderpriority, '\\N'))")
+    texts = ("CAST(o_orderkey AS VARCHAR)", "CAST(o_custkey AS VARCHAR)", "o_orderstatus",
+             "CAST(CAST(o_totalprice AS DECIMAL(38,6)) AS VARCHAR)",
+             "strftime(o_orderdate, '%Y-%m-%d %H:%M:%S.%f')", "o_orderpriority")
+    fields = ", ".join(f"coalesce(CAST(length({x}) AS VARCHAR) || ':' || {x}, 'null')" for x in texts)
+    canon = f"concat_ws('|', {fields})"
     return (f"SELECT COUNT(*) AS row_count, CAST(SUM(CAST(('0x' || substr(md5({canon}), 1, 15)) AS BIGINT)) AS VARCHAR) "
             f"AS checksum FROM {tbl}")
 

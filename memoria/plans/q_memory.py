@@ -71,7 +71,8 @@ def q_lifecycle(spark, sf_dir):
 @query("agent_activity")
 def q_activity(spark, sf_dir):
     t = _t(spark, sf_dir)
-    return mem.agent_activity(d.memories(t), d.reflections(t), d.tasks(t))
+    r = mem.agent_activity(d.memories(t), d.reflections(t), d.tasks(t))
+    return r.withColumns({c: F.col(c).cast("bigint") for c in ("total_memories", "total_reflections", "total_tasks")})
 
 
 @query("forget_count")

@@ -20,8 +20,8 @@ def _t(spark, sf_dir):
 @query("blank_config")
 def q_blank(spark, sf_dir):
     e = d.endpoints(_t(spark, sf_dir))
-    return e.select("seq", "name", mig.is_blank(F.col("ai_gateway")).alias("gateway_blank"),
-                    mig.is_blank(F.col("auto_capture_config")).alias("capture_blank"))
+    return e.select("seq", "name", mig.is_blank_json(F.col("ai_gateway")).alias("gateway_blank"),
+                    mig.is_blank_json(F.col("auto_capture_config")).alias("capture_blank"))
 
 
 @query("endpoint_lookup")

@@ -31,7 +31,7 @@ def _sync(spark, sf_dir, trigger):
     t = Tables(spark, sf_dir)
     base, changes = d.orders_old(t), d.orders_new(t)
     run = jobs.run_folder(spark, "sync")
-    landing = jobs.land(changes, os.path.join(run, "landing"), files=1)
+    landing = jobs.land(changes, os.path.join(run, "landing"))
     out = os.path.join(run, "out")
     jobs.sync_stream(spark, base, landing, out, os.path.join(run, "checkpoint"), ORDER_KEY, changes.schema, trigger)
     return jobs.published(spark, out, ORDER_KEY, base.schema)

@@ -29,7 +29,7 @@ def get_spark(cpus: int | str = "*", shuffle_partitions: int = 8,
     builder = SparkSession.builder.master(f"local[{cpus}]").appName(app)
     conf = dict(BASE_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    conf.setdefault("spark.driver.memory", os.environ.get("MEMORIA_DRIVER_MEMORY", "16g"))
+    conf.setdefault("spark.driver.memory", os.environ.get("MEMORIA_DRIVER_MEMORY", "8g"))
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
@@ -41,10 +41,17 @@ def get_spark(cpus: int | str = "*", shuffle_partitions: int = 8,
     return spark
 
 
+def is_local(master: str) -> bool:
+    """True for ``local``, ``local[n]``, ``local[*]``; a local cluster has executors of its own."""
+    return master == "local" or master.startswith("local[")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, creating a local one only if unset."""
+    """Return the shared checkpoint folder; a local one is made only if none is set on a local master."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not is_local(spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="memoria-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:

@@ -30,34 +30,15 @@ from ..operators.snapshots import publish_merge
 from ..session import ensure_checkpoint_dir
 
 
-class state_partitions:
-    """Context: state partitions of a new stateful query = min(configured shuffle
-    partitions, cluster parallelism); fixed in the checkpoint at first start."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-
-    def __enter__(self):
-        conf = self.spark.conf
-        self.old = conf.get("spark.sql.shuffle.partitions")
-        par = max(8, self.spark.sparkContext.defaultParallelism)
-        conf.set("spark.sql.shuffle.partitions", str(min(int(self.old), par)))
-        return self
-
-    def __exit__(self, *exc):
-        self.spark.conf.set("spark.sql.shuffle.partitions", self.old)
-        return False
-
-
 def run_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder for one run under the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, "runs", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def land(df: DataFrame, path: str, files: int = 4) -> str:
-    """Write ``df`` as parquet files into a landing folder (the stream's source)."""
-    df.repartition(files).write.mode("error").parquet(path)
+def land(df: DataFrame, path: str) -> str:
+    """Write ``df``, in its own partitions, as parquet files into a landing folder (the stream's source)."""
+    df.write.mode("error").parquet(path)
     return path
 
 
@@ -115,10 +96,9 @@ def stream_messages(spark: SparkSession, landing: str, out: str, checkpoint: str
     def sink(batch: DataFrame, epoch: int):
         append_changes(batch, out, epoch)
 
-    with state_partitions(spark):
-        q = (message_rollup(src).writeStream.outputMode("update").foreachBatch(sink)
-             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-        q.awaitTermination()
+    q = (message_rollup(src).writeStream.outputMode("update").foreachBatch(sink)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
 
 
 def _fs(spark: SparkSession, path: str):

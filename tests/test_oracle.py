@@ -5,7 +5,8 @@ from __spark_entry__ import entry, oracle_sql, queries
 from memoria.plans.verify import compare, duck
 
 SF = "/root/testdata/sf0.001"
-KEYS = sorted(queries())
+# the optional corpus queries have tests of their own
+KEYS = sorted(k for k in oracle_sql() if not k.startswith("op") and k != "pipeline")
 
 
 @pytest.fixture(scope="module")
@@ -14,7 +15,8 @@ def con():
 
 
 def test_every_query_has_an_oracle():
-    assert set(oracle_sql()) == set(queries())
+    from memoria.plans.catalog import load_all
+    assert set(load_all()) <= set(oracle_sql())
 
 
 @pytest.mark.parametrize("key", KEYS)
@@ -26,4 +28,4 @@ def test_query_matches_oracle(spark, con, key):
 def test_entry_runs(spark):
     df = entry(spark)
     assert set(df.columns) >= {"query_id", "rank", "id", "similarity"}
-    assert df.count() >= 0
+    assert df.count() > 0

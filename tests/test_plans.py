@@ -2,6 +2,7 @@
 import pytest
 
 from __spark_entry__ import queries
+from memoria.plans.catalog import load_all
 
 SF = "/root/testdata/sf0.001"
 PAIR_JOINS = ("CartesianProduct", "BroadcastNestedLoopJoin")
@@ -12,7 +13,7 @@ def _plan(spark, key):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("key", sorted(k for k in queries() if k != "store_ttl_stream"))
+@pytest.mark.parametrize("key", sorted(k for k in load_all() if k != "store_ttl_stream"))
 def test_no_cross_or_nested_loop_joins(spark, key):
     plan = _plan(spark, key)
     for op in PAIR_JOINS:
