@@ -10,17 +10,23 @@ slot with probability sum(min) / sum(max), the weighted Jaccard similarity, and
 only about slots * log(slots) points are drawn for a text, however long.
 
 Signatures are cut into bands. Equal texts are one node. Members of a band
-bucket are compared with one centre, never with each other: a bucket is settled
-once its members are in one class, otherwise further centres follow, and what
-is still open after those is compared between the different classes in the
-bucket. Every comparison is verified by the exact multiset overlap, so that no
-link is taken without it.
+bucket are compared with one centre, first the member that shares the most
+places in buckets with others, later one by hash. A bucket is settled once its
+members are in one class. Members of small buckets that are still open are
+compared between their classes. Those of larger ones meet on their rarest
+shingles: texts of weights v and w reach similarity s only if they share
+s / (1 + s) * (v + w) shingles, hence one of the first
+w - s / (1 + s) * (v + w) + 1 of either in any common order of all shingles.
+Shingles of a single class come first in that order and lead to no pair, then
+the others by the number of texts that hold them, so that a text with many
+shingles of its own meets none. Every comparison is verified by the exact
+multiset overlap, so that no link is taken without it.
 """
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, text_or_empty
@@ -35,7 +41,9 @@ NUM, DEN = 8, 10
 # slots that must agree before two texts are compared; at similarity 0.8, 64 of 80 agree on average
 # and fewer than 40 with a probability below 1e-9
 MIN_AGREE = 40
-CENTRE_ROUNDS = 3
+CENTRE_ROUNDS = 2
+# open buckets of at most so many members are compared inside, larger ones on their rarest shingles
+SMALL_BUCKET = 16
 
 _U = np.uint64
 _WS = np.zeros(256, dtype=bool)
@@ -221,10 +229,11 @@ def classes(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     signed = materialize(rows.mapInArrow(_sign, NODE_SCHEMA), "signatures")
     bands = signed.where("bands is not null").dropDuplicates(["node"])
     keyed = bands.select("node", "weight", "slots", F.explode("bands").alias("bucket"))
-    sizes = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    sizes = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = materialize(keyed.select("node", "bucket").join(sizes, "bucket"), "members")
-    nodes = materialize(members.select("node").distinct(), "candidates")
-    facts = materialize(bands.select("node", "weight", "slots").join(nodes, "node"), "facts")
+    nodes = materialize(members.groupBy("node").agg(F.sum("n").alias("met")), "candidates")
+    members = members.select("bucket", "node")
+    facts = materialize(bands.select("node", "weight", "slots").join(nodes, "node", "left_semi"), "facts")
     # one row of each candidate text, found by its smallest id, so that copies do not meet in one task
     own = signed.join(nodes, "node", "left_semi").groupBy("node").agg(
         F.min("doc_id").alias("_id"), F.lit(True).alias("_some"))
@@ -236,11 +245,15 @@ def classes(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     links = None
     tested = None
     for r in range(CENTRE_ROUNDS + 1):
-        placed = materialize(members.join(labels, "node"), "placed")
+        placed = members.join(labels, "node")
+        if r == 0:
+            placed = placed.join(nodes, "node")
+        placed = materialize(placed, "placed")
+        first = F.xxhash64(F.lit(r), "node", "bucket") if r else F.struct(-F.col("met"), F.xxhash64("node"))
         split = placed.groupBy("bucket").agg(
-            F.min_by("node", F.xxhash64(F.lit(r), "node", *(["bucket"] if r else []))).alias("centre"),
+            F.min_by("node", first).alias("centre"), F.count(F.lit(1)).alias("n"),
             F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo != _hi")
-        split = materialize(split.select("bucket", "centre"), "split")
+        split = materialize(split.select("bucket", "centre", "n"), "split")
         if split.limit(1).count() == 0:
             break
         if r < CENTRE_ROUNDS:
@@ -249,10 +262,13 @@ def classes(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
                 F.col("centre").alias("a"), F.col("node").alias("b"))
         else:
             # whatever is left: the members of different classes of a bucket
-            left = placed.join(split, "bucket", "left_semi")
+            left = placed.join(split.where(F.col("n") <= SMALL_BUCKET), "bucket", "left_semi")
             pairs = left.select("bucket", F.col("node").alias("a"), F.col("label").alias("_la")).join(
                 left.select("bucket", F.col("node").alias("b"), F.col("label").alias("_lb")), "bucket").where(
                 "_la < _lb").select("a", "b")
+            large = placed.join(split.where(F.col("n") > SMALL_BUCKET), "bucket", "left_semi").select(
+                "node", "label").distinct()
+            pairs = pairs.unionByName(_rare_pairs(large, bags, num, den))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -275,6 +291,49 @@ def classes(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     return signed.select("doc_id", "node").join(found, "node").select("doc_id", "node", "class", "links", "label")
 
 
+def _tokens(batches):
+    """(node, side, shingles, times) to one row (token, node, side, weight, times) per shingle."""
+    for b in batches:
+        sh = [np.frombuffer(v.as_py(), "<i8") for v in b.column(2)]
+        times = [np.frombuffer(v.as_py(), "<i8") for v in b.column(3)]
+        # runs of texts of about 2^18 shingles together
+        run = np.cumsum([len(x) for x in sh]) >> 18
+        for at in np.flatnonzero(np.diff(run, prepend=-1)).tolist():
+            some = range(at, int(np.searchsorted(run, run[at], side="right")))
+            row = np.repeat(np.arange(at, at + len(some)), [len(sh[i]) for i in some])
+            total = np.array([times[i].sum() for i in some], dtype=np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([sh[i] for i in some])), b.column(0).take(pa.array(row)),
+                 b.column(1).take(pa.array(row)), pa.array(total[row - at]),
+                 pa.array(np.concatenate([times[i] for i in some]))],
+                ["token", "node", "side", "weight", "times"])
+
+
+def _rare_pairs(classed: DataFrame, bags: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of nodes of different classes that can reach the similarity, from rows (node, label).
+
+    Exact: a pair that reaches it shares a shingle in the prefixes that its two
+    weights leave, whatever the common order of shingles is.
+    """
+    some = classed.select("node", F.xxhash64("label").alias("side"))
+    tokens = materialize(bags.join(some, "node").select("node", "side", "shingles", "times").mapInArrow(
+        _tokens, "token long, node binary, side long, weight long, times long"), "tokens")
+    spread = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("side").alias("_lo"),
+                                         F.max("side").alias("_hi")).select(
+        "token", F.when(F.col("_lo") == F.col("_hi"), 0).otherwise(F.col("df")).alias("df"))
+    before = Window.partitionBy("node").orderBy("df", "token").rowsBetween(Window.unboundedPreceding, -1)
+    placed = tokens.join(spread, "token").withColumn("pos", F.coalesce(F.sum("times").over(before), F.lit(0)))
+    rare = placed.where((F.col("df") > 0) & (den * (F.col("weight") - F.col("pos")) >= num * F.col("weight")))
+    rare = materialize(rare.select("token", "node", "side", "weight", "pos"), "rare")
+    a, b = (rare.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "side", "weight", "pos")])
+            for x in "ab")
+    least = num * (F.col("weight_a") + F.col("weight_b"))
+    fits = ((F.col("node_a") < F.col("node_b")) & (F.col("side_a") != F.col("side_b"))
+            & ((num + den) * (F.col("weight_a") - F.col("pos_a")) >= least)
+            & ((num + den) * (F.col("weight_b") - F.col("pos_b")) >= least))
+    return a.join(b, (a["token"] == b["token"]) & fits).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+
+
 def _plausible(pairs: DataFrame, facts: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs that weights and signatures allow to reach the similarity."""
     a, b = (facts.select(F.col("node").alias(c), F.col("weight").alias(f"w{c}"), F.col("slots").alias(f"s{c}"))

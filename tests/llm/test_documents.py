@@ -184,6 +184,50 @@ def test_near_duplicates_chain_and_large_group(spark):
     assert collections.Counter((r["doc_id"], r["class"]) for r in got) == brute_classes(rows)
 
 
+def edited_copies(n, seed=5):
+    """One text, its copies with 0 to 12 edits each, some of them edited once more: many pairs near 0.8."""
+    import random
+    rng = random.Random(seed)
+    w = [f"t{i % 190}" for i in range(200)]
+    rows = []
+    for i in range(n):
+        v = list(w)
+        for _ in range(rng.randrange(13)):
+            v[rng.randrange(200)] = f"e{rng.randrange(40)}"
+        rows.append((i, " ".join(v), "en", "s", 1))
+        if i % 7 == 0:
+            v[rng.randrange(200)] = f"f{i}"
+            rows.append((n + i, " ".join(v + ["tail"] * (i % 30)), "en", "s", 1))
+    return rows
+
+
+def test_near_duplicates_large_open_buckets(spark):
+    rows = edited_copies(220)
+    want = brute_classes(rows)
+    assert len({c for _, c in want}) > 20          # buckets stay open after the centres
+    got = neardup.classes(frame(spark, rows)).collect()
+    assert collections.Counter((r["doc_id"], r["class"]) for r in got) == want
+
+
+def test_rare_shingles_lose_no_link(spark):
+    import numpy as np
+    import pyspark.sql.functions as F
+    rows = edited_copies(120)
+    texts = sorted({r[1] for r in rows})
+    doc, sh, times = neardup.shingle_bags([t.encode() for t in texts])
+    cut = np.searchsorted(doc, np.arange(len(texts) + 1))
+    bags = spark.createDataFrame(
+        [(str(i).encode(), sh[x:y].astype("<u8").tobytes(), times[x:y].astype("<i8").tobytes())
+         for i, (x, y) in enumerate(zip(cut[:-1], cut[1:]))], "node binary, shingles binary, times binary")
+    got = {frozenset((int(r["a"]), int(r["b"]))) for r in neardup._rare_pairs(
+        bags.select("node", F.col("node").alias("label")), bags, 8, 10).collect()}
+    own = [bag(t) for t in texts]
+    want = {frozenset((i, j)) for i in range(len(texts)) for j in range(i)
+            if 10 * sum((own[i] & own[j]).values()) >= 8 * sum((own[i] | own[j]).values())}
+    assert want and want <= got
+    assert len(got) < len(texts) * (len(texts) - 1) // 2
+
+
 def test_weighted_similarity_estimate(spark):
     import numpy as np
     rng = np.random.default_rng(1)
