@@ -42,6 +42,8 @@ NUM, DEN = 8, 10
 # and fewer than 40 with a probability below 1e-9
 MIN_AGREE = 40
 CENTRE_ROUNDS = 2
+# bytes of text that a worker hashes at once; a longer text is one buffer
+BUFFER_BYTES = 1_000_000
 # open buckets of at most so many members are compared inside, larger ones on their rarest shingles
 SMALL_BUCKET = 16
 
@@ -151,7 +153,7 @@ def _sign(batches):
             for d, n, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 yield (d, n), t.as_py().encode()
 
-    for held in buffers(rows()):
+    for held in buffers(rows(), BUFFER_BYTES):
         number: dict[bytes, int] = {}
         own = [number.setdefault(n, len(number)) for (_, n), _ in held]
         raws: list[bytes] = [b""] * len(number)
@@ -182,7 +184,7 @@ def _bags(batches):
             for n, t in zip(b.column(0).to_pylist(), b.column(1)):
                 yield n, t.as_py().encode()
 
-    for held in buffers(rows()):
+    for held in buffers(rows(), BUFFER_BYTES):
         doc, sh, times = shingle_bags([raw for _, raw in held])
         cut = np.searchsorted(doc, np.arange(len(held) + 1))
         yield pa.RecordBatch.from_arrays(
