@@ -39,6 +39,8 @@ DROPPED, LOOSE, BODY = 0, 1, 2
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template svg math iframe object canvas audio video select textarea button "
                 "head datalist".split())
+# what a head can hold: anything else ends it, its end tag may be left out
+HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
 TEMPLATE = frozenset("nav aside footer form dialog menu".split())
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset "
                    "figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option "
@@ -86,7 +88,15 @@ class PageLines(HTMLParser):
             self.lines.append((line, zone, zone == BODY and block in PROSE and self.linked < self.total))
         self.text, self.linked, self.total = [], 0, 0
 
+    def _close_head(self, tag):
+        names = [e[0] for e in self.stack]
+        if tag == "body" and "head" in names and "template" not in names:
+            del self.stack[names.index("head"):]
+        while tag not in HEAD and self.stack[-1][0] == "head":
+            self.stack.pop()
+
     def handle_starttag(self, tag, attrs):
+        self._close_head(tag)
         if tag in BLOCKS:
             self.flush()
             self._close_implied(tag)
@@ -137,6 +147,8 @@ class PageLines(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_data(self, data):
+        if self.stack[-1][0] == "head" and data.strip():
+            self._close_head("")
         if self.stack[-1][5]:
             return
         self.text.append(data)

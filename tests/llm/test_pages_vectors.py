@@ -48,6 +48,18 @@ def test_main_text(spark):
     assert extract.main_text(pages(spark, [])).count() == 0
 
 
+def test_head_without_end_tag():
+    def texts(html):
+        return [t for t, zone, _ in extract.page_lines(html) if zone]
+
+    assert texts("<html><head><title>T</title><style>p{}</style><body><p>One</p>") == ["One"]
+    assert texts("<html><head><title>T</title><meta charset=x><p>One<p>Two") == ["One", "Two"]
+    assert texts("<head><script>var a = '<p>no</p>';</script><span>One</span>") == ["One"]
+    assert texts("<head><title>T</title> \n plain words") == ["plain words"]
+    assert texts("<head><noscript><p>no</p><body><p>One</p>") == ["One"]
+    assert texts("<head><noscript><p>no</p></noscript><title>T</title></head><body><p>One</p>") == ["One"]
+
+
 @pytest.mark.parametrize("cells", [1 << 28, 8])
 def test_common_lines_is_a_longest_common_subsequence(cells):
     rng = random.Random(2)
