@@ -5,7 +5,8 @@ neighbour in that order whose path shares the longer prefix. The text lines of
 the two are aligned by a longest common subsequence, and what they share is the
 site's template: those lines are deleted. Two things bound the deletion. A pair
 whose body paragraphs are mostly shared are copies of one article, not two
-pages of one template; then the other neighbour is taken, or none. And a
+pages of one template; then the other neighbour is taken, or none. Lines that
+most of the host's different pages hold say nothing about that. And a
 paragraph that the page itself marks as body text (inside ``article`` or
 ``main``) stays, since articles of one host quote the same passages. Lines that
 are the page's own but stand in menus, headers, footers, asides, forms,
@@ -22,6 +23,7 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,9 +31,14 @@ from .common import materialize, running_sum
 from .urlfilter import host_of, path_of
 
 BLOCK_PAGES = 256
-# a pair is two copies if it shares more than this of the marked paragraphs, or of all lines where none is marked
+# a pair is two copies if it shares more than this of the marked paragraphs, or of the letters where none is marked;
+# lines of the host's template are not counted, where no template is known (few pages) it must share nearly all
 COPY_SHARE = 0.5
 COPY_SHARE_UNMARKED = 0.9
+# a line is of the template if more than half of the host's different pages hold it, and so many at least
+TEMPLATE_PAGES = 3
+
+PROTECTED, KEPT = 1, 2
 
 DROPPED, LOOSE, BODY = 0, 1, 2
 
@@ -230,20 +237,35 @@ def common_lines(a: list, b: list, cells: int = 1 << 28) -> list[int]:
     return sorted(out)
 
 
+def _kept_zone(lines) -> int:
+    """The zone the main text is taken from."""
+    return BODY if any(zone == BODY for _, zone, _ in lines) else LOOSE
+
+
 def _line_hashes(batches):
-    """(page, digest, host, path, html) to line hashes and protected flags."""
+    """(page, digest, host, path, html) to line hashes, flags and lengths, and what the kept zone holds."""
     import xxhash
 
     for b in batches:
-        hashes, flags = [], []
+        hashes, flags, chars, content, own = [], [], [], [], []
         for html in b.column("html"):
             lines = page_lines(html.as_py())
-            hashes.append(np.array([xxhash.xxh64_intdigest(t) for t, _, _ in lines], dtype="<u8").tobytes())
-            flags.append(np.array([p for _, _, p in lines], dtype=np.uint8).tobytes())
+            zone = _kept_zone(lines)
+            h = np.array([xxhash.xxh64_intdigest(t) for t, _, _ in lines], dtype="<u8")
+            f = np.array([PROTECTED * p + KEPT * (z == zone) for _, z, p in lines], dtype=np.uint8)
+            kept = h[f & KEPT > 0]
+            hashes.append(h.tobytes())
+            flags.append(f.tobytes())
+            chars.append(np.array([len(t) for t, _, _ in lines], dtype="<i4").tobytes())
+            content.append(kept.tobytes())
+            own.append(np.unique(kept).view("<i8"))
+        ends = np.cumsum([0] + [len(x) for x in own])
         yield pa.RecordBatch.from_arrays(
-            [b.column(c) for c in ("page", "digest", "host", "path")] + [pa.array(hashes, pa.binary()),
-                                                                       pa.array(flags, pa.binary())],
-            ["page", "digest", "host", "path", "lines", "flags"])
+            [b.column(c) for c in ("page", "digest", "host", "path")] + [
+                pa.array(hashes, pa.binary()), pa.array(flags, pa.binary()), pa.array(chars, pa.binary()),
+                pa.array([xxhash.xxh64_intdigest(x) - 2 ** 63 for x in content], pa.int64()),
+                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, "<i8"), *own])))],
+            ["page", "digest", "host", "path", "lines", "flags", "chars", "content", "kept"])
 
 
 def _prefix(a: str, b: str) -> int:
@@ -256,22 +278,32 @@ def _prefix(a: str, b: str) -> int:
 
 
 def _pair_block(table: pa.Table) -> pa.Table:
-    """Shared lines of the pages of one block against their nearest neighbours."""
-    table = table.sort_by("pos")
+    """Shared lines of the pages of one block against their nearest neighbours.
+
+    A row without a place holds the template lines of the host.
+    """
+    common: set[int] = set()
+    for x in table.filter(pc.is_null(table["pos"]))["lines"]:
+        common.update(np.frombuffer(x.as_py(), "<u8").tolist())
+    table = table.filter(pc.is_valid(table["pos"])).sort_by("pos")
     path, own = table["path"].to_pylist(), table["own"].to_pylist()
     lines = [np.frombuffer(x.as_py(), "<u8").tolist() for x in table["lines"]]
     flags = [np.frombuffer(x.as_py(), np.uint8) for x in table["flags"]]
+    chars = [np.frombuffer(x.as_py(), "<i4") for x in table["chars"]]
     pos = table["pos"].to_pylist()
     shared = []
     for i in range(len(pos)):
         found: list[int] = []
         if own[i] and lines[i]:
             sides = [j for j in (i - 1, i + 1) if 0 <= j < len(pos) and abs(pos[j] - pos[i]) == 1]
+            # what tells two pages apart: marked paragraphs, or letters where none is marked, outside the template
+            marked = flags[i] & PROTECTED > 0
+            weight = marked if marked.any() else chars[i] * (flags[i] & KEPT > 0)
+            limit = COPY_SHARE if marked.any() or common else COPY_SHARE_UNMARKED
+            weight = weight * np.array([x not in common for x in lines[i]], dtype=np.int64)
             for j in sorted(sides, key=lambda j: -_prefix(path[i], path[j])):
                 at = common_lines(lines[i], lines[j])
-                body = int(flags[i].sum())
-                copy = (flags[i][at].sum() > COPY_SHARE * body) if body else len(at) > COPY_SHARE_UNMARKED * len(lines[i])
-                if not copy:
+                if not weight[at].sum() > limit * weight.sum():
                     found = at
                     break
         shared.append(np.array(found, dtype="<i4").tobytes())
@@ -286,8 +318,7 @@ def _assemble(batches):
         for html, shared in zip(b.column("html"), b.column("shared")):
             lines = page_lines(html.as_py())
             gone = set(np.frombuffer(shared.as_py() or b"", "<i4").tolist())
-            marked = any(zone == BODY for _, zone, _ in lines)
-            keep = BODY if marked else LOOSE
+            keep = _kept_zone(lines)
             kept = [t for i, (t, zone, protected) in enumerate(lines)
                     if zone == keep and (protected or i not in gone)]
             texts.append(" ".join(kept))
@@ -300,12 +331,34 @@ def _assemble(batches):
             ["page_id", "url", "text", "n_chars", "n_lines", "n_shared"])
 
 
+def _template_lines(light: DataFrame) -> DataFrame:
+    """(host, lines): what more than half of the different pages of a host hold, at least ``TEMPLATE_PAGES``.
+
+    Pages with the same lines count once, so copies do not make a template.
+    At most twice the mean number of lines of a page per host.
+    """
+    contents = light.dropDuplicates(["host", "content"])
+    total = contents.groupBy("host").agg(F.count(F.lit(1)).alias("_all"))
+    held = contents.select("host", F.explode("kept").alias("line")).groupBy("host", "line").agg(
+        F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= TEMPLATE_PAGES)
+    held = held.join(total, "host").where(F.col("_n") * 2 > F.col("_all"))
+    return held.groupBy("host").agg(F.collect_list("line").alias("_lines")).mapInArrow(
+        _as_binary, "host string, lines binary")
+
+
+def _as_binary(batches):
+    for b in batches:
+        lines = [np.array(x.as_py(), dtype="<i8").tobytes() for x in b.column("_lines")]
+        yield pa.RecordBatch.from_arrays([b.column("host"), pa.array(lines, pa.binary())], ["host", "lines"])
+
+
 def shared_lines(pages: DataFrame, block_pages: int = BLOCK_PAGES) -> DataFrame:
     """(page, digest, shared): the numbers of the lines that a page shares with its nearest neighbour."""
     keyed = _keyed(pages)
     light = materialize(keyed.select("page", "digest", host_of(F.col("url")).alias("host"),
                                      path_of(F.col("url")).alias("path"), "html").mapInArrow(
-        _line_hashes, "page long, digest long, host string, path string, lines binary, flags binary"), "lines")
+        _line_hashes, "page long, digest long, host string, path string, lines binary, flags binary, chars binary, "
+                      "content long, kept array<long>"), "lines")
     # rows repeated whole are one page
     order = light.dropDuplicates(["page", "digest"]).select("host", "path", "page", "digest", F.lit(1).alias("one"))
     order = running_sum(order, ["host"], ["path", "page", "digest"], "one", "pos", "order")
@@ -317,7 +370,12 @@ def shared_lines(pages: DataFrame, block_pages: int = BLOCK_PAGES) -> DataFrame:
                      F.when(inside == 0, F.struct((block - 1).alias("block"), F.lit(False).alias("own"))),
                      F.when(inside == block_pages - 1, F.struct((block + 1).alias("block"), F.lit(False).alias("own"))))
     spread = placed.withColumn("_b", F.explode(F.array_compact(blocks))).select(
-        "host", "_b.block", "_b.own", "pos", "page", "digest", "path", "lines", "flags")
+        "host", "_b.block", "_b.own", "pos", "page", "digest", "path", "lines", "flags", "chars")
+    # the template of the host goes to each of its blocks
+    last = order.groupBy("host").agg(F.floor((F.max("pos") - 1) / block_pages).alias("_last"))
+    common = _template_lines(light).join(last, "host").select(
+        "host", F.explode(F.sequence(F.lit(0), "_last")).alias("block"), "lines")
+    spread = spread.unionByName(common, allowMissingColumns=True)
     return materialize(spread.groupBy("host", "block").applyInArrow(
         _pair_block, "page long, digest long, shared binary"), "shared")
 

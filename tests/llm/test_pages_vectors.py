@@ -48,6 +48,30 @@ def test_main_text(spark):
     assert extract.main_text(pages(spark, [])).count() == 0
 
 
+def test_template_outweighs_unmarked_text(spark):
+    def page(i, n):
+        own = [f"Paragraph {k} of page {i}, " + " ".join(f"w{i}x{j}" for j in range(40)) for k in range(n)]
+        lines = [f"Template line {k}" for k in range(30)] + own + [f"Template end {k}" for k in range(30)]
+        return "<body>" + "".join(f"<div>{x}</div>" for x in lines) + "</body>", " ".join(own)
+
+    rows = [(i, f"http://a.example/{i}", page(i, 5)) for i in range(6)]
+    # pages with few words of their own, and a host of two pages
+    rows += [(10 + i, f"http://b.example/{i}", (page(0, 0)[0].replace("</body>", f"<p>Own {i}"), f"Own {i}"))
+             for i in range(6)]
+    rows += [(20 + i, f"http://c.example/{i}", page(i, 5)) for i in range(2)]
+    # copies that differ in a line stay whole on a host of other pages
+    copy = [page(50, 8)[0].replace("Paragraph 0", f"Paragraph {i}") for i in (0, 9)]
+    rows += [(30 + i, f"http://d.example/y/{i}", page(30 + i, 5)) for i in range(5)]
+    rows += [(40 + i, f"http://d.example/x/{i}", (c, None)) for i, c in enumerate(copy)]
+    got = {r["page_id"]: r["text"] for r in extract.main_text(
+        pages(spark, [(i, u, h) for i, u, (h, _) in rows]), block_pages=4).collect()}
+    for i, _, (_, own) in rows:
+        if own is not None:
+            assert got[i] == own, i
+    for i in (40, 41):
+        assert all(f"Paragraph {k} of page 50" in got[i] for k in range(1, 8))
+
+
 def test_head_without_end_tag():
     def texts(html):
         return [t for t, zone, _ in extract.page_lines(html) if zone]
