@@ -8,7 +8,8 @@ whose body paragraphs are mostly shared are copies of one article, not two
 pages of one template; then the other neighbour is taken, or none. Lines that
 most of the host's different pages hold say nothing about that. And a
 paragraph that the page itself marks as body text (inside ``article`` or
-``main``) stays, since articles of one host quote the same passages. Lines that
+``main``) stays, since articles of one host quote the same passages, unless most
+of the host's different pages, and eight at least, hold it. Lines that
 are the page's own but stand in menus, headers, footers, asides, forms,
 adverts, notices or comments go by their markup.
 
@@ -37,6 +38,8 @@ COPY_SHARE = 0.5
 COPY_SHARE_UNMARKED = 0.9
 # a line is of the template if more than half of the host's different pages hold it, and so many at least
 TEMPLATE_PAGES = 3
+# so many of them also outweigh the mark of a body paragraph; fewer can be articles that quote one another
+TEMPLATE_PAGES_MARKED = 8
 
 PROTECTED, KEPT = 1, 2
 
@@ -282,16 +285,17 @@ def _pair_block(table: pa.Table) -> pa.Table:
 
     A row without a place holds the template lines of the host.
     """
-    common: set[int] = set()
-    for x in table.filter(pc.is_null(table["pos"]))["lines"]:
-        common.update(np.frombuffer(x.as_py(), "<u8").tolist())
+    common: dict[int, int] = {}
+    rest = table.filter(pc.is_null(table["pos"]))
+    for x, wide in zip(rest["lines"], rest["flags"]):
+        common.update(zip(np.frombuffer(x.as_py(), "<u8").tolist(), wide.as_py()))
     table = table.filter(pc.is_valid(table["pos"])).sort_by("pos")
     path, own = table["path"].to_pylist(), table["own"].to_pylist()
     lines = [np.frombuffer(x.as_py(), "<u8").tolist() for x in table["lines"]]
     flags = [np.frombuffer(x.as_py(), np.uint8) for x in table["flags"]]
     chars = [np.frombuffer(x.as_py(), "<i4") for x in table["chars"]]
     pos = table["pos"].to_pylist()
-    shared = []
+    shared, cut = [], []
     for i in range(len(pos)):
         found: list[int] = []
         if own[i] and lines[i]:
@@ -307,23 +311,25 @@ def _pair_block(table: pa.Table) -> pa.Table:
                     found = at
                     break
         shared.append(np.array(found, dtype="<i4").tobytes())
-    out = pa.table({"page": table["page"], "digest": table["digest"], "shared": pa.array(shared, pa.binary())})
+        cut.append(np.array([k for k in found if not flags[i][k] & PROTECTED or common.get(lines[i][k])],
+                            dtype="<i4").tobytes())
+    out = pa.table({"page": table["page"], "digest": table["digest"], "shared": pa.array(shared, pa.binary()),
+                    "cut": pa.array(cut, pa.binary())})
     return out.filter(pa.array(own, pa.bool_()))
 
 
 def _assemble(batches):
-    """(page_id, url, html, shared) to the main text."""
+    """(page_id, url, html, shared, cut) to the main text."""
     for b in batches:
         texts, n_lines, n_shared = [], [], []
-        for html, shared in zip(b.column("html"), b.column("shared")):
+        for html, shared, cut in zip(b.column("html"), b.column("shared"), b.column("cut")):
             lines = page_lines(html.as_py())
-            gone = set(np.frombuffer(shared.as_py() or b"", "<i4").tolist())
+            gone = set(np.frombuffer(cut.as_py() or b"", "<i4").tolist())
             keep = _kept_zone(lines)
-            kept = [t for i, (t, zone, protected) in enumerate(lines)
-                    if zone == keep and (protected or i not in gone)]
+            kept = [t for i, (t, zone, _) in enumerate(lines) if zone == keep and i not in gone]
             texts.append(" ".join(kept))
             n_lines.append(len(lines))
-            n_shared.append(len(gone))
+            n_shared.append(len(shared.as_py() or b"") // 4)
         yield pa.RecordBatch.from_arrays(
             [b.column("page_id"), b.column("url"), pa.array(texts, pa.string()),
              pa.array([len(t) for t in texts], pa.int64()), pa.array(n_lines, pa.int64()),
@@ -332,9 +338,10 @@ def _assemble(batches):
 
 
 def _template_lines(light: DataFrame) -> DataFrame:
-    """(host, lines): what more than half of the different pages of a host hold, at least ``TEMPLATE_PAGES``.
+    """(host, lines, flags): what more than half of the different pages of a host hold, at least ``TEMPLATE_PAGES``.
 
-    Pages with the same lines count once, so copies do not make a template.
+    Pages with the same lines count once, so copies do not make a template. The flag is 1 for lines that
+    ``TEMPLATE_PAGES_MARKED`` of them hold.
     At most twice the mean number of lines of a page per host.
     """
     contents = light.dropDuplicates(["host", "content"])
@@ -342,18 +349,22 @@ def _template_lines(light: DataFrame) -> DataFrame:
     held = contents.select("host", F.explode("kept").alias("line")).groupBy("host", "line").agg(
         F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= TEMPLATE_PAGES)
     held = held.join(total, "host").where(F.col("_n") * 2 > F.col("_all"))
-    return held.groupBy("host").agg(F.collect_list("line").alias("_lines")).mapInArrow(
-        _as_binary, "host string, lines binary")
+    return held.groupBy("host").agg(F.collect_list(F.struct("line", "_n")).alias("_lines")).mapInArrow(
+        _as_binary, "host string, lines binary, flags binary")
 
 
 def _as_binary(batches):
     for b in batches:
-        lines = [np.array(x.as_py(), dtype="<i8").tobytes() for x in b.column("_lines")]
-        yield pa.RecordBatch.from_arrays([b.column("host"), pa.array(lines, pa.binary())], ["host", "lines"])
+        rows = [x.as_py() for x in b.column("_lines")]
+        lines = [np.array([r["line"] for r in x], dtype="<i8").tobytes() for x in rows]
+        wide = [bytes(r["_n"] >= TEMPLATE_PAGES_MARKED for r in x) for x in rows]
+        yield pa.RecordBatch.from_arrays([b.column("host"), pa.array(lines, pa.binary()),
+                                          pa.array(wide, pa.binary())], ["host", "lines", "flags"])
 
 
 def shared_lines(pages: DataFrame, block_pages: int = BLOCK_PAGES) -> DataFrame:
-    """(page, digest, shared): the numbers of the lines that a page shares with its nearest neighbour."""
+    """(page, digest, shared, cut): numbers of the lines that a page shares with its nearest neighbour, and of those to
+    delete: all that the page does not mark as body, and of the marked ones the host's template."""
     keyed = _keyed(pages)
     light = materialize(keyed.select("page", "digest", host_of(F.col("url")).alias("host"),
                                      path_of(F.col("url")).alias("path"), "html").mapInArrow(
@@ -374,10 +385,10 @@ def shared_lines(pages: DataFrame, block_pages: int = BLOCK_PAGES) -> DataFrame:
     # the template of the host goes to each of its blocks
     last = order.groupBy("host").agg(F.floor((F.max("pos") - 1) / block_pages).alias("_last"))
     common = _template_lines(light).join(last, "host").select(
-        "host", F.explode(F.sequence(F.lit(0), "_last")).alias("block"), "lines")
+        "host", F.explode(F.sequence(F.lit(0), "_last")).alias("block"), "lines", "flags")
     spread = spread.unionByName(common, allowMissingColumns=True)
     return materialize(spread.groupBy("host", "block").applyInArrow(
-        _pair_block, "page long, digest long, shared binary"), "shared")
+        _pair_block, "page long, digest long, shared binary, cut binary"), "shared")
 
 
 def _keyed(pages: DataFrame) -> DataFrame:
@@ -396,6 +407,6 @@ def main_text(pages: DataFrame, block_pages: int = BLOCK_PAGES) -> DataFrame:
     empty result; other columns are not read.
     """
     found = shared_lines(pages, block_pages)
-    rows = _keyed(pages).join(found, ["page", "digest"], "left").select("page_id", "url", "html", "shared")
+    rows = _keyed(pages).join(found, ["page", "digest"], "left").select("page_id", "url", "html", "shared", "cut")
     return rows.mapInArrow(_assemble, "page_id long, url string, text string, n_chars long, n_lines long, "
                                       "n_shared long")

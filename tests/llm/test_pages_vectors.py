@@ -72,6 +72,19 @@ def test_template_outweighs_unmarked_text(spark):
         assert all(f"Paragraph {k} of page 50" in got[i] for k in range(1, 8))
 
 
+def test_template_inside_article(spark):
+    art = ("<body><nav>Menu</nav><article><h1>Title %s</h1><p>Sign up for our letter</p><p>Own words %s</p><p>%s</p>"
+           "<p>Find us here</p><p>All about us</p><p>Help</p></article></body>")
+    # pairs of pages quote one passage
+    rows = [(i, f"http://a.example/{i:02}", art % (i, i, f"Quoted by some {i // 2 * 2}")) for i in range(12)]
+    # the pages of a host that hold one article in equal copies keep it
+    rows += [(20 + i, f"http://b.example/{i:02}", art % (0, 0, "same")) for i in range(12)]
+    got = {r["page_id"]: r for r in extract.main_text(pages(spark, rows), block_pages=5).collect()}
+    for i in range(12):
+        assert got[i]["text"] == f"Title {i} Own words {i} Quoted by some {i // 2 * 2}"
+        assert got[20 + i]["text"].startswith("Title 0 Sign up for our letter Own words 0 same Find")
+
+
 def test_head_without_end_tag():
     def texts(html):
         return [t for t, zone, _ in extract.page_lines(html) if zone]
