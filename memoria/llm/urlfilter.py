@@ -2,8 +2,9 @@
 
 Labelled URLs become transactions of tokens (scheme, domain suffixes, path
 directories, file ending, query keys) plus an outcome item. Spark's FP-growth
-finds the frequent token combinations; those that predict the outcome are kept
-if confidence, support and lift reach the limits. To match, each rule is filed
+finds the frequent token combinations of any length; those that predict the
+outcome are kept if confidence, support and lift reach the limits. Long ones that
+add no confidence to a part of theirs decide nothing and are dropped. To match, each rule is filed
 in an inverted index under its rarest token; the distinct token sets of all
 URLs probe the index by their tokens and the found rules are verified whole.
 """
@@ -16,11 +17,12 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 BAD = "outcome:bad"
-MIN_SUPPORT = 0.005
-MIN_SUPPORT_ROWS = 5
+# so many bad pages: where each page is bad with 0.8 at most, 20 in a row come about with 1 %
+MIN_SUPPORT_ROWS = 20
 MIN_CONFIDENCE = 0.8
 MIN_LIFT = 1.5
-MAX_TOKENS = 3
+# rules with more tokens are dropped if they add no confidence
+SHORT_RULE = 3
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -67,13 +69,37 @@ def url_tokens(url: Column) -> Column:
     return F.when(url.isNull(), none).otherwise(F.sort_array(F.array_distinct(tokens)))
 
 
-def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_rows: int = MIN_SUPPORT_ROWS,
-               min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT,
-               max_tokens: int = MAX_TOKENS) -> DataFrame:
+def _best_part(sets: DataFrame) -> DataFrame:
+    """(tokens, part): the highest confidence of a rule that is a proper part of each long frequent set.
+
+    ``sets`` (tokens, rule confidence or null) holds every part of its sets, so
+    one pass per length over the parts with one token less is enough.
+    """
+    longest = sets.agg(F.max(F.size("tokens"))).first()[0]
+    best = sets.where("size(tokens) = 1").select("tokens", F.col("confidence").alias("best"))
+    out = None
+    for n in range(2, longest + 1):
+        parts = sets.where(F.size("tokens") == n).select(
+            "tokens", "confidence", F.explode("tokens").alias("_x")).select(
+            F.col("tokens").alias("whole"), "confidence", F.array_remove("tokens", F.col("_x")).alias("tokens"))
+        level = materialize(parts.join(best, "tokens").groupBy("whole").agg(
+            F.max("best").alias("part"), F.max("confidence").alias("confidence")), "parts")
+        best = level.select(F.col("whole").alias("tokens"), F.greatest("part", "confidence").alias("best"))
+        if n > SHORT_RULE:
+            level = level.select(F.col("whole").alias("tokens"), "part")
+            out = level if out is None else out.unionByName(level)
+    return out
+
+
+def mine_rules(labelled: DataFrame, min_support: float | None = None, min_rows: int = MIN_SUPPORT_ROWS,
+               min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT) -> DataFrame:
     """Rules (tokens, confidence, support_rows) that predict a bad page, from rows (tokens, bad).
 
-    Rows without tokens or with a null label are left out. No labelled row or
-    no bad row: no rules.
+    A rule holds on ``min_rows`` bad rows at least, however many rows there are;
+    ``min_support``, a share of all rows, replaces that count if given. Rules of
+    more than ``SHORT_RULE`` tokens whose confidence a part of theirs reaches are
+    left out. Rows without tokens or with a null label are left out. No labelled
+    row or no bad row: no rules.
     """
     rows = materialize(labelled.where("bad is not null and size(tokens) > 0").select(
         F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items")),
@@ -83,19 +109,27 @@ def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_rows:
     schema = "tokens array<string>, confidence double, support_rows long"
     if not n or not n_bad:
         return spark.createDataFrame([], schema)
-    support = max(min_support, min_rows / n)
+    # half a row less: the product with the number of rows is rounded up
+    support = (min_rows - 0.5) / n if min_support is None else min_support
     if support > 1:
         return spark.createDataFrame([], schema)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sets = FPGrowth(itemsCol="items", minSupport=support, numPartitions=parts).fit(rows).freqItemsets
-    sets = materialize(sets.where(F.size("items") <= max_tokens + 1).select(
+    sets = sets.select(
         F.sort_array(F.array_remove("items", BAD)).alias("tokens"),
-        F.array_contains("items", BAD).alias("bad"), F.col("freq").alias("rows")).where("size(tokens) > 0"), "itemsets")
+        F.array_contains("items", BAD).alias("bad"), F.col("freq").alias("rows")).where("size(tokens) > 0")
     both = sets.groupBy("tokens").agg(F.max(F.when(F.col("bad"), F.col("rows"))).alias("hit"),
                                       F.max(F.when(~F.col("bad"), F.col("rows"))).alias("all"))
     conf = F.col("hit") / F.col("all")
-    return both.where((conf >= min_confidence) & (conf >= min_lift * n_bad / n)).select(
-        "tokens", conf.alias("confidence"), F.col("hit").cast("long").alias("support_rows"))
+    is_rule = (conf >= min_confidence) & (conf >= min_lift * n_bad / n)
+    both = materialize(both.where("hit is not null").select(
+        "tokens", F.when(is_rule, conf).alias("confidence"), F.col("hit").cast("long").alias("support_rows")),
+        "itemsets")
+    found = both.where("confidence is not null")
+    if found.where(F.size("tokens") > SHORT_RULE).limit(1).count():
+        found = found.join(_best_part(both.select("tokens", "confidence")), "tokens", "left").where(
+            "part is null or part < confidence")
+    return found.select("tokens", "confidence", "support_rows")
 
 
 def match_rules(token_sets: DataFrame, rules: DataFrame) -> DataFrame:

@@ -169,6 +169,29 @@ def test_mined_rules_equal_counts(spark):
     assert {(tuple(r["tokens"]), r["support_rows"]) for r in got.collect()} == want and want
 
 
+def test_mined_rules_of_any_length(spark):
+    import itertools
+    data = [(sorted("hakb" + "z" * (i % 2)), True) for i in range(60)]
+    data += [(list(c), False) for c in itertools.combinations("abhk", 3) for _ in range(50)]
+    data += [(["z"], False)] * 50 + [(["y", "z"], False)] * 3
+    got = urlfilter.mine_rules(spark.createDataFrame(data, "tokens array<string>, bad boolean"))
+    rules, n_bad = {}, 60
+    for k in range(1, 6):
+        for c in itertools.combinations("abhkyz", k):
+            every = [b for t, b in data if set(c) <= set(t)]
+            if sum(every) >= 20 and sum(every) / len(every) >= max(0.8, 1.5 * n_bad / len(data)):
+                rules[c] = sum(every) / len(every)
+    want = {c for c in rules if len(c) <= 3 or not any(set(d) < set(c) and rules[d] >= rules[c] for d in rules)}
+    assert {tuple(r["tokens"]) for r in got.collect()} == want and tuple("abhk") in want and len(want) < len(rules)
+
+
+def test_mined_support_is_a_count(spark):
+    data = [(["host:rare.net"], True)] * 25 + [(["host:few.net"], True)] * 6
+    data += [([f"host:h{i % 700}.net"], False) for i in range(10_000)]
+    got = urlfilter.mine_rules(spark.createDataFrame(data, "tokens array<string>, bad boolean"))
+    assert [tuple(r) for r in got.collect()] == [(["host:rare.net"], 1.0, 25)]
+
+
 def test_licences(spark):
     fill = " ".join(f"word{i}" for i in range(300))
     mit = dict(licences.TEMPLATES[-1:])["mit"]
