@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import Tables
@@ -15,6 +15,12 @@ URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example
 SEARCH_FACTOR = 1.1
 
 
+def document_number(url: Column) -> Column:
+    """The number that is the last name of a URL's path, with a slash or a file ending after it or not."""
+    return F.regexp_extract(
+        url, r"://[^/?#]*/(?:[^/?#]*/)*([0-9]+)(?:/|\.[A-Za-z0-9]+)?(?:[?#]|\z)", 1).try_cast("bigint")
+
+
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.main_text(Tables(spark, sf_dir).pages)
 
@@ -51,7 +57,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
     # a page shows the document whose number ends its path; a label of that document is one of the page
-    number = F.expr("try_cast(regexp_extract(url, '://[^/?#]*/(?:[^/?#]*/)*([0-9]+)', 1) as bigint)")
+    number = document_number(F.col("url"))
     bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
     labelled = t.pages.select("url", number.alias("doc_id")).join(
         t.labels.select("doc_id", bad.alias("bad")), "doc_id").select("url", "bad")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from memoria.llm import extract, licences, neighbours, urlfilter
-from memoria.llm.queries import SEARCH_FACTOR, URL_RULES
+from memoria.llm.queries import SEARCH_FACTOR, URL_RULES, document_number
 
 from .data import frame
 
@@ -169,6 +169,14 @@ def test_mined_rules_equal_counts(spark):
     assert {(tuple(r["tokens"]), r["support_rows"]) for r in got.collect()} == want and want
 
 
+def test_document_number_ends_the_path(spark):
+    want = {"http://a.b/en/17": 17, "http://a.b/17.html?x=3": 17, "http://a.b/17/#top": 17, "http://a.b/5?p=/9": 5,
+            "http://a.b/2021/05/some-title": None, "http://a.b/blog/3-tips": None, "http://a.b/": None,
+            "http://a.b/en?id=4": None, "http://a.b/" + "9" * 30: None}
+    df = spark.createDataFrame([(u,) for u in want], "url string")
+    assert {r["url"]: r["n"] for r in df.select("url", document_number(F.col("url")).alias("n")).collect()} == want
+
+
 def test_mined_rules_of_any_length(spark):
     import itertools
     data = [(sorted("hakb" + "z" * (i % 2)), True) for i in range(60)]
