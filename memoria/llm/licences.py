@@ -24,20 +24,77 @@ SHINGLE = 3
 BANDS = 32
 MIN_CONTAINMENT = 0.8
 
-# Notices as their licences word them.
-TEMPLATES = (
+# Notices, titles and telling clauses as the licences word them. Where two licences differ in a name or
+# a version only, the passage is short enough that the difference takes it below MIN_CONTAINMENT.
+_PASSAGES = (
     ("all-rights-reserved", "All rights reserved."),
-    ("apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("apache-2.0", "under the Apache License, Version 2.0"),
+    ("apache-2.0", "Apache License Version 2.0, January 2004"),
     ("apache-2.0", "you may not use this file except in compliance with the License. "
                    "You may obtain a copy of the License at"),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted "
             "provided that the following conditions are met:"),
-    ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0."),
-    ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the "
-            "GNU General Public License as published by the Free Software Foundation"),
-    ("mit", "Released under the MIT License."),
+    ("bsd-3-clause", "nor the names of its contributors may be used to endorse or promote products derived from "
+                     "this software without specific prior written permission"),
+    ("gpl", "terms of the GNU General Public License as published"),
+    ("gpl-2.0", "GNU General Public License, version 2"),
+    ("gpl-2.0", "GNU General Public License Version 2, June 1991"),
+    ("gpl-3.0", "GNU General Public License, version 3"),
+    ("gpl-3.0", "GNU General Public License Version 3, 29 June 2007"),
+    ("lgpl", "terms of the GNU Lesser General Public License as published"),
+    ("lgpl", "terms of the GNU Library General Public License as published"),
+    ("lgpl-2.1", "GNU Lesser General Public License, version 2.1"),
+    ("lgpl-3.0", "Lesser General Public License, version 3"),
+    ("agpl", "terms of the GNU Affero General Public License as published"),
+    ("agpl-3.0", "Affero General Public License, version 3"),
+    ("mpl-2.0", "subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("mpl-2.0", "Mozilla Public License, version 2.0"),
+    ("epl-1.0", "Eclipse Public License - v 1.0"),
+    ("epl-2.0", "Eclipse Public License - v 2.0"),
+    ("epl-2.0", "terms of the Eclipse Public License 2.0"),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
+            "hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("isc", "under the ISC License"),
+    ("0bsd", "BSD Zero Clause License"),
+    ("0bsd", "Zero-Clause BSD"),
+    ("zlib", "The origin of this software must not be misrepresented; you must not claim that you wrote the original "
+             "software"),
+    ("bsl-1.0", "Boost Software License - Version 1.0"),
+    ("bsl-1.0", "obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("busl-1.1", "Business Source License 1.1"),
+    ("unlicense", "This is free and unencumbered software released into the public domain"),
+    ("wtfpl", "Do What The Fuck You Want To Public License"),
+    ("artistic-2.0", "The Artistic License 2.0"),
+    ("cc0-1.0", "CC0 1.0 Universal"),
+    ("cc0-1.0", "creativecommons.org/publicdomain/zero/1.0"),
+    ("cc-pdm-1.0", "creativecommons.org/publicdomain/mark/1.0"),
+    ("gfdl", "terms of the GNU Free Documentation License"),
+    ("odbl-1.0", "Open Database License (ODbL) v1.0"),
+    ("odbl-1.0", "under the Open Database License"),
+    ("ofl-1.1", "SIL Open Font License, Version 1.1"),
+    ("mit", "The MIT License (MIT)"),
+    ("mit", "MIT License Copyright (c)"),
+    ("mit", "under the MIT License"),
+)
+_SPDX = ("MIT", "MIT-0", "ISC", "0BSD", "Zlib", "Unlicense", "WTFPL", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause",
+         "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MPL-1.1", "MPL-2.0", "EPL-1.0",
+         "EPL-2.0", "EUPL-1.2", "BSL-1.0", "BUSL-1.1", "Artistic-2.0", "CC0-1.0", "ODbL-1.0", "OFL-1.1")
+_CC = {"by": "Attribution", "by-sa": "Attribution-ShareAlike", "by-nd": "Attribution-NoDerivatives",
+       "by-nc": "Attribution-NonCommercial", "by-nc-sa": "Attribution-NonCommercial-ShareAlike",
+       "by-nc-nd": "Attribution-NonCommercial-NoDerivatives"}
+
+
+def _creative_commons():
+    """Name, short name (also that of SPDX tags) and address of every licence and version."""
+    for kind, name in _CC.items():
+        for version in ("1.0", "2.0", "2.5", "3.0", "4.0"):
+            word = name if version == "4.0" else name.replace("NoDerivatives", "NoDerivs")
+            for text in (f"Commons {word} {version}", f"CC {kind} {version}", f"licenses/{kind}/{version}"):
+                yield f"cc-{kind}-{version}", text
+
+
+TEMPLATES = (
+    *_PASSAGES, *_creative_commons(), *((i.lower(), f"SPDX-License-Identifier: {i}") for i in _SPDX),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
             "associated documentation files (the \"Software\"), to deal in the Software without restriction"),
 )
@@ -83,7 +140,7 @@ def find_licences(docs: DataFrame, templates=TEMPLATES, min_containment: float =
     empty result; other columns are not read.
     """
     spark = docs.sparkSession
-    # the templates are a parameter of the job: a few hundred numbers at most
+    # the templates are a parameter of the job: a few thousand numbers at most
     table = template_table(spark, templates).collect()
     known = sorted({h for r in table for h in r["h"]})
     sizes = sorted({r["size"] for r in table})

@@ -213,6 +213,24 @@ def test_licences(spark):
     assert licences.find_licences(frame(spark, [])).count() == 0
 
 
+def test_licence_variants(spark):
+    head = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU %s"
+    tail = " as published by the Free Software Foundation, either version 3 of the License"
+    cases = {"Licensed under CC BY-SA 4.0.": "cc-by-sa-4.0", "Licensed under CC BY-ND 3.0.": "cc-by-nd-3.0",
+             head % "Lesser General Public License" + tail: "lgpl", head % "General Public License" + tail: "gpl",
+             head % "Affero General Public License" + tail: "agpl",
+             "This work is licensed under the GNU General Public License, version 2.": "gpl-2.0",
+             "This work is licensed under the GNU General Public License, version 3.": "gpl-3.0",
+             "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.": "mpl-2.0",
+             "https://creativecommons.org/licenses/by-nc-sa/4.0/": "cc-by-nc-sa-4.0",
+             "This work is licensed under a Creative Commons Attribution 4.0 International License.": "cc-by-4.0",
+             "This is free and unencumbered software released into the public domain.": "unlicense",
+             "// SPDX-License-Identifier: BSL-1.0": "bsl-1.0", "CC0 1.0 Universal": "cc0-1.0"}
+    rows = [(i, f"some words before it\n{t}\nand words after it", "en", "s", 1) for i, t in enumerate(cases)]
+    got = {(r["doc_id"], r["licence"]) for r in licences.find_licences(frame(spark, rows)).collect()}
+    assert got == set(enumerate(cases.values()))
+
+
 def vectors(n=3000, dim=16, seed=1):
     rng = np.random.default_rng(seed)
     x = rng.normal(size=(n, dim)).astype(np.float32)
