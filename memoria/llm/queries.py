@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import Tables
-from . import clusters, extract, licences, lm, mixing, neardup, neighbours, packing, quality, repeats, urlfilter
+from . import clusters, extract, licences, lm, mixing, neardup, neighbours, packing, quality, repeats, trie, urlfilter
 
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"),
              ("allow", "com/fr/"), ("block", "com/de/")]
@@ -72,9 +72,13 @@ def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.cluster(Tables(spark, sf_dir).embeddings)
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.rebuilt_trie(Tables(spark, sf_dir).conversations)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_html_extraction, op2_quality_rules, op3_license_scans, op4_source_mixing, op5_minhash_neardup,
         op6_lm_scoring, op7_suffix_dedup, op8_packing, op9_url_filters, op10_nearest_vectors,
-        op12_centroid_clusters)
+        op12_centroid_clusters, op13_conversation_trie)
 }

@@ -82,7 +82,7 @@ def test_long_run_scans_only_expired_gaps(spark):
     df = clusters.usable(frame(spark, rows))
     state, cents = clusters.fit(df, clusters.first_centroids(df), rounds=8)
     scanned = state.agg(F.sum("scanned")).first()[0]
-    assert scanned < 200       # the last round leaves most vectors in their heaps
+    assert scanned < len(rows) / 2      # the last round leaves most vectors in their heaps
     flat = [(tuple(r["ids"]), np.frombuffer(r["cluster"], "<i2").tolist()) for r in state.collect()]
     own = {i: c for ids, cs in flat for i, c in zip(ids, cs)}
     x = clusters.integers(np.array([v for _, v in rows]))
