@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import Tables
-from . import clusters, extract, licences, lm, mixing, neardup, neighbours, packing, quality, repeats, trie, urlfilter
+from . import clusters, extract, licences, lm, mixing, neardup, neighbours, packing, quality, ranking, repeats, trie, urlfilter
 
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"),
              ("allow", "com/fr/"), ("block", "com/de/")]
@@ -68,6 +68,11 @@ def op10_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(Tables(spark, sf_dir).embeddings, factor=SEARCH_FACTOR)
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = Tables(spark, sf_dir)
+    return ranking.quality_scores(t.documents, t.labels)
+
+
 def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.cluster(Tables(spark, sf_dir).embeddings)
 
@@ -80,5 +85,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_html_extraction, op2_quality_rules, op3_license_scans, op4_source_mixing, op5_minhash_neardup,
         op6_lm_scoring, op7_suffix_dedup, op8_packing, op9_url_filters, op10_nearest_vectors,
-        op12_centroid_clusters, op13_conversation_trie)
+        op11_quality_classifier, op12_centroid_clusters, op13_conversation_trie)
 }
