@@ -190,14 +190,14 @@ def text_features(documents: DataFrame) -> DataFrame:
 def preferences(labelled: DataFrame) -> DataFrame:
     """(d): features of a good document less those of a bad one, for every preference pair.
 
-    ``labelled`` has good, f. Rows of each class are numbered in the order of a
+    ``labelled`` has doc_id, good, f. Rows of each class are numbered in the order of a
     hash. Each row of the larger class meets ``PAIRS`` rows of the smaller, which
     takes its turns evenly; a row of the smaller class is copied once for every
     ``PARTNERS`` partners.
     """
     n = int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["good", "_h", "f"]
-    laid = labelled.withColumn("_h", F.xxhash64("f")).repartitionByRange(n, *order).sortWithinPartitions(*order)
+    laid = labelled.withColumn("_h", F.xxhash64("doc_id", "f")).repartitionByRange(n, *order).sortWithinPartitions(*order)
     laid = materialize(laid.select("good", "f", F.monotonically_increasing_id().alias("_row")), "labelled")
     per = laid.groupBy("good", F.shiftright("_row", 33).alias("_range")).agg(
         F.min("_row").alias("_first"), F.count("*").alias("_n"))
@@ -331,7 +331,7 @@ def quality_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
         F.explode(F.sequence(F.lit(0), F.lit(LABEL_SALTS - 1))).alias("_salt"))
     salted = feats.where("not held_out").withColumn(
         "_salt", (F.monotonically_increasing_id() % LABEL_SALTS).cast("int"))
-    train = materialize(salted.join(known, ["doc_id", "_salt"]).select("good", "f"), "train")
+    train = materialize(salted.join(known, ["doc_id", "_salt"]).select("doc_id", "good", "f"), "train")
     pairs = preferences(train)
     if pairs is None:
         score = F.lit(1.0)

@@ -93,7 +93,8 @@ def test_labels_of_held_out_documents_change_nothing(spark):
 def test_preference_pairs_are_dealt_evenly(spark, monkeypatch, n_good, n_bad):
     monkeypatch.setattr(ranking, "PARTNERS", 8)
     rows = [(True, [float(i), 1.0]) for i in range(n_good)] + [(False, [1000.0 * (i + 1), 0.0]) for i in range(n_bad)]
-    pairs = ranking.preferences(spark.createDataFrame(rows, "good boolean, f array<float>").repartition(3))
+    labelled = spark.createDataFrame(rows, "good boolean, f array<float>").withColumn("doc_id", F.lit(1))
+    pairs = ranking.preferences(labelled.repartition(3))
     d = [r["d"] for r in pairs.collect()]
     assert len(d) == ranking.PAIRS * max(n_good, n_bad) and all(x[1] == 1.0 for x in d)
     met = collections.Counter((x[0] % 1000, (x[0] - x[0] % 1000)) for x in d)
