@@ -1,76 +1,133 @@
 """Exact cosine nearest-neighbour search and the two-stage semantic search.
 
-Design (no pair rows are ever materialised):
-* the query table is split into chunks whose size is bounded in bytes; each
-  chunk is shipped once as a broadcast variable (proven size bound);
-* every task multiplies its memory vectors with the chunk's queries of the
-  same scope (agent) in numpy, tile by tile (bounded memory), keeps a running
-  top-k per query by (similarity desc, id asc) and emits it once at the end
-  of its partition -- at most k rows per query per task, and the merge is
-  exact because the order is total;
-* the global top-k per query is a ``row_number`` window, which Spark plans with
-  a partial ``WindowGroupLimit`` before the shuffle, so a query with many
-  candidates never moves more than k rows per partition.
+Design (neither side passes the driver or a broadcast, no pair rows are made):
+* vectors and queries are laid out alike: unit vectors are range-partitioned by
+  (scope, dimension, sign code of fixed random planes), so a large scope is
+  spread over many ranges and near directions lie together; every range is cut
+  into blocks of at most ``BLOCK_ROWS`` vectors with a centre and the angle
+  that holds all of them;
+* block pairs of one scope are compared by centre and angle alone. A query
+  block first meets its nearest blocks, a full visit of them; what its worst
+  query found there bounds the rest, and pairs whose angles cannot reach that
+  similarity are skipped before any vector is shuffled;
+* the remaining pairs meet in co-groups of one query block and a bounded run of
+  vector blocks; a task multiplies them tile by tile (bounded memory), keeps the
+  k best of each query and emits them once;
+* similarities are summed in one fixed order, so equal vectors tie exactly, and
+  ties go to the smaller id.
 """
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.timefn import as_of_lit
+from ..session import written
 
-# bytes of query vectors shipped per broadcast chunk
-QUERY_CHUNK_BYTES = 64 << 20
+BLOCK_ROWS = 4096
+# vector blocks that a query block meets in one task
+BLOCKS_PER_VISIT = 16
+# elements of one similarity tile (queries x vectors) held at once in a task
+TILE_ELEMENTS = 4 << 20
+CODE_BITS = 12
+# a block ends where the code changes once it holds this part of BLOCK_ROWS
+FILL = 8
+# groups over which the block pairs of one scope are dealt
+SCOPE_SALTS = 16
+SLACK = 1e-9
 
-_CAND_SCHEMA = "query_id long, id string, similarity double"
 
+def _matrix(arr: pa.Array, dim: int) -> np.ndarray:
+    return arr.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
-def _unit_rows(mat: np.ndarray) -> np.ndarray:
-    n = np.linalg.norm(mat, axis=1, keepdims=True)
-    n[n == 0] = np.nan  # cosine undefined for zero vectors: never a hit
-    return mat / n
 
+def _usable(df: DataFrame) -> DataFrame:
+    """Rows whose vector has a direction: not null or empty, no null or non-finite component, not all zero."""
+    v = F.col("vector")
+    ok = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
+    return df.withColumn("vector", v.cast("array<double>")).where(ok).withColumn("dim", F.size("vector"))
 
-def _list_matrix(arr: pa.Array) -> np.ndarray:
-    """(rows, dim) float64 matrix from a list<double> arrow array without nulls."""
-    arr = arr.combine_chunks() if isinstance(arr, pa.ChunkedArray) else arr
-    offs = arr.offsets.to_numpy()
-    lens = np.diff(offs)
-    flat = arr.values.to_numpy(zero_copy_only=False).astype(np.float64)
-    if len(lens) and np.all(lens == lens[0]):
-        return flat[offs[0]:offs[0] + lens[0] * len(lens)].reshape(len(lens), lens[0])
-    dim = int(lens.max()) if len(lens) else 0
-    out = np.full((len(lens), dim), np.nan)
-    for i, (o, n) in enumerate(zip(offs[:-1], lens)):
-        out[i, :n] = flat[o:o + n]
-    return out
 
+def _code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Unit vectors, and the sides of fixed random planes on which they lie as a number."""
+    for b in batches:
+        dims = b.column("dim").to_numpy()
+        for dim in np.unique(dims):
+            part = b.filter(pa.array(dims == dim))
+            x = _matrix(part.column("vector"), int(dim))
+            # scaled first, so that very large components do not overflow their squares
+            x = x / np.abs(x).max(axis=1, keepdims=True)
+            x = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+            planes = np.random.default_rng(int(dim)).normal(size=(int(dim), CODE_BITS))
+            code = ((x @ planes) > 0) @ (1 << np.arange(CODE_BITS))
+            unit = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * dim), pa.array(x.ravel()))
+            names = [n for n in part.schema.names if n != "vector"]
+            yield pa.RecordBatch.from_arrays([*[part.column(n) for n in names], unit, pa.array(code.astype(np.int32))],
+                                             [*names, "vector", "code"])
 
-# elements of one similarity tile (queries x vectors) held at once in a task
-TILE_ELEMENTS = 16 << 20
 
+def _cut(scope: str, names: list[str], block_rows: int):
+    """Sorted rows to blocks: one row (scope, dim, block, n, x, centre, radius, arrays of ``names``)."""
+    def run(batches):
+        part, seq = TaskContext.get().partitionId(), 0
+        held, size, key, last = [], 0, None, None
 
-def _topk_rows(S: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Column indices of the top ``k`` of every row of ``S`` by (value desc, id asc).
+        def close():
+            nonlocal held, size, seq
+            table = pa.Table.from_batches(held).combine_chunks()
+            x = _matrix(table["vector"].chunk(0), key[1])
+            centre = x.mean(axis=0)
+            norm = np.sqrt(centre @ centre)
+            centre = x[0] if norm < SLACK else centre / norm
+            radius = float(np.arccos(np.clip(x @ centre, -1.0, 1.0)).max()) + 1e-7
+            one = lambda v, t=None: pa.array([v], t)
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), table[n].chunk(0)) for n in names]
+            out = pa.RecordBatch.from_arrays(
+                [one(key[0], table.schema.field(scope).type), one(key[1], pa.int32()),
+                 one(part << 32 | seq, pa.int64()), one(len(x), pa.int64()),
+                 one(np.ascontiguousarray(x, "<f8").tobytes()), one(centre.tolist()), one(radius), *lists],
+                [scope, "dim", "block", "n", "x", "centre", "radius", *names])
+            held, size, seq = [], 0, seq + 1
+            return out
 
-    ``ids`` has the shape of ``S``. Vectorised ``argpartition``; only rows with
-    a tie at the k-th value are resolved one by one, so the order is total and
-    merging per-task results stays exact.
-    """
-    m = S.shape[1]
-    kk = min(k, m)
-    part = np.argpartition(-S, kk - 1, axis=1)[:, :kk]
-    vals = np.take_along_axis(S, part, 1)
-    kth = vals.min(axis=1)
-    tied = np.nonzero(np.isfinite(kth) & ((S == kth[:, None]).sum(1) > (vals == kth[:, None]).sum(1)))[0]
-    for r in tied:
-        cand = np.nonzero(S[r] >= kth[r])[0]
-        part[r] = sorted(cand, key=lambda j: (-S[r, j], ids[r, j]))[:kk]
-    return part
+        for b in batches:
+            rows = list(zip(b.column(scope).to_pylist(), b.column("dim").to_pylist()))
+            codes, at = b.column("code").to_pylist(), 0
+            for i in range(b.num_rows):
+                full = size + i - at
+                if full and (rows[i] != key or full >= block_rows or (codes[i] != last and full * FILL >= block_rows)):
+                    if i > at:
+                        held.append(b.slice(at, i - at))
+                    yield close()
+                    at = i
+                key, last = rows[i], codes[i]
+            if at < b.num_rows:
+                held.append(b.slice(at))
+                size += b.num_rows - at
+        if held:
+            yield close()
+    return run
+
+
+def blocks(df: DataFrame, id_col: str, scope: str, extra: list[str], tag: str) -> DataFrame:
+    """Blocks of the usable rows of ``df`` (id, scope, vector, extra), as a table in the shared folder."""
+    kinds = dict(df.dtypes)
+    rows = _usable(df.where(F.col(scope).isNotNull()))
+    keep = [scope, "dim", id_col, *extra]
+    schema = ", ".join(f"`{c}` {kinds.get(c, 'int')}" for c in keep) + ", vector array<double>, code int"
+    coded = rows.select(*keep, "vector").mapInArrow(_code, schema)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [scope, "dim", "code", id_col]
+    names = [id_col, *extra]
+    out = (f"`{scope}` {kinds[scope]}, dim int, block long, n long, x binary, centre array<double>, radius double, "
+           + ", ".join(f"`{c}` array<{kinds[c]}>" for c in names))
+    laid = coded.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    return written(laid.mapInArrow(_cut(scope, names, BLOCK_ROWS), out), tag)
 
 
 def _filter_mask(qsess, qtypes, vsess, vtypes) -> np.ndarray | None:
@@ -81,76 +138,112 @@ def _filter_mask(qsess, qtypes, vsess, vtypes) -> np.ndarray | None:
         mask = (qsess[:, None] == vsess[None, :]) | any_s[:, None]
     if qtypes is not None:
         names, codes = np.unique(np.asarray([str(x) for x in vtypes]), return_inverse=True)
-        allowed = np.array([[ts is None or n in ts for n in names] for ts in qtypes], dtype=bool).reshape(len(qtypes), len(names))
+        allowed = np.array([[not ts or n in ts for n in names] for ts in qtypes], dtype=bool).reshape(len(qtypes), len(names))
         tmask = allowed[:, codes]
         mask = tmask if mask is None else mask & tmask
     return mask
 
 
-def _local_topk_fn(bc, k: int, scope: str):
-    def run(batches):
-        chunk = bc.value  # scope value -> (query ids, unit query matrix, sessions | None, type sets | None)
-        best = {}  # scope value -> (sims (q, k), ids (q, k)) running top-k of this task
-        for b in batches:
-            if b.num_rows == 0:
-                continue
-            vec = b.column("vector")
-            keep = np.asarray(vec.is_valid())
-            scopes = b.column(scope).to_numpy(zero_copy_only=False)
-            ids = b.column("id").to_numpy(zero_copy_only=False)
-            names = b.schema.names
-            vsess = b.column("session_id").to_numpy(zero_copy_only=False) if "session_id" in names else None
-            vtypes = b.column("memory_type").to_numpy(zero_copy_only=False) if "memory_type" in names else None
-            if not keep.all():
-                sel = np.nonzero(keep)[0]
-                vec, scopes, ids = vec.take(pa.array(sel)), scopes[sel], ids[sel]
-                vsess = vsess[sel] if vsess is not None else None
-                vtypes = vtypes[sel] if vtypes is not None else None
-            if len(ids) == 0:
-                continue
-            V = _unit_rows(_list_matrix(vec))
-            for sv in set(scopes.tolist()):
-                if sv is None or sv not in chunk:
-                    continue
-                qids, Q, qsess, qtypes = chunk[sv]
-                idx = np.nonzero(scopes == sv)[0]
-                Vs, Is = V[idx], ids[idx]
-                if Vs.shape[1] != Q.shape[1]:
-                    raise ValueError(f"vector dimension {Vs.shape[1]} differs from query dimension {Q.shape[1]}")
-                if sv not in best:
-                    best[sv] = (np.full((len(qids), k), -np.inf), np.full((len(qids), k), None, dtype=object))
-                bs, bi = best[sv]
-                step = max(1, TILE_ELEMENTS // max(len(idx), 1))
-                for q0 in range(0, len(qids), step):
-                    q1 = min(q0 + step, len(qids))
-                    S = Q[q0:q1] @ Vs.T
-                    S = np.where(np.isnan(S), -np.inf, S)
-                    mask = _filter_mask(None if qsess is None else qsess[q0:q1],
-                                        None if qtypes is None else qtypes[q0:q1],
-                                        None if vsess is None else vsess[idx], None if vtypes is None else vtypes[idx])
-                    if mask is not None:
-                        S = np.where(mask, S, -np.inf)
-                    top = _topk_rows(S, np.broadcast_to(Is, S.shape), k)
-                    cs = np.concatenate([bs[q0:q1], np.take_along_axis(S, top, 1)], axis=1)
-                    ci = np.concatenate([bi[q0:q1], Is[top]], axis=1)
-                    ci_key = np.where(ci == None, "\U0010FFFF", ci)  # noqa: E711 - empty slots sort last
-                    keep_idx = _topk_rows(cs, ci_key, k)
-                    bs[q0:q1] = np.take_along_axis(cs, keep_idx, 1)
-                    bi[q0:q1] = np.take_along_axis(ci, keep_idx, 1)
-        out_q, out_id, out_s = [], [], []
-        for sv, (bs, bi) in best.items():
-            qids = chunk[sv][0]
-            r, c = np.nonzero(np.isfinite(bs))
-            out_q.append(qids[r]); out_id.append(bi[r, c]); out_s.append(bs[r, c])
-        if out_q:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(out_q), pa.int64()),
-                 pa.array(np.concatenate(out_id).astype(object), pa.string()),
-                 pa.array(np.concatenate(out_s), pa.float64())],
-                names=["query_id", "id", "similarity"])
+def _best(slot: np.ndarray, sim: np.ndarray, ids: np.ndarray, k: int):
+    """The ``k`` best (similarity desc, id asc) of every slot; the order is total, so merging stays exact."""
+    place = np.unique(ids, return_inverse=True)[1] if len(ids) else np.zeros(0, np.int64)
+    order = np.lexsort((place, -sim, slot))
+    s = slot[order]
+    keep = order[np.arange(len(s)) - np.searchsorted(s, s) < k]
+    return slot[keep], sim[keep], ids[keep]
+
+
+def _visit(k: int, dim_col: str = "dim"):
+    """One query block against a run of vector blocks: (qblock, slot, query_id, id, similarity)."""
+    def objects(table, name, i):
+        return None if name not in table.column_names else np.array(table[name][i].as_py() + [None], dtype=object)[:-1]
+
+    def run(asked: pa.Table, met: pa.Table) -> pa.Table:
+        out = pa.schema([("qblock", pa.int64()), ("slot", pa.int32()), ("query_id", pa.int64()), ("id", pa.string()),
+                         ("similarity", pa.float64())])
+        if not asked.num_rows or not met.num_rows:
+            return out.empty_table()
+        dim = asked[dim_col][0].as_py()
+        q = np.frombuffer(asked["x"][0].as_py(), "<f8").reshape(-1, dim)
+        qsess, qtypes = objects(asked, "session_id", 0), objects(asked, "memory_types", 0)
+        slot, sim, ids = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, object)
+        floor = np.full(len(q), -np.inf)
+        for i in range(met.num_rows):
+            v = np.frombuffer(met["x"][i].as_py(), "<f8").reshape(-1, dim)
+            vid = objects(met, "id", i)
+            vsess, vtypes = objects(met, "session_id", i), objects(met, "memory_type", i)
+            step = max(1, TILE_ELEMENTS // len(v))
+            found = [(slot, sim, ids)]
+            for q0 in range(0, len(q), step):
+                q1 = min(q0 + step, len(q))
+                s = q[q0:q1] @ v.T
+                mask = _filter_mask(None if qsess is None else qsess[q0:q1], None if qtypes is None else qtypes[q0:q1],
+                                    vsess, vtypes)
+                if mask is not None:
+                    s = np.where(mask, s, -np.inf)
+                least = floor[q0:q1]
+                if s.shape[1] > k:
+                    least = np.maximum(least, -np.partition(-s, k - 1, axis=1)[:, k - 1])
+                a, b = np.nonzero((s >= least[:, None] - SLACK) & np.isfinite(s))
+                exact = np.zeros(len(a))
+                for c in range(dim):
+                    exact += q[q0 + a, c] * v[b, c]
+                found.append((a + q0, exact, vid[b]))
+            slot, sim, ids = _best(*(np.concatenate(c) for c in zip(*found)), k)
+            # the last row of a slot that has k is its k-th best
+            full = np.bincount(slot, minlength=len(q))[slot] == k
+            last = np.nonzero(full & np.append(slot[1:] != slot[:-1], True)[:len(slot)])[0]
+            floor[slot[last]] = sim[last]
+        qid = np.array(asked["query_id"][0].as_py(), dtype=np.int64)
+        return pa.table([pa.array(np.full(len(slot), asked["qblock"][0].as_py(), np.int64)),
+                         pa.array(slot.astype(np.int32)), pa.array(qid[slot]), pa.array(ids, pa.string()),
+                         pa.array(sim)], schema=out)
     return run
 
 
+def _meet(pairs: DataFrame, qblocks: DataFrame, vblocks: DataFrame, k: int) -> DataFrame:
+    """The k best hits per query over the vector blocks of ``pairs`` (qblock, run, vblock), for each run."""
+    asked = qblocks.withColumnRenamed("block", "qblock").drop("centre", "radius", "n").join(
+        pairs.select("qblock", "run").distinct(), "qblock")
+    met = vblocks.withColumnRenamed("block", "vblock").drop("centre", "radius", "n").join(
+        pairs.select(F.col("qblock").alias("by"), F.col("run").alias("visit"), "vblock"), "vblock")
+    return asked.groupBy("qblock", "run").cogroup(met.groupBy("by", "visit")).applyInArrow(
+        _visit(k), "qblock long, slot int, query_id long, id string, similarity double")
+
+
+def block_pairs(qblocks: DataFrame, vblocks: DataFrame, k: int, scope: str) -> DataFrame:
+    """(qblock, vblock, bound, seed): the blocks of one scope and dimension.
+
+    ``bound`` is the largest similarity that any pair of their vectors can have;
+    ``seed`` marks the nearest blocks of a query block: ``BLOCKS_PER_VISIT`` of
+    them, and more until they hold k vectors.
+    """
+    q = qblocks.select(scope, "dim", F.col("block").alias("qblock"), F.col("centre").alias("qc"),
+                       F.col("radius").alias("qr"), F.pmod(F.xxhash64("block"), F.lit(SCOPE_SALTS)).alias("_salt"))
+    v = vblocks.select(scope, "dim", F.col("block").alias("vblock"), "centre", "radius", "n",
+                       F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SCOPE_SALTS - 1).cast("long"))).alias("_salt"))
+    dot = F.aggregate(F.zip_with("centre", "qc", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    gap = F.acos(F.least(F.greatest(dot, F.lit(-1.0)), F.lit(1.0)))
+    free = F.col("gap") - F.col("radius") - F.col("qr")
+    order = Window.partitionBy("qblock").orderBy("gap", "vblock")
+    held = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    met = q.join(v, [scope, "dim", "_salt"]).withColumn("gap", gap)
+    return met.select("qblock", "vblock", F.when(free > 0, F.cos(free)).otherwise(F.lit(1.0)).alias("bound"),
+                      ((F.row_number().over(order) <= BLOCKS_PER_VISIT) | (held < k)).alias("seed"))
+
+
+def remaining_pairs(pairs: DataFrame, hits: DataFrame, qblocks: DataFrame, k: int) -> DataFrame:
+    """The pairs that may still better what the worst query of the block found in its seeds."""
+    worst = hits.groupBy("qblock", "slot").agg(F.count(F.lit(1)).alias("c"), F.min("similarity").alias("s"))
+    reached = worst.groupBy("qblock").agg(F.count_if(F.col("c") == k).alias("full"), F.min("s").alias("s"))
+    floor = qblocks.select(F.col("block").alias("qblock"), "n").join(reached, "qblock", "left").select(
+        "qblock", F.when(F.col("full") == F.col("n"), F.col("s")).otherwise(F.lit(-2.0)).alias("floor"))
+    left = pairs.where("not seed").join(floor, "qblock").where(F.col("bound") >= F.col("floor") - SLACK)
+    place = F.row_number().over(Window.partitionBy("qblock").orderBy("vblock"))
+    return written(left.select("qblock", "vblock", F.floor((place - 1) / BLOCKS_PER_VISIT).cast("int").alias("run")),
+                   "left-pairs")
+
+
 def knn(vectors: DataFrame, queries: DataFrame, k: int, scope: str = "agent_id") -> DataFrame:
     """Exact top-``k`` vectors by cosine similarity per query, within ``scope``.
 
@@ -158,49 +251,27 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, scope: str = "agent_id")
     queries: (query_id long, ``scope``, vector array<double>[, session_id, memory_types])
     Optional query filters (FLT7, applied before ranking): ``session_id``
     (null: any) and ``memory_types`` (null or empty: any).
-    Returns (query_id, id, similarity), at most k rows per query (ties at the
-    boundary broken by id). Runs one small action per query chunk to ship it.
+    Returns (query_id, id, similarity), at most k rows per query row (ties at the
+    boundary broken by id). On both sides, rows with a null scope or a vector that
+    is null, empty, zero or holds null or non-finite components take no part,
+    and vectors of another length than the query's are no neighbours.
     """
-    spark = vectors.sparkSession
     f_sess = "session_id" in queries.columns
     f_types = "memory_types" in queries.columns
-    extra_q = ([F.col("session_id")] if f_sess else []) + ([F.col("memory_types")] if f_types else [])
-    q = queries.select("query_id", scope, F.col("vector").cast("array<double>").alias("vector"), *extra_q)
-    stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("dim")).first()
-    n, dim = int(stats["n"] or 0), int(stats["dim"] or 0)
-    if n == 0:
-        return spark.createDataFrame([], _CAND_SCHEMA)
-    n_chunks = max(1, math.ceil(n * max(dim, 1) * 8 / QUERY_CHUNK_BYTES))
-    extra_v = (["session_id"] if f_sess else []) + (["memory_type"] if f_types else [])
-    v = vectors.select("id", scope, F.col("vector").cast("array<double>").alias("vector"), *extra_v)
-    parts = []
-    for c in range(n_chunks):
-        qc = q if n_chunks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(n_chunks)) == c)
-        tbl = qc.toArrow()
-        if tbl.num_rows == 0:
-            continue
-        qids = tbl.column("query_id").to_numpy()
-        scopes = tbl.column(scope).to_numpy(zero_copy_only=False)
-        Q = _unit_rows(_list_matrix(tbl.column("vector")))
-        qsess = tbl.column("session_id").to_numpy(zero_copy_only=False) if f_sess else None
-        qtypes = None
-        if f_types:
-            qtypes = np.empty(tbl.num_rows, dtype=object)
-            for i, ts in enumerate(tbl.column("memory_types").to_pylist()):
-                qtypes[i] = set(ts) if ts else None
-        chunk = {}
-        for sv in set(scopes.tolist()):
-            if sv is None:
-                continue
-            sel = scopes == sv
-            chunk[sv] = (qids[sel], Q[sel], None if qsess is None else qsess[sel], None if qtypes is None else qtypes[sel])
-        bc = spark.sparkContext.broadcast(chunk)
-        parts.append(v.mapInArrow(_local_topk_fn(bc, k, scope), _CAND_SCHEMA))
-    cands = parts[0]
-    for p in parts[1:]:
-        cands = cands.unionByName(p)
-    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), F.asc("id"))
-    return cands.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).drop("_rn")
+    vectors = vectors.withColumn("id", F.col("id").cast("string"))
+    queries = queries.withColumn("query_id", F.col("query_id").cast("long"))
+    vblocks = blocks(vectors, "id", scope, ["session_id"] * f_sess + ["memory_type"] * f_types, "vector-blocks")
+    qblocks = blocks(queries, "query_id", scope, ["session_id"] * f_sess + ["memory_types"] * f_types, "query-blocks")
+    pairs = block_pairs(qblocks, vblocks, k, scope)
+    seeds = _meet(pairs.where("seed").withColumn("run", F.lit(0)), qblocks, vblocks, k)
+    if pairs.where("not seed").limit(1).count():
+        seeds = written(seeds, "seed-hits")
+        rest = remaining_pairs(pairs, seeds, qblocks, k)
+        if rest.limit(1).count():
+            seeds = seeds.unionByName(_meet(rest, qblocks, vblocks, k))
+    w = Window.partitionBy("qblock", "slot").orderBy(F.desc("similarity"), F.asc("id"))
+    return seeds.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).select(
+        "query_id", "id", "similarity")
 
 
 def semantic_search(memories: DataFrame, vectors: DataFrame, queries: DataFrame, limit: int = 10,

@@ -160,14 +160,15 @@ def test_levels_forest_and_dag_agree(spark):
     assert dict(snap.migration_order(dag).collect())[6] == 4
 
 
-@pytest.mark.parametrize("chunk_bytes", [None, 40])
-def test_knn_exact_with_ties_and_small_batches(spark, monkeypatch, chunk_bytes):
+@pytest.mark.parametrize("block_rows", [None, 4])
+def test_knn_exact_with_ties_and_small_batches(spark, monkeypatch, block_rows):
     import numpy as np
 
     from memoria.operators import search
     from memoria.operators.search import knn
-    if chunk_bytes:  # force several query chunks (several broadcasts, one union)
-        monkeypatch.setattr(search, "QUERY_CHUNK_BYTES", chunk_bytes)
+    if block_rows:  # many blocks: seeds, bounds and a second visit
+        monkeypatch.setattr(search, "BLOCK_ROWS", block_rows)
+        monkeypatch.setattr(search, "BLOCKS_PER_VISIT", 2)
     vec_rows = [(f"v{i:03d}", "a" if i % 2 else "b", [float(i % 4), 1.0]) for i in range(60)]
     q_rows = [(1, "a", [1.0, 1.0]), (2, "b", [0.0, 1.0]), (3, "a", [3.0, 1.0]), (4, "c", [1.0, 0.0])]
     vectors = spark.createDataFrame(vec_rows, "id string, agent_id string, vector array<double>").repartition(3)
