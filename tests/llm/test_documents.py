@@ -6,6 +6,7 @@ import re
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from memoria.llm import lm, mixing, neardup, packing, quality, repeats
 
@@ -396,6 +397,32 @@ def test_encoder_equals_tokenizer():
         assert enc.encode(t).tolist() == tok.encode(t, add_special_tokens=False).ids, t
 
 
+def test_encoder_on_random_texts_in_small_segments(monkeypatch):
+    import random
+
+    from tokenizers import Tokenizer
+    tok = Tokenizer.from_file(packing.vocabulary_path())
+    monkeypatch.setattr(packing.WordEncoder, "SEGMENT_BYTES", 40)
+    monkeypatch.setattr(packing.WordEncoder, "MAX_PARTS", 150)
+    enc = packing.WordEncoder(packing.vocabulary_path())
+    rng = random.Random(11)
+    signs = "abcXYZéÉßñÑ×÷İıŁłſŒªº0123.,!?'\"()-_[]{}$€£日本語ключ \t\n\x0b\x0c\r\x1c\x85\xa0\u2028\u3000\U0001f600"
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 90))) for _ in range(600)]
+    texts += ["word" * 100 + ".", "?" * 90, "É" * 70 + "!!", ""]
+    for at in range(0, len(texts), 50):
+        some = texts[at:at + 50]
+        for t, ids in zip(some, enc.encode_many([t.encode() for t in some])):
+            assert ids.tolist() == tok.encode(t, add_special_tokens=False).ids, t
+
+
+def test_equal_rows_are_spread_over_bins(spark):
+    rows = [(None, "equal text", "en", "s", 10)] * 20_000
+    got = packing.pack(frame(spark, rows), pieces_per_bin=8192)
+    bins = got.withColumn("bin", F.shiftright("sequence_id", 32)).groupBy("bin").count().collect()
+    assert len(bins) == 3 and sum(r["count"] for r in bins) == 20_000 and max(r["count"] for r in bins) < 8192
+    assert got.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+
+
 def test_best_fit_takes_the_tightest_window():
     import random
     rng = random.Random(5)
