@@ -7,7 +7,7 @@ Two stores with two importance scales (never mixed):
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.timefn import as_of_lit, days_between
@@ -78,22 +78,43 @@ def forgetting_policy(memories: DataFrame, edges: DataFrame, vectors: DataFrame,
     return kept_m, kept_e, kept_v
 
 
+# rows of one thread and score are counted in blocks of this many consecutive ``seq``
+SEQ_BLOCK = 1 << 16
+
+
 def forget_ranking(experiences: DataFrame, max_memories: int = 1000, as_of=None,
                    thread: str = "thread_id") -> DataFrame:
     """SRT1 + WN3: per thread, the rows the quota forgets.
 
     quota = max(0, rows_of_thread - max_memories); CRITICAL rows count toward
     the total but are never ranked; the highest forget scores go first, ties
-    in input order (``seq``). Ranks are exact and skew-safe
-    (:func:`memoria.operators.ranking.group_row_number`).
+    in input order (``seq``).
+
+    Ranks come from counts: rows per (thread, score, block of ``seq``) are
+    counted map-side first; sums over the scores of a thread, then over the
+    blocks of a score, give how many rows rank before a block. Threads within
+    their quota end there, and of the others only blocks that start below the
+    quota are met with their rows, at most ``SEQ_BLOCK`` distinct ``seq`` each;
+    exact row numbers are taken inside these. No thread is sorted as a whole.
     """
-    from .ranking import group_row_number
-    totals = experiences.groupBy(thread).agg(F.count(F.lit(1)).alias("_total"))
-    cand = experiences.where(F.col("importance") != CRITICAL).withColumn("forget_score", forget_score(as_of))
-    ranked = group_row_number(cand, [thread], [F.desc("forget_score"), F.asc("seq")], out="forget_rank")
-    quota = F.greatest(F.lit(0), F.col("_total") - F.lit(max_memories))
-    return ranked.join(totals, thread, "inner").where(F.col("forget_rank") <= quota) \
-        .withColumn("quota", quota).drop("_total")
+    rankable = F.col("importance") != CRITICAL
+    block = F.coalesce(F.floor(F.col("seq") / SEQ_BLOCK), F.lit(-(2 ** 60)))
+    scored = experiences.withColumn("forget_score", F.when(rankable, forget_score(as_of))).withColumn("_block", block)
+    counts = scored.groupBy(thread, "forget_score", "_block").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(thread).orderBy(F.desc("forget_score")).rowsBetween(Window.unboundedPreceding, -1)
+    scores = counts.groupBy(thread, "forget_score").agg(F.sum("_n").alias("_n"))
+    scores = scores.select(
+        thread, "forget_score", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_above"),
+        F.greatest(F.lit(0).cast("long"), F.sum("_n").over(Window.partitionBy(thread)) - F.lit(max_memories)).alias("quota"))
+    scores = scores.where(F.col("forget_score").isNotNull() & (F.col("_above") < F.col("quota")))
+    earlier = Window.partitionBy(thread, "forget_score").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = counts.join(scores, [thread, "forget_score"]).withColumn(
+        "_above", F.col("_above") + F.coalesce(F.sum("_n").over(earlier), F.lit(0))).where(
+        F.col("_above") < F.col("quota")).drop("_n")
+    inside = Window.partitionBy(thread, "forget_score", "_block").orderBy("seq")
+    ranked = scored.join(blocks, [thread, "forget_score", "_block"]).withColumn(
+        "forget_rank", F.col("_above") + F.row_number().over(inside))
+    return ranked.where(F.col("forget_rank") <= F.col("quota")).drop("_above", "_block")
 
 
 def forget_top_n(experiences: DataFrame, n: int, as_of=None) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.timefn import as_of_lit, plus_days
+from ..functions.timefn import as_of_lit, iso_text, plus_days
 from .ranking import top_k
 from .retention import CRITICAL, HIGH, age_days, forget_ranking
 
@@ -29,6 +29,7 @@ PREFERENCE_ITEMS = 5
 INTERACTION_ITEMS = 3
 SUMMARY_REASONING = "Consolidated multiple memories to reduce storage and improve retrieval"
 SUMMARY_ACTION = "memory_summarization"
+SUMMARY_TAG = "summary"
 # ---------------------------------------------------------------------------
 
 
@@ -189,26 +190,60 @@ def summary_text(summarizable: DataFrame, thread: str = "thread_id") -> DataFram
                     lambda x: x["memory_type"]).alias("memory_types_included"))
 
 
-def maintenance(experiences: DataFrame, max_memories: int = 1000, as_of=None) -> DataFrame:
-    """CMP4 + SET1: next snapshot of the experience store.
+def summary_records(text: DataFrame, schema, as_of=None, thread: str = "thread_id") -> DataFrame:
+    """The stored record of each summary (one per thread), in the columns of ``schema``.
+
+    ``key`` is a hash of thread and time, ``seq`` the time in microseconds, so a
+    summary stands behind what it replaces and a later cycle can forget or
+    replace it like any other row. The outcome map holds the replaced rows'
+    number, the time, the types in order of appearance and the text. Columns of
+    the store that a summary has no value for are null.
+    """
+    now = as_of_lit(as_of)
+    values = {
+        thread: F.col(thread),
+        "seq": F.unix_micros(now.cast("timestamp")),
+        "prefix": F.concat(F.lit("episodes."), F.col(thread).cast("string")),
+        "key": F.md5(F.concat_ws("|", F.lit("summary"), F.col(thread).cast("string"), iso_text(now))),
+        "observation": F.concat(F.lit("Summary of "), F.col("original_memory_count").cast("string"), F.lit(" memories")),
+        "reasoning": F.lit(SUMMARY_REASONING), "action": F.lit(SUMMARY_ACTION),
+        "outcome": F.create_map(
+            F.lit("original_memory_count"), F.col("original_memory_count").cast("string"),
+            F.lit("summary_created_at"), iso_text(now),
+            F.lit("memory_types_included"), F.array_join("memory_types_included", ","),
+            F.lit("summary_content"), F.col("summary_content")),
+        "importance": F.lit(HIGH), "memory_type": F.lit("fact"),
+        "tags": F.array(F.lit(SUMMARY_TAG)),
+        "created_at": now, "last_accessed": now, "access_count": F.lit(1), "decay_factor": F.lit(1.0),
+    }
+    return text.select(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
+def maintenance_cycle(experiences: DataFrame, max_memories: int = 1000, as_of=None) -> tuple[DataFrame, DataFrame]:
+    """CMP4 + SET1: (next store, lineage) of one maintenance run.
 
     Forgotten rows and summarized rows are removed; one summary row per
-    summarized thread is added (importance HIGH, type fact, tags [summary]).
+    summarized thread is added (importance HIGH, type fact, tags [summary]). The
+    store has the columns it came with. ``lineage`` has thread_id, the key
+    (``seq``) of the summary and ``replaces``, the ``seq`` of a row it stands for.
     """
     plan = maintenance_plan(experiences, max_memories, as_of)
-    text = summary_text(plan["summarizable"])
-    now = as_of_lit(as_of)
-    summary_rows = text.select(
-        "thread_id",
-        F.lit(None).cast("long").alias("seq"),
-        F.concat(F.lit("Summary of "), F.col("original_memory_count").cast("string"), F.lit(" memories")).alias("observation"),
-        F.lit(SUMMARY_REASONING).alias("reasoning"), F.lit(SUMMARY_ACTION).alias("action"),
-        F.lit(HIGH).alias("importance"), F.lit("fact").alias("memory_type"),
-        now.alias("created_at"), now.alias("last_accessed"), F.lit(1).alias("access_count"),
-        F.col("summary_content"), F.col("original_memory_count"))
+    rows = summary_records(summary_text(plan["summarizable"]), experiences.schema, as_of)
     kept = plan["remaining"].join(plan["summarizable"].select("thread_id", "seq"), ["thread_id", "seq"], "left_anti")
-    kept = kept.select("thread_id", "seq", "observation", "reasoning", "action", "importance", "memory_type",
-                       "created_at", "last_accessed", "access_count",
-                       F.lit(None).cast("string").alias("summary_content"),
-                       F.lit(None).cast("long").alias("original_memory_count"))
-    return kept.unionByName(summary_rows)
+    lineage = plan["summarizable"].select("thread_id", F.unix_micros(as_of_lit(as_of).cast("timestamp")).alias("seq"),
+                                          F.col("seq").alias("replaces"))
+    return kept.select(*experiences.columns).unionByName(rows), lineage
+
+
+def maintenance(experiences: DataFrame, max_memories: int = 1000, as_of=None) -> DataFrame:
+    """CMP4 + SET1: next snapshot of the experience store, see :func:`maintenance_cycle`."""
+    return maintenance_cycle(experiences, max_memories, as_of)[0]
+
+
+def maintenance_cycles(experiences: DataFrame, times, max_memories: int = 1000) -> DataFrame:
+    """The store after maintenance at each of ``times``, every run on the store the one before it wrote."""
+    from ..session import written
+    store = experiences
+    for as_of in times:
+        store = written(maintenance(store, max_memories, as_of), "store")
+    return store

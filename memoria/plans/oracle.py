@@ -6,6 +6,8 @@
 """
 from __future__ import annotations
 
+import re
+
 INPUTS: dict[str, str] = {}
 DEPS: dict[str, tuple[str, ...]] = {}
 ORACLE: dict[str, str] = {}
@@ -139,7 +141,7 @@ SELECT user_id AS thread_id, event_id AS seq,
        ts - to_days(CAST(event_id % 100 AS INTEGER)) AS created_at,
        least(ts - to_days(CAST(event_id % 100 AS INTEGER)) + to_days(CAST(event_id % 60 AS INTEGER)),
              TIMESTAMP '2024-02-01 00:00:00') AS last_accessed,
-       CAST(event_id % 5 + 1 AS INTEGER) AS access_count
+       CAST(event_id % 5 + 1 AS INTEGER) AS access_count, event_type AS tags
 FROM events""")
 
 _input("classified_conversations", """
@@ -472,14 +474,38 @@ oracle("memory_summary_text", ("ex_summary",), """
 SELECT thread_id, summary_content, CAST(original_memory_count AS BIGINT) AS original_memory_count,
        memory_types_included FROM ex_summary""")
 
-oracle("maintenance", ("ex_remaining", "ex_summarizable", "ex_summary"), """
-SELECT thread_id, seq, memory_type, importance, observation, CAST(NULL AS VARCHAR) AS summary_content
+_input("ex_next", f"""
+SELECT thread_id, seq, importance, memory_type, observation, action, created_at, last_accessed, access_count, tags,
+       CAST(NULL AS VARCHAR) AS summary_content, CAST(NULL AS VARCHAR) AS original_memory_count,
+       CAST(NULL AS VARCHAR) AS memory_types_included
 FROM ex_remaining r
 WHERE NOT EXISTS (SELECT 1 FROM ex_summarizable s WHERE s.thread_id = r.thread_id AND s.seq = r.seq)
 UNION ALL
-SELECT thread_id, CAST(NULL AS BIGINT), 'fact', 3, 'Summary of ' || CAST(original_memory_count AS VARCHAR) || ' memories',
-       summary_content
-FROM ex_summary""")
+SELECT thread_id, epoch_us({AS_OF}), 3, 'fact', 'Summary of ' || CAST(original_memory_count AS VARCHAR) || ' memories',
+       'memory_summarization', {AS_OF}, {AS_OF}, 1, 'summary', summary_content,
+       CAST(original_memory_count AS VARCHAR), memory_types_included
+FROM ex_summary""", ("ex_remaining", "ex_summarizable", "ex_summary"))
+
+oracle("maintenance", ("ex_next",), """
+SELECT thread_id, seq, memory_type, importance, observation, summary_content, tags FROM ex_next""")
+
+oracle("maintenance_lineage", ("ex_summarizable",), f"""
+SELECT thread_id, epoch_us({AS_OF}) AS seq, seq AS replaces FROM ex_summarizable""")
+
+# two more cycles: the same steps on the store before, 20 and 40 days later; summaries keep their text until replaced
+_STEPS = ("ex_scored", "ex_score", "ex_forgotten", "ex_remaining", "ex_gate", "ex_summarizable", "ex_summary", "ex_next")
+for _c, _store in ((2, "ex_next"), (3, "ex2_next")):
+    for _name in _STEPS:
+        _sql = INPUTS[_name].replace(AS_OF, f"({AS_OF} + INTERVAL {20 * (_c - 1)} DAY)")
+        for _kept in ("summary_content", "original_memory_count", "memory_types_included"):
+            _sql = _sql.replace(f"CAST(NULL AS VARCHAR) AS {_kept}", f"r.{_kept}")
+        _sql = re.sub(r"\bex_(?=[a-z])", f"ex{_c}_", _sql).replace("experiences", _store)
+        _deps = [_store if d == "experiences" else d.replace("ex_", f"ex{_c}_") for d in DEPS[_name]]
+        _input(_name.replace("ex_", f"ex{_c}_"), _sql, tuple(_deps))
+
+oracle("maintenance_cycles", ("ex3_next",), """
+SELECT thread_id, seq, memory_type, importance, observation, access_count, summary_content, original_memory_count,
+       memory_types_included FROM ex3_next""")
 
 _input("conv_candidates", f"""
 SELECT * FROM (
@@ -1000,9 +1026,18 @@ oracle("stream_messages", ("classified_conversations",), """
 SELECT conv_id, COUNT(*) AS message_count, CAST(SUM(length(text)) AS BIGINT) AS conversation_length
 FROM classified_conversations GROUP BY conv_id""")
 
-oracle("sync_triggered", ("orders_merged",), "SELECT * FROM orders_merged")
-oracle("sync_continuous", ("orders_merged",), "SELECT * FROM orders_merged")
-oracle("sync_snapshot", ("orders_merged",), "SELECT * FROM orders_merged")
+# orders after their newest change: arrival order plays no part
+_SYNCED = """
+WITH changes AS (
+  SELECT o.* REPLACE (o_totalprice + v AS o_totalprice), v, o_orderkey % 23 = 0 AND v = 1 AS gone
+  FROM orders o, unnest(range(0, o_orderkey % 3 + 1)) AS u(v) WHERE o_orderkey % 17 <> 0),
+everything AS (
+  SELECT * FROM changes
+  UNION ALL SELECT *, -1, false FROM orders WHERE o_orderkey % 19 <> 0)
+SELECT * EXCLUDE (v, gone) FROM everything
+QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY v DESC) = 1 AND NOT gone"""
+for _k in ("sync_triggered", "sync_continuous", "sync_snapshot"):
+    oracle(_k, (), _SYNCED)
 
 oracle("maintenance_gate", ("experiences",), f"""
 SELECT thread_id, COUNT(*) AS memory_count,

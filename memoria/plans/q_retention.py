@@ -1,8 +1,11 @@
 """Queries of the experience store: retention, quotas, maintenance, summaries."""
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import functions as F
 
+from ..functions.timefn import DEFAULT_AS_OF
 from ..operators import retention as ret
 from ..operators import summaries as summ
 from ..operators.ranking import top_k
@@ -84,7 +87,27 @@ def q_summary_text(spark, sf_dir):
 @query("maintenance")
 def q_maintenance(spark, sf_dir):
     m = summ.maintenance(_ex(spark, sf_dir), MAX_MEMORIES)
-    return m.select("thread_id", "seq", "memory_type", "importance", "observation", "summary_content")
+    return m.select("thread_id", "seq", "memory_type", "importance", "observation",
+                    F.col("outcome")["summary_content"].alias("summary_content"), F.array_join("tags", ",").alias("tags"))
+
+
+# a maintenance run at as_of and two more, 20 and 40 days later
+CYCLE_DAYS = (0, 20, 40)
+
+
+@query("maintenance_cycles")
+def q_maintenance_cycles(spark, sf_dir):
+    times = [DEFAULT_AS_OF + datetime.timedelta(days=n) for n in CYCLE_DAYS]
+    m = summ.maintenance_cycles(_ex(spark, sf_dir), times, MAX_MEMORIES)
+    o = F.col("outcome")
+    return m.select("thread_id", "seq", "memory_type", "importance", "observation", "access_count",
+                    o["summary_content"].alias("summary_content"), o["original_memory_count"].alias("original_memory_count"),
+                    o["memory_types_included"].alias("memory_types_included"))
+
+
+@query("maintenance_lineage")
+def q_maintenance_lineage(spark, sf_dir):
+    return summ.maintenance_cycle(_ex(spark, sf_dir), MAX_MEMORIES)[1]
 
 
 @query("summarize_candidates")

@@ -27,31 +27,44 @@ def q_stream_messages(spark, sf_dir):
     return jobs.read_latest(spark, out, "conv_id", "conv_id long, message_count long, conversation_length long")
 
 
-def _sync(spark, sf_dir, trigger):
+def _sync(spark, sf_dir, trigger, triggered_runs: bool):
+    """Changes of three arrivals, repeated and out of order, on top of the base; newest order wins."""
     t = Tables(spark, sf_dir)
-    base, changes = d.orders_old(t), d.orders_new(t)
+    base = d.orders_old(t).withColumn("change_seq", F.lit(-1).cast("long"))
+    changes = d.order_changes(t)
+    schema = changes.drop("arrival").schema
     run = jobs.run_folder(spark, "sync")
-    landing = jobs.land(changes, os.path.join(run, "landing"))
-    out = os.path.join(run, "out")
-    jobs.sync_stream(spark, base, landing, out, os.path.join(run, "checkpoint"), ORDER_KEY, changes.schema, trigger)
-    return jobs.published(spark, out, ORDER_KEY, base.schema)
+    landing, out = os.path.join(run, "landing"), os.path.join(run, "out")
+
+    def go():
+        jobs.sync_stream(spark, base, os.path.join(landing, "*"), out, os.path.join(run, "checkpoint"), ORDER_KEY, schema,
+                         trigger, order="change_seq", deleted=F.col("gone"))
+    arrivals = [changes.where(F.col("arrival") == a).drop("arrival") for a in range(3)]
+    for a, rows in enumerate(arrivals):
+        jobs.land(rows, os.path.join(landing, f"arrival-{a}"))
+        if triggered_runs:   # one run per arrival, each going on where the last one ended
+            go()
+    if not triggered_runs:
+        go()
+    return out, d.orders_old(t).schema
 
 
 @query("sync_triggered")
 def q_sync_triggered(spark, sf_dir):
-    return _sync(spark, sf_dir, {"availableNow": True})
+    out, schema = _sync(spark, sf_dir, {"availableNow": True}, True)
+    return jobs.published(spark, out, ORDER_KEY, schema)
 
 
 @query("sync_continuous")
 def q_sync_continuous(spark, sf_dir):
-    return _sync(spark, sf_dir, {"processingTime": "1 second"})
+    out, schema = _sync(spark, sf_dir, {"processingTime": "1 second"}, False)
+    return jobs.published(spark, out, ORDER_KEY, schema)
 
 
 @query("sync_snapshot")
 def q_sync_snapshot(spark, sf_dir):
-    t = Tables(spark, sf_dir)
-    out = os.path.join(jobs.run_folder(spark, "snapshot"), "table")
-    return jobs.sync_snapshot(spark, d.orders_old(t), d.orders_new(t), ORDER_KEY, out)
+    out, schema = _sync(spark, sf_dir, {"availableNow": True}, True)
+    return jobs.sync_snapshot(spark, out, ORDER_KEY, schema)
 
 
 @query("maintenance_gate")
@@ -72,5 +85,4 @@ def q_store_ttl_stream(spark, sf_dir):
     landing = jobs.land(entries, os.path.join(run, "landing"))
     out = os.path.join(run, "out")
     store_ttl_stream(spark, landing, out, os.path.join(run, "checkpoint"), entries.schema)
-    live = live_entries(spark, out)
-    return live.select("prefix", "key", "expires_at")
+    return live_entries(spark, out, entries.schema).select("prefix", "key", "expires_at")

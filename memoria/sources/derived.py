@@ -169,6 +169,8 @@ def experiences(t: Tables, as_of=None) -> DataFrame:
         F.least(plus_days(created, eid % 60), as_of_lit(as_of)).alias("last_accessed"),
         (eid % 5 + 1).cast("int").alias("access_count"),
         F.lit(1.0).alias("decay_factor"),
+        F.create_map(F.lit("value"), F.col("value").cast("string")).alias("outcome"),
+        F.array(F.col("event_type")).alias("tags"),
     )
 
 
@@ -307,6 +309,20 @@ def orders_new(t: Tables) -> DataFrame:
                         .otherwise(F.col("o_totalprice")))
 
 
+def order_changes(t: Tables) -> DataFrame:
+    """Changes of orders: one to three versions per order, some of them deletions, in three arrivals.
+
+    Versions of even orders arrive together, those of odd ones apart and not in order.
+    """
+    o = t.orders.where(F.col("o_orderkey") % 17 != 0)
+    k = F.col("o_orderkey")
+    v = F.explode(F.sequence(F.lit(0).cast("long"), k % 3)).alias("change_seq")
+    o = o.select("*", v)
+    return o.withColumn("o_totalprice", F.col("o_totalprice") + F.col("change_seq")) \
+        .withColumn("gone", (k % 23 == 0) & (F.col("change_seq") == 1)) \
+        .withColumn("arrival", F.when(k % 2 == 0, k % 3).otherwise((k + 2 - F.col("change_seq")) % 3))
+
+
 def dependency_edges(t: Tables) -> DataFrame:
     """A tree: every part depends on part p_partkey / 2 (integer division)."""
     k = F.col("p_partkey")

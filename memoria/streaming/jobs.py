@@ -4,16 +4,14 @@
   length per conversation (stateful aggregation in update mode, state in the
   checkpoint).
 * ST2/ST3 sync: landed change files -> keyed upsert into the published table,
-  continuous (processing-time trigger) or triggered (availableNow).
-* ST4 snapshot: full rebuild (compaction) into a new folder (batch).
+  continuous (processing-time trigger) or triggered (availableNow); the newest
+  row per key by an order column wins, whatever order rows arrive in.
+* ST4 snapshot: the change log folded into a new base behind an atomic pointer.
+* ST6 maintenance gate: per-thread gate evaluated on each micro-batch, on a store
+  bucketed by thread of which only touched buckets are rewritten.
 
-Keyed sinks are append-only change logs: each micro-batch writes only its
-own rows to ``changes/epoch=N`` (a retried epoch rewrites the same folder, so
-the sink is idempotent), and the published view is the newest row per key
-over base + changes, resolved on read with a partial aggregation
-(``max_by`` on the epoch). Write cost per micro-batch is O(batch), not
-O(table); ST4 folds the log into a new base.
-* ST6 maintenance gate: per-thread gate evaluated on each micro-batch.
+Keyed sinks are change logs (:mod:`memoria.streaming.changelog`): a micro-batch
+writes only its own rows, so write cost is O(batch), not O(table).
 
 All state and output paths live under the shared ``spark.checkpoint.dir``.
 """
@@ -22,12 +20,13 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.timefn import as_of_lit, seconds_between
-from ..operators.snapshots import publish_merge
 from ..session import ensure_checkpoint_dir
+from . import changelog
+from .changelog import read_latest
 
 
 def run_folder(spark: SparkSession, name: str) -> str:
@@ -42,6 +41,21 @@ def land(df: DataFrame, path: str) -> str:
     return path
 
 
+def _source(spark: SparkSession, landing: str, schema, max_files_per_trigger: int | None) -> DataFrame:
+    reader = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    return reader.parquet(landing)
+
+
+def _finish(query, trigger: dict) -> None:
+    if trigger.get("availableNow"):
+        query.awaitTermination()
+    else:
+        query.processAllAvailable()
+        query.stop()
+
+
 # ------------------------------------------------------------ ST1
 def message_rollup(events: DataFrame) -> DataFrame:
     """Flatten events carrying a message array and roll up per conversation."""
@@ -50,112 +64,50 @@ def message_rollup(events: DataFrame) -> DataFrame:
                                        F.sum(F.length("text")).cast("long").alias("conversation_length"))
 
 
-def append_changes(batch: DataFrame, out: str, epoch: int) -> None:
-    """Write one micro-batch to the change log (idempotent per epoch)."""
-    batch.withColumn("_epoch", F.lit(epoch).cast("long")).write.mode("overwrite") \
-        .parquet(os.path.join(out, "changes", f"epoch={epoch:012d}"))
-
-
-def read_latest(spark: SparkSession, out: str, key, schema, base: str | None = None) -> DataFrame:
-    """Newest row per key over an optional base folder and the change log.
-
-    ``max_by(row, epoch)`` is a partial aggregate: a key updated in every
-    epoch is reduced map-side, no per-key window.
-    """
-    from pyspark.sql.types import StructType
-    if not isinstance(schema, StructType):
-        schema = StructType.fromDDL(schema)
-    keys = [key] if isinstance(key, str) else list(key)
-    cols = [f.name for f in schema.fields]
-    parts = []
-    if base is not None:
-        parts.append(spark.read.schema(schema).parquet(base).withColumn("_epoch", F.lit(-1).cast("long")))
-    changes = os.path.join(out, "changes")
-    if _exists(spark, changes):
-        parts.append(spark.read.parquet(changes).select(*cols, "_epoch"))
-    if not parts:
-        return spark.createDataFrame([], schema)
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    vals = [c for c in cols if c not in keys]
-    latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*vals), F.col("_epoch")).alias("_r"))
-    return latest.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in vals]).select(*cols)
-
-
 def stream_messages(spark: SparkSession, landing: str, out: str, checkpoint: str, schema,
                     max_files_per_trigger: int | None = None) -> None:
     """ST1: run the roll-up over everything landed (availableNow). Update mode:
     each micro-batch emits only the conversations it changed, appended to the
     change log; ``read_latest(out, "conv_id", ...)`` is the current table."""
-    reader = spark.readStream.schema(schema)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    src = reader.parquet(landing)
-
     def sink(batch: DataFrame, epoch: int):
-        append_changes(batch, out, epoch)
-
-    q = (message_rollup(src).writeStream.outputMode("update").foreachBatch(sink)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination()
-
-
-def _fs(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    p, fs = _fs(spark, path)
-    return bool(fs.exists(p))
-
+        changelog.append(batch, out, epoch, "conv_id")
 
-def latest_snapshot(spark: SparkSession, out: str) -> DataFrame:
-    """Read the newest epoch folder of a snapshot sink."""
-    jvm_path, fs = _fs(spark, out)
-    names = sorted(s.getPath().getName() for s in fs.listStatus(jvm_path) if s.getPath().getName().startswith("epoch="))
-    return spark.read.parquet(os.path.join(out, names[-1]))
+    trigger = {"availableNow": True}
+    rolled = message_rollup(_source(spark, landing, schema, max_files_per_trigger))
+    _finish(rolled.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", checkpoint)
+            .trigger(**trigger).start(), trigger)
 
 
 # ------------------------------------------------------------ ST2 / ST3 / ST4
 def sync_stream(spark: SparkSession, base: DataFrame, landing: str, out: str, checkpoint: str, key,
-                schema, trigger: dict, max_files_per_trigger: int | None = None) -> None:
+                schema, trigger: dict, max_files_per_trigger: int | None = None, order: str | None = None,
+                deleted: Column | None = None) -> None:
     """ST2 (processingTime) / ST3 (availableNow): upsert every micro-batch into the table.
 
-    The base is written once to ``out/base``; every micro-batch is appended to
+    The base becomes the table's first version; every micro-batch is appended to
     the change log. ``published(spark, out, key, schema)`` reads the table:
-    the newest row per key, a source row winning over the base (SET4).
+    the row with the largest ``order`` per key; of equals (all, without
+    ``order``) the later epoch, a source row winning over the base (SET4). Rows
+    for which ``deleted`` holds remove their key.
     """
-    base_path = os.path.join(out, "base")
-    if not _exists(spark, base_path):
-        base.write.mode("overwrite").parquet(base_path)
+    changelog.start(base, out, order)
 
     def upsert(batch: DataFrame, epoch: int):
-        append_changes(batch, out, epoch)
+        changelog.append(batch, out, epoch, key, order, deleted)
 
-    reader = spark.readStream.schema(schema)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    src = reader.parquet(landing)
-    q = (src.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
-         .trigger(**trigger).start())
-    if trigger.get("availableNow"):
-        q.awaitTermination()
-    else:
-        q.processAllAvailable()
-        q.stop()
+    _finish(_source(spark, landing, schema, max_files_per_trigger).writeStream.foreachBatch(upsert)
+            .option("checkpointLocation", checkpoint).trigger(**trigger).start(), trigger)
 
 
 def published(spark: SparkSession, out: str, key, schema) -> DataFrame:
     """The table a sync stream publishes: base plus change log, newest row per key."""
-    return read_latest(spark, out, key, schema, base=os.path.join(out, "base"))
+    return read_latest(spark, out, key, schema)
 
 
-def sync_snapshot(spark: SparkSession, base: DataFrame, changes: DataFrame, key, out: str) -> DataFrame:
-    """ST4: full rebuild written to a new folder, then read back."""
-    publish_merge(base, changes, key).write.mode("error").parquet(out)
-    return spark.read.parquet(out)
+def sync_snapshot(spark: SparkSession, out: str, key, schema) -> DataFrame:
+    """ST4: fold the change log into a new base, then read the table from it."""
+    changelog.compact(spark, out, key)
+    return published(spark, out, key, schema)
 
 
 # ------------------------------------------------------------ ST6
@@ -171,47 +123,112 @@ def maintenance_gate(state: DataFrame, max_memories: int, as_of=None) -> DataFra
         "run_maintenance", (F.col("seconds_since") > GATE_SECONDS) | (F.col("memory_count") > F.lit(GATE_FILL * max_memories)))
 
 
-def maintenance_stream(spark: SparkSession, landing: str, out: str, checkpoint: str, schema,
-                       max_memories: int, trigger: dict | None = None, as_of_col: str = "created_at") -> None:
-    """ST6 as a stream: every micro-batch appends new experiences to the store and
-    runs maintenance (CMP4) for the threads whose gate opens.
-
-    The store and the per-thread last-maintenance times are versioned folders
-    (``store/epoch=N``, ``gate/epoch=N``): micro-batch ``e`` reads version
-    ``e`` and writes ``e + 1``, so a retried epoch rewrites the same version.
-    ``as_of`` of a batch is the latest ``created_at`` seen so far. In
-    production the trigger is ``processingTime="1 hour"``.
+# ------------------------------------------------------------ the maintained store
+BUCKETS = 64
+
+
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("thread_id"), F.lit(buckets)).cast("int")
+
+
+def _state_path(out: str, epoch: int) -> str:
+    return os.path.join(out, "states", f"epoch={epoch:012d}")
+
+
+def store_state(spark: SparkSession, out: str, epoch: int) -> dict:
+    """What the store is before micro-batch ``epoch``: {"as_of", "buckets": {bucket: epoch that wrote it}}.
+
+    Only the first micro-batch starts without one; later, a missing state is an
+    error and not an empty store.
+    """
+    path = _state_path(out, epoch)
+    if changelog.exists(spark, path):
+        return changelog.read_json(spark, path)
+    if epoch == 0:
+        return {"as_of": None, "buckets": {}}
+    raise FileNotFoundError(f"the store lost its state before micro-batch {epoch}: {path}")
+
+
+def _read_buckets(spark: SparkSession, out: str, table: str, state: dict, schema, only=None) -> DataFrame:
+    """Rows of ``table`` in the buckets of a state (``only`` some of them)."""
+    paths = [os.path.join(out, table, f"epoch={e:012d}", f"_bucket={b}") for b, e in state["buckets"].items()
+             if only is None or int(b) in only]
+    # a bucket that lost all its rows has no folder; the epoch's mark says that it was written
+    for e in {e for b, e in state["buckets"].items() if only is None or int(b) in only}:
+        if not changelog.exists(spark, os.path.join(out, table, f"epoch={e:012d}", "_SUCCESS")):
+            raise FileNotFoundError(f"the store lost version {e} of {table}")
+    paths = [p for p in paths if changelog.exists(spark, p)]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def read_store(spark: SparkSession, out: str, schema, epoch: int | None = None) -> DataFrame:
+    """The maintained store after the newest micro-batch, or before micro-batch ``epoch``."""
+    if epoch is None:
+        found = [n for n in changelog.names(spark, os.path.join(out, "states")) if n.startswith("epoch=")]
+        if not found:
+            return spark.createDataFrame([], schema)
+        epoch = int(found[-1].split("=")[1])
+    return _read_buckets(spark, out, "store", store_state(spark, out, epoch), schema)
+
+
+def maintenance_step(spark: SparkSession, batch: DataFrame, epoch: int, out: str, schema, max_memories: int,
+                     as_of_col: str = "created_at", buckets: int = BUCKETS, all_threads: bool = False) -> None:
+    """One micro-batch: append the new experiences and maintain (CMP4) the threads whose gate opens.
+
+    Only the buckets that the batch touches are read and written again, all of
+    them with ``all_threads`` (an hourly sweep); the state of the next
+    micro-batch names, for every bucket, the epoch that wrote it last, and is
+    written once, after the data.
     """
     from ..operators.summaries import maintenance
+    from ..session import written
 
+    state = store_state(spark, out, epoch)
     cols = [f.name for f in schema.fields]
-
-    def step(batch: DataFrame, epoch: int):
-        cur_path = os.path.join(out, "store", f"epoch={epoch:012d}")
-        last_path = os.path.join(out, "gate", f"epoch={epoch:012d}")
-        cur = spark.read.parquet(cur_path) if _exists(spark, cur_path) else spark.createDataFrame([], schema)
-        store = cur.unionByName(batch.select(*cols))
-        as_of = store.agg(F.max(as_of_col)).first()[0]  # one scalar
-        last = spark.read.parquet(last_path) if _exists(spark, last_path) else \
-            spark.createDataFrame([], "thread_id long, last_maintenance timestamp_ntz")
-        state = store.groupBy("thread_id").agg(F.count(F.lit(1)).alias("memory_count"),
-                                               F.min(as_of_col).alias("_first")) \
+    gate_schema = "thread_id long, last_maintenance timestamp_ntz"
+    new = written(batch.select(*cols).withColumn("_bucket", _bucket(buckets)), "arrived")
+    # at most ``buckets`` numbers and one time
+    got = new.agg(F.collect_set("_bucket").alias("b"), F.max(as_of_col).cast("string").alias("t")).first()
+    touched = set(got["b"]) | ({int(b) for b in state["buckets"]} if all_threads else set())
+    as_of = max(t for t in (state["as_of"], got["t"], "") if t is not None) or None
+    if touched:
+        store = _read_buckets(spark, out, "store", state, schema, touched).unionByName(new.drop("_bucket"))
+        last = _read_buckets(spark, out, "gate", state, gate_schema, touched)
+        now = as_of_lit(as_of)
+        counted = store.groupBy("thread_id").agg(F.count(F.lit(1)).alias("memory_count"),
+                                                 F.min(as_of_col).alias("_first")) \
             .join(last, "thread_id", "left") \
             .withColumn("last_maintenance", F.coalesce("last_maintenance", "_first")).drop("_first")
-        gate = maintenance_gate(state, max_memories, as_of).select("thread_id", "run_maintenance").checkpoint()
-        due = store.join(gate.where("run_maintenance").select("thread_id"), "thread_id", "left_semi")
-        rest = store.join(gate.where("run_maintenance").select("thread_id"), "thread_id", "left_anti")
-        done = maintenance(due, max_memories, as_of).select(*cols)
-        rest.unionByName(done).write.mode("overwrite").parquet(
-            os.path.join(out, "store", f"epoch={epoch + 1:012d}"))
-        ran = gate.where("run_maintenance").select("thread_id", as_of_lit(as_of).alias("last_maintenance"))
-        last.join(ran.select("thread_id"), "thread_id", "left_anti").unionByName(ran).write.mode("overwrite") \
-            .parquet(os.path.join(out, "gate", f"epoch={epoch + 1:012d}"))
-
-    q = (spark.readStream.schema(schema).parquet(landing).writeStream.foreachBatch(step)
-         .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start())
-    if (trigger or {"availableNow": True}).get("availableNow"):
-        q.awaitTermination()
-    else:
-        q.processAllAvailable()
-        q.stop()
+        gate = written(maintenance_gate(counted, max_memories, as_of).select(
+            "thread_id", "last_maintenance", "run_maintenance"), "gate")
+        due = gate.where("run_maintenance").select("thread_id")
+        done = maintenance(store.join(due, "thread_id", "left_semi"), max_memories, as_of).select(*cols)
+        after = store.join(due, "thread_id", "left_anti").unionByName(done)
+        times = gate.select("thread_id", F.when(F.col("run_maintenance"), now)
+                            .otherwise(F.col("last_maintenance")).alias("last_maintenance"))
+        for table, rows in (("store", after), ("gate", times)):
+            rows.withColumn("_bucket", _bucket(buckets)).write.mode("overwrite").partitionBy("_bucket").parquet(
+                os.path.join(out, table, f"epoch={epoch:012d}"))
+    following = _state_path(out, epoch + 1)
+    if changelog.exists(spark, following):   # a retried micro-batch
+        changelog.remove(spark, following)
+    changelog.write_once(spark, following, {
+        "as_of": as_of, "buckets": {**state["buckets"], **{str(b): epoch for b in sorted(touched)}}})
+
+
+def maintenance_stream(spark: SparkSession, landing: str, out: str, checkpoint: str, schema,
+                       max_memories: int, trigger: dict | None = None, as_of_col: str = "created_at",
+                       buckets: int = BUCKETS, max_files_per_trigger: int | None = None) -> None:
+    """ST6 as a stream: :func:`maintenance_step` on every micro-batch.
+
+    ``as_of`` of a batch is the latest ``created_at`` seen so far. In production
+    the trigger is ``processingTime="1 hour"``. A thread's gate is looked at when
+    its bucket is touched.
+    """
+    trigger = trigger or {"availableNow": True}
+
+    def step(batch: DataFrame, epoch: int):
+        maintenance_step(spark, batch, epoch, out, schema, max_memories, as_of_col, buckets)
+
+    _finish(_source(spark, landing, schema, max_files_per_trigger).writeStream.foreachBatch(step)
+            .option("checkpointLocation", checkpoint).trigger(**trigger).start(), trigger)

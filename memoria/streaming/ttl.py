@@ -1,89 +1,55 @@
-"""ST5: key/value store entries with a per-entry TTL, as a stateful stream.
-
-``transformWithStateInPandas`` keeps the latest value of each (prefix, key)
-in a value state and registers an event-time timer at ``created_at +
-ttl_minutes``. When the watermark passes the timer the state is cleared and an
-``expired`` row is emitted, so the sink holds upserts and expirations; the
-live table is the last row per key unless it is an expiration. State lives in
-the RocksDB state store under the checkpoint folder.
+"""ST5: key/value store entries with a per-entry time to live, fed by a stream.
+
+The entries are a keyed table with a change log (:mod:`memoria.streaming.changelog`)
+ordered by ``created_at``: the newest value of a (prefix, key) replaces the older
+ones, however late these arrive. An entry expires ``ttl_minutes`` after its
+creation; expiry is decided on read, at the latest creation time the table has
+seen or at a given time, so no state is held per key and a replayed stream gives
+the same table. :func:`sweep` removes expired entries for good.
 """
 from __future__ import annotations
 
-import os
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor
-
-from ..functions.timefn import epoch_millis, from_epoch_millis
-
-OUTPUT_SCHEMA = "prefix string, key string, value string, expires_ms long, status string"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-class EntryTTL(StatefulProcessor):
-    """Latest value per key; expires at created_at + ttl (event time)."""
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.entry = handle.getValueState("entry", "value string, expires_ms long")
-
-    def handleInputRows(self, key, rows, timerValues):
-        last = None
-        for pdf in rows:
-            cand = pdf.sort_values("created_ms").iloc[-1]
-            if last is None or cand["created_ms"] >= last["created_ms"]:
-                last = cand
-        exp_ms = None
-        if pd.notna(last["ttl_minutes"]):
-            exp_ms = int(last["created_ms"]) + int(last["ttl_minutes"]) * 60_000
-        if self.entry.exists():  # a newer value replaces the old one and its timer
-            old = self.entry.get()
-            if old is not None and old[1] is not None:
-                self.handle.deleteTimer(int(old[1]))
-        self.entry.update((last["value"], exp_ms))
-        if exp_ms is not None:
-            self.handle.registerTimer(exp_ms)
-        yield pd.DataFrame([{"prefix": key[0], "key": key[1], "value": last["value"],
-                             "expires_ms": exp_ms, "status": "upsert"}]).astype({"expires_ms": "Int64"})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        st = self.entry.get()
-        self.entry.clear()
-        yield pd.DataFrame([{"prefix": key[0], "key": key[1], "value": None,
-                             "expires_ms": st[1] if st else None, "status": "expired"}]).astype({"expires_ms": "Int64"})
-
-    def close(self) -> None:
-        pass
+
+from ..functions.timefn import as_of_lit, epoch_millis, from_epoch_millis
+from . import changelog
+
+KEY = ["prefix", "key"]
+
+
+def expires_at() -> Column:
+    """Millisecond time at which an entry ends; null if it never does."""
+    return from_epoch_millis(epoch_millis(F.col("created_at")) + F.col("ttl_minutes").cast("long") * 60_000)
 
 
 def store_ttl_stream(spark: SparkSession, landing: str, out: str, checkpoint: str, schema,
-                     delay: str = "0 seconds") -> None:
-    """Run the TTL stream over everything landed (availableNow); the sink appends
-    each epoch's rows with the epoch number."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    # event time as epoch milliseconds (time-zone free); the watermark column is its instant
-    src = spark.readStream.schema(schema).parquet(landing) \
-        .withColumn("created_ms", epoch_millis(F.col("created_at"))) \
-        .withColumn("event_time", F.timestamp_millis(F.col("created_ms"))) \
-        .drop("created_at").withWatermark("event_time", delay)
-    rows = src.groupBy("prefix", "key").transformWithStateInPandas(EntryTTL(), OUTPUT_SCHEMA, "Update", "EventTime")
+                     max_files_per_trigger: int | None = None) -> None:
+    """Append everything landed (availableNow) to the entries' log."""
+    reader = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
 
     def sink(batch: DataFrame, epoch: int):
-        batch.withColumn("epoch", F.lit(epoch).cast("long")).write.mode("overwrite") \
-            .parquet(os.path.join(out, f"epoch={epoch:012d}"))
-
-    q = rows.writeStream.foreachBatch(sink).outputMode("update") \
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-
-
-def live_entries(spark: SparkSession, out: str) -> DataFrame:
-    """Last row per key across epochs, without the expired ones (``expires_at`` as timestamp_ntz)."""
-    rows = spark.read.option("basePath", out).parquet(os.path.join(out, "epoch=*"))
-    # newest row per key (an expiration wins within its epoch); partial aggregate, no window
-    order = F.struct(F.col("epoch"), (F.col("status") == "expired").alias("_x"))
-    last = rows.groupBy("prefix", "key").agg(F.max_by(F.struct("value", "expires_ms", "status"), order).alias("_r"))
-    return last.select("prefix", "key", "_r.*").where(F.col("status") != "expired") \
-        .withColumn("expires_at", from_epoch_millis(F.col("expires_ms")))
+        changelog.append(batch, out, epoch, KEY, order="created_at")
+
+    reader.parquet(landing).writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint) \
+        .trigger(availableNow=True).start().awaitTermination()
+
+
+def _now(entries: DataFrame, as_of) -> Column:
+    if as_of is not None:
+        return as_of_lit(as_of)
+    latest = entries.agg(F.max("created_at").alias("t"))
+    return from_epoch_millis(epoch_millis(latest.select("t").scalar()))
+
+
+def live_entries(spark: SparkSession, out: str, schema, as_of=None) -> DataFrame:
+    """Newest entry per (prefix, key) that has not expired, with ``expires_at``."""
+    entries = changelog.read_latest(spark, out, KEY, schema).withColumn("expires_at", expires_at())
+    return entries.where(F.col("expires_at").isNull() | (F.col("expires_at") > _now(entries, as_of)))
+
+
+def sweep(spark: SparkSession, out: str, as_of) -> int:
+    """Fold the log and drop the entries expired at ``as_of``; their time does not come back."""
+    return changelog.compact(spark, out, KEY, drop=expires_at() <= as_of_lit(as_of))

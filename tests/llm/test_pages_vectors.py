@@ -97,6 +97,132 @@ def test_head_without_end_tag():
     assert texts("<head><noscript><p>no</p></noscript><title>T</title></head><body><p>One</p>") == ["One"]
 
 
+def kept_lines(html):
+    return [t for t, zone, _ in extract.page_lines(html) if zone]
+
+
+WHOLE = "<h1>Head</h1><p>Words of the article that make up the page</p><p>and some more of them</p>"
+
+
+@pytest.mark.parametrize("html", [
+    f"<body><div class='site has-sidebar'>{WHOLE}</div></body>",
+    f"<body><article><div class='entry with-sidebar'>{WHOLE}</div></article></body>",
+    f"<body><form id='aspnetForm'><input><main>{WHOLE}</main></form></body>",
+    f"<body><form id='aspnetForm'><input>{WHOLE}</form></body>",
+    f"<body><form action='/'>{WHOLE}</form></body>",
+    f"<body><div class='social-security'>{WHOLE}</div></body>",
+    f"<body><div class='header-image'>{WHOLE}</div></body>",
+    f"<body><div id='tags-explained'>{WHOLE}</div></body>",
+    f"<body><div class='ad'>Buy</div><div class='notice'>{WHOLE.replace('h1', 'h2')}</div></body>",
+    f"<body><div class='comments'><h2>2 comments</h2><article><p>No</p></article></div><main class='share'>{WHOLE}</main>",
+])
+def test_names_and_forms_do_not_drop_the_page(html):
+    assert kept_lines(html) == ["Head", "Words of the article that make up the page", "and some more of them"]
+
+
+@pytest.mark.parametrize("part", [
+    "<div class='sidebar'>no</div>", "<div class='post-tags'>no</div>", "<div id='commentsArea'>no</div>",
+    "<section class='related-posts'><article><p>no</p></article></section>", "<div class='ad-container'>no</div>",
+    "<form><input><p>no</p></form>", "<div class='cookie-consent'>no</div>", "<nav>no</nav>", "<footer>no</footer>",
+    "<div class='comments'><article><p>" + "no " * 400 + "</p></article></div>", "<p hidden>no</p>",
+    "<div role='navigation'>no</div>", "<script>no</script>", "<div class='newsletter-box'><p>no</p></div>",
+])
+def test_parts_that_are_no_article_go(part):
+    assert kept_lines(f"<body>{part}<article>{WHOLE}</article></body>") == kept_lines(f"<article>{WHOLE}</article>")
+    assert "no" not in " ".join(kept_lines(f"<body>{part}{WHOLE}</body>")).split()
+
+
+def brute_texts(rows):
+    """The whole extraction of one table in plain loops over the lines of the pages."""
+    parsed = {r: extract.page_lines(r[2]) for r in set(rows)}
+    hosts = collections.defaultdict(list)
+    for r in parsed:
+        host, path = brute_url(r[1])[:2]
+        hosts[host].append((path, -2 ** 63 if r[0] is None else r[0], r))
+
+    def zone(lines):
+        return 2 if any(z == 2 for _, z, _ in lines) else 1
+
+    out = {}
+    for members in hosts.values():
+        members = [m[2] for m in sorted(members, key=lambda m: m[:2])]
+        contents = {tuple(t for t, z, _ in parsed[r] if z == zone(parsed[r])) for r in members}
+        n = len(contents)
+        common = set()
+        for line in {t for c in contents for t in c}:
+            k, z = sum(line in c for c in contents), extract.TEMPLATE_SURE
+            share = k / n
+            low = (share + z * z / 2 / n - z * (share * (1 - share) / n + z * z / 4 / n / n) ** 0.5) / (1 + z * z / n)
+            if k > 1 and low > 0.5:
+                common.add(line)
+        for i, r in enumerate(members):
+            lines = parsed[r]
+            texts = [t for t, _, _ in lines]
+            marked = any(p for *_, p in lines)
+            weigh = [len(t) * (t not in common) * (p if marked else z == zone(lines)) for t, z, p in lines]
+            sides = [j for j in (i - 1, i + 1) if 0 <= j < len(members)]
+            near = lambda j: len(common_prefix(brute_url(r[1])[1], brute_url(members[j][1])[1]))
+            found = []
+            for j in sorted(sides, key=lambda j: -near(j)):
+                at = extract.common_lines(texts, [t for t, _, _ in parsed[members[j]]])
+                if not sum(weigh[k] for k in at) > extract.COPY_SHARE * sum(weigh):
+                    found = at
+                    break
+            gone = {k for k in found if not lines[k][2] or texts[k] in common}
+            out[r] = (" ".join(t for k, (t, z, _) in enumerate(lines) if z == zone(lines) and k not in gone), len(found))
+    return out
+
+
+def common_prefix(a, b):
+    n = 0
+    while n < min(len(a), len(b)) and a[n] == b[n]:
+        n += 1
+    return a[:n]
+
+
+def random_page(rng, host, own):
+    template = [f"{host} line {k}" for k in range(8)]
+    body = [rng.choice(template) if rng.random() < 0.4 else rng.choice(own) + f" {rng.randrange(30)}"
+            for _ in range(rng.randrange(12))]
+    tags = ["<p>%s</p>", "<div>%s</div>", "<div class='sidebar'>%s</div>", "<li><a href='/'>%s</a></li>"]
+    inner = "".join(rng.choice(tags) % t for t in body)
+    return rng.choice(["<body>%s</body>", "<body><nav>M</nav><article>%s</article></body>",
+                       "<body><div>site</div><main>%s</main><footer>F</footer>"]) % inner
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_whole_extraction_equals_plain_loops(spark, seed):
+    rng = random.Random(seed)
+    own = [" ".join(rng.choice("abcdefg") * rng.randint(1, 9) for _ in range(rng.randint(1, 12))) for _ in range(40)]
+    rows = []
+    for h, n in enumerate((1, 2, 3, 5, 7, 14, 40)):
+        for i in range(n):
+            rows.append((len(rows), f"http://h{h}.example/{rng.choice('ab')}/{rng.randrange(60)}", random_page(rng, h, own)))
+    rows += [rows[3], rows[3], (None, rows[5][1], rows[5][2]), (rows[9][0], None, rows[9][2]), (900, "nonsense", None)]
+    want = brute_texts(rows)
+    got = extract.main_text(pages(spark, rows), block_pages=4).collect()
+    assert collections.Counter((r["page_id"], r["url"], r["text"], r["n_shared"]) for r in got) == collections.Counter(
+        (r[0], r[1], *want[r]) for r in rows)
+
+
+def test_hosts_of_any_size_lose_their_template(spark):
+    """Unmarked template lines go on hosts of two pages and more, a host of one page has nothing to compare with."""
+    rows, own = [], {}
+    for n in range(1, 21):
+        for i in range(n):
+            own[len(rows)] = f"Own words {n} {i}, " + " ".join(f"w{n}x{i}x{k}" for k in range(30))
+            text = "<body><div>Welcome here</div>%s<div>Write to us</div></body>" % f"<p>{own[len(rows)]}</p>"
+            rows.append((len(rows), f"http://n{n}.example/{i:02}", text))
+    got = extract.main_text(pages(spark, rows)).collect()
+    changed = 0
+    for r in got:
+        plain = f"Welcome here {own[r['page_id']]} Write to us"
+        alone = r["url"].startswith("http://n1.")
+        assert r["text"] == (plain if alone else own[r["page_id"]])
+        changed += r["text"] != plain
+    assert changed == len(rows) - 1
+
+
 @pytest.mark.parametrize("cells", [1 << 28, 8])
 def test_common_lines_is_a_longest_common_subsequence(cells):
     rng = random.Random(2)

@@ -13,7 +13,7 @@ def _plan(spark, key):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("key", sorted(k for k in load_all() if k != "store_ttl_stream"))
+@pytest.mark.parametrize("key", sorted(load_all()))
 def test_no_cross_or_nested_loop_joins(spark, key):
     plan = _plan(spark, key)
     for op in PAIR_JOINS:

@@ -205,7 +205,7 @@ def test_maintenance_stream_matches_batch_on_one_epoch(spark, tmp_out):
     landing = jobs.land(e.coalesce(1), os.path.join(tmp_out, "landing"))
     out = os.path.join(tmp_out, "out")
     jobs.maintenance_stream(spark, landing, out, os.path.join(tmp_out, "ck"), e.schema, max_memories=5)
-    got = spark.read.parquet(os.path.join(out, "store", "epoch=000000000001"))
+    got = jobs.read_store(spark, out, e.schema)
     as_of = e.agg(F.max("created_at")).first()[0]
     want = maintenance(e, 5, as_of).select(*e.columns)  # every thread is over 0.9 * 5 rows: all gated
     assert _same(got.select("thread_id", "seq", "memory_type", "observation"),
