@@ -3,9 +3,8 @@
 The reference lower-cases all messages of a conversation, joins them with a
 space and tests plain substrings. Here every message is tested on its own and
 the flags are OR-ed per conversation (partial aggregation, no text moved); a
-keyword that contains a space can also match across the join of two
-consecutive messages, which is tested on the (last, first) word pair of
-neighbours.
+keyword that contains a space can also match across the join of messages,
+which is found by folding summaries of a few characters per message.
 """
 from __future__ import annotations
 
@@ -33,40 +32,80 @@ STORE_TAGS = ("conversation", "interaction")
 # ---------------------------------------------------------------------------
 
 
-def _spanning_flags(msgs: DataFrame, conv: str, order: str) -> DataFrame:
-    """Per conversation: does a multi-word keyword straddle two neighbours' join?"""
-    multi = [(cls, w) for cls, _, words in KEYWORD_CLASSES for w in words if " " in w]
+SEGMENT_ROWS = 1024
+
+
+def _multi_word() -> list[tuple[str, str]]:
+    return [(cls, w) for cls, _, words in KEYWORD_CLASSES for w in words if " " in w]
+
+
+def _merge(words: list[str], reach: int):
+    """The summary of two neighbouring texts joined by a space, from their summaries.
+
+    A summary is (head, tail, found): the first and last ``reach`` characters and
+    whether each keyword occurs across a join inside. Merging is associative, so
+    segments can be folded in any grouping that keeps their order.
+    """
+    def run(a, b):
+        seam = F.concat(a["tail"], F.lit(" "), b["head"])
+        found = F.array(*[a["found"][i] | b["found"][i] | seam.contains(w) for i, w in enumerate(words)])
+        head = F.when(F.length(a["head"]) < reach, F.substring(F.concat(a["head"], F.lit(" "), b["head"]), 1, reach)) \
+            .otherwise(a["head"])
+        both = F.concat(a["tail"], F.lit(" "), b["tail"])
+        tail = F.when(F.length(b["tail"]) < reach, F.right(both, F.lit(reach))).otherwise(b["tail"])
+        return F.struct(head.alias("head"), tail.alias("tail"), found.alias("found"))
+    return run
+
+
+def _fold(items, words, reach: int):
+    """The summaries of an array in its order as one."""
+    first = F.struct(*[items[0][c].alias(c) for c in ("head", "tail", "found")])
+    return F.aggregate(F.slice(items, 2, F.greatest(F.size(items) - 1, F.lit(0))), first, _merge(words, reach))
+
+
+def _spanning_flags(msgs: DataFrame, conv: str, order: str) -> DataFrame | None:
+    """Per conversation: which multi-word keywords lie across the join of its messages.
+
+    Messages are summarised by a few characters each; the summaries of a block of
+    ``SEGMENT_ROWS`` order values are folded, then those of the blocks of a
+    conversation, so no text moves and no conversation is ordered as a whole.
+    """
+    multi = _multi_word()
     if not multi:
         return None
-    # neighbours by exact position (skew-safe ranks), then an equi-join on (conv, pos + 1)
-    from .ranking import group_row_number
-    pos = group_row_number(msgs.select(conv, order, "_low"), [conv], [F.asc(order)], out="_pos")
-    nxt = pos.select(conv, (F.col("_pos") - 1).alias("_pos"), F.col("_low").alias("_next"))
-    pairs = pos.join(nxt, [conv, "_pos"], "inner")
-    exprs = []
-    for cls, w in multi:
-        conds = []
-        for i in range(1, len(w)):
-            left, right = w[:i], w[i:]
-            # the join adds one space: "...<left>" + " " + "<right>..." where w[i-1] is that space
-            if w[i - 1] == " ":
-                conds.append(F.col("_low").endswith(left[:-1]) & F.col("_next").startswith(right))
-        if conds:
-            exprs.append(F.max(reduce(lambda a, b: a | b, conds).cast("int")).alias(f"_span_{cls}"))
-    return pairs.groupBy(conv).agg(*exprs)
+    words = [w for _, w in multi]
+    reach = max(map(len, words)) - 1
+    none = F.array(*[F.lit(False)] * len(words))
+    one = msgs.select(conv, F.col(order).alias("_at"), F.floor(F.col(order) / SEGMENT_ROWS).alias("_block"),
+                      F.substring("_low", 1, reach).alias("head"), F.right("_low", F.lit(reach)).alias("tail"),
+                      none.alias("found"))
+    item = F.struct("_at", "head", "tail", "found")
+    part = one.groupBy(conv, "_block").agg(F.array_sort(F.collect_list(item)).alias("_items"))
+    part = part.select(conv, "_block", _fold(F.col("_items"), words, reach).alias("_s")).select(conv, "_block", "_s.*")
+    item = F.struct("_block", "head", "tail", "found")
+    full = part.groupBy(conv).agg(F.array_sort(F.collect_list(item)).alias("_items"))
+    full = full.select(conv, _fold(F.col("_items"), words, reach)["found"].alias("_f"))
+    classes = {cls for cls, _ in multi}
+    return full.select(conv, *[
+        reduce(lambda a, b: a | b, [F.col("_f")[i] for i, (c, _) in enumerate(multi) if c == cls]).cast("int").alias(f"_span_{cls}")
+        for cls in sorted(classes)])
 
 
 def classify(messages: DataFrame, conv: str = "conv_id", order: str = "turn", text: str = "text") -> DataFrame:
-    """SC27 per conversation: (memory_type, importance) by the first matching keyword class."""
-    low = messages.select(conv, order, F.lower(F.col(text)).alias("_low"))
+    """SC27 per conversation: (memory_type, importance) by the first matching keyword class.
+
+    ``order`` is a number. Null texts are no messages.
+    """
+    low = messages.where(F.col(text).isNotNull()).select(conv, order, F.lower(F.col(text)).alias("_low"))
     aggs = [F.max(contains_any(F.col("_low"), words).cast("int")).alias(f"_has_{cls}")
             for cls, _, words in KEYWORD_CLASSES]
-    flags = low.groupBy(conv).agg(*aggs)
+    flags = messages.select(conv).distinct().join(low.groupBy(conv).agg(*aggs), conv, "left")
     span = _spanning_flags(low, conv, order)
     if span is not None:
         flags = flags.join(span, conv, "left")
+
     def hit(cls):
-        c = F.col(f"_has_{cls}") == 1
+        c = F.coalesce(F.col(f"_has_{cls}"), F.lit(0)) == 1
         if f"_span_{cls}" in flags.columns:
             c = c | (F.coalesce(F.col(f"_span_{cls}"), F.lit(0)) == 1)
         return c

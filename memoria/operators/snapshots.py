@@ -7,13 +7,14 @@ returns the next snapshot as a DataFrame, to be written to a new location
 """
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ensure_checkpoint_dir
+from ..session import scratch_path, written
 
 
 def _keys(key) -> list[str]:
@@ -36,14 +37,38 @@ def apply_changes(table: DataFrame, batch: DataFrame, key="id", action: str = "a
     return untouched.unionByName(updated).unionByName(created)
 
 
-def publish_merge(target: DataFrame, source: DataFrame, key) -> DataFrame:
-    """SET4: upsert ``source`` into ``target`` by key; the source row wins.
+def newest_rows(rows: DataFrame, key, order: str | None = None, first: Column | None = None) -> DataFrame:
+    """One row per key (null is a key like any other): the newest by ``order``.
 
-    Idempotent: publishing the same source twice gives the same snapshot.
+    Among equals the one with the larger ``first``, then the larger JSON text of
+    its values. A partial aggregate: a key with many rows is reduced map-side.
     """
     keys = _keys(key)
-    kept = target.join(source.select(*keys), keys, "left_anti")
-    return kept.unionByName(source.select(*target.columns))
+    rest = [c for c in rows.columns if c not in keys]
+    by = [F.col(order)] if order else []
+    by += [first] if first is not None else []
+    by.append(F.to_json(F.struct(*rest)) if rest else F.lit(""))
+    if not rest:
+        return rows.distinct()
+    got = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*by)).alias("_r"))
+    return got.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest]).select(*rows.columns)
+
+
+def publish_merge(target: DataFrame, source: DataFrame, key, order: str | None = None) -> DataFrame:
+    """SET4: upsert ``source`` into ``target`` by key; one row per source key.
+
+    Without ``order`` the source row wins, of several the one whose values are
+    the larger JSON text. With ``order`` the row with its largest value wins on
+    either side, the source among equals. Idempotent: publishing the same
+    source twice gives the same snapshot.
+    """
+    keys = _keys(key)
+    source = source.select(*target.columns)
+    if order is None:
+        kept = target.join(source.select(*keys), keys, "left_anti")
+        return kept.unionByName(newest_rows(source, keys))
+    both = target.withColumn("_side", F.lit(0)).unionByName(source.withColumn("_side", F.lit(1)))
+    return newest_rows(both, keys, order, F.col("_side")).drop("_side")
 
 
 def _row_struct(df: DataFrame, cols, prefix: str) -> Column:
@@ -162,59 +187,84 @@ def row_drift(before: DataFrame, after: DataFrame) -> DataFrame:
         .withColumn("changed", F.col("rows_before") != F.col("rows_after"))
 
 
-def migration_order(edges: DataFrame, node: str = "node", upstream: str = "upstream",
-                    max_rounds: int = 10_000) -> DataFrame:
+def migration_order(edges: DataFrame, node: str = "node", upstream: str = "upstream") -> DataFrame:
     """CMP12: level of each node = longest path from a root (upstreams first).
 
     Forest (every node has at most one upstream, checked with one aggregation):
-    pointer jumping -- each round doubles the hop length, so depth d needs
-    about log2(d) rounds. General DAG: relaxation level(n) = 1 + max(level(u)),
-    one round per level. Every round is one join + aggregation, checkpointed
-    to the shared folder to cut lineage, with a scalar convergence test; a
-    cycle raises after ``max_rounds``.
+    pointer jumping, each round doubles the hop length, so depth d needs
+    about log2(d) rounds. General graph: the nodes without an open upstream are
+    peeled off, level by level. Every round is written to the shared folder; a
+    cycle of any length raises.
     """
-    ensure_checkpoint_dir(edges.sparkSession)
     e = edges.select(F.col(node).alias("n"), F.col(upstream).alias("u"))
-    links = e.where(F.col("u").isNotNull()).distinct()
-    nodes = e.select("n").union(links.select(F.col("u").alias("n"))).distinct()
+    links = written(e.where(F.col("u").isNotNull()).distinct(), "links")
+    nodes = written(e.select("n").union(links.select(F.col("u").alias("n"))).distinct(), "nodes")
     fan_in = links.groupBy("n").agg(F.count(F.lit(1)).alias("_k")).agg(F.max("_k")).first()[0] or 0
-    if fan_in <= 1:
-        return _levels_by_pointer_jumping(nodes, links, node, max_rounds)
-    return _levels_by_relaxation(nodes, links, node, max_rounds)
+    levels = _levels_by_pointer_jumping(nodes, links) if fan_in <= 1 else _levels_by_peeling(nodes, links)
+    return levels.select(F.col("n").alias(node), "level")
 
 
-def _levels_by_pointer_jumping(nodes: DataFrame, links: DataFrame, node: str, max_rounds: int) -> DataFrame:
-    # (n, anc, dist): anc is the node ``dist`` hops up; null once the root is reached
+def _levels_by_pointer_jumping(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    # (n, anc, dist): anc is the node ``dist`` hops up, null at a root; nodes that reached their root are left alone
     # hops double each round: a chain of all nodes ends after log2(nodes) rounds, only a cycle does not
-    max_rounds = min(max_rounds, nodes.count().bit_length() + 1)
-    cur = nodes.join(links, "n", "left").select("n", F.col("u").alias("anc"),
-                                                F.when(F.col("u").isNotNull(), 1).otherwise(0).alias("dist")).checkpoint()
-    rounds = 0
-    while cur.where(F.col("anc").isNotNull()).limit(1).count():
-        rounds += 1
-        if rounds > max_rounds:
-            raise ValueError("dependency graph has a cycle or is deeper than max_rounds")
-        up = cur.select(F.col("n").alias("anc"), F.col("anc").alias("anc2"), F.col("dist").alias("dist2"))
-        cur = cur.join(up, "anc", "left").select(
-            "n", F.col("anc2").alias("anc"), (F.col("dist") + F.coalesce(F.col("dist2"), F.lit(0))).alias("dist")
-        ).checkpoint()
-    return cur.select(F.col("n").alias(node), F.col("dist").alias("level"))
-
-
-def _levels_by_relaxation(nodes: DataFrame, links: DataFrame, node: str, max_rounds: int) -> DataFrame:
-    # levels stop growing after as many rounds as there are nodes, unless there is a cycle
-    max_rounds = min(max_rounds, nodes.count() + 1)
-    lv = nodes.withColumn("level", F.lit(0)).checkpoint()
-    rounds = 0
+    rounds = nodes.count().bit_length() + 1
+    zero = F.lit(0).cast("long")
+    done = written(nodes.join(links, "n", "left_anti").select("n", zero.alias("dist")), "roots")
+    open_ = links.select("n", F.col("u").alias("anc"), F.lit(1).cast("long").alias("dist"))
+    while not open_.isEmpty():
+        if not rounds:
+            raise ValueError("dependency graph has a cycle")
+        rounds -= 1
+        up = done.select(F.col("n").alias("anc"), F.lit(None).cast(nodes.schema["n"].dataType).alias("further"),
+                         F.col("dist").alias("more"))
+        up = up.unionByName(open_.select(F.col("n").alias("anc"), F.col("anc").alias("further"), F.col("dist").alias("more")))
+        step = written(open_.join(up, "anc").select("n", F.col("further").alias("anc"), (F.col("dist") + F.col("more")).alias("dist")),
+                       "jumps")
+        done = done.unionByName(step.where("anc is null").drop("anc"))
+        open_ = step.where("anc is not null")
+    return done.withColumnRenamed("dist", "level")
+
+
+PEEL_BUCKETS = 64
+
+
+def _bucketed(df: DataFrame, by: str, tag: str) -> DataFrame:
+    """``df`` as a table in the shared folder, dealt by ``by`` once, so that joins on it need not shuffle it again."""
+    spark = df.sparkSession
+    n = max(PEEL_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    name = f"{tag}_{uuid.uuid4().hex}"
+    df.repartition(n, by).write.format("parquet").bucketBy(n, by).option("path", scratch_path(spark, name)).saveAsTable(name)
+    return spark.table(name)
+
+
+def _levels_by_peeling(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """Longest paths by peeling: a node gets its level when its last upstream has one.
+
+    Links wait bucketed by upstream and the numbers of upstreams by node; a round
+    moves only the frontier, the links out of it and the nodes that it touches.
+    When the frontier is empty, what has no level yet is on or behind a cycle.
+    """
+    out = _bucketed(links, "u", "links_out")
+    need = _bucketed(links.groupBy("n").agg(F.count(F.lit(1)).alias("need")), "n", "links_need")
+    frontier = written(nodes.join(links, "n", "left_anti"), "frontier")
+    touched = None          # nodes of which some upstreams have a level: (n, left)
+    levels, level, found = frontier.withColumn("level", F.lit(0).cast("long")), 0, frontier.count()
     while True:
-        step = links.join(lv.withColumnRenamed("n", "u"), "u").groupBy("n").agg((F.max("level") + 1).alias("cand"))
-        new = lv.join(step, "n", "left").select(
-            "n", F.greatest(F.col("level"), F.coalesce(F.col("cand"), F.lit(0))).alias("level")).checkpoint()
-        changed = new.join(lv.withColumnRenamed("level", "old"), "n").where(F.col("level") != F.col("old")).limit(1).count()
-        lv = new
-        rounds += 1
-        if not changed:
+        met = out.join(frontier.withColumnRenamed("n", "u"), "u").groupBy("n").agg(F.count(F.lit(1)).alias("met"))
+        fresh = met.join(need, "n") if touched is None else met.join(touched, "n", "left_anti").join(need, "n")
+        now = fresh.select("n", (F.col("need") - F.col("met")).alias("left"))
+        if touched is not None:
+            again = touched.join(met, "n", "left").select("n", (F.col("left") - F.coalesce("met", F.lit(0))).alias("left"))
+            now = now.unionByName(again)
+        now = written(now, "peeled")
+        frontier, touched = now.where("left = 0").select("n"), now.where("left > 0")
+        more = frontier.count()
+        if not more:
             break
-        if rounds >= max_rounds:
-            raise ValueError("dependency graph has a cycle or is deeper than max_rounds")
-    return lv.select(F.col("n").alias(node), "level")
+        level, found = level + 1, found + more
+        levels = levels.unionByName(frontier.withColumn("level", F.lit(level).cast("long")))
+        if level % 64 == 0:      # the union of the levels stays short
+            levels = written(levels, "levels")
+    if found < nodes.count():
+        raise ValueError("dependency graph has a cycle")
+    return levels

@@ -141,20 +141,76 @@ def coordination_events(events: DataFrame) -> DataFrame:
         F.avg("latency_ms").alias("avg_latency_ms"), F.max("anomaly_score").alias("max_anomaly_score"))
 
 
-def orchestration_join(orch: DataFrame, nodes: DataFrame, metrics: DataFrame, messages: DataFrame) -> DataFrame:
-    """JN10: orchestration with per-child aggregates (1:N children pre-aggregated, then left joins)."""
+def orchestration_join(orch: DataFrame, nodes: DataFrame, metrics: DataFrame, messages: DataFrame,
+                       events: DataFrame, trace_map: DataFrame) -> DataFrame:
+    """JN10: orchestration with per-child aggregates (1:N children pre-aggregated, then left joins) and its trace map."""
     k = "orchestration_id"
     n = nodes.groupBy(k).agg(F.count(F.lit(1)).alias("nodes"))
     m = metrics.groupBy(k).agg(F.sum("tokens_in").cast("long").alias("tokens_in"), F.sum("cost_usd").alias("cost_usd"))
     g = messages.groupBy(k).agg(F.count(F.lit(1)).alias("messages"))
-    j = orch.join(n, k, "left").join(m, k, "left").join(g, k, "left")
-    return j.select(k, "status", "workflow_id", F.coalesce("nodes", F.lit(0)).alias("nodes"),
-                    F.coalesce("tokens_in", F.lit(0)).alias("tokens_in"), "cost_usd",
-                    F.coalesce("messages", F.lit(0)).alias("messages"))
-
-
-def trace_stitch(trace_map: DataFrame, spans: DataFrame) -> DataFrame:
-    """JN11: correlation id -> root trace -> child traces -> spans."""
-    kids = trace_map.select("correlation_id", "root_trace_id",
-                            F.explode(F.from_json("child_trace_ids", T.ArrayType(T.StringType()))).alias("trace_id"))
-    return kids.join(spans, "trace_id", "inner")
+    c = events.groupBy(k).agg(F.count(F.lit(1)).alias("coordination_events"),
+                              F.count_if(~F.col("success")).alias("failed_events"),
+                              F.max("anomaly_score").alias("max_anomaly_score"))
+    # one map per orchestration; of several the one with the smallest correlation id
+    t = trace_map.where(F.col(k).isNotNull()).groupBy(k).agg(
+        F.min(F.struct("correlation_id", "root_trace_id")).alias("_t"))
+    j = orch.join(n, k, "left").join(m, k, "left").join(g, k, "left").join(c, k, "left").join(t, k, "left")
+    zero = lambda x: F.coalesce(x, F.lit(0)).alias(x)
+    return j.select(k, "status", "workflow_id", zero("nodes"), zero("tokens_in"), "cost_usd", zero("messages"),
+                    zero("coordination_events"), zero("failed_events"), "max_anomaly_score",
+                    F.col("_t.correlation_id").alias("correlation_id"), F.col("_t.root_trace_id").alias("root_trace_id"))
+
+
+def trace_closure(trace_map: DataFrame) -> DataFrame:
+    """(root_trace_id, trace_id, depth): every trace that a mapped root reaches, itself (depth 0) included.
+
+    Child traces may be roots of maps of their own, to any depth. Each round joins
+    what is reached with what is reached from there, so distances double; depth
+    is the least one. Cycles add nothing new and end.
+    """
+    from ..session import written
+    child = F.explode(F.from_json("child_trace_ids", T.ArrayType(T.StringType()))).alias("trace_id")
+    edges = trace_map.where("root_trace_id is not null").select("root_trace_id", child, F.lit(1).cast("long").alias("depth"))
+    roots = trace_map.where("root_trace_id is not null").select(
+        "root_trace_id", F.col("root_trace_id").alias("trace_id"), F.lit(0).cast("long").alias("depth"))
+
+    def nearest(rows):
+        return written(rows.groupBy("root_trace_id", "trace_id").agg(F.min("depth").alias("depth")), "traces")
+
+    reached = nearest(roots.unionByName(edges.where("trace_id is not null")))
+    size = reached.agg(F.count(F.lit(1)), F.sum("depth")).first()
+    while True:
+        # one side must have moved for a pair to be new, and only roots reach further
+        further = reached.select(F.col("root_trace_id").alias("trace_id"), F.col("trace_id").alias("_to"),
+                                 F.col("depth").alias("_more")).where("_more > 0")
+        step = reached.where("depth > 0").join(further, "trace_id").select(
+            "root_trace_id", F.col("_to").alias("trace_id"), (F.col("depth") + F.col("_more")).alias("depth"))
+        reached = nearest(reached.unionByName(step))
+        now = reached.agg(F.count(F.lit(1)), F.sum("depth")).first()
+        if now == size:
+            return reached
+        size = now
+
+
+def trace_records(nodes: DataFrame, messages: DataFrame, events: DataFrame, spans: DataFrame) -> DataFrame:
+    """(trace_id, kind, value, at) of the four kinds of records that name a trace.
+
+    ``events`` name it inside their ``trace_context`` JSON.
+    """
+    value = lambda c: F.col(c).cast("double").alias("value")
+    parts = [
+        nodes.select("trace_id", F.lit("node").alias("kind"), value("tokens_in"), F.lit(None).cast("timestamp_ntz").alias("at")),
+        messages.select("trace_id", F.lit("message").alias("kind"), value("payload_bytes"), F.col("sent_at").alias("at")),
+        events.select(F.get_json_object("trace_context", "$.trace_id").alias("trace_id"), F.lit("event").alias("kind"),
+                      value("anomaly_score"), F.col("occurred_at").alias("at")),
+        spans.select("trace_id", F.lit("span").alias("kind"), value("quantity"), F.col("span_ts").alias("at"))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.where("trace_id is not null")
+
+
+def trace_stitch(trace_map: DataFrame, records: DataFrame) -> DataFrame:
+    """JN11: correlation id -> root trace -> child traces of any depth -> their records."""
+    found = trace_map.select("correlation_id", "root_trace_id").distinct().join(trace_closure(trace_map), "root_trace_id")
+    return found.join(records, "trace_id", "inner")

@@ -361,6 +361,12 @@ FROM res GROUP BY query_id""")
 oracle("cosine_similarity", ("memory_vectors", "query_vectors"), "WITH " + _KNN.format(k=10).strip() + """
 SELECT query_id, id, ROUND(similarity, 6) AS similarity FROM top2k""")
 
+oracle("search_access_update", ("memories", "memory_vectors", "query_vectors"), "WITH " + _KNN.format(k=10).strip() + f""",
+n AS (SELECT id, COUNT(*) AS n FROM top2k WHERE similarity >= 0.3 GROUP BY id)
+SELECT m.id, CAST(m.access_count + coalesce(n.n, 0) AS INTEGER) AS access_count,
+       CASE WHEN n.n IS NOT NULL THEN {AS_OF} ELSE m.last_accessed END AS last_accessed
+FROM memories m LEFT JOIN n ON n.id = m.id""")
+
 # ------------------------------------------------------------ experience store
 def _days(later: str, earlier: str) -> str:
     return f"CAST(floor((epoch_us({later}) - epoch_us({earlier})) / 86400000000) AS BIGINT)"
@@ -826,6 +832,14 @@ WHERE ROW(o.o_custkey, o.o_orderstatus, o.o_totalprice, o.o_orderdate, o.o_order
 
 oracle("publish_merge", ("orders_merged",), "SELECT * FROM orders_merged")
 
+oracle("publish_newest", (), """
+WITH changes AS (
+  SELECT o.* REPLACE (o_totalprice + v AS o_totalprice), v AS change_seq
+  FROM orders o, unnest(range(0, o_orderkey % 3 + 1)) AS u(v) WHERE o_orderkey % 17 <> 0),
+everything AS (SELECT * FROM changes UNION ALL SELECT *, 1 FROM orders WHERE o_orderkey % 19 <> 0)
+SELECT * FROM everything
+QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY change_seq DESC, o_totalprice DESC) = 1""")
+
 oracle("legacy_vs_new", ("orders_old", "orders_new"), """
 SELECT coalesce(o.o_orderkey, n.o_orderkey) AS o_orderkey,
        CASE WHEN n.o_orderkey IS NULL THEN 'missing' WHEN o.o_orderkey IS NULL THEN 'extra' ELSE 'changed' END AS status
@@ -1000,18 +1014,37 @@ FROM events GROUP BY 1""")
 oracle("orchestration_join", ("agent_metrics", "agent_messages"), """
 WITH n AS (SELECT l_orderkey AS orchestration_id, COUNT(*) AS nodes FROM lineitem GROUP BY 1),
 m AS (SELECT orchestration_id, CAST(SUM(tokens_in) AS BIGINT) AS tokens_in, SUM(cost_usd) AS cost_usd FROM agent_metrics GROUP BY 1),
-g AS (SELECT orchestration_id, COUNT(*) AS messages FROM agent_messages GROUP BY 1)
+g AS (SELECT orchestration_id, COUNT(*) AS messages FROM agent_messages GROUP BY 1),
+c AS (SELECT event_id AS orchestration_id, COUNT(*) AS coordination_events, COUNT(*) FILTER (WHERE event_id % 4 = 0) AS failed_events,
+             MAX(CAST(event_id % 100 AS DOUBLE) / 100) AS max_anomaly_score FROM events GROUP BY 1)
 SELECT o.o_orderkey AS orchestration_id, o.o_orderstatus AS status, o.o_orderpriority AS workflow_id,
        coalesce(n.nodes, 0) AS nodes, coalesce(m.tokens_in, 0) AS tokens_in, ROUND(CAST(m.cost_usd AS DOUBLE), 6) AS cost_usd,
-       coalesce(g.messages, 0) AS messages
+       coalesce(g.messages, 0) AS messages, coalesce(c.coordination_events, 0) AS coordination_events,
+       coalesce(c.failed_events, 0) AS failed_events, c.max_anomaly_score,
+       'c' || CAST(o.o_orderkey AS VARCHAR) AS correlation_id, 't' || CAST(o.o_orderkey AS VARCHAR) AS root_trace_id
 FROM orders o LEFT JOIN n ON n.orchestration_id = o.o_orderkey LEFT JOIN m ON m.orchestration_id = o.o_orderkey
-LEFT JOIN g ON g.orchestration_id = o.o_orderkey""")
-
-oracle("trace_stitch", (), """
-SELECT 'c' || CAST(o.o_orderkey AS VARCHAR) AS correlation_id, 't' || CAST(o.o_orderkey AS VARCHAR) AS root_trace_id,
-       COUNT(*) AS spans, ROUND(SUM(l.l_quantity), 6) AS quantity
-FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey AND l.l_linenumber BETWEEN 1 AND 3
-GROUP BY 1, 2""")
+LEFT JOIN g ON g.orchestration_id = o.o_orderkey LEFT JOIN c ON c.orchestration_id = o.o_orderkey""")
+
+# what the three maps of an order reach: lines below each root and how far down they are
+_input("trace_reach", """
+SELECT m.letter || CAST(o_orderkey AS VARCHAR) AS correlation_id, 't' || CAST(o_orderkey AS VARCHAR) || m.root AS root_trace_id,
+       't' || CAST(o_orderkey AS VARCHAR) || m.trace AS trace_id, CAST(m.depth AS BIGINT) AS depth
+FROM orders, (VALUES ('c', '', '', 0), ('c', '', '_1', 1), ('c', '', '_2', 1), ('c', '', '_3', 1), ('c', '', '_4', 2),
+  ('c', '', '_5', 2), ('c', '', '_6', 3), ('c', '', '_7', 3), ('d', '_3', '_3', 0), ('d', '_3', '_4', 1), ('d', '_3', '_5', 1),
+  ('d', '_3', '_6', 2), ('d', '_3', '_7', 2), ('e', '_5', '_5', 0), ('e', '_5', '_6', 1), ('e', '_5', '_7', 1))
+  AS m(letter, root, trace, depth)""")
+
+oracle("trace_closure", ("trace_reach",), "SELECT root_trace_id, trace_id, depth FROM trace_reach")
+
+oracle("trace_stitch", ("trace_reach",), """
+WITH records AS (
+  SELECT 't' || CAST(l_orderkey AS VARCHAR) AS trace_id, 'node' AS kind, CAST(l_linenumber AS DOUBLE) AS value FROM lineitem
+  UNION ALL SELECT 't' || CAST(l_orderkey AS VARCHAR) || '_' || CAST(l_linenumber AS VARCHAR), 'span', l_quantity FROM lineitem
+  UNION ALL SELECT 't' || CAST(event_id AS VARCHAR), 'message', length(props) FROM events
+  UNION ALL SELECT 't' || CAST(event_id AS VARCHAR) || '_' || CAST(event_id % 7 + 1 AS VARCHAR), 'event',
+                   CAST(event_id % 100 AS DOUBLE) / 100 FROM events)
+SELECT correlation_id, root_trace_id, kind, COUNT(*) AS records, ROUND(SUM(value), 6) AS value, MAX(depth) AS max_depth
+FROM trace_reach JOIN records USING (trace_id) GROUP BY ALL""")
 
 oracle("point_in_time", (), """
 WITH l AS (SELECT event_id AS label_id, user_id, ts AS label_ts FROM events WHERE event_type = 'purchase'),

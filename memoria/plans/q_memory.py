@@ -192,6 +192,16 @@ def q_recall_format(spark, sf_dir):
     return recall_format(_search(spark, sf_dir))
 
 
+@query("search_access_update")
+def q_search_access(spark, sf_dir):
+    """CMP1 write-back: every joined hit of every search raises its memory's access count."""
+    from ..operators.search import search_hits
+    t = _t(spark, sf_dir)
+    m = d.memories(t)
+    hits = search_hits(m, d.memory_vectors(t), d.query_vectors(t), limit=RECALL_LIMIT, min_score=RECALL_MIN_SCORE)
+    return mem.access_update(m, hits).select("id", "access_count", "last_accessed")
+
+
 @query("cosine_similarity")
 def q_cosine(spark, sf_dir):
     """SC22 through the kNN operator: nearest 10 vectors of every query, in scope."""

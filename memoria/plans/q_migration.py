@@ -124,6 +124,14 @@ def q_publish(spark, sf_dir):
     return snap.publish_merge(d.orders_old(t), d.orders_new(t), ORDER_KEY)
 
 
+@query("publish_newest")
+def q_publish_newest(spark, sf_dir):
+    """Keys several times in the source, some older than the target: the newest change wins."""
+    t = _t(spark, sf_dir)
+    target = d.orders_old(t).withColumn("change_seq", F.lit(1).cast("long"))
+    return snap.publish_merge(target, d.order_changes(t), ORDER_KEY, order="change_seq")
+
+
 @query("legacy_vs_new")
 def q_legacy_vs_new(spark, sf_dir):
     t = _t(spark, sf_dir)

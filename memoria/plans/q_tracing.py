@@ -92,17 +92,23 @@ def q_coord(spark, sf_dir):
 @query("orchestration_join")
 def q_orch(spark, sf_dir):
     t = _t(spark, sf_dir)
-    nodes = t.lineitem.select(F.col("l_orderkey").alias("orchestration_id"))
-    r = tr.orchestration_join(d.orchestrations(t), nodes, d.agent_metrics(t), d.agent_messages(t))
+    r = tr.orchestration_join(d.orchestrations(t), d.execution_nodes(t), d.agent_metrics(t), d.agent_messages(t),
+                              d.coordination(t), d.trace_map(t))
     return r.withColumn("cost_usd", F.round(F.col("cost_usd").cast("double"), 6))
 
 
+@query("trace_closure")
+def q_trace_closure(spark, sf_dir):
+    return tr.trace_closure(d.trace_map(_t(spark, sf_dir)))
+
+
 @query("trace_stitch")
 def q_trace(spark, sf_dir):
     t = _t(spark, sf_dir)
-    r = tr.trace_stitch(d.trace_map(t), d.spans(t))
-    return r.groupBy("correlation_id", "root_trace_id").agg(F.count(F.lit(1)).alias("spans"),
-                                                           F.round(F.sum("quantity"), 6).alias("quantity"))
+    records = tr.trace_records(d.execution_nodes(t), d.agent_messages(t), d.coordination(t), d.spans(t))
+    r = tr.trace_stitch(d.trace_map(t), records)
+    return r.groupBy("correlation_id", "root_trace_id", "kind").agg(
+        F.count(F.lit(1)).alias("records"), F.round(F.sum("value"), 6).alias("value"), F.max("depth").alias("max_depth"))
 
 
 @query("point_in_time")

@@ -436,7 +436,10 @@ def coordination(t: Tables) -> DataFrame:
     return e.select(
         eid.alias("event_id"), _map_values(F.col("event_type"), COORDINATION_TYPES).alias("event_type"),
         (eid % 4 != 0).alias("success"), F.col("value").alias("latency_ms"),
-        ((eid % 100).cast("double") / F.lit(100.0)).alias("anomaly_score"), F.col("ts").alias("occurred_at"))
+        ((eid % 100).cast("double") / F.lit(100.0)).alias("anomaly_score"), F.col("ts").alias("occurred_at"),
+        eid.alias("orchestration_id"),
+        F.concat(F.lit('{"trace_id": "t'), eid.cast("string"), F.lit("_"), (eid % 7 + 1).cast("string"), F.lit('"}'))
+        .alias("trace_context"))
 
 
 def orchestrations(t: Tables) -> DataFrame:
@@ -446,11 +449,28 @@ def orchestrations(t: Tables) -> DataFrame:
 
 
 def trace_map(t: Tables) -> DataFrame:
+    """One map per orchestration with its first three lines, and nested maps: line 3 has 4 and 5 below, line 5 has 6 and 7."""
     o = t.orders
-    k = F.col("o_orderkey").cast("string")
-    kids = F.concat(F.lit('["t'), k, F.lit('_1","t'), k, F.lit('_2","t'), k, F.lit('_3"]'))
-    return o.select(F.concat(F.lit("c"), k).alias("correlation_id"), F.concat(F.lit("t"), k).alias("root_trace_id"),
-                    kids.alias("child_trace_ids"))
+    key = F.col("o_orderkey")
+    k = key.cast("string")
+
+    def one(prefix, root, kids, orchestration):
+        names = F.concat(F.lit('["'), F.array_join(F.array(*[F.concat(F.lit("t"), k, F.lit(f"_{n}")) for n in kids]), '","'),
+                         F.lit('"]'))
+        return F.struct(F.concat(F.lit(prefix), k).alias("correlation_id"),
+                        F.concat(F.lit("t"), k, F.lit(root)).alias("root_trace_id"), names.alias("child_trace_ids"),
+                        orchestration.alias("orchestration_id"))
+    none = F.lit(None).cast("long")
+    maps = F.array(one("c", "", (1, 2, 3), key), one("d", "_3", (4, 5), none), one("e", "_5", (6, 7), none))
+    return o.select(F.explode(maps).alias("_m")).select("_m.*")
+
+
+def execution_nodes(t: Tables) -> DataFrame:
+    """Workflow execution nodes: one per order line, traced under the order's root."""
+    li = t.lineitem
+    return li.select(F.col("l_orderkey").alias("orchestration_id"),
+                     F.concat(F.lit("t"), F.col("l_orderkey").cast("string")).alias("trace_id"),
+                     F.col("l_linenumber").cast("long").alias("tokens_in"))
 
 
 def spans(t: Tables) -> DataFrame:

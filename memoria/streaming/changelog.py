@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..operators.snapshots import newest_rows
+
 ORDER, EPOCH, DELETED = "_order", "_epoch", "_deleted"
 _DONE = "_SUCCESS"
 
@@ -116,13 +118,6 @@ def _newest(rows: DataFrame, keys: list[str], by: Column) -> DataFrame:
     return got.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest]).select(*rows.columns)
 
 
-def latest_rows(rows: DataFrame, key, order: str) -> DataFrame:
-    """One row per key: the newest by ``order``, ties to the larger JSON text of the values."""
-    keys = _keys(key)
-    vals = F.to_json(F.struct(*[c for c in rows.columns if c not in keys])) if len(rows.columns) > len(keys) else F.lit("")
-    return _newest(rows, keys, F.struct(F.col(order), vals))
-
-
 def append(batch: DataFrame, out: str, epoch: int, key, order: str | None = None,
            deleted: Column | None = None) -> None:
     """Write one micro-batch to the log, one row per key.
@@ -132,7 +127,7 @@ def append(batch: DataFrame, out: str, epoch: int, key, order: str | None = None
     if exists(batch.sparkSession, os.path.join(_epoch(out, epoch), _DONE)):
         return
     rows = _marked(batch, order, deleted, epoch)
-    latest_rows(rows, key, ORDER).write.mode("overwrite").parquet(_epoch(out, epoch))
+    newest_rows(rows, key, ORDER).write.mode("overwrite").parquet(_epoch(out, epoch))
 
 
 def start(base: DataFrame, out: str, order: str | None = None) -> None:

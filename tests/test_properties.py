@@ -152,7 +152,6 @@ def test_asof_matches_brute_force_on_hot_key(spark):
 
 
 def test_levels_forest_and_dag_agree(spark):
-    from memoria.operators.snapshots import _levels_by_pointer_jumping, _levels_by_relaxation
     edges = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 3), (5, 1), (6, 5), (7, 4)], "node long, upstream long")
     got = dict(snap.migration_order(edges).collect())
     assert got == {1: 0, 2: 1, 3: 2, 4: 3, 5: 1, 6: 2, 7: 4}
