@@ -33,6 +33,12 @@ STATUS_SUCCESS, STATUS_FAILED = "SUCCESS", "FAILED"
 PAYLOAD_SUFFIX, LEGACY_SUFFIX = "_payload", "_legacy"
 REPORT_TIMEZONE = "Australia/Sydney"
 REPORT_DATE_FORMAT = "dd-MM-yyyy HH:mm"
+PROVIDER_WARNING = "Table is not a Delta table. Migration may have limitations."
+NO_COLUMNS = "Table has no columns"
+PREVIEW_COLUMNS = 5
+NAMES_NOT_JSON = "Invalid JSON format"
+NAMES_NOT_LIST = "Input must be a JSON list"
+NAMES_EMPTY = "Endpoint list is empty"
 REQUIRED_CONFIG_FIELDS = ("legacy_online_table", "online_store_name", "target_table")
 TABLE_NAME_FIELDS = ("legacy_online_table", "target_table")
 VALID_CAPACITIES = ("CU_1", "CU_2", "CU_4", "CU_8")
@@ -251,12 +257,36 @@ def migration_run(requested: DataFrame, endpoints: DataFrame, env: str, as_of=No
 
 
 def parse_name_list(text_df: DataFrame, col: str = "value") -> DataFrame:
-    """SC16: JSON list of names -> rows; rows that are not a non-empty list get an error."""
-    arr = F.from_json(F.col(col), T.ArrayType(T.StringType()))
-    ok = arr.isNotNull() & (F.size(arr) > 0)
-    return text_df.select(F.when(ok, arr).alias("_names"),
-                          F.when(arr.isNull(), F.lit("Invalid JSON format"))
-                          .when(F.size(arr) == 0, F.lit("Endpoint list is empty")).alias("error"))
+    """SC16: JSON list of names -> array; anything that is not a non-empty list gets an error."""
+    value = F.try_parse_json(F.col(col))
+    is_list = F.coalesce(F.schema_of_variant(value).startswith("ARRAY"), F.lit(False))
+    arr = F.when(is_list, F.from_json(F.col(col), T.ArrayType(T.StringType())))
+    return text_df.select("*", F.when(F.size(arr) > 0, arr).alias("_names"),
+                          F.when(value.isNull(), F.lit(NAMES_NOT_JSON))
+                          .when(~is_list, F.lit(NAMES_NOT_LIST))
+                          .when(F.size(arr) == 0, F.lit(NAMES_EMPTY)).alias("error"))
+
+
+def name_rows(text_df: DataFrame, key: str, col: str = "value") -> DataFrame:
+    """SC16: (key, position, name, error): one row per name in the order of the list, one with the error otherwise."""
+    parsed = parse_name_list(text_df, col)
+    return parsed.select(key, F.posexplode_outer("_names").alias("position", "name"), "error")
+
+
+def row_to_map(df: DataFrame, cols=None) -> Column:
+    """SC19: a row as a map from column name to text (null stays null)."""
+    return F.create_map(*[x for c in cols or df.columns for x in (F.lit(c), F.col(c).cast("string"))])
+
+
+def to_map(c: Column, is_map: Column) -> Column:
+    """SC19: a JSON object text as a map of texts, an empty map for anything else."""
+    empty = F.create_map().cast("map<string,string>")
+    return F.coalesce(F.when(is_map, F.from_json(c, T.MapType(T.StringType(), T.StringType()))), empty)
+
+
+def map_keys_text(m: Column) -> Column:
+    """SC19: the keys of a map in order, joined by a comma."""
+    return F.array_join(F.array_sort(F.map_keys(m)), ",")
 
 
 def missing_keys(cfg: DataFrame, keys) -> DataFrame:
@@ -304,4 +334,42 @@ def dependency_report(inventory: DataFrame, kind: str = "job", shown: int = 10)
 def provider_warning(props: Column) -> Column:
     """FLT16: warning when the provider property is present and not delta."""
     p = F.lower(F.element_at(props, "provider"))
-    return F.when(p.isNotNull() & (p != "delta"), F.lit("Table is not a Delta table. Migration may have limitations."))
+    return F.when(p.isNotNull() & (p != "delta"), F.lit(PROVIDER_WARNING))
+
+
+def source_check(described: DataFrame, properties: DataFrame, stats: DataFrame, shown: int = PREVIEW_COLUMNS) -> DataFrame:
+    """CMP11, step 3: one row about the source table: rows, columns, properties, provider warning, schema preview, error.
+
+    ``described`` is (ordinal, col_name, data_type), ``properties`` one row with a
+    map, ``stats`` one row with row_count. A table without rows is no error, one
+    without columns is.
+    """
+    cols = described.agg(
+        F.count(F.lit(1)).alias("column_count"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("ordinal") <= shown, F.struct("ordinal", "col_name", "data_type")))),
+                                 lambda x: F.concat(x["col_name"], F.lit(": "), x["data_type"])), ", ").alias("preview"))
+    one = lambda df, c: df.select(c).scalar().alias(c)
+    return cols.select(
+        one(stats, "row_count"), "column_count", "preview",
+        F.greatest(F.col("column_count") - F.lit(shown), F.lit(0)).alias("more_columns"), one(properties, "properties"),
+    ).withColumn("warning", provider_warning(F.col("properties"))) \
+     .withColumn("error", F.when(F.col("column_count") < 1, F.lit(NO_COLUMNS)))
+
+
+def publish_verdict(before: DataFrame, after: DataFrame, expected: DataFrame, target: DataFrame) -> DataFrame:
+    """CMP11, last step: drift of the source while it was copied, and whether the target holds what it should.
+
+    All four are one-row tables with row_count and checksum.
+    """
+    val = lambda df, c: df.select(c).scalar()
+    rows = before.select(F.col("row_count").alias("rows_before"), val(after, "row_count").alias("rows_after"),
+                         val(target, "row_count").alias("target_rows"), val(target, "checksum").alias("target_checksum"),
+                         (F.col("checksum") != val(after, "checksum")).alias("content_changed"),
+                         (val(expected, "row_count") == val(target, "row_count")).alias("_rows_match"),
+                         (val(expected, "checksum") == val(target, "checksum")).alias("_content_match"))
+    verdict = F.when(F.col("rows_before") != F.col("rows_after"), F.lit("source rows changed")) \
+        .when(F.col("content_changed"), F.lit("source content changed")) \
+        .when(~F.col("_rows_match"), F.lit("target rows differ")) \
+        .when(~F.col("_content_match"), F.lit("target content differs")).otherwise(F.lit("ok"))
+    return rows.select("rows_before", "rows_after", (F.col("rows_before") != F.col("rows_after")).alias("row_count_changed"),
+                       "target_rows", "target_checksum", verdict.alias("verdict"))

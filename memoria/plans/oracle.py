@@ -361,6 +361,10 @@ FROM res GROUP BY query_id""")
 oracle("cosine_similarity", ("memory_vectors", "query_vectors"), "WITH " + _KNN.format(k=10).strip() + """
 SELECT query_id, id, ROUND(similarity, 6) AS similarity FROM top2k""")
 
+oracle("time_texts", ("memories",), """
+SELECT id, strftime(created_at, '%Y-%m-%dT%H:%M:%S.%f') AS created_iso,
+       'summary_' || strftime(created_at, '%Y%m%d_%H%M%S') AS time_id FROM memories""")
+
 oracle("search_access_update", ("memories", "memory_vectors", "query_vectors"), "WITH " + _KNN.format(k=10).strip() + f""",
 n AS (SELECT id, COUNT(*) AS n FROM top2k WHERE similarity >= 0.3 GROUP BY id)
 SELECT m.id, CAST(m.access_count + coalesce(n.n, 0) AS INTEGER) AS access_count,
@@ -452,6 +456,11 @@ SELECT thread_id, seq, ROUND(forget_score, 6) AS forget_score FROM ex_score""")
 oracle("forget_ranking", ("ex_forgotten",), """
 SELECT thread_id, seq, forget_rank, ROUND(forget_score, 6) AS forget_score, quota FROM ex_forgotten""")
 
+oracle("forget_top_n", ("ex_score",), """
+SELECT thread_id, seq, forget_rank, ROUND(forget_score, 6) AS forget_score FROM (
+  SELECT thread_id, seq, forget_score, row_number() OVER (ORDER BY forget_score DESC, seq) AS forget_rank
+  FROM ex_score WHERE importance <> 4) WHERE forget_rank <= 1500""")
+
 oracle("old_memories", ("ex_scored",), """
 SELECT thread_id, seq, age_days FROM ex_scored WHERE age_days > 14 AND importance <> 4""")
 
@@ -877,10 +886,46 @@ SELECT 'orders', (SELECT COUNT(*) FROM orders WHERE o_orderkey IS NULL), (SELECT
        (SELECT COUNT(*) FROM orders WHERE o_orderkey IS NULL) = 0 AND (SELECT COUNT(*) FROM o) = 0""")
 
 oracle("table_migration_check", ("orders_old", "orders_merged"), f"""
-SELECT 'orders_old' AS table_name, (SELECT COUNT(*) FROM orders_old) AS source_rows, 6 AS source_columns,
-       (SELECT COUNT(*) FROM orders_merged) AS target_rows,
-       (SELECT COUNT(*) FROM orders_old) <> (SELECT COUNT(*) FROM orders_merged) AS row_count_changed,
-       (SELECT checksum FROM ({_order_checksum('orders_merged')})) AS target_checksum""")
+WITH b AS ({_order_checksum('orders_old')}), m AS ({_order_checksum('orders_merged')})
+SELECT 'orders_old' AS table_name, b.row_count, 6 AS column_count,
+       'o_orderkey: bigint, o_custkey: bigint, o_orderstatus: string, o_totalprice: double, o_orderdate: timestamp_ntz' AS preview,
+       1 AS more_columns, 'Table is not a Delta table. Migration may have limitations.' AS warning,
+       CAST(NULL AS VARCHAR) AS error, 'team' AS steward, 'parquet' AS provider, b.row_count AS rows_before, b.row_count AS rows_after,
+       false AS row_count_changed, m.row_count AS target_rows, m.checksum AS target_checksum, 'ok' AS verdict
+FROM b, m""")
+
+oracle("name_rows", (), """
+WITH l AS (
+  SELECT s_suppkey AS list_id, CASE s_suppkey % 6
+           WHEN 0 THEN '["ep_' || CAST(s_suppkey AS VARCHAR) || '", "ep_' || CAST(s_suppkey + 1 AS VARCHAR) || '", null]'
+           WHEN 1 THEN '[]' WHEN 2 THEN '{"name": "x"}' WHEN 3 THEN '[broken' WHEN 4 THEN '"x"' END AS value FROM supplier),
+e AS (SELECT list_id, value, CASE WHEN value IS NULL OR NOT json_valid(value) THEN 'Invalid JSON format'
+                                  WHEN json_type(value) <> 'ARRAY' THEN 'Input must be a JSON list'
+                                  WHEN json_array_length(value) = 0 THEN 'Endpoint list is empty' END AS error FROM l)
+SELECT list_id, CAST(NULL AS INTEGER) AS position, CAST(NULL AS VARCHAR) AS name, error FROM e WHERE error IS NOT NULL
+UNION ALL
+SELECT list_id, CAST(p AS INTEGER), json_extract_string(value, '$[' || CAST(p AS VARCHAR) || ']'), NULL
+FROM (SELECT list_id, value, unnest(range(0, CAST(json_array_length(value) AS BIGINT))) AS p FROM e WHERE error IS NULL)""")
+
+oracle("config_missing_keys", ("migration_configs",), """
+SELECT config_id, concat_ws(',', CASE WHEN coalesce(legacy_online_table, '') = '' THEN 'legacy_online_table' END,
+                            CASE WHEN coalesce(online_store_name, '') = '' THEN 'online_store_name' END,
+                            CASE WHEN coalesce(target_table, '') = '' THEN 'target_table' END) AS missing_keys
+FROM migration_configs""")
+
+oracle("provider_warnings", (), """
+SELECT p_partkey AS table_id, CASE WHEN p_partkey % 5 <> 0 AND p_partkey % 4 >= 2
+                              THEN 'Table is not a Delta table. Migration may have limitations.' END AS warning FROM part""")
+
+oracle("row_map", (), """
+SELECT c_custkey, 'c_custkey,c_mktsegment,c_name,c_nationkey' AS keys, 4 AS n_keys,
+       CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment END AS segment, CAST(c_nationkey AS VARCHAR) AS nation FROM customer""")
+
+oracle("property_map", (), """
+WITH e AS (SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'no json' WHEN 1 THEN '[1]' WHEN 2 THEN NULL ELSE props END AS text FROM events),
+m AS (SELECT event_id, CASE WHEN json_valid(text) AND json_type(text) = 'OBJECT' THEN text END AS obj FROM e)
+SELECT event_id, coalesce(array_to_string(list_sort(json_keys(obj)), ','), '') AS keys,
+       CASE WHEN obj IS NULL THEN 'none' ELSE json_extract_string(obj, '$.k') END AS k FROM m""")
 
 _input("dependency_edges", """
 SELECT p_partkey AS node, CASE WHEN p_partkey > 0 THEN CAST(floor(p_partkey / 2) AS BIGINT) END AS upstream FROM part""")

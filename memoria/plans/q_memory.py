@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import timefn
 from ..operators import memory as mem
 from ..sources import derived as d
 from ..sources.tables import Tables
@@ -167,6 +168,14 @@ def q_forgetting_policy(spark, sf_dir):
         .unionByName(v.select(F.lit("vectors").alias("table_name"), "id"))
 
 
+@query("time_texts")
+def q_time_texts(spark, sf_dir):
+    """SC3 + SC6: ISO text and time ids."""
+    m = d.memories(_t(spark, sf_dir))
+    return m.select("id", timefn.iso_text(F.col("created_at")).alias("created_iso"),
+                    timefn.time_id(F.col("created_at"), "summary_").alias("time_id"))
+
+
 # fixed parameters of the recall tool
 RECALL_LIMIT, RECALL_MIN_SCORE = 5, 0.3
 

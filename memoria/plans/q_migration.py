@@ -1,8 +1,11 @@
 """Queries of the migration family (endpoints and tables)."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..functions.jsonfn import parse_or_default
 from ..operators import migration as mig
 from ..operators import snapshots as snap
 from ..sources import derived as d
@@ -156,18 +159,68 @@ def q_pk(spark, sf_dir):
 
 @query("table_migration_check")
 def q_table_check(spark, sf_dir):
-    """CMP11: source profile, publish, drift and checksum of the published target
-    (both tables profiled in one aggregation)."""
+    """CMP11: the source as a catalog table: checked, published and compared with itself and the target."""
+    from ..session import scratch_path
+    from ..sources import landed
+    t = _t(spark, sf_dir)
+    name = f"legacy_orders_{uuid.uuid4().hex}"
+    d.orders_old(t).write.format("parquet").option("path", scratch_path(spark, name)).saveAsTable(name)
+    spark.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ('steward' = 'team')")
+    src = spark.table(name)
+    before = snap.table_checksum(src)
+    checked = mig.source_check(landed.describe_table(spark, name), landed.table_properties(spark, name), before)
+    target = snap.publish_merge(src, d.orders_new(t), ORDER_KEY)
+    # what the target has to hold, by another way: both sides' rows, the new side's values where it has the key
+    old, new = src, d.orders_new(t)
+    vals = [c for c in old.columns if c != ORDER_KEY]
+    j = old.select(ORDER_KEY, F.struct(*vals).alias("_o")).join(new.select(ORDER_KEY, F.struct(*vals).alias("_n")), ORDER_KEY, "full")
+    expected = j.select(ORDER_KEY, F.coalesce("_n", "_o").alias("_r")).select(ORDER_KEY, *[F.col(f"_r.{c}").alias(c) for c in vals])
+    verdict = mig.publish_verdict(before, snap.table_checksum(spark.table(name)), snap.table_checksum(expected),
+                                  snap.table_checksum(target))
+    p = F.col("properties")
+    return checked.select(
+        F.lit("orders_old").alias("table_name"), "row_count", "column_count", "preview", "more_columns", "warning", "error",
+        F.element_at(p, "steward").alias("steward"), F.element_at(p, "provider").alias("provider"), verdict.select(F.struct("*")).scalar().alias("_v")).select("*", "_v.*").drop("_v")
+
+
+@query("name_rows")
+def q_name_rows(spark, sf_dir):
+    return mig.name_rows(d.name_lists(_t(spark, sf_dir)), "list_id")
+
+
+@query("config_missing_keys")
+def q_missing(spark, sf_dir):
+    c = mig.missing_keys(d.migration_configs(_t(spark, sf_dir)), mig.REQUIRED_CONFIG_FIELDS)
+    return c.select("config_id", F.array_join("missing_keys", ",").alias("missing_keys"))
+
+
+@query("provider_warnings")
+def q_provider(spark, sf_dir):
+    p = d.table_properties(_t(spark, sf_dir))
+    return p.select("table_id", mig.provider_warning(F.col("properties")).alias("warning"))
+
+
+@query("row_map")
+def q_row_map(spark, sf_dir):
+    """SC19: rows as maps, JSON objects as maps, their keys."""
+    t = _t(spark, sf_dir)
+    c = t.customer.select("c_custkey", "c_name", "c_nationkey", F.when(F.col("c_custkey") % 5 != 0, F.col("c_mktsegment")).alias("c_mktsegment"))
+    m = c.select("c_custkey", mig.row_to_map(c).alias("m"))
+    return m.select("c_custkey", mig.map_keys_text(F.col("m")).alias("keys"), F.size("m").alias("n_keys"),
+                    F.col("m")["c_mktsegment"].alias("segment"), F.col("m")["c_nationkey"].alias("nation"))
+
+
+@query("property_map")
+def q_property_map(spark, sf_dir):
+    """SC14 + SC19: JSON objects as maps, anything else as the empty map or the default."""
     t = _t(spark, sf_dir)
-    src, new = d.orders_old(t), d.orders_new(t)
-    target = snap.publish_merge(src, new, ORDER_KEY)
-    st = snap.table_stats({"source": src, "target": target})
-    one = st.agg(*[F.max(F.when(F.col("table_name") == n, F.col(c))).alias(f"{n}_{c}")
-                   for n in ("source", "target") for c in ("row_count", "checksum")])
-    return one.select(F.lit("orders_old").alias("table_name"), F.col("source_row_count").alias("source_rows"),
-                      F.lit(len(src.columns)).alias("source_columns"), F.col("target_row_count").alias("target_rows"),
-                      (F.col("source_row_count") != F.col("target_row_count")).alias("row_count_changed"),
-                      F.col("target_checksum").alias("target_checksum"))
+    text = F.when(F.col("event_id") % 7 == 0, F.lit("no json")).when(F.col("event_id") % 7 == 1, F.lit("[1]")) \
+        .when(F.col("event_id") % 7 != 2, F.col("props"))
+    e = t.events.select("event_id", text.alias("text"))
+    is_map = F.coalesce(F.schema_of_variant(F.try_parse_json("text")).startswith("OBJECT"), F.lit(False))
+    m = e.select("event_id", mig.to_map(F.col("text"), is_map).alias("m"),
+                 parse_or_default(F.when(is_map, F.col("text")), "k string", F.struct(F.lit("none").alias("k"))).alias("parsed"))
+    return m.select("event_id", mig.map_keys_text(F.col("m")).alias("keys"), F.col("parsed.k").alias("k"))
 
 
 @query("migration_order")

@@ -39,6 +39,16 @@ def q_forget_ranking(spark, sf_dir):
     return r.select("thread_id", "seq", "forget_rank", F.round("forget_score", 6).alias("forget_score"), "quota")
 
 
+# a quota over all threads together
+FORGET_TOTAL = 1500
+
+
+@query("forget_top_n")
+def q_forget_top_n(spark, sf_dir):
+    r = ret.forget_top_n(_ex(spark, sf_dir), FORGET_TOTAL)
+    return r.select("thread_id", "seq", "forget_rank", F.round("forget_score", 6).alias("forget_score"))
+
+
 @query("old_memories")
 def q_old(spark, sf_dir):
     e = _ex(spark, sf_dir)

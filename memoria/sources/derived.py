@@ -289,6 +289,24 @@ def migration_configs(t: Tables) -> DataFrame:
     )
 
 
+def name_lists(t: Tables) -> DataFrame:
+    """JSON texts that should be lists of names: lists, empty lists, objects, texts, no JSON, null."""
+    k = F.col("s_suppkey")
+    name = lambda n: F.concat(F.lit('"ep_'), (k + n).cast("string"), F.lit('"'))
+    value = F.when(k % 6 == 0, F.concat(F.lit("["), name(0), F.lit(", "), name(1), F.lit(", null]"))) \
+        .when(k % 6 == 1, F.lit("[]")).when(k % 6 == 2, F.concat(F.lit('{"name": '), name(0), F.lit("}"))) \
+        .when(k % 6 == 3, F.lit("[broken")).when(k % 6 == 4, name(0))
+    return t.supplier.select(k.alias("list_id"), value.alias("value"))
+
+
+def table_properties(t: Tables) -> DataFrame:
+    """Property maps of tables: a provider in several spellings, another one, none."""
+    k = F.col("p_partkey")
+    provider = F.element_at(F.array(*[F.lit(x) for x in ("delta", "DELTA", "parquet", "Iceberg")]), (k % 4 + 1).cast("int"))
+    return t.part.select(k.alias("table_id"), F.when(k % 5 == 0, F.create_map(F.lit("owner"), F.lit("x")))
+                         .otherwise(F.create_map(F.lit("owner"), F.lit("x"), F.lit("provider"), provider)).alias("properties"))
+
+
 def catalog_dependencies(t: Tables) -> DataFrame:
     e = t.supplier.select(F.lit("endpoint").alias("kind"), F.col("s_suppkey").alias("id"),
                           F.when(F.col("s_suppkey") % 7 == 0, F.lit(None).cast("string")).otherwise(F.col("s_name")).alias("name"),

@@ -53,8 +53,13 @@ def describe_table(spark: SparkSession, name: str) -> DataFrame:
 
 
 def table_properties(spark: SparkSession, name: str) -> DataFrame:
-    """SRC5: SHOW TBLPROPERTIES as one map column."""
-    props = spark.sql(f"SHOW TBLPROPERTIES {name}")
+    """SRC5: SHOW TBLPROPERTIES as one map column, with the table's provider.
+
+    Spark reserves the property ``provider`` and shows it in the extended description only.
+    """
+    props = spark.sql(f"SHOW TBLPROPERTIES {name}").where("key != 'provider'")
+    about = spark.sql(f"DESCRIBE TABLE EXTENDED {name}").where("col_name = 'Provider'")
+    props = props.unionByName(about.select(F.lit("provider").alias("key"), F.col("data_type").alias("value")))
     return props.agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("properties"))
 
 
