@@ -1,22 +1,27 @@
 """URL filter: given rules first, then association rules mined from labelled pages (native columns only).
 
 Labelled URLs become transactions of tokens (scheme, domain suffixes, path
-directories, file ending, query keys) plus an outcome item. Spark's FP-growth
-finds the frequent token combinations of any length; those that predict the
-outcome are kept if confidence, support and lift reach the limits. Long ones that
-add no confidence to a part of theirs decide nothing and are dropped. To match, each rule is filed
-in an inverted index under its rarest token; the distinct token sets of all
-URLs probe the index by their tokens and the found rules are verified whole.
+directories, file ending, query keys). Tokens that too few bad pages hold can be
+in no rule and go first; tokens that occur in exactly the same labelled pages
+are one item, since any rule holds for one of them as for the others. Spark's
+FP-growth finds the item combinations of any length that reach the support
+among the bad pages; how many pages in all hold them is counted through an
+inverted index, and those that predict a bad page are kept if confidence and lift
+reach the limits. Long ones that add no confidence to a part of theirs decide
+nothing and are dropped. To match, each rule is filed in an inverted index under
+its rarest item; the distinct token sets of all URLs probe the index by their
+items and the found rules are verified whole.
 """
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
 
-BAD = "outcome:bad"
 # so many bad pages: where each page is bad with 0.8 at most, 20 in a row come about with 1 %
 MIN_SUPPORT_ROWS = 20
 MIN_CONFIDENCE = 0.8
@@ -24,6 +29,9 @@ MIN_LIFT = 1.5
 # rules with more tokens are dropped if they add no confidence
 SHORT_RULE = 3
 
+# groups over which the rows that share a token, or all tokens, are dealt
+SALTS = 16
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -91,57 +99,107 @@ def _best_part(sets: DataFrame) -> DataFrame:
     return out
 
 
-def mine_rules(labelled: DataFrame, min_support: float | None = None, min_rows: int = MIN_SUPPORT_ROWS,
-               min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT) -> DataFrame:
-    """Rules (tokens, confidence, support_rows) that predict a bad page, from rows (tokens, bad).
+def _salted(small: DataFrame) -> DataFrame:
+    """A row for every salt, to meet rows of a hot key that are dealt by :func:`_salt`."""
+    return small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
 
-    A rule holds on ``min_rows`` bad rows at least, however many rows there are;
-    ``min_support``, a share of all rows, replaces that count if given. Rules of
-    more than ``SHORT_RULE`` tokens whose confidence a part of theirs reaches are
-    left out. Rows without tokens or with a null label are left out. No labelled
-    row or no bad row: no rules.
+
+def _salt(*cols: str) -> Column:
+    return F.pmod(F.xxhash64(*cols), F.lit(SALTS))
+
+
+def token_classes(rows: DataFrame, least_bad: int) -> DataFrame:
+    """(token, item): the tokens that ``least_bad`` bad rows hold, named by the smallest token of the same rows.
+
+    ``rows`` is a table of (row, tokens, bad). Two 64-bit exclusive-ors of row hashes, and the
+    number of rows, tell sets of rows apart.
     """
-    rows = materialize(labelled.where("bad is not null and size(tokens) > 0").select(
-        F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items")),
-        "labelled")
-    n, n_bad = rows.agg(F.count(F.lit(1)), F.count_if(F.array_contains("items", BAD))).first()
+    each = rows.select("row", "bad", F.explode("tokens").alias("token"))
+    sets = each.groupBy("token").agg(
+        F.count_if("bad").alias("_bad"), F.count(F.lit(1)).alias("_n"), F.bit_xor(F.xxhash64(F.lit(1), "row")).alias("_a"),
+        F.bit_xor(F.xxhash64(F.lit(2), "row")).alias("_b")).where(F.col("_bad") >= least_bad)
+    same = ["_n", "_a", "_b"]
+    named = sets.groupBy(*same).agg(F.min("token").alias("item"))
+    return materialize(sets.join(named, same).select("token", "item"), "classes")
+
+
+def _items(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """(tokens, items) of distinct token sets that hold an item, items sorted."""
+    each = sets.select("tokens", F.explode("tokens").alias("token")).withColumn("_salt", _salt("tokens"))
+    return each.join(_salted(classes), ["token", "_salt"]).groupBy("tokens").agg(
+        F.sort_array(F.collect_set("item")).alias("items"))
+
+
+def _held(sets: DataFrame, rules: DataFrame) -> DataFrame:
+    """(items, rule): the rules that item sets hold whole, found under each rule's rarest item (ties: the smaller one)."""
+    probes = sets.select("items", F.explode("items").alias("item")).withColumn("_salt", _salt("items"))
+    freq = probes.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
+    index = rules.select(F.col("items").alias("rule"), F.explode("items").alias("item")).join(freq, "item", "left").groupBy(
+        "rule").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "item"))["item"].alias("item"))
+    hits = probes.join(_salted(index), ["item", "_salt"])
+    return hits.where(F.size(F.array_except("rule", "items")) == 0).select("items", "rule")
+
+
+def _mine(labelled: DataFrame, min_support: float | None, min_rows: int, min_confidence: float,
+          min_lift: float) -> tuple[DataFrame, DataFrame]:
+    """(rules, classes) of :func:`mine_rules`."""
     spark = labelled.sparkSession
-    schema = "tokens array<string>, confidence double, support_rows long"
-    if not n or not n_bad:
-        return spark.createDataFrame([], schema)
-    # half a row less: the product with the number of rows is rounded up
-    support = (min_rows - 0.5) / n if min_support is None else min_support
-    if support > 1:
-        return spark.createDataFrame([], schema)
+    rows = materialize(labelled.where("bad is not null and size(tokens) > 0").select(
+        F.monotonically_increasing_id().alias("row"), F.array_distinct("tokens").alias("tokens"), "bad"), "labelled")
+    n, n_bad = rows.agg(F.count(F.lit(1)), F.count_if("bad")).first()
+    least = min_rows if min_support is None else max(1, math.ceil(min_support * n - 1e-9))
+    none = spark.createDataFrame([], "tokens array<string>, confidence double, support_rows long")
+    if n_bad < least:
+        return none, spark.createDataFrame([], "token string, item string")
+    classes = token_classes(rows, least)
+    counted = rows.groupBy("tokens").agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("n_bad"))
+    # equal item sets of all rows, with their numbers of rows
+    sets = materialize(_items(counted, classes).join(counted, "tokens").groupBy("items").agg(
+        F.sum("n").alias("n"), F.sum("n_bad").alias("n_bad")), "itemsets")
+    bad = sets.where("n_bad > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "n_bad"))).select("items")
+    total = sets.agg(F.sum("n_bad")).first()[0] or 0
+    if total < least:
+        return none, classes
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sets = FPGrowth(itemsCol="items", minSupport=support, numPartitions=parts).fit(rows).freqItemsets
-    sets = sets.select(
-        F.sort_array(F.array_remove("items", BAD)).alias("tokens"),
-        F.array_contains("items", BAD).alias("bad"), F.col("freq").alias("rows")).where("size(tokens) > 0")
-    both = sets.groupBy("tokens").agg(F.max(F.when(F.col("bad"), F.col("rows"))).alias("hit"),
-                                      F.max(F.when(~F.col("bad"), F.col("rows"))).alias("all"))
+    # half a row less: the product with the number of rows is rounded up
+    found = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / total, numPartitions=parts).fit(bad).freqItemsets
+    found = materialize(found.select(F.sort_array("items").alias("items"), F.col("freq").cast("long").alias("hit")), "frequent")
+    every = _held(sets.select("items"), found.select("items")).join(sets.select("items", "n"), "items").groupBy(
+        F.col("rule").alias("items")).agg(F.sum("n").alias("all"))
     conf = F.col("hit") / F.col("all")
     is_rule = (conf >= min_confidence) & (conf >= min_lift * n_bad / n)
-    both = materialize(both.where("hit is not null").select(
-        "tokens", F.when(is_rule, conf).alias("confidence"), F.col("hit").cast("long").alias("support_rows")),
-        "itemsets")
-    found = both.where("confidence is not null")
-    if found.where(F.size("tokens") > SHORT_RULE).limit(1).count():
-        found = found.join(_best_part(both.select("tokens", "confidence")), "tokens", "left").where(
+    both = materialize(found.join(every, "items").select(
+        F.col("items").alias("tokens"), F.when(is_rule, conf).alias("confidence"), F.col("hit").alias("support_rows")),
+        "measured")
+    rules = both.where("confidence is not null")
+    if rules.where(F.size("tokens") > SHORT_RULE).limit(1).count():
+        rules = rules.join(_best_part(both.select("tokens", "confidence")), "tokens", "left").where(
             "part is null or part < confidence")
-    return found.select("tokens", "confidence", "support_rows")
+    return rules.select("tokens", "confidence", "support_rows"), classes
+
+
+def mine_rules(labelled: DataFrame, min_support: float | None = None, min_rows: int = MIN_SUPPORT_ROWS,
+               min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT) -> DataFrame:
+    """Rules (tokens, confidence, support_rows) that predict a bad page, from rows (tokens, bad).
+
+    A rule holds on ``min_rows`` bad rows at least, however many rows there are;
+    ``min_support``, a share of all rows, replaces that count if given. A token
+    of a rule stands for all tokens that occur in the same rows (see
+    :func:`token_classes`), of which it is the smallest. Rules of more than
+    ``SHORT_RULE`` tokens whose confidence a part of theirs reaches are left out.
+    Rows without tokens or with a null label are left out. No labelled row or no
+    bad row: no rules.
+    """
+    return _mine(labelled, min_support, min_rows, min_confidence, min_lift)[0]
 
 
-def match_rules(token_sets: DataFrame, rules: DataFrame) -> DataFrame:
+def match_rules(token_sets: DataFrame, rules: DataFrame, classes: DataFrame) -> DataFrame:
     """(tokens, n_rules, confidence) of the distinct token sets that at least one rule fits."""
-    freq = token_sets.select(F.explode("tokens").alias("token")).groupBy("token").count()
-    each = rules.select(F.col("tokens").alias("rule"), "confidence", F.explode("tokens").alias("token"))
-    # the index: every rule under its rarest token (ties: the smaller one)
-    index = each.join(freq, "token", "left").groupBy("rule", "confidence").agg(
-        F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "token"))["token"].alias("token"))
-    probes = token_sets.select("tokens", F.explode("tokens").alias("token"))
-    hits = probes.join(index, "token").where(F.size(F.array_except("rule", "tokens")) == 0)
-    return hits.groupBy("tokens").agg(F.count(F.lit(1)).alias("n_rules"), F.max("confidence").alias("confidence"))
+    named = materialize(_items(token_sets, classes), "items")
+    hits = _held(named.select("items").distinct(), rules.select(F.col("tokens").alias("items")))
+    best = hits.join(rules.select(F.col("tokens").alias("rule"), "confidence"), "rule").groupBy("items").agg(
+        F.count(F.lit(1)).alias("n_rules"), F.max("confidence").alias("confidence"))
+    return named.join(best, "items").select("tokens", "n_rules", "confidence")
 
 
 def url_filter(pages: DataFrame, labelled: DataFrame, rules: list[tuple[str, str]], **limits) -> DataFrame:
@@ -150,16 +208,19 @@ def url_filter(pages: DataFrame, labelled: DataFrame, rules: list[tuple[str, str
     ``labelled`` holds (url, bad boolean). The longest fitting rule of ``rules``
     decides; else a page is blocked if a mined rule matches, or allowed. A null
     URL, or one without ``://``, has empty host and path, no fitting rule, and
-    is allowed unless a mined rule matches its other tokens. One row per input
-    row; other columns of ``pages`` are not read.
+    is allowed unless a mined rule matches its other tokens. URLs of any length
+    are read whole; one row per input row, repeated rows too; an empty table gives
+    an empty result; other columns of ``pages`` are not read.
     """
-    mined = materialize(mine_rules(labelled.select(url_tokens(F.col("url")).alias("tokens"), "bad"), **limits),
-                        "rules")
+    given = {"min_support": None, "min_rows": MIN_SUPPORT_ROWS, "min_confidence": MIN_CONFIDENCE, "min_lift": MIN_LIFT}
+    mined, classes = _mine(labelled.select(url_tokens(F.col("url")).alias("tokens"), "bad"), **{**given, **limits})
+    mined = materialize(mined, "rules")
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"),
                         url_tokens(F.col("url")).alias("tokens"))
     rows = rows.withColumn("_fit", fitting_rule(F.col("host"), F.col("path"), rules))
-    matched = match_rules(rows.select("tokens").distinct(), mined)
-    out = rows.join(matched, "tokens", "left")
+    matched = match_rules(rows.select("tokens").distinct(), mined, classes)
+    # equal token sets of many pages are dealt over groups
+    out = rows.withColumn("_salt", _salt("page_id", "host", "path")).join(_salted(matched), ["tokens", "_salt"], "left")
     verdict = F.coalesce(F.col("_fit.action"),
                          F.when(F.col("n_rules") > 0, "block").otherwise("allow"))
     return out.select("page_id", "host", "path", F.col("_fit.rule").alias("rule"), verdict.alias("verdict"),

@@ -319,6 +319,55 @@ def test_mined_rules_of_any_length(spark):
     assert {tuple(r["tokens"]) for r in got.collect()} == want and tuple("abhk") in want and len(want) < len(rules)
 
 
+def test_many_shared_tokens_end_soon_and_decide(spark):
+    """40 query keys of 20 bad pages: one item, and a page with any of them is blocked as by the rule of that key alone."""
+    keys = "&".join(f"k{i:02}=1" for i in range(40))
+    train = [(f"http://h{i}.org/p{i}?{keys}", True) for i in range(20)] + [(f"http://g{i}.com/x?a=1", False) for i in range(400)]
+    train += [(f"http://g{i}.com/q?part=1&whole=2", i < 30) for i in range(30)] + [("http://g1.com/q?part=3", False)] * 90
+    labelled = spark.createDataFrame(train, "url string, bad boolean")
+    urls = ["http://new.net/?k07=5", "http://new.net/?k07=5&k31=2&z=1", "http://new.net/?z=1", "http://new.net/?part=1",
+            "http://new.net/?whole=1", "http://new.net/?" + "y" * 200_000 + "=1&k39=1", None]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    df = df.unionByName(df.where("page_id = 0"))
+    for c in ("items", "item", "rule", "confidence", "_salt", "row", "n_rules"):
+        df = df.withColumn(c, F.lit("clash"))
+    got = sorted((r["page_id"], r["verdict"]) for r in urlfilter.url_filter(df, labelled, []).collect())
+    assert got == [(0, "block"), (0, "block"), (1, "block"), (2, "allow"), (3, "allow"), (4, "block"), (5, "block"), (6, "allow")]
+
+
+def brute_rules(data, least, confidence, lift):
+    """Every token set that reaches support, confidence and lift, by counting."""
+    import itertools
+    tokens = sorted({t for row, _ in data for t in row})
+    n_bad = sum(b for _, b in data)
+    out = {}
+    for k in range(1, len(tokens) + 1):
+        for c in itertools.combinations(tokens, k):
+            every = [b for t, b in data if set(c) <= set(t)]
+            if sum(every) >= least and sum(every) / len(every) >= max(confidence, lift * n_bad / len(data)):
+                out[frozenset(c)] = sum(every) / len(every)
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_matches_equal_those_of_all_rules(spark, seed):
+    """Tokens of one class, and rules dropped, change no verdict against every rule by plain counting."""
+    rng = random.Random(seed)
+    data = []
+    for _ in range(160):
+        row = set(rng.sample("abcd", rng.randint(0, 3)))
+        row |= {"twin1", "twin2"} if "a" in row and rng.random() < .5 else set()
+        data.append((sorted(row), rng.random() < (.9 if {"twin1", "b"} <= row or "c" in row else .2)))
+    rules = brute_rules([r for r in data if r[0]], 5, .75, 1.1)
+    frame_ = spark.createDataFrame(data, "tokens array<string>, bad boolean")
+    mined, classes = urlfilter._mine(frame_, None, 5, .75, 1.1)
+    asked = [sorted(rng.sample(["a", "b", "c", "d", "twin1", "twin2", "new"], rng.randint(1, 5))) for _ in range(60)]
+    sets = spark.createDataFrame([(t,) for t in asked], "tokens array<string>").distinct()
+    got = {tuple(r["tokens"]): r["confidence"] for r in urlfilter.match_rules(sets, mined, classes).collect()}
+    want = {tuple(t): max(c for r, c in rules.items() if r <= set(t)) for t in asked if any(r <= set(t) for r in rules)}
+    assert set(got) == set(want) and all(abs(got[t] - want[t]) < 1e-9 for t in got) and rules
+
+
 def test_mined_support_is_a_count(spark):
     data = [(["host:rare.net"], True)] * 25 + [(["host:few.net"], True)] * 6
     data += [([f"host:h{i % 700}.net"], False) for i in range(10_000)]
