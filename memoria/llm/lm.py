@@ -32,6 +32,11 @@ CHUNK_BYTES = 12_000_000
 EM_ROUNDS = 2
 PIECE_SMOOTHING = 0.5
 MAX_PIECE = 16
+# longer words are swept one by one, in blocks of positions
+LONG_WORD = 400
+SWEEP = 1 << 16
+# steps of a sweep between two scalings: a step shrinks the sums by less than e^-60
+RESCALE = 8
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -201,10 +206,97 @@ class Lattice:
                 points = np.frombuffer("".join(text[i] for i in part).encode("utf-32-le", "surrogatepass"), "<u4")
                 yield part, points.reshape(len(part), size)
 
+    # one long word --------------------------------------------------------------------------------
+    def _starting(self, points: np.ndarray, lo: int, hi: int):
+        """For starts lo..hi-1: piece ids per length (MAX_PIECE, hi - lo), and log probabilities of spelled characters."""
+        ids = np.full((MAX_PIECE, hi - lo), -1, dtype=np.int64)
+        h = np.zeros(hi - lo, dtype=np.uint64)
+        p1 = points[lo:hi + MAX_PIECE - 1].astype(np.uint64) + np.uint64(1)
+        for k in range(1, MAX_PIECE + 1):
+            m = min(hi, len(points) - k + 1) - lo
+            if m <= 0:
+                break
+            h = h[:m] * _BASE + p1[k - 1:k - 1 + m]
+            ids[k - 1, :m] = self.find(h)
+        return ids, np.flatnonzero(ids[0] < 0)
+
+    def _weights(self, points: np.ndarray, lo: int, hi: int, lp: np.ndarray) -> np.ndarray:
+        """Probabilities of the pieces (MAX_PIECE, hi - lo) that start at lo..hi-1, by length."""
+        ids, spelled = self._starting(points, lo, hi)
+        w = np.where(ids >= 0, np.exp(lp[ids]), 0.0)
+        for i in spelled:
+            w[0, i] = math.exp(lp[self._bytes(points[lo + i])].sum())
+        return w
+
+    def _bytes(self, point) -> np.ndarray:
+        return self.byte[list(chr(point).encode("utf-8", "surrogatepass"))]
+
+    def sweep(self, points: np.ndarray, lp: np.ndarray, back: bool) -> np.ndarray:
+        """Logs of the sums over all segmentations of every prefix, or suffix, of one word, (size + 1).
+
+        Sums run in a ring of the last MAX_PIECE ones, scaled anew every few steps, over
+        blocks of ``SWEEP`` positions.
+        """
+        size = len(points)
+        out = np.empty(size + 1)
+        ring, scale = np.zeros(MAX_PIECE), 0.0
+        ring[-1] = 1.0
+        out[size if back else 0] = 0.0
+        for at in range(0, size, SWEEP):
+            n = min(SWEEP, size - at)
+            rows = np.zeros((n, MAX_PIECE))
+            if back:
+                w = self._weights(points, size - at - n, size - at, lp)[:, ::-1]
+                rows[:, ::-1] = w.T
+            else:
+                lo = max(0, at - MAX_PIECE + 1)
+                w = self._weights(points, lo, at + n, lp)
+                for k in range(1, MAX_PIECE + 1):
+                    # pieces of length k that end at at+1..at+n
+                    first = max(lo, at + 1 - k)
+                    ends = np.arange(first + k, at + n + 1)
+                    rows[ends - at - 1, MAX_PIECE - k] = w[k - 1, first - lo:first - lo + len(ends)]
+            held = np.concatenate([ring, np.empty(n)])
+            for a in range(0, n, RESCALE):
+                b = min(a + RESCALE, n)
+                for j in range(a, b):
+                    held[j + MAX_PIECE] = rows[j] @ held[j:j + MAX_PIECE]
+                with np.errstate(divide="ignore"):
+                    logs = np.log(held[a + MAX_PIECE:b + MAX_PIECE]) + scale
+                if back:
+                    out[size - at - b:size - at - a] = logs[::-1]
+                else:
+                    out[at + a + 1:at + b + 1] = logs
+                top = held[b:b + MAX_PIECE].max()
+                held[b:b + MAX_PIECE] /= top
+                scale += math.log(top)
+            ring = held[n:]
+        return out
+
+    def long_expected(self, points: np.ndarray, lp: np.ndarray) -> np.ndarray:
+        """Expected uses of each piece in one word."""
+        a, b = self.sweep(points, lp, False), self.sweep(points, lp, True)
+        out = np.zeros(self.n)
+        for lo in range(0, len(points), SWEEP):
+            hi = min(lo + SWEEP, len(points))
+            ids, spelled = self._starting(points, lo, hi)
+            for k in range(1, MAX_PIECE + 1):
+                i = np.flatnonzero(ids[k - 1] >= 0)
+                piece = ids[k - 1, i]
+                i += lo
+                out += np.bincount(piece, np.exp(a[i] + lp[piece] + b[i + k] - a[-1]), self.n)
+            for i in spelled + lo:
+                bs = self._bytes(points[i])
+                np.add.at(out, bs, math.exp(a[i] + lp[bs].sum() + b[i + 1] - a[-1]))
+        return out
+
     def log_prob(self, words: list[bytes], lp: np.ndarray) -> np.ndarray:
         """Natural log of the marginal probability of every word."""
         out = np.zeros(len(words))
         for part, points in self.batches(words):
+            if points.shape[1] > LONG_WORD:
+                out[part] = [self.sweep(p, lp, False)[-1] for p in points]
+                continue
             e, s = self.edges(points)
             out[part] = self.forward(e, s, *points.shape, lp)[:, -1]
         return out
@@ -213,6 +305,10 @@ class Lattice:
         """Expected number of times each piece is used in the words, word w taken n[w] times."""
         out = np.zeros(self.n)
         for part, points in self.batches(words):
+            if points.shape[1] > LONG_WORD:
+                for p, times in zip(points, n[part]):
+                    out += times * self.long_expected(p, lp)
+                continue
             e, s = self.edges(points)
             a = self.forward(e, s, *points.shape, lp)
             b = self.backward(e, s, *points.shape, lp)

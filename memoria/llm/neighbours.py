@@ -143,10 +143,11 @@ def _blob(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _gather(table: pa.Table) -> pa.Table:
-    """One row (dim, part, ids, x) of a group of vectors."""
-    table = table.sort_by("vec_id")
+    """One row (dim, part, rows, ids, x) of a group of queries."""
+    table = table.sort_by("row")
     ids, x = _blob(table)
     return pa.table({"dim": pa.array([x.shape[1]], pa.int32()), "part": pa.array([table["part"][0].as_py()], pa.int64()),
+                     "rows": pa.array([table["row"].to_numpy().astype("<i8").tobytes()], pa.binary()),
                      "ids": pa.array([ids.astype("<i8").tobytes()], pa.binary()),
                      "x": pa.array([np.ascontiguousarray(x, dtype="<f8").tobytes()], pa.binary())})
 
@@ -166,43 +167,48 @@ def build_index(vectors: DataFrame, shard_rows: int = SHARD_ROWS, leaf_rows: int
     counts = {r["dim"]: r["count"] for r in vectors.groupBy("dim").count().collect()}
     shards = F.coalesce(*[F.when(F.col("dim") == d, F.lit(math.ceil(n / shard_rows))) for d, n in counts.items()],
                         F.lit(1))
-    rows = vectors.withColumn("part", F.pmod(F.xxhash64("vec_id", "v"), shards))
+    # equal rows are dealt over the shards too
+    rows = vectors.withColumn("part", F.pmod(F.xxhash64("vec_id", "v", F.monotonically_increasing_id()), shards))
     return materialize(rows.groupBy("dim", "part").applyInArrow(
         _index(leaf_rows), "dim int, part long, tree binary"), "trees")
 
 
 def search(index: DataFrame, queries: DataFrame, n_queries: int, k: int = K, factor: float = FACTOR,
            block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k best of every query over all shards."""
+    """(query_id, rank, vec_id, score): the k best of every query row over all shards.
+
+    ``queries`` is a table of (vec_id, v, dim); its rows are numbered, so that rows of one id are queries of their own.
+    """
     blocks = max(1, math.ceil(n_queries / block_rows))
-    q = queries.withColumn("part", F.pmod(F.xxhash64(F.lit("block"), "vec_id", "v"), F.lit(blocks)))
-    q = materialize(q.groupBy("dim", "part").applyInArrow(_gather, "dim int, part long, ids binary, x binary"),
-                    "blocks")
+    q = queries.withColumn("row", F.monotonically_increasing_id())
+    q = q.withColumn("part", F.pmod(F.xxhash64(F.lit("block"), "row"), F.lit(blocks)))
+    q = materialize(q.groupBy("dim", "part").applyInArrow(
+        _gather, "dim int, part long, rows binary, ids binary, x binary"), "blocks")
     # the grid of (shard, run of blocks): a tree meets a bounded number of blocks in a task
     shards = index.groupBy("dim").agg(F.max("part").alias("_last"))
     left = index.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit((blocks - 1) // BLOCKS_PER_TASK))))
     right = q.join(shards, "dim").select(
         "dim", F.explode(F.sequence(F.lit(0), F.col("_last"))).alias("part"),
-        F.floor(F.col("part") / BLOCKS_PER_TASK).cast("int").alias("run"), "ids", "x")
+        F.floor(F.col("part") / BLOCKS_PER_TASK).cast("int").alias("run"), "rows", "ids", "x")
 
     def visit(trees: pa.Table, asked: pa.Table) -> pa.Table:
-        out = [[], [], []]
+        out = [[], [], [], []]
         if trees.num_rows:
             tree = Tree.load(trees["tree"][0].as_py())
-            for ids, x in zip(asked["ids"], asked["x"]):
+            for rows, ids, x in zip(asked["rows"], asked["ids"], asked["x"]):
                 qids = np.frombuffer(ids.as_py(), "<i8")
                 vec = np.frombuffer(x.as_py(), "<f8").reshape(len(qids), -1)
                 qi, vid, score = tree.search(qids, vec, k, factor)
-                for col, v in zip(out, (qids[qi], vid, score)):
+                for col, v in zip(out, (np.frombuffer(rows.as_py(), "<i8")[qi], qids[qi], vid, score)):
                     col.append(v)
-        kinds = (np.int64, np.int64, np.float64)
+        kinds = (np.int64, np.int64, np.int64, np.float64)
         return pa.table([pa.array(np.concatenate(c) if c else np.zeros(0, t)) for c, t in zip(out, kinds)],
-                        names=["query_id", "vec_id", "score"])
+                        names=["row", "query_id", "vec_id", "score"])
 
     key = ["dim", "part", "run"]
     hits = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(
-        visit, "query_id long, vec_id long, score double")
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+        visit, "row long, query_id long, vec_id long, score double")
+    w = Window.partitionBy("row").orderBy(F.col("score").desc(), "vec_id")
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score")
 
@@ -215,8 +221,8 @@ def nearest(vectors: DataFrame, k: int = K, factor: float = FACTOR, every: int =
     non-finite vectors and null ids take no part; vectors of another dimension
     are never neighbours; equal scores go to the smaller id; a query with fewer
     than k candidates gets all; an empty table gives an empty result; other
-    columns are not read. Ids are taken as unique: rows that repeat an id are
-    candidates of their own, except for the query of that id.
+    columns are not read. Rows that repeat an id are queries of their own, each
+    with its own ranks, and candidates of their own, except for queries of that id.
     """
     rows = materialize(usable(vectors), "vectors")
     queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0)

@@ -79,7 +79,58 @@ SELECT a.conv_id, CAST(a.d AS BIGINT) AS depth, a.parent_conv_id, a.n_convs, CAS
        CAST(b.n_leaves AS BIGINT) AS n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens, a.ends_sha256
 FROM full_nodes a JOIN below b ON a.k = b.k AND a.d = b.d"""
 
+def _quality() -> str:
+    """Counts by plain lists, rates and their prior by sums over hosts, verdicts joined back."""
+    word = r"[^\x20\x09-\x0D]"
+    rules = {"symbols": ("n_symbols", "n_words", 100, 30), "dup_lines": ("n_dup_lines", "n_lines", 500, 300),
+             "capitals": ("n_upper", "word_chars", 500, 300), "long_words": ("word_chars", "n_words", 10_000, 9_000),
+             "repeats": ("n_repeat_words", "n_words", 200, 100)}
+
+    def fails(rule, limit):
+        num, base = rules[rule][:2]
+        few = " AND n_dup_lines >= 3" if rule == "dup_lines" else ""
+        return f"(1000 * {num} > {limit} * {base}{few})"
+
+    counts = " UNION ALL ".join(
+        f"SELECT source, '{r}' AS rule, count(*) AS n, count(*) FILTER (WHERE {fails(r, soft)}) AS k FROM m GROUP BY source"
+        for r, (_, _, _, soft) in rules.items())
+    bad = " OR ".join(f"{fails(r, hard)} OR (list_contains(host_strict, '{r}') AND {fails(r, soft)})"
+                      for r, (_, _, hard, soft) in rules.items())
+    return f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS MATERIALIZED (
+  SELECT rid, doc_id, source, t, regexp_extract_all(t, '{word}+') AS w,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{word}')) AS l FROM d),
+windows AS (SELECT rid, i, array_to_string(w[i:i + 4], ' ') AS g
+            FROM (SELECT rid, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
+again AS (SELECT rid, i FROM windows QUALIFY count(*) OVER (PARTITION BY rid, g) > 1),
+covered AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + 5)) AS p FROM again) GROUP BY rid),
+m AS MATERIALIZED (
+  SELECT doc_id, source, CAST(len(w) AS BIGINT) AS n_words,
+         CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+         CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+         CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words,
+         len(l) AS n_lines, len(regexp_extract_all(t, '\\p{{Lu}}')) AS n_upper
+  FROM w LEFT JOIN covered USING (rid)),
+long AS MATERIALIZED ({counts}),
+prior AS (
+  SELECT rule, mean, CASE WHEN spread > 1e-12 THEN least(1e6, greatest(10.0, mean * (1 - mean) / spread - 1)) ELSE 1e6 END AS conc
+  FROM (SELECT rule, sum(k) / sum(n) AS mean,
+               sum(CAST(k * k AS DOUBLE) / n) / sum(n) - (sum(k) / sum(n)) * (sum(k) / sum(n)) AS spread
+        FROM long GROUP BY rule)),
+strict AS (
+  SELECT source, coalesce(list_sort(list(rule) FILTER (WHERE rate > 0.3 AND rate > round(2.0 * mean, 9))), []) AS host_strict
+  FROM (SELECT l.source, l.rule, p.mean, round((l.k + p.mean * p.conc) / (l.n + p.conc), 9) AS rate
+        FROM long l JOIN prior p USING (rule)) GROUP BY source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT coalesce({bad}, false) AS kept,
+       m.source, host_strict
+FROM m JOIN strict ON m.source IS NOT DISTINCT FROM strict.source"""
+
+
 SQL: dict[str, str] = {
+    "op2_quality_rules": _quality(),
     "op12_centroid_clusters": _clusters(),
     "op13_conversation_trie": _TRIE,
 }

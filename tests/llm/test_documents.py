@@ -387,6 +387,27 @@ def test_packing_round_trip(spark):
     assert len(used) <= total / packing.WINDOW + 2
 
 
+def test_long_words_are_swept_exactly(monkeypatch):
+    import random
+    import time
+
+    import numpy as np
+    lat = lm.lattice(lm.vocabulary_path())
+    rng = random.Random(3)
+    marks = "abcdefghitheingtion" * 3 + "éßñ日本語ключ\U0001f600\x01"
+    words_ = ["".join(rng.choice(marks) for _ in range(rng.randint(1, 120))).encode() for _ in range(40)]
+    n = np.array([rng.randint(0, 5) for _ in words_])
+    want, counts = lat.log_prob(words_, lat.prior), lat.expected(words_, n, lat.prior)
+    monkeypatch.setattr(lm, "LONG_WORD", 0)
+    for block in (7, 1 << 16):
+        monkeypatch.setattr(lm, "SWEEP", block)
+        assert np.allclose(lat.log_prob(words_, lat.prior), want, rtol=1e-9)
+        assert np.allclose(lat.expected(words_, n, lat.prior), counts, rtol=1e-6, atol=1e-9)
+    began = time.process_time()
+    long = "".join(rng.choice(marks) for _ in range(1_000_000)).encode()
+    assert lat.log_prob([long], lat.prior)[0] < -1e6 and time.process_time() - began < 30
+
+
 def test_encoder_equals_tokenizer():
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(packing.vocabulary_path())

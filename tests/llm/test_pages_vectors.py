@@ -448,6 +448,21 @@ def test_nearest_exact_and_relaxed(spark):
     assert neighbours.nearest(df.limit(0)).count() == 0
 
 
+def test_repeated_ids_are_queries_of_their_own(spark):
+    rows = [(i, v) for i, v in vectors(300) if v is not None and len(v) == 16]
+    rows += [(0, rows[7][1]), (0, rows[0][1]), (3, rows[3][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    for c in ("row", "part", "dim", "v", "ids", "score", "rank"):
+        df = df.withColumn(c, F.lit("clash"))
+    got = neighbours.nearest(df, factor=1.0, shard_rows=90, block_rows=7, leaf_rows=16).collect()
+    zero = collections.Counter(r["rank"] for r in got if r["query_id"] == 0)
+    assert zero == {k: 3 for k in range(1, 21)} and not any(r["vec_id"] == 0 for r in got if r["query_id"] == 0)
+    others = brute_nearest(rows, 20)
+    for q in (20, 40):
+        assert [(r["vec_id"], round(r["score"], 9)) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == [
+            (i, round(s, 9)) for i, s in others[q]]
+
+
 def test_pruning_saves_distance_work():
     """On clustered vectors the relaxed search visits fewer leaves than the exact one and finds nearly the same."""
     rng = np.random.default_rng(3)

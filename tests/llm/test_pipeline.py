@@ -79,3 +79,18 @@ def test_stages(spark):
         spans.sort()
         assert [o for o, _ in spans] == [sum(n for _, n in spans[:i]) for i in range(len(spans))]
         assert sum(n for _, n in spans) <= 2048
+
+
+def test_awkward_and_empty_tables(spark):
+    """Nulls, empty texts, repeated rows and clashing columns pass all stages; so does a table without rows."""
+    from .data import clashing, frame
+    docs = frame(spark)
+    for table in (clashing(docs), docs.limit(0)):
+        columns, at = table.columns, table
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            at = materialize(stage(spark, at, SF), "test")
+            assert at.columns == columns, name
+        packed = corpus_pipeline.STAGES[-1][1](spark, at, SF)
+        ids = {r["doc_id"] for r in packed.collect()}
+        assert ids == {r["doc_id"] for r in at.collect()}
+    assert not ids
