@@ -331,7 +331,8 @@ def quality_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
         F.explode(F.sequence(F.lit(0), F.lit(LABEL_SALTS - 1))).alias("_salt"))
     salted = feats.where("not held_out").withColumn(
         "_salt", (F.monotonically_increasing_id() % LABEL_SALTS).cast("int"))
-    train = materialize(salted.join(known, ["doc_id", "_salt"]).select("doc_id", "good", "f"), "train")
+    # the planner sees the files of the labels, not their copies: without the hint it broadcasts tables of any length
+    train = materialize(salted.join(known.hint("merge"), ["doc_id", "_salt"]).select("doc_id", "good", "f"), "train")
     pairs = preferences(train)
     if pairs is None:
         score = F.lit(1.0)

@@ -135,6 +135,18 @@ def test_awkward_rows(spark):
     assert len(empty) == 1 and 0 <= empty.pop() <= 1
 
 
+def test_copied_labels_are_not_broadcast(spark, monkeypatch, tmp_out):
+    docs, labels = corpus(60)
+    d, la = frames(spark, docs, labels)
+    la.coalesce(1).write.parquet(f"{tmp_out}/labels")      # small files are broadcast, the copies of their rows must not be
+    plans, real = {}, ranking.materialize
+    monkeypatch.setattr(ranking, "materialize", lambda df, tag: plans.update(
+        {tag: df._jdf.queryExecution().executedPlan().toString()}) or real(df, tag))
+    got = ranking.quality_scores(d, spark.read.parquet(f"{tmp_out}/labels"))
+    assert got.count() == len(docs)
+    assert "SortMergeJoin" in plans["train"] and "Broadcast" not in plans["train"]
+
+
 def test_empty_tables_and_one_class(spark):
     docs, labels = corpus(60)
     d, la = frames(spark, docs, labels)
