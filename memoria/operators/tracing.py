@@ -7,6 +7,8 @@ it is joined, so no fan-out rows are built.
 """
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +17,10 @@ from ..functions.jsonfn import parse_python_literal
 from ..functions.timefn import as_of_lit, seconds_between
 
 CKPT_KEYS = ["thread_id", "checkpoint_ns"]
+# a trace closure goes this many levels one by one, then distances double
+LEVELS = 8
+# a list of traces with at most this many rows may be broadcast
+BROADCAST_ROWS = 50_000
 METADATA_T = T.StructType([T.StructField("source", T.StringType()), T.StructField("step", T.LongType()),
                            T.StructField("writes", T.StringType())])
 
@@ -164,32 +170,58 @@ def orchestration_join(orch: DataFrame, nodes: DataFrame, metrics: DataFrame, me
 def trace_closure(trace_map: DataFrame) -> DataFrame:
     """(root_trace_id, trace_id, depth): every trace that a mapped root reaches, itself (depth 0) included.
 
-    Child traces may be roots of maps of their own, to any depth. Each round joins
-    what is reached with what is reached from there, so distances double; depth
-    is the least one. Cycles add nothing new and end.
+    Child traces may be roots of maps of their own, to any depth. Each round goes
+    on from the traces reached last that are roots themselves, ``LEVELS`` rounds
+    by one level, then by all that is reached, so distances double; depth is the
+    least one. A trace with one parent is reached from a root in one way and needs
+    no comparison; others are compared with those reached before. Cycles add
+    nothing new and end.
     """
     from ..session import written
-    child = F.explode(F.from_json("child_trace_ids", T.ArrayType(T.StringType()))).alias("trace_id")
-    edges = trace_map.where("root_trace_id is not null").select("root_trace_id", child, F.lit(1).cast("long").alias("depth"))
-    roots = trace_map.where("root_trace_id is not null").select(
-        "root_trace_id", F.col("root_trace_id").alias("trace_id"), F.lit(0).cast("long").alias("depth"))
-
-    def nearest(rows):
-        return written(rows.groupBy("root_trace_id", "trace_id").agg(F.min("depth").alias("depth")), "traces")
-
-    reached = nearest(roots.unionByName(edges.where("trace_id is not null")))
-    size = reached.agg(F.count(F.lit(1)), F.sum("depth")).first()
+    pair = ["root_trace_id", "trace_id"]
+    root = F.col("root_trace_id")
+    listed = F.coalesce(F.from_json("child_trace_ids", T.ArrayType(T.StringType())), F.array().cast("array<string>"))
+    maps = trace_map.where("root_trace_id is not null").select(
+        root, F.array_distinct(F.filter(listed, lambda x: x.isNotNull() & (x != root))).alias("_children"))
+    # one row per trace named; kind is 0 for a child, 1 for a root, 2 for a root with children
+    own = F.struct(root.alias("trace_id"), F.lit(None).cast("string").alias("parent"),
+                   F.when(F.size("_children") > 0, 2).otherwise(1).alias("kind"))
+    below = F.transform("_children", lambda x: F.struct(x.alias("trace_id"), root.alias("parent"), F.lit(0).alias("kind")))
+    named = maps.select(F.inline(F.concat(F.array(own), below)))
+    nodes = written(named.repartition("trace_id").groupBy("trace_id").agg(
+        F.min("parent").alias("root_trace_id"), F.max("kind").alias("kind"),
+        F.coalesce(F.min("parent") != F.max("parent"), F.lit(False)).alias("many")), "nodes")
+    roots = nodes.where("kind > 0").select(F.col("trace_id").alias("root_trace_id"), "trace_id", F.lit(0).cast("long").alias("depth"))
+    columns = [*pair, F.lit(1).cast("long").alias("depth"), (F.col("kind") == 2).alias("leads"), "many"]
+    edges = nodes.where("root_trace_id is not null and not many").select(*columns)
+    several = nodes.where("many").drop("root_trace_id")
+    n = several.count()
+    if n:
+        parents = maps.select(root, F.explode("_children").alias("trace_id"))
+        shared = parents.join(F.broadcast(several) if n <= BROADCAST_ROWS else several, "trace_id").select(*columns)
+        edges = edges.unionByName(written(shared.distinct(), "edges"))
+    found, last, depth = [edges], edges, 1
     while True:
-        # one side must have moved for a pair to be new, and only roots reach further
-        further = reached.select(F.col("root_trace_id").alias("trace_id"), F.col("trace_id").alias("_to"),
-                                 F.col("depth").alias("_more")).where("_more > 0")
-        step = reached.where("depth > 0").join(further, "trace_id").select(
-            "root_trace_id", F.col("_to").alias("trace_id"), (F.col("depth") + F.col("_more")).alias("depth"))
-        reached = nearest(reached.unionByName(step))
-        now = reached.agg(F.count(F.lit(1)), F.sum("depth")).first()
-        if now == size:
-            return reached
-        size = now
+        front = last.where("leads").where(F.col("depth") == depth)
+        if front.isEmpty():
+            break
+        reached = reduce(DataFrame.unionByName, found)
+        one = depth < LEVELS
+        # packed files look small to the planner, so the join is named
+        further = (edges.drop("depth") if one else reached).withColumnRenamed("root_trace_id", "_via").hint("merge")
+        more = F.lit(1) if one else F.col("depth")
+        last = front.select("root_trace_id", F.col("trace_id").alias("_via")).join(further, "_via").where(
+            "root_trace_id != trace_id").select(*pair, (more + depth).cast("long").alias("depth"), "leads", "many")
+        if n or not one:
+            last = written(last, "steps")
+            sure = F.lit(one) & ~F.col("many")
+            least = last.where(~sure).groupBy(*pair).agg(
+                F.min("depth").alias("depth"), F.bool_or("leads").alias("leads"), F.bool_or("many").alias("many"))
+            last = last.where(sure).unionByName(least.join(reached.where(~sure).select(*pair), pair, "left_anti"))
+        last = written(last, "traces")
+        found.append(last)
+        depth += 1 if one else depth
+    return roots.unionByName(reduce(DataFrame.unionByName, found).select(*pair, "depth"))
 
 
 def trace_records(nodes: DataFrame, messages: DataFrame, events: DataFrame, spans: DataFrame) -> DataFrame:

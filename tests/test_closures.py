@@ -43,6 +43,31 @@ def test_trace_closure_of_any_shape(spark, seed):
     assert got == want and got["deep0", "deep40"] == 40
 
 
+@pytest.mark.parametrize("levels", [1, 2, 3])
+def test_trace_closure_with_shared_children_and_cycles(spark, monkeypatch, levels):
+    monkeypatch.setattr(tr, "LEVELS", levels)
+    rng = random.Random(levels)
+    links = [(f"t{rng.randrange(30)}", [f"t{rng.randrange(30)}" for _ in range(rng.randrange(3))]) for _ in range(25)]
+    links += [("a", ["b", "b", "a"]), ("a", ["b"]), ("b", ["c", "d"]), ("c", ["e"]), ("d", ["e"]), ("e", ["f"]), ("a", ["f"])]
+    links += [(f"ring{i}", [f"ring{(i + 1) % 11}", f"leaf{i}"]) for i in range(11)] + [("in", ["ring3"]), ("self", ["self"])]
+    rows = tr.trace_closure(maps(spark, links)).collect()
+    assert {(r[0], r[1]): r[2] for r in rows} == brute_closure(links) and len(rows) == len(brute_closure(links))
+
+
+def test_trace_closure_writes_no_pair_twice(spark, monkeypatch):
+    from memoria import session
+    rows, real = [], session.written
+
+    def counted(df, tag):
+        out = real(df, tag)
+        rows.append(out.count())
+        return out
+    monkeypatch.setattr(session, "written", counted)
+    links = [(f"t{i}{r}", [f"t{i}_{k}" for k in kids]) for i in range(50) for r, kids in (("", (1, 2, 3)), ("_3", (4, 5)), ("_5", (6, 7)))]
+    got = tr.trace_closure(maps(spark, links)).count()
+    assert got == 50 * 16 and sum(rows) <= got
+
+
 def test_stitch_finds_all_kinds_at_any_depth(spark):
     m = maps(spark, [("a", ["b"]), ("b", ["c"]), ("c", ["d"])])
     one = lambda schema, *r: spark.createDataFrame(list(r), schema)
