@@ -243,6 +243,14 @@ def trace_records(nodes: DataFrame, messages: DataFrame, events: DataFrame, span
 
 
 def trace_stitch(trace_map: DataFrame, records: DataFrame) -> DataFrame:
-    """JN11: correlation id -> root trace -> child traces of any depth -> their records."""
-    found = trace_map.select("correlation_id", "root_trace_id").distinct().join(trace_closure(trace_map), "root_trace_id")
-    return found.join(records, "trace_id", "inner")
+    """JN11: correlation id -> root trace -> child traces of any depth -> their records.
+
+    Records meet traces before correlation ids, which then join on the root only
+    the traces that have records.
+    """
+    found = trace_closure(trace_map).join(records, "trace_id")
+    maps = trace_map.select("correlation_id", "root_trace_id").where("root_trace_id is not null")
+    # dealt by the root before repeats are dropped: the join needs no second shuffle
+    maps = maps.repartition("root_trace_id").distinct()
+    rest = [c for c in found.columns if c not in ("trace_id", "root_trace_id")]
+    return found.join(maps, "root_trace_id").select("trace_id", "root_trace_id", "correlation_id", *rest)

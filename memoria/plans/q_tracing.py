@@ -106,9 +106,12 @@ def q_trace_closure(spark, sf_dir):
 def q_trace(spark, sf_dir):
     t = _t(spark, sf_dir)
     records = tr.trace_records(d.execution_nodes(t), d.agent_messages(t), d.coordination(t), d.spans(t))
-    r = tr.trace_stitch(d.trace_map(t), records)
+    # sums by trace and kind stitch like the records; dealt by trace, they join without a second shuffle
+    sums = records.repartition("trace_id").groupBy("trace_id", "kind").agg(
+        F.count(F.lit(1)).alias("records"), F.sum("value").alias("value"))
+    r = tr.trace_stitch(d.trace_map(t), sums)
     return r.groupBy("correlation_id", "root_trace_id", "kind").agg(
-        F.count(F.lit(1)).alias("records"), F.round(F.sum("value"), 6).alias("value"), F.max("depth").alias("max_depth"))
+        F.sum("records").alias("records"), F.round(F.sum("value"), 6).alias("value"), F.max("depth").alias("max_depth"))
 
 
 @query("point_in_time")

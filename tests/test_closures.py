@@ -68,6 +68,16 @@ def test_trace_closure_writes_no_pair_twice(spark, monkeypatch):
     assert got == 50 * 16 and sum(rows) <= got
 
 
+def test_stitch_shuffles_each_side_of_a_join_once(spark):
+    m = maps(spark, [("a", ["b"]), ("a", ["b"]), (None, ["b"]), ("b", None)])
+    records = spark.createDataFrame([("b", "node", 1.0), ("a", "span", None), ("x", "span", 2.0)], "trace_id string, kind string, value double")
+    out = tr.trace_stitch(m, records)
+    assert sorted((r["correlation_id"], r["root_trace_id"], r["trace_id"], r["depth"]) for r in out.collect()) == [
+        ("c0", "a", "a", 0), ("c0", "a", "b", 1), ("c1", "a", "a", 0), ("c1", "a", "b", 1), ("c3", "b", "b", 0)]
+    plan = tr.trace_stitch(m, records.hint("merge"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 4
+
+
 def test_stitch_finds_all_kinds_at_any_depth(spark):
     m = maps(spark, [("a", ["b"]), ("b", ["c"]), ("c", ["d"])])
     one = lambda schema, *r: spark.createDataFrame(list(r), schema)
